@@ -2,21 +2,40 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .dac import dac_digest, read_dac, write_dac
 from .mixing import mix
+from .packing import pack_digest
 from .quality import quality
 from .simhash import simhash_components
-from .util import table
+from .util import shared_dir, table
+
+
+def _vocabulary(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"))
 
 
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_digest(table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"))
+
+
+def op8_directly_addressable_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_dir(spark)}/stratalens/dac-{uuid.uuid4().hex}"
+    write_dac(table(spark, sf_dir, "documents"), path, _vocabulary("word_bpe_49k.json"))
+    return dac_digest(read_dac(spark, path))
+
+
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
@@ -26,7 +45,7 @@ def op10_mix_to_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op6_quality_rules, op9_simhash_near_dedup, op10_mix_to_weights)}
+    return {f.__name__: f for f in (op6_quality_rules, op7_packing, op8_directly_addressable_codes, op9_simhash_near_dedup, op10_mix_to_weights)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import os
 import re
+from functools import lru_cache
 
 _TAIL = ".,;:!?#$%&*|)(\"-"
 _PUZZLE = re.compile(r"\s[ \n]|[ \n]\s|^[ \n]|[ \n]$")
@@ -44,7 +45,7 @@ class WordCoder:
     each time they occur, so memory is bounded and results do not change.
     """
 
-    def __init__(self, path: str, max_words: int = 1_000_000):
+    def __init__(self, path: str, max_words: int = 800_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -125,3 +126,9 @@ class WordCoder:
                 if ids is None:
                     out[i] = self._missing(words[i], lead)
         return b"".join(out)
+
+
+@lru_cache(maxsize=2)
+def coder(path: str) -> WordCoder:
+    """The worker's coder of a vocabulary; it outlives tasks, and so does its memo."""
+    return WordCoder(path)
