@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .dac import dac_digest, read_dac, write_dac
+from .langid import language, language_model
 from .mixing import mix
 from .packing import pack_digest
 from .quality import quality
@@ -28,6 +29,11 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(docs, toxicity_model(docs, table(spark, sf_dir, "labels")))
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return language(docs, language_model(docs))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"))
 
@@ -51,7 +57,7 @@ def op10_mix_to_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_toxicity, op6_quality_rules, op7_packing, op8_directly_addressable_codes, op9_simhash_near_dedup, op10_mix_to_weights)}
+    return {f.__name__: f for f in (op2_toxicity, op4_language_id, op6_quality_rules, op7_packing, op8_directly_addressable_codes, op9_simhash_near_dedup, op10_mix_to_weights)}
 
 
 def oracle_sql() -> dict[str, str]:
