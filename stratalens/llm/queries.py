@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .dac import dac_digest, read_dac, write_dac
+from .html_blocks import block_model, extract
 from .langid import language, language_model
 from .mixing import mix
 from .packing import pack_digest
@@ -24,6 +25,11 @@ def _vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return extract(pages, block_model(pages))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity(docs, toxicity_model(docs, table(spark, sf_dir, "labels")))
@@ -57,7 +63,7 @@ def op10_mix_to_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_toxicity, op4_language_id, op6_quality_rules, op7_packing, op8_directly_addressable_codes, op9_simhash_near_dedup, op10_mix_to_weights)}
+    return {f.__name__: f for f in (op1_html_extraction, op2_toxicity, op4_language_id, op6_quality_rules, op7_packing, op8_directly_addressable_codes, op9_simhash_near_dedup, op10_mix_to_weights)}
 
 
 def oracle_sql() -> dict[str, str]:
