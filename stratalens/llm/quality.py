@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .util import map_rows
+from .util import filter_texts, map_rows
 
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\x0b\x0c\r"
@@ -82,33 +82,49 @@ def compression(raw: bytes, compress, bad_share: float = BAD_SHARE) -> tuple[flo
     return ratio, n, low, high, reason
 
 
+class Judge:
+    """The whole verdict on one text: the columns of SCHEMA after doc_id."""
+
+    def __init__(self, min_words: int, max_repeat_percent: int, bad_share: float):
+        import zstandard
+
+        self.compress = zstandard.ZstdCompressor(level=LEVEL).compress
+        self.symbols = re.compile("[" + re.escape(SYMBOLS) + "]")
+        self.min_words, self.max_repeat_percent, self.bad_share = min_words, max_repeat_percent, bad_share
+
+    def __call__(self, text: str | None) -> tuple:
+        text = text or ""
+        raw = text.encode()
+        words = raw.split()  # splits at exactly the six ASCII white space bytes
+        n = len(words)
+        lines = [x for x in text.split("\n") if x.strip(SPACES)]
+        again = repeat_words(words)
+        failed = n < self.min_words or 100 * again > self.max_repeat_percent * n
+        ratio, chunks, low, high, reason = compression(raw, self.compress, self.bad_share)
+        return (n, len(text) - sum(map(text.count, SPACES)), len(self.symbols.findall(text)), len(lines) - len(set(lines)), again, failed, not failed and not reason, ratio, chunks, low, high, "base" if failed else reason)
+
+
 def quality(docs: DataFrame, min_words: int = 50, max_repeat_percent: int = 50, bad_share: float = BAD_SHARE) -> DataFrame:
     """One row per row of `docs` (doc_id, text); see SCHEMA."""
 
     def start():
-        import zstandard
-
-        compress = zstandard.ZstdCompressor(level=LEVEL).compress
-        symbols = re.compile("[" + re.escape(SYMBOLS) + "]")
+        judge = Judge(min_words, max_repeat_percent, bad_share)
 
         def step(batch: pa.RecordBatch) -> dict:
-            out: dict[str, list] = {k: [] for k in names}
-            out["doc_id"] = batch.column(0)
-            for text in batch.column(1).to_pylist():
-                text = text or ""
-                raw = text.encode()
-                words = raw.split()  # splits at exactly the six ASCII white space bytes
-                n = len(words)
-                lines = [x for x in text.split("\n") if x.strip(SPACES)]
-                again = repeat_words(words)
-                failed = n < min_words or 100 * again > max_repeat_percent * n
-                ratio, chunks, low, high, reason = compression(raw, compress, bad_share)
-                row = (n, len(text) - sum(map(text.count, SPACES)), len(symbols.findall(text)), len(lines) - len(set(lines)), again, failed, not failed and not reason, ratio, chunks, low, high, "base" if failed else reason)
-                for k, v in zip(names[1:], row, strict=True):
-                    out[k].append(v)
-            return out
+            columns = zip(*map(judge, batch.column(1).to_pylist()), strict=True)
+            return {"doc_id": batch.column(0)} | dict(zip(names[1:], columns, strict=True))
 
         return step
 
     names = [x.split()[0] for x in SCHEMA.split(", ")]
     return map_rows(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), SCHEMA, start)
+
+
+def kept(docs: DataFrame, min_words: int = 50, max_repeat_percent: int = 50, bad_share: float = BAD_SHARE) -> DataFrame:
+    """Rows of `docs`, all columns, that `quality` keeps."""
+
+    def start():
+        judge = Judge(min_words, max_repeat_percent, bad_share)
+        return lambda texts: [judge(t)[6] for t in texts]
+
+    return filter_texts(docs, start)

@@ -12,6 +12,7 @@ from .ann import search
 from .dac import dac_digest, read_dac, write_dac
 from .html_blocks import block_model, extract
 from .langid import language, language_model
+from .licenses import document_files, licences
 from .mixing import mix
 from .packing import pack_digest
 from .quality import quality
@@ -36,6 +37,10 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(docs, toxicity_model(docs, table(spark, sf_dir, "labels")))
 
 
+def op3_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences(document_files(table(spark, sf_dir, "documents")))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return language(docs, language_model(docs))
@@ -68,7 +73,7 @@ def op10_mix_to_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_html_extraction, op2_toxicity, op4_language_id, op5_nearest_neighbours, op6_quality_rules, op7_packing, op8_directly_addressable_codes, op9_simhash_near_dedup, op10_mix_to_weights)}
+    return {f.__name__: f for f in (op1_html_extraction, op2_toxicity, op3_license_scans, op4_language_id, op5_nearest_neighbours, op6_quality_rules, op7_packing, op8_directly_addressable_codes, op9_simhash_near_dedup, op10_mix_to_weights)}
 
 
 def oracle_sql() -> dict[str, str]:

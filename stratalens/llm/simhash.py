@@ -36,6 +36,7 @@ from .components import components
 from .util import cut, map_rows
 
 TILE = 16_384
+NULL_KEY = -(1 << 63)
 SEED = 42
 _ODD = np.uint64(0x9E3779B97F4A7C15)  # golden-ratio increment of the public splitmix64 generator
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -250,11 +251,7 @@ def one_per_group(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, n_
     """
     names = docs.columns
     groups = simhash_components(docs, shingle, lanes_limit(similarity, 1, 4.0), n_lanes, lanes_limit(similarity, n_lanes))
-    stay = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
-    first = W.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text")
-    return (
-        docs.join(stay, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
-        .withColumn("__first", F.row_number().over(first))
-        .where("__first = 1")
-        .select(*[F.col(f"`{c}`") for c in names])
-    )
+    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_KEY))  # one key for join and window, so texts are shuffled once
+    stay = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(key.alias("__k")).distinct()
+    first = W.partitionBy("__k").orderBy(F.xxhash64("text"), "text")
+    return docs.withColumn("__k", key).join(stay, "__k", "left_semi").withColumn("__first", F.row_number().over(first)).where("__first = 1").select(*[F.col(f"`{c}`") for c in names])

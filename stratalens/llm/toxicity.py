@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .util import cut, map_rows
+from .util import cut, filter_texts, map_rows
 
 #: common English insults to start from; fixed values
 SEED_TERMS = ("idiot", "idiots", "moron", "morons", "stupid", "scum", "worthless", "pathetic", "disgusting", "loser", "losers", "imbecile", "retard", "bastard", "asshole", "bitch", "dumbass", "vermin")
@@ -339,3 +339,14 @@ def toxicity(docs: DataFrame, model: dict) -> DataFrame:
 
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(True))
     return map_rows(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", held.alias("held_out")), SCHEMA, start)
+
+
+def clean(docs: DataFrame, model: dict) -> DataFrame:
+    """Rows of `docs`, all columns, that `toxicity` does not predict toxic."""
+    terms, weights = model["terms"], np.array(model["weights"])
+
+    def start():
+        scan = Scanner(terms)
+        return lambda texts: [float(np.dot(scan.features(t)[0], weights)) < 0 for t in texts]
+
+    return filter_texts(docs, start)

@@ -62,3 +62,19 @@ def map_rows(df: DataFrame, schema: str, start: Callable[[], Callable[[pa.Record
                 yield pa.RecordBatch.from_arrays([pa.array(got[f.name], type=f.type) for f in arrow], schema=arrow)
 
     return df.mapInArrow(run, kind)
+
+
+def filter_texts(df: DataFrame, start: Callable[[], Callable[[list], list]], text_col: str = "text") -> DataFrame:
+    """Rows of `df`, all columns, whose text is kept: `start()` gives a function from texts to booleans.
+
+    One pass without a join or shuffle: rows go through the worker and back.
+    """
+    bounded_batches(df.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step = start()
+        for batch in batches:
+            if batch.num_rows:
+                yield batch.filter(pa.array(step(batch.column(batch.schema.get_field_index(text_col)).to_pylist()), type=pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
