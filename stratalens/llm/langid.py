@@ -25,6 +25,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -39,24 +40,69 @@ BLOCK = 256
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double, n_words long, lang_words array<long>"
 
 
-def features(word: str, lexicon: dict[str, tuple[int, ...]]) -> list[int]:
-    """Hashed feature numbers of a lower-cased word; the first is the bias."""
+def feature_groups(words: list[str], lexicon: dict[str, tuple[int, ...]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Hashed features of lower-cased words, a group at a time: (features one word after another, how many each word has).
+
+    Groups: bias, whole word, lexicon, prefixes of 1-3 and suffixes of 1-4 characters,
+    2- and 3-grams with word borders.
+    """
+    n = len(words)
+    one = np.ones(n, dtype=np.int64)
     crc = zlib.crc32
-    names = ["=" + word, *("^" + word[:n] for n in (1, 2, 3)), *(word[-n:] + "$" for n in (1, 2, 3, 4))]
-    padded = f"<{word[:24]}>"
-    for n in (2, 3):
-        names += [padded[i : i + n] for i in range(len(padded) - n + 1)]
-    return [0, *[1 + crc(x.encode()) % (SIZE - 1) for x in names], *[SIZE + k for k in lexicon.get(word, ())]]
+    yield np.zeros(n, dtype=np.int64), one
+    yield np.fromiter((1 + crc(w.encode()) % (SIZE - 1) for w in words), dtype=np.int64, count=n), one
+    listed = [lexicon.get(w, ()) for w in words]
+    yield np.fromiter((SIZE + k for x in listed for k in x), dtype=np.int64), np.fromiter(map(len, listed), dtype=np.int64, count=n)
+    chars = np.frombuffer(("<" + "><".join(words) + ">").encode("utf-32-le"), dtype="<u4").astype(np.uint64)
+    length = np.fromiter(map(len, words), dtype=np.int64, count=n)
+    open_ = np.concatenate([[0], np.cumsum(length + 2)[:-1]])
+    close = open_ + length + 1
+    for k in (1, 2, 3):
+        has = length >= k
+        yield _hash([chars[open_[has] + j] for j in range(1, k + 1)], 10 + k), has.astype(np.int64)
+    for k in (1, 2, 3, 4):
+        has = length >= k
+        yield _hash([chars[close[has] - j] for j in range(1, k + 1)], 20 + k), has.astype(np.int64)
+    inside = np.ones(len(chars), dtype=bool)
+    inside[close] = False
+    at = np.nonzero(inside)[0]
+    yield _hash([chars[at], chars[at + 1]], 32), length + 1
+    inside[close - 1] = False
+    at = np.nonzero(inside)[0]
+    yield _hash([chars[at], chars[at + 1], chars[at + 2]], 33), length
+
+
+def _hash(columns: list[np.ndarray], kind: int) -> np.ndarray:
+    """1 to SIZE - 1 from characters and the kind of feature."""
+    h = np.full(len(columns[0]), kind, dtype=np.uint64)
+    for c in columns:
+        h = (h ^ c) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+    return 1 + (h % np.uint64(SIZE - 1)).astype(np.int64)
 
 
 def emissions(words: list[str], weights: np.ndarray, lexicon: dict[str, tuple[int, ...]]) -> np.ndarray:
-    """Sum of feature weights, averaged over the hashed part, for each word."""
-    if not words:
-        return np.zeros((0, weights.shape[1]))
-    lists = [features(w, lexicon) for w in words]
-    flat = np.fromiter((i for x in lists for i in x), dtype=np.int64)
-    starts = np.concatenate([[0], np.cumsum([len(x) for x in lists])[:-1]])
-    return np.add.reduceat(weights[flat], starts, axis=0)
+    """Sum of the feature weights of each word."""
+    out = np.zeros((len(words), weights.shape[1]))
+    if words:
+        for flat, count in feature_groups(words, lexicon):
+            if len(flat):
+                has = count > 0
+                starts = np.concatenate([[0], np.cumsum(count[has])[:-1]])
+                out[has] += np.add.reduceat(weights[flat], starts, axis=0)
+    return out
+
+
+def padded_features(words: list[str], lexicon: dict[str, tuple[int, ...]], fill: int) -> np.ndarray:
+    """One row of features a word, filled up with `fill`."""
+    groups = list(feature_groups(words, lexicon))
+    owner = np.concatenate([np.repeat(np.arange(len(words)), count) for _, count in groups])
+    flat = np.concatenate([f for f, _ in groups])
+    order = np.argsort(owner, kind="stable")
+    count = np.bincount(owner, minlength=len(words))
+    out = np.full((len(words), int(count.max())), fill, dtype=np.int64)
+    out[np.arange(out.shape[1])[None, :] < count[:, None]] = flat[order]
+    return out
 
 
 def marginals(em: np.ndarray, lengths: np.ndarray, trans: np.ndarray, start: np.ndarray, block: int = BLOCK) -> np.ndarray:
@@ -84,25 +130,22 @@ def forward_backward(em: np.ndarray, lengths: np.ndarray, trans: np.ndarray, sta
     if many.any():
         rows = np.nonzero(many)[0]
         rows = rows[np.argsort(-size[rows], kind="stable")]
-        moved = np.broadcast_to(np.eye(k), (len(rows), k, k)).copy()  # from message into the block to message out of it
+        moved = np.broadcast_to(np.eye(k), (len(rows), k, k)).copy()
+        whole = np.empty((len(first), k, k))  # from the message into a block to the message at its last place
         for t in range(int(size[rows[0]])):
             live = int(np.searchsorted(-size[rows], -t, "left"))
             m = moved[:live] * potential[first[rows[:live]] + t][:, None, :]
-            m = m @ step
-            moved[:live] = m / m.sum(axis=(1, 2), keepdims=True)
-        transfer = np.empty((len(first), k, k))
-        transfer[rows] = moved
+            m /= m.sum(axis=(1, 2), keepdims=True)
+            ends = int(np.searchsorted(-size[rows], -(t + 1), "left"))  # the blocks after these end here
+            whole[rows[ends:live]] = m[ends:]
+            moved[:ends] = m[:ends] @ step
         for b, c in zip(head[n_blocks > 1], n_blocks[n_blocks > 1], strict=True):
-            for j in range(b + 1, b + c):
-                e = entry[j - 1] @ transfer[j - 1]
-                entry[j] = e / e.sum()
-            back = np.ones(k)
+            for j in range(b, b + c - 1):
+                e = entry[j] @ whole[j] @ step
+                entry[j + 1] = e / e.sum()
             for j in range(b + c - 2, b - 1, -1):
-                # what the next block sees from its entry on; `leave` is before the transition into it
-                nxt = back if j == b + c - 2 else leave[j + 1]
-                inside = _inside(potential, first[j + 1], size[j + 1], step, nxt)
-                leave[j] = step @ inside
-                leave[j] /= leave[j].sum()
+                u = step @ (whole[j + 1] @ leave[j + 1])
+                leave[j] = u / u.sum()
     order = np.argsort(-size, kind="stable")
     alpha, post, beta = np.empty((n, k)), np.empty((n, k)), np.empty((n, k))
     now = entry[order].copy()
@@ -125,15 +168,6 @@ def forward_backward(em: np.ndarray, lengths: np.ndarray, trans: np.ndarray, sta
     return post, alpha, beta
 
 
-def _inside(potential: np.ndarray, first: int, size: int, step: np.ndarray, leave: np.ndarray) -> np.ndarray:
-    """Backward message at the entry of a block, its first potential applied."""
-    b = leave
-    for t in range(first + size - 1, first, -1):
-        b = step @ (potential[t] * b)
-        b = b / b.sum()
-    return potential[first] * b
-
-
 def fit(windows: list[tuple[str, list[str]]], lexicon_size: int = 60, epochs: int = 2, seed: int = 7) -> dict:
     """Model from (language, words) windows."""
     langs = sorted({lang for lang, words in windows if words})
@@ -149,11 +183,8 @@ def fit(windows: list[tuple[str, list[str]]], lexicon_size: int = 60, epochs: in
             lexicon[w] = (*lexicon.get(w, ()), i)
     vocabulary = sorted({w for _, words in windows for w in words})
     place = {w: i for i, w in enumerate(vocabulary)}
-    lists = [features(w, lexicon) for w in vocabulary]
-    widest = max(map(len, lists))
-    padded = np.full((len(lists), widest), SIZE + k, dtype=np.int64)  # the last row of weights is padding
-    for i, x in enumerate(lists):
-        padded[i, : len(x)] = x
+    padded = padded_features(vocabulary, lexicon, SIZE + k)  # the last row of weights is padding
+    widest = padded.shape[1]
     rng = np.random.default_rng(seed)
     weights, trans, start = np.zeros((SIZE + k + 1, k)), np.eye(k) * 2.0, np.zeros(k)
     gw, gt, gs = np.full_like(weights, 1e-6), np.full_like(trans, 1e-6), np.full_like(start, 1e-6)
