@@ -162,8 +162,11 @@ SECRET_RULES = {
 
 def secret_hits(text: Column) -> Column:
     """array of (rule, value): every match of every rule, in rule order."""
-    parts = [F.transform(F.regexp_extract_all(text, F.lit(p), 0), lambda v, r=rule: F.struct(F.lit(r).alias("rule"), v.alias("value"))) for rule, p in SECRET_RULES.items()]
-    return F.flatten(F.array(*parts))
+
+    def of_rule(rule: str, pattern: str) -> Column:
+        return F.transform(F.regexp_extract_all(text, F.lit(pattern), 0), lambda v: F.struct(F.lit(rule).alias("rule"), v.alias("value")))
+
+    return F.flatten(F.array(*[of_rule(r, p) for r, p in SECRET_RULES.items()]))
 
 
 def redact_secrets(text: Column) -> Column:

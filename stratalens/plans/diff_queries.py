@@ -92,10 +92,10 @@ def since_base(spark, sf):
     return D.since_baseline(view(spark, sf, BASE), view(spark, sf, HEAD))
 
 
-@query("d11_route_set_diff", f"WITH {RB}, {RH} SELECT rule, category, 'fixed' AS side FROM (SELECT rule, category FROM rb WHERE severity = 'critical' EXCEPT SELECT rule, category FROM rh WHERE severity = 'high') UNION ALL SELECT rule, category, 'new' FROM (SELECT rule, category FROM rh WHERE severity = 'high' EXCEPT SELECT rule, category FROM rb WHERE severity = 'critical')")
+@query("d11_route_set_diff", f"WITH {RB}, {RH} SELECT rule, file, category, 'fixed' AS side FROM (SELECT rule, file, category FROM rb EXCEPT SELECT rule, file, category FROM rh) UNION ALL SELECT rule, file, category, 'new' FROM (SELECT rule, file, category FROM rh EXCEPT SELECT rule, file, category FROM rb)")
 def route_sets(spark, sf):
-    """Set difference by a composite key, as for routes."""
-    return D.one_sided(view(spark, sf, RISKS_BASE).where("severity = 'critical'"), view(spark, sf, RISKS_HEAD).where("severity = 'high'"), ["rule", "category"])
+    """Set difference by a composite key of three parts, as for routes."""
+    return D.one_sided(view(spark, sf, RISKS_BASE), view(spark, sf, RISKS_HEAD), ["rule", "file", "category"])
 
 
 @query("d12_verdict", f"""

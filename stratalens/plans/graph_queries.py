@@ -95,9 +95,9 @@ def neighbors(spark, sf):
 SYMBOL_EDGES = f"SELECT src, dst, CASE kind WHEN 'import' THEN 'call' WHEN 'type-import' THEN 'type-ref' ELSE 'extends' END AS kind, confidence FROM ({EDGES})"
 
 
-@query("g7_references", bfs_sql("kind IN ('call', 'read', 'jsx', 'type-ref')", "dst", "src", 2, "k = 11", names=f"{N}, edges AS ({SYMBOL_EDGES})"))
+@query("g7_references", bfs_sql("kind IN ('call', 'read', 'jsx', 'type-ref')", "dst", "src", 2, "k % 10 = 1", names=f"{N}, edges AS ({SYMBOL_EDGES})"))
 def references(spark, sf):
-    return G.references(view(spark, sf, SYMBOL_EDGES), seed(spark, sf, 11), 2)
+    return G.references(view(spark, sf, SYMBOL_EDGES), view(spark, sf, f"SELECT id FROM ({NODES}) WHERE k % 10 = 1"), 2)
 
 
 @query("g8_implementers", bfs_sql("kind IN ('implements', 'extends')", "dst", "src", 1, "k = 5", names=f"{N}, edges AS ({SYMBOL_EDGES})"))
@@ -112,12 +112,12 @@ def impact(spark, sf):
 
 @query("g10_path_between", f"""
     WITH RECURSIVE {N}, {E}, pairs AS (SELECT DISTINCT src AS a, dst AS b FROM edges),
-    walk AS (SELECT id, [id] AS path FROM nodes WHERE k = 1 UNION ALL SELECT p.b, list_append(w.path, p.b) FROM walk w JOIN pairs p ON p.a = w.id WHERE len(w.path) <= 9 AND NOT list_contains(w.path, p.b)),
-    hit AS (SELECT path FROM walk WHERE id IN (SELECT id FROM nodes WHERE k IN (90, 91, 95)) ORDER BY len(path), path LIMIT 1)
+    walk AS (SELECT id, [id] AS path FROM nodes WHERE k IN (2, 53, 101) UNION ALL SELECT p.b, list_append(w.path, p.b) FROM walk w JOIN pairs p ON p.a = w.id WHERE len(w.path) <= 9 AND NOT list_contains(w.path, p.b)),
+    hit AS (SELECT path FROM walk WHERE id IN (SELECT id FROM nodes WHERE k % 40 = 3) ORDER BY len(path), path LIMIT 1)
     SELECT CAST(i - 1 AS INTEGER) AS place, path[i] AS id FROM (SELECT path, unnest(range(1, len(path) + 1)) AS i FROM hit)""")
 def path_between(spark, sf):
-    goals = view(spark, sf, f"SELECT id FROM ({NODES}) WHERE k IN (90, 91, 95)")
-    return G.path_between(edges(spark, sf), seed(spark, sf, 1), goals, 9)
+    goals = view(spark, sf, f"SELECT id FROM ({NODES}) WHERE k % 40 = 3")
+    return G.path_between(edges(spark, sf), view(spark, sf, f"SELECT id FROM ({NODES}) WHERE k IN (2, 53, 101)"), goals, 9)
 
 
 @query("g11_focal_nodes", f"WITH f AS ({bfs_sql(TS, 'dst', 'src', 2, 'k = 3', 'hops >= 0')}) SELECT id, hops FROM f ORDER BY hops, id LIMIT 30")
