@@ -7,8 +7,9 @@ lie in.  Every row of the table is indexed in its most probable part; a query go
 its `probes` most probable ones, where it meets every row, and the survivors are scored
 again in double precision on the original vectors.
 
-Parts are cut into chunks by row and query blocks by size, so a part that holds a third
-of all rows becomes many groups; per group a task holds one chunk and one block.
+Small parts share a shelf; shelves are cut into chunks by row and query blocks by size,
+so a part that holds a third of all rows becomes many groups; per group a task holds one
+chunk and one block.
 Recall against brute force is measured by `recall`, and tests hold it above 0.9.
 
 Defined results: vectors that are null, empty, of another length than most, zero, or
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .util import cut, map_rows
+from .util import cut, hash_sample, map_rows
 
 CHUNK = 16_384
 QUERY_BLOCK = 4_096
@@ -162,36 +163,53 @@ def exact_scores(x: np.ndarray, q: np.ndarray) -> np.ndarray:
 
 
 def nearest(x: np.ndarray, ids: np.ndarray, q: np.ndarray, own: int, k: int, rough: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The k best (ids, scores) for one query; `rough` are matrix products, used with a margin only."""
+    """The k best (ids, scores) for one query; `rough` are matrix products, used with a margin only; rows at minus infinity take no part."""
     rough = np.where(ids == own, -np.inf, rough)
-    near = np.arange(len(ids))
+    usable = np.isfinite(rough)
     if len(ids) > k:
         kth = np.partition(rough, len(rough) - k)[len(rough) - k]
-        near = np.nonzero(rough >= kth - 1e-9 * (1 + abs(kth)))[0] if np.isfinite(kth) else near
-    near = near[ids[near] != own]
+        if np.isfinite(kth):
+            usable = rough >= kth - 1e-9 * (1 + abs(kth))
+    near = np.nonzero(usable)[0]
     score = exact_scores(x[near], q)
     order = np.lexsort((ids[near], -score))[:k]
     return ids[near][order], score[order]
 
 
-def _search(left: pd.DataFrame, right: pd.DataFrame, k: int) -> pd.DataFrame:
+def _search(left: pd.DataFrame, right: pd.DataFrame, k: int, parts: int) -> pd.DataFrame:
+    """The k best rows of `left` (vec_id, v, part) for each query of `right` (query_id, v, to), among the parts it probes."""
     if left.empty or right.empty:
         return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-    x, ids = np.stack(left["v"].to_numpy()).astype(float), left["vec_id"].to_numpy(np.int64)
+    x, ids, part = np.stack(left["v"].to_numpy()).astype(float), left["vec_id"].to_numpy(np.int64), left["part"].to_numpy()
     q, own = np.stack(right["v"].to_numpy()).astype(float), right["query_id"].to_numpy(np.int64)
     out = []
     for at in range(0, len(q), 256):
         rough = q[at : at + 256] @ x.T
+        probed = np.zeros((len(rough), parts), dtype=bool)
+        for row, to in zip(probed, right["to"].iloc[at : at + 256], strict=True):
+            row[to] = True
+        rough[~probed[:, part]] = -np.inf
         for r, one, i in zip(rough, q[at : at + 256], own[at : at + 256], strict=True):
             near, score = nearest(x, ids, one, i, k, r)
             out.append(pd.DataFrame({"query_id": np.full(len(near), i), "vec_id": near, "score": score}))
     return pd.concat(out)
 
 
+def shelves(sizes: list[int], most: int) -> list[int]:
+    """Neighbouring parts put together up to `most` rows; a larger part stands alone.  Gives each part's shelf."""
+    out, held, shelf = [], 0, 0
+    for n in sizes:
+        if held and held + n > most:
+            shelf, held = shelf + 1, 0
+        out.append(shelf)
+        held += n
+    return out
+
+
 def search(vectors: DataFrame, query_every: int = 20, k: int = 20, fit_rows: int = 6000, parts: int | None = None, probes: int | None = None, target: float = 0.95, chunk: int = CHUNK, query_block: int = QUERY_BLOCK) -> DataFrame:
     """query_id, rank, vec_id, score of the k nearest found for each row whose vec_id is divisible by `query_every`.
 
-    fit_rows: rows (by hash of vec_id) that graph and router are fitted on.  parts: one
+    fit_rows: rows (by hash) that graph and router are fitted on.  parts: one
     per 1,500 rows by default, between 8 and 256.  probes: by default the least number
     that finds `target` of the neighbours of sample rows kept out of the fit; few where
     vectors form clusters, most parts where they do not.  If the parts probed hold no
@@ -205,7 +223,7 @@ def search(vectors: DataFrame, query_every: int = 20, k: int = 20, fit_rows: int
     dim, n = widths[0]["d"], widths[0]["count"]
     base = base.where(F.size("v") == dim)
     parts = parts or int(min(256, max(8, n // 1500)))
-    sample = [r["v"] for r in base.select(F.xxhash64("vec_id").alias("h"), "vec_id", "v").orderBy("h", "vec_id", "v").limit(fit_rows).collect()]
+    sample = [r["v"] for r in hash_sample(base, ["vec_id", "v"], fit_rows).collect()]
     parts = max(1, min(parts, len(sample) // 8))
     model = None
     if parts > 1:
@@ -227,26 +245,33 @@ def search(vectors: DataFrame, query_every: int = 20, k: int = 20, fit_rows: int
     size_of = F.create_map(*[F.lit(v) for p in range(parts) for v in (p, sizes.get(p, 0))])
     # the least number of leading parts that is `probes` or more and holds more than k rows
     reached = F.expr("aggregate(order, named_struct('n', 0, 'rows', 0L), (a, p) -> if(a.n < %d or a.rows <= %d, named_struct('n', a.n + 1, 'rows', a.rows + size_of[p]), a), a -> a.n)" % (probes, k + 1))
+    # small parts share a shelf, so a query gives k rows a shelf, not a part
+    shelf_of = shelves([sizes.get(p, 0) for p in range(parts)], chunk)
+    shelf = F.create_map(*[F.lit(v) for p in range(parts) for v in (p, shelf_of[p])])
     queries = indexed.where("is_query").withColumn("size_of", size_of).select(F.col("vec_id").alias("query_id"), "v", F.slice("order", 1, reached).alias("to"))
-    routed = cut(queries.select("query_id", "v", F.explode("to").alias("part")), "ann-queries")
-    asked = {r["part"]: r["n"] for r in routed.groupBy("part").agg(F.count("*").alias("n")).collect()}
-    n_chunks = F.create_map(*[F.lit(v) for p in range(parts) for v in (p, max(1, -(-sizes.get(p, 0) // chunk)))])
-    n_blocks = F.create_map(*[F.lit(v) for p in range(parts) for v in (p, -(-asked.get(p, 0) // query_block))])
+    routed = cut(queries.select("query_id", "v", "to", F.explode(F.array_distinct(F.transform("to", lambda p: shelf[p]))).alias("shelf")), "ann-queries")
+    asked = {r["shelf"]: r["n"] for r in routed.groupBy("shelf").agg(F.count("*").alias("n")).collect()}
+    held = {s: sum(sizes.get(p, 0) for p in range(parts) if shelf_of[p] == s) for s in set(shelf_of)}
+    n_chunks = F.create_map(*[F.lit(v) for s in held for v in (s, max(1, -(-held[s] // chunk)))])
+    n_blocks = F.create_map(*[F.lit(v) for s in held for v in (s, -(-asked.get(s, 0) // query_block))])
     left = (
-        indexed.select("vec_id", "v", "part", F.pmod(F.xxhash64("vec_id"), n_chunks[F.col("part")]).cast("int").alias("chunk"), n_blocks[F.col("part")].alias("blocks"))
+        indexed.select("vec_id", "v", "part", shelf[F.col("part")].alias("shelf"))
+        .withColumn("chunk", F.pmod(F.xxhash64("vec_id"), n_chunks[F.col("shelf")]).cast("int"))
+        .withColumn("blocks", n_blocks[F.col("shelf")])
         .where("blocks > 0")
         .withColumn("block", F.explode(F.expr("sequence(0, blocks - 1)")))
     )
     right = (
-        routed.withColumn("n", n_chunks[F.col("part")])
-        .select("query_id", "v", "part", F.pmod(F.xxhash64("query_id"), n_blocks[F.col("part")]).cast("int").alias("block"), F.explode(F.expr("sequence(0, n - 1)")).alias("chunk"))
-    )
-    keys = ["part", "chunk", "block"]
+        routed.withColumn("n", n_chunks[F.col("shelf")])
+        .withColumn("block", F.pmod(F.xxhash64("query_id"), n_blocks[F.col("shelf")]).cast("int"))
+        .withColumn("chunk", F.explode(F.expr("sequence(0, n - 1)")))
+    )
+    keys = ["shelf", "chunk", "block"]
 
     def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        return _search(a, b, k)
+        return _search(a, b, k, parts)
 
-    found = left.select("vec_id", "v", *keys).groupBy(*keys).cogroup(right.select("query_id", "v", *keys).groupBy(*keys)).applyInPandas(run, RESULT)
+    found = left.select("vec_id", "v", "part", *keys).groupBy(*keys).cogroup(right.select("query_id", "v", "to", *keys).groupBy(*keys)).applyInPandas(run, RESULT)
     best = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .util import map_rows
+from .util import hash_sample, map_rows
 
 MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|</?[a-zA-Z](?:[^>\"']|\"[^\"]*\"|'[^']*')*>", re.S)
 TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)")
@@ -368,8 +368,8 @@ def train(pages: list[str], rounds: int = 260, batch: int = 24, seed: int = 5) -
 
 
 def block_model(pages: DataFrame, max_pages: int = 300, max_chars: int = 100_000) -> dict:
-    """Train on at most `max_pages` pages (by hash of page_id) of at most `max_chars` characters."""
-    some = pages.where(F.length("html").between(1, max_chars)).select(F.xxhash64("page_id", "url").alias("h"), "html").orderBy("h", "html").limit(max_pages).collect()
+    """Train on at most `max_pages` pages (by hash) of at most `max_chars` characters."""
+    some = hash_sample(pages.where(F.length("html").between(1, max_chars)), ["html"], max_pages).collect()
     return train([r["html"] for r in some])
 
 

@@ -2,7 +2,7 @@ r"""SimHash near-duplicates by tiled exact comparison.
 
 Each text gives one fingerprint from its word shingles.  Distinct fingerprints are
 sorted by the population counts of their four 16-bit quarters, dealt by range, and cut
-into tiles of at most `TILE`.  Two fingerprints within r bits differ by at most r in
+into tiles of at most `TILE`, full but for the last.  Two fingerprints within r bits differ by at most r in
 the sum of their quarters' counts, so a pair of tiles whose count ranges lie further
 apart is never formed; the others are compared in full by numpy exclusive-or and bit
 counts.  A pair of tiles gives a spanning forest of its links, not the links, so a
@@ -35,7 +35,7 @@ from pyspark.sql.window import Window as W
 from .components import components
 from .util import cut, map_rows
 
-TILE = 16_384
+TILE, LEAST_TILE = 16_384, 2_048  # codes in a tile: a twelfth of all, between these
 NULL_KEY = -(1 << 63)
 SEED = 42
 _ODD = np.uint64(0x9E3779B97F4A7C15)  # golden-ratio increment of the public splitmix64 generator
@@ -148,42 +148,38 @@ def tile_forest(a: np.ndarray, b: np.ndarray | None, first: int, total: int) ->
 
 
 def _tiles(codes: DataFrame, tile: int) -> DataFrame:
-    """tile_id, blob, and least and greatest count of each quarter, per tile of `codes` (cid, code, q0..q3)."""
+    """tile_id, ids, blob, and least and greatest count of each quarter, per tile of `codes` (cid, fp, code, q0..q3).
 
-    def pack(batches):
-        from pyspark import TaskContext
-
-        part, seq, held = TaskContext.get().partitionId(), 0, []
-
-        def out(p: pd.DataFrame) -> pd.DataFrame:
-            nonlocal seq
-            seq += 1
-            row = {"tile_id": (part << 32) + seq, "ids": p["cid"].to_numpy(np.int64).tobytes(), "blob": b"".join(p["code"])}
-            for k in range(4):
-                row |= {f"lo{k}": int(p[f"q{k}"].min()), f"hi{k}": int(p[f"q{k}"].max())}
-            return pd.DataFrame([row])
-
-        for pdf in batches:
-            held.append(pdf)
-            while sum(map(len, held)) >= tile:
-                p = pd.concat(held)
-                yield out(p[:tile])
-                held = [p[tile:]]
-        if held and len(p := pd.concat(held)):
-            yield out(p)
-
-    return codes.mapInPandas(pack, "tile_id long, ids binary, blob binary, " + ", ".join(f"lo{k} int, hi{k} int" for k in range(4)))
-
-
-def linked(codes: DataFrame, radius: int = 3, total: int | None = None, n_lanes: int = 1, tile: int = TILE) -> DataFrame:
+    Codes are sorted by range; a row's place overall is its place in its partition plus the
+    rows of the partitions before, of which only the counts reach the driver.  So tiles are
+    full whatever the number of partitions.
+    """
+    keys = [f"q{k}" for k in range(4)]
+    ordered = cut(codes.repartitionByRange(*keys, "fp").sortWithinPartitions(*keys, "fp").withColumn("m", F.monotonically_increasing_id()), "simhash-order")
+    split = ordered.withColumn("part", F.shiftright("m", 33)).withColumn("at", F.col("m").bitwiseAND(F.lit((1 << 33) - 1)))
+    before, rows = 0, []
+    for r in sorted(split.groupBy("part").agg(F.count("*").alias("n")).collect()):
+        rows.append((r["part"], before))
+        before += r["n"]
+    offsets = codes.sparkSession.createDataFrame(rows, "part long, before long")  # one row a partition
+    numbered = split.join(F.broadcast(offsets), "part").withColumn("tile_id", F.floor((F.col("before") + F.col("at")) / tile).cast("long"))
+
+    def pack(p: pd.DataFrame) -> pd.DataFrame:
+        row = {"tile_id": int(p["tile_id"].iloc[0]), "ids": p["cid"].to_numpy(np.int64).tobytes(), "blob": b"".join(p["code"])}
+        for k in range(4):
+            row |= {f"lo{k}": int(p[f"q{k}"].min()), f"hi{k}": int(p[f"q{k}"].max())}
+        return pd.DataFrame([row])
+
+    schema = "tile_id long, ids binary, blob binary, " + ", ".join(f"lo{k} int, hi{k} int" for k in range(4))
+    return numbered.select("tile_id", "cid", "code", *keys).groupBy("tile_id").applyInPandas(pack, schema)
+
+
+def linked(codes: DataFrame, radius: int = 3, total: int | None = None, n_lanes: int = 1, tile: int | None = None) -> DataFrame:
     """Edges (a, b) of a spanning forest per tile pair over `codes` (cid long, fp long, code binary), one row per distinct code."""
     spark = codes.sparkSession
     quarters = [F.bit_count(F.shiftrightunsigned("fp", 48 - 16 * k).bitwiseAND(F.lit(0xFFFF).cast("long"))).cast("int").alias(f"q{k}") for k in range(4)]
-    n = codes.count()
-    parts = max(1, math.ceil(n / tile))
-    keys = [f"q{k}" for k in range(4)]
-    dealt = codes.select("cid", "fp", "code", *quarters).repartitionByRange(parts, *keys, "fp").sortWithinPartitions(*keys, "fp").drop("fp")
-    tiles = cut(_tiles(dealt, tile), "simhash-tiles")
+    tile = tile or min(TILE, max(LEAST_TILE, codes.count() // 12))
+    tiles = cut(_tiles(codes.select("cid", "fp", "code", *quarters), tile), "simhash-tiles")
     meta = tiles.drop("blob", "ids").withColumn("lo", F.expr("lo0 + lo1 + lo2 + lo3")).withColumn("hi", F.expr("hi0 + hi1 + hi2 + hi3"))
     left = meta.select(*[F.col(c).alias(f"l_{c}") for c in meta.columns]).withColumn("p", F.explode(F.expr("sequence(l_lo, l_hi)")))
     right = meta.select(*[F.col(c).alias(f"r_{c}") for c in meta.columns]).withColumn("p", F.explode(F.expr(f"sequence(r_lo - {radius}, r_hi + {radius})")))
@@ -213,7 +209,7 @@ def linked(codes: DataFrame, radius: int = 3, total: int | None = None, n_lanes:
     return work.repartition(slots, "l_tile_id", "r_tile_id").groupBy("l_tile_id", "r_tile_id").applyInPandas(compare, "a long, b long")
 
 
-def simhash_components(docs: DataFrame, shingle: int = 3, radius: int = 3, n_lanes: int = 1, total: int | None = None, tile: int = TILE) -> DataFrame:
+def simhash_components(docs: DataFrame, shingle: int = 3, radius: int = 3, n_lanes: int = 1, total: int | None = None, tile: int | None = None) -> DataFrame:
     """doc_id, fp (signed long), fingerprint (16 hex digits), component_id per row of `docs` (doc_id, text).
 
     component_id: the smallest doc_id reachable over links, the row's own included.

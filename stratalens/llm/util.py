@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType, _parse_datatype_string
 
+from stratalens.storage import cut, shared_dir
+
+__all__ = ["bounded_batches", "cut", "filter_texts", "hash_sample", "map_rows", "shared_dir", "table"]
+
 BATCH_ROWS = 1000
 
 
@@ -18,25 +21,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a local one where unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="stratalens-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found
-
-
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write `df` as Parquet in the shared folder and read it back.
+def hash_sample(df: DataFrame, columns: list[str], n: int) -> DataFrame:
+    """At most `n` distinct rows of the columns, those with the least hashes.
 
-    Cuts lineage: a later loss of executors rereads files instead of running the
-    steps before again, and a Python stage in `df` runs once.
+    Hashes alone are sorted first, so tasks send numbers, not texts or vectors, until the
+    rows are known.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/stratalens/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    marked = df.select(*columns, F.xxhash64(*columns).alias("__h"))
+    least = marked.select("__h").distinct().orderBy("__h").limit(n)
+    return marked.join(F.broadcast(least), "__h", "left_semi").dropDuplicates(["__h"]).orderBy("__h").select(*columns)
 
 
 def bounded_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
