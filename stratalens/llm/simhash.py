@@ -28,15 +28,13 @@ from itertools import accumulate
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from .components import components
 from .util import cut, map_rows
 
 TILE, LEAST_TILE = 16_384, 2_048  # codes in a tile: a twelfth of all, between these
-NULL_KEY = -(1 << 63)
 SEED = 42
 _ODD = np.uint64(0x9E3779B97F4A7C15)  # golden-ratio increment of the public splitmix64 generator
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -82,17 +80,19 @@ def lanes(hashes: np.ndarray, n: int) -> list[int]:
     return out
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3, n_lanes: int = 1) -> DataFrame:
-    """doc_id, fp (signed long, first lane), code (binary: all lanes, little-endian)."""
+def fingerprints(docs: DataFrame, shingle: int = 3, n_lanes: int = 1, key: str | None = None) -> DataFrame:
+    """doc_id, fp (signed long, first lane), code (binary: all lanes, little-endian), and the column `key` as key if given."""
 
     def start():
         def step(batch: pa.RecordBatch) -> dict:
             codes = [np.array(lanes(shingle_hashes(t, shingle), n_lanes), dtype="<u8") for t in batch.column(1).to_pylist()]
-            return {"doc_id": batch.column(0), "fp": np.array([c[0] for c in codes], dtype=np.uint64).view(np.int64), "code": [c.tobytes() for c in codes]}
+            got = {"doc_id": batch.column(0), "fp": np.array([c[0] for c in codes], dtype=np.uint64).view(np.int64), "code": [c.tobytes() for c in codes]}
+            return got | ({"key": batch.column(2)} if key else {})
 
         return step
 
-    return map_rows(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "doc_id long, fp long, code binary", start)
+    carried = [F.col(key).alias("key")] if key else []
+    return map_rows(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *carried), "doc_id long, fp long, code binary" + (", key string" if key else ""), start)
 
 
 def _merge(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
@@ -238,16 +238,31 @@ def lanes_limit(similarity: float, n_lanes: int, margin: float = 1.0) -> int:
     return round(n * p + margin * math.sqrt(n * p * (1 - p)))
 
 
+def _text_key() -> Column:
+    """Text by content; null and empty texts, which no code tells apart, share one."""
+    return F.md5(F.coalesce("text", F.lit("")))
+
+
 def one_per_group(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, n_lanes: int = 8) -> DataFrame:
-    """Rows of `docs`, one of each near-duplicate group: the one with the smallest doc_id.
+    """Rows of `docs`, one of each near-duplicate group: the one with the smallest doc_id, of equal ids that of the least text hash.
 
     Links estimate five-word shingle similarity from 8 x 64 bits, with the first lane
     as a pre-filter four standard deviations wide.  Texts without words are all one
-    group.  Of rows with equal ids and of groups with null ids only, one row stays.
+    group.  A null doc_id comes after all others.  Ids need not be unique: a row is
+    known by its id and its text's hash, so different texts that share an id, or have
+    none, stay if their groups differ.
+
+    The row that stays is a least value by code, then by group: both combine before the
+    shuffle.  So does the drop of rows equal in id and text, before texts meet by key.
     """
     names = docs.columns
-    groups = simhash_components(docs, shingle, lanes_limit(similarity, 1, 4.0), n_lanes, lanes_limit(similarity, n_lanes))
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_KEY))  # one key for join and window, so texts are shuffled once
-    stay = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(key.alias("__k")).distinct()
-    first = W.partitionBy("__k").orderBy(F.xxhash64("text"), "text")
-    return docs.withColumn("__k", key).join(stay, "__k", "left_semi").withColumn("__first", F.row_number().over(first)).where("__first = 1").select(*[F.col(f"`{c}`") for c in names])
+    keyed = docs.withColumn("__id", F.col("doc_id").cast("long")).withColumn("__key", _text_key())
+    marked = cut(fingerprints(keyed.select("doc_id", "text", "__key"), shingle, n_lanes, "__key"), "simhash-docs")
+    codes = cut(marked.groupBy("code").agg(F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "key")).alias("least"), F.min("fp").alias("fp")).withColumn("cid", F.xxhash64("code")), "simhash-codes")
+    edges = linked(codes.select("cid", "fp", "code"), lanes_limit(similarity, 1, 4.0), lanes_limit(similarity, n_lanes), n_lanes)
+    roots = components(edges)
+    rooted = codes.join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
+    stay = cut(rooted.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.doc_id").alias("__id"), F.col("least.key").alias("__key")), "simhash-stay")
+    one = keyed.dropDuplicates(["__id", "__key"])
+    same = one["__key"].eqNullSafe(stay["__key"]) & one["__id"].eqNullSafe(stay["__id"])
+    return one.join(stay, same, "left_semi").select(*[F.col(f"`{c}`") for c in names])

@@ -209,6 +209,16 @@ def test_one_per_group_keeps_one_copy_and_all_clean(spark):
     assert sorted(r.doc_id for r in simhash.one_per_group(again).collect()) == list(range(30))
 
 
+def test_one_per_group_keeps_different_texts_without_or_with_equal_ids(spark):
+    rng = random.Random(10)
+    words = ["".join(rng.choices("abcdefghij", k=6)) for _ in range(3000)]
+    clean = [" ".join(rng.choices(words, k=120)) for _ in range(12)]
+    rows = [(None, t) for t in clean[:6]] * 2 + [(7, t) for t in clean[6:9]] * 2 + [(8, clean[9]), (None, clean[9]), (9, clean[10]), (3, clean[10])]
+    got = simhash.one_per_group(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = [(None, t) for t in clean[:6]] + [(7, t) for t in clean[6:9]] + [(8, clean[9]), (3, clean[10])]
+    assert sorted((str(r.doc_id), r.text) for r in got) == sorted((str(i), t) for i, t in want)
+
+
 def test_components_of_a_long_chain_and_a_star(spark):
     edges = [(i, i + 1) for i in range(1, 60)] + [(1000, 1000 + i) for i in range(1, 80)] + [(5, 5)]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
