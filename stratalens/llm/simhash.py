@@ -80,12 +80,16 @@ def lanes(hashes: np.ndarray, n: int) -> list[int]:
     return out
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3, n_lanes: int = 1, key: str | None = None) -> DataFrame:
-    """doc_id, fp (signed long, first lane), code (binary: all lanes, little-endian), and the column `key` as key if given."""
+def fingerprints(docs: DataFrame, shingle: int = 3, n_lanes: int = 1, key: str | None = None, repeats: bool = True) -> DataFrame:
+    """doc_id, fp (signed long, first lane), code (binary: all lanes, little-endian), and the column `key` as key if given.
+
+    Without `repeats` a shingle counts once a text.
+    """
 
     def start():
         def step(batch: pa.RecordBatch) -> dict:
-            codes = [np.array(lanes(shingle_hashes(t, shingle), n_lanes), dtype="<u8") for t in batch.column(1).to_pylist()]
+            hashes = (shingle_hashes(t, shingle) for t in batch.column(1).to_pylist())
+            codes = [np.array(lanes(h if repeats else np.unique(h), n_lanes), dtype="<u8") for h in hashes]
             got = {"doc_id": batch.column(0), "fp": np.array([c[0] for c in codes], dtype=np.uint64).view(np.int64), "code": [c.tobytes() for c in codes]}
             return got | ({"key": batch.column(2)} if key else {})
 
@@ -95,15 +99,21 @@ def fingerprints(docs: DataFrame, shingle: int = 3, n_lanes: int = 1, key: str |
     return map_rows(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *carried), "doc_id long, fp long, code binary" + (", key string" if key else ""), start)
 
 
-def _merge(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
-    """Union the pairs (a, b) in `parent`, which stays fully compressed."""
-    while len(a):
+def _merge(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Union the pairs (a, b) in `parent`, which stays fully compressed; gives the pairs that joined two trees."""
+    used_a, used_b = [a[:0]], [b[:0]]
+    while True:
         ra, rb = parent[a], parent[b]
         apart = ra != rb
         a, b, ra, rb = a[apart], b[apart], ra[apart], rb[apart]
         if not len(a):
-            return
-        np.minimum.at(parent, np.maximum(ra, rb), np.minimum(ra, rb))
+            return np.concatenate(used_a), np.concatenate(used_b)
+        high, low = np.maximum(ra, rb), np.minimum(ra, rb)
+        np.minimum.at(parent, high, low)
+        hooked = np.nonzero(parent[high] == low)[0]
+        hooked = hooked[np.unique(high[hooked], return_index=True)[1]]
+        used_a.append(a[hooked])
+        used_b.append(b[hooked])
         while True:
             up = parent[parent]
             if np.array_equal(up, parent):
@@ -111,16 +121,18 @@ def _merge(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
             parent[:] = up
 
 
-def tile_forest(a: np.ndarray, b: np.ndarray | None, first: int, total: int) -> tuple[np.ndarray, np.ndarray]:
-    """Spanning forest of the links in one tile (b None) or between two.
+def tile_forest(a: np.ndarray, b: np.ndarray | None, first: int, total: int, groups: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Spanning forest, made of links, of the links in one tile (b None) or between two.
 
     a, b: (rows, lanes) unsigned.  A link has at most `first` differing bits in lane 0
-    and at most `total` in all lanes.  Gives positions in a followed by b.
+    and at most `total` in all lanes.  Gives positions in a followed by b.  With
+    `groups`, one number a position, it gives all links between different groups instead.
     """
     own = b is None
     b = a if own else b
     base = 0 if own else len(a)
     parent = np.arange(len(a) + (0 if own else len(b)))
+    out_a, out_b = [parent[:0]], [parent[:0]]
     count_b = np.bitwise_count(b[:, 0]).astype(np.int64)
     order = np.argsort(count_b, kind="stable")
     sorted_b, sorted_counts = np.ascontiguousarray(b[order, 0]), count_b[order]
@@ -142,13 +154,19 @@ def tile_forest(a: np.ndarray, b: np.ndarray | None, first: int, total: int) ->
             for lane in range(a.shape[1]):
                 near += np.bitwise_count(a[i, lane] ^ b[j, lane])
             i, j = i[near <= total], j[near <= total]
-        _merge(parent, i, j + base)
-    child = np.nonzero(parent != np.arange(len(parent)))[0]
-    return child, parent[child]
+        j = j + base
+        if groups is None:
+            i, j = _merge(parent, i, j)
+        else:
+            apart = groups[i] != groups[j]
+            i, j = i[apart], j[apart]
+        out_a.append(i)
+        out_b.append(j)
+    return np.concatenate(out_a), np.concatenate(out_b)
 
 
 def _tiles(codes: DataFrame, tile: int) -> DataFrame:
-    """tile_id, ids, blob, and least and greatest count of each quarter, per tile of `codes` (cid, fp, code, q0..q3).
+    """tile_id, ids, roots, blob, and least and greatest count of each quarter, per tile of `codes` (cid, root, fp, code, q0..q3).
 
     Codes are sorted by range; a row's place overall is its place in its partition plus the
     rows of the partitions before, of which only the counts reach the driver.  So tiles are
@@ -165,29 +183,33 @@ def _tiles(codes: DataFrame, tile: int) -> DataFrame:
     numbered = split.join(F.broadcast(offsets), "part").withColumn("tile_id", F.floor((F.col("before") + F.col("at")) / tile).cast("long"))
 
     def pack(p: pd.DataFrame) -> pd.DataFrame:
-        row = {"tile_id": int(p["tile_id"].iloc[0]), "ids": p["cid"].to_numpy(np.int64).tobytes(), "blob": b"".join(p["code"])}
+        row = {"tile_id": int(p["tile_id"].iloc[0]), "ids": p["cid"].to_numpy(np.int64).tobytes(), "roots": p["root"].to_numpy(np.int64).tobytes(), "blob": b"".join(p["code"])}
         for k in range(4):
             row |= {f"lo{k}": int(p[f"q{k}"].min()), f"hi{k}": int(p[f"q{k}"].max())}
         return pd.DataFrame([row])
 
-    schema = "tile_id long, ids binary, blob binary, " + ", ".join(f"lo{k} int, hi{k} int" for k in range(4))
-    return numbered.select("tile_id", "cid", "code", *keys).groupBy("tile_id").applyInPandas(pack, schema)
+    schema = "tile_id long, ids binary, roots binary, blob binary, " + ", ".join(f"lo{k} int, hi{k} int" for k in range(4))
+    return numbered.select("tile_id", "cid", "root", "code", *keys).groupBy("tile_id").applyInPandas(pack, schema)
 
 
 def linked(codes: DataFrame, radius: int = 3, total: int | None = None, n_lanes: int = 1, tile: int | None = None) -> DataFrame:
-    """Edges (a, b) of a spanning forest per tile pair over `codes` (cid long, fp long, code binary), one row per distinct code."""
+    """Edges (a, b) of a spanning forest per tile pair over `codes` (cid long, fp long, code binary), one row per distinct code.
+
+    If `codes` has a column root, all links between codes of different roots instead, each once.
+    """
+    apart = "root" in codes.columns
     spark = codes.sparkSession
     quarters = [F.bit_count(F.shiftrightunsigned("fp", 48 - 16 * k).bitwiseAND(F.lit(0xFFFF).cast("long"))).cast("int").alias(f"q{k}") for k in range(4)]
     tile = tile or min(TILE, max(LEAST_TILE, codes.count() // 12))
-    tiles = cut(_tiles(codes.select("cid", "fp", "code", *quarters), tile), "simhash-tiles")
-    meta = tiles.drop("blob", "ids").withColumn("lo", F.expr("lo0 + lo1 + lo2 + lo3")).withColumn("hi", F.expr("hi0 + hi1 + hi2 + hi3"))
+    tiles = cut(_tiles(codes.select("cid", F.col("root" if apart else "cid").alias("root"), "fp", "code", *quarters), tile), "simhash-tiles")
+    meta = tiles.drop("blob", "ids", "roots").withColumn("lo", F.expr("lo0 + lo1 + lo2 + lo3")).withColumn("hi", F.expr("hi0 + hi1 + hi2 + hi3"))
     left = meta.select(*[F.col(c).alias(f"l_{c}") for c in meta.columns]).withColumn("p", F.explode(F.expr("sequence(l_lo, l_hi)")))
     right = meta.select(*[F.col(c).alias(f"r_{c}") for c in meta.columns]).withColumn("p", F.explode(F.expr(f"sequence(r_lo - {radius}, r_hi + {radius})")))
     gaps = " + ".join(f"greatest(0, l_lo{k} - r_hi{k}, r_lo{k} - l_hi{k})" for k in range(4))
     # a pair meets at several counts; it is kept at the least of them only
     pairs = left.join(right, "p").where(f"l_tile_id <= r_tile_id and p = greatest(l_lo, r_lo - {radius}) and {gaps} <= {radius}").select("l_tile_id", "r_tile_id")
-    l_blob = tiles.select(F.col("tile_id").alias("l_tile_id"), F.col("ids").alias("l_ids"), F.col("blob").alias("l_blob"))
-    r_blob = tiles.select(F.col("tile_id").alias("r_tile_id"), F.col("ids").alias("r_ids"), F.col("blob").alias("r_blob"))
+    l_blob = tiles.select(F.col("tile_id").alias("l_tile_id"), F.col("ids").alias("l_ids"), F.col("roots").alias("l_roots"), F.col("blob").alias("l_blob"))
+    r_blob = tiles.select(F.col("tile_id").alias("r_tile_id"), F.col("ids").alias("r_ids"), F.col("roots").alias("r_roots"), F.col("blob").alias("r_blob"))
     work = pairs.join(l_blob, "l_tile_id").join(r_blob, "r_tile_id")
     limit = radius if total is None else total
 
@@ -195,12 +217,11 @@ def linked(codes: DataFrame, radius: int = 3, total: int | None = None, n_lanes:
         out = []
         for r in pdf.itertuples(index=False):
             own = r.l_tile_id == r.r_tile_id
-            ids = np.frombuffer(r.l_ids, np.int64)
             a = np.frombuffer(r.l_blob, "<u8").reshape(-1, n_lanes)
             b = None if own else np.frombuffer(r.r_blob, "<u8").reshape(-1, n_lanes)
-            child, root = tile_forest(a, b, radius, limit)
-            ids = ids if own else np.concatenate([ids, np.frombuffer(r.r_ids, np.int64)])
-            out.append(pd.DataFrame({"a": ids[child], "b": ids[root]}))
+            ids, roots = (np.frombuffer(x if own else x + y, np.int64) for x, y in ((r.l_ids, r.r_ids), (r.l_roots, r.r_roots)))
+            i, j = tile_forest(a, b, radius, limit, roots if apart else None)
+            out.append(pd.DataFrame({"a": ids[i], "b": ids[j]}))
         return pd.concat(out)
 
     # one tile pair per group, so a worker holds two tiles at a time; a given number of
@@ -238,6 +259,45 @@ def lanes_limit(similarity: float, n_lanes: int, margin: float = 1.0) -> int:
     return round(n * p + margin * math.sqrt(n * p * (1 - p)))
 
 
+def _rooted(codes: DataFrame, edges: DataFrame) -> DataFrame:
+    """`codes` with the root of each over `edges`, its own cid where it has none."""
+    roots = components(edges)
+    return codes.join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
+
+
+def _verified(pairs: DataFrame, codes: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The `pairs` (a, b) whose shingle sets have a Jaccard similarity of at least `similarity`, counted exactly."""
+
+    def start():
+        def step(batch: pa.RecordBatch) -> dict:
+            return {"cid": batch.column(0), "shingles": [np.unique(shingle_hashes(t, shingle)).view(np.int64) for t in batch.column(1).to_pylist()]}
+
+        return step
+
+    pairs = cut(pairs, "simhash-pairs")
+    met = pairs.select(F.col("a").alias("cid")).union(pairs.select(F.col("b").alias("cid"))).distinct()
+    wanted = cut(codes.join(met, "cid", "left_semi").select("cid", F.col("least.key").alias("__key")), "simhash-wanted")
+    sets = cut(map_rows(texts.join(wanted, "__key").select("cid", "text"), "cid long, shingles array<long>", start).dropDuplicates(["cid"]), "simhash-sets")
+    both = pairs.join(sets.select(F.col("cid").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("cid").alias("b"), F.col("shingles").alias("y")), "b")
+    counted = both.select("a", "b", F.size(F.array_intersect("x", "y")).alias("n"), (F.size("x") + F.size("y")).alias("m"))
+    return cut(counted.where(F.col("n") + 1e-9 >= similarity * (F.col("m") - F.col("n"))).select("a", "b"), "simhash-verified")
+
+
+def similar(texts: DataFrame, codes: DataFrame, shingle: int, similarity: float, n_lanes: int) -> DataFrame:
+    """Edges (a, b) whose components are those of all pairs of `codes` (cid, fp, code, least) at `similarity` or more.
+
+    texts: __key, text; a code's shingles are those of its least text.  First, spanning
+    forests of close codes are verified and joined, so that large groups do not give all
+    their pairs.  Then every pair of different groups within four standard deviations of
+    the threshold, in the first lane and in all, is verified.
+    """
+    first, plain = lanes_limit(similarity, 1, 4.0), codes.select("cid", "fp", "code")
+    close = _verified(linked(plain, first, lanes_limit(similarity, n_lanes, -1.0), n_lanes), codes, texts, shingle, similarity)
+    rooted = cut(_rooted(plain, close), "simhash-rooted")
+    rest = _verified(linked(rooted, first, lanes_limit(similarity, n_lanes, 4.0), n_lanes), codes, texts, shingle, similarity)
+    return close.unionAll(rest)
+
+
 def _text_key() -> Column:
     """Text by content; null and empty texts, which no code tells apart, share one."""
     return F.md5(F.coalesce("text", F.lit("")))
@@ -246,9 +306,8 @@ def _text_key() -> Column:
 def one_per_group(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, n_lanes: int = 8) -> DataFrame:
     """Rows of `docs`, one of each near-duplicate group: the one with the smallest doc_id, of equal ids that of the least text hash.
 
-    Links estimate five-word shingle similarity from 8 x 64 bits, with the first lane
-    as a pre-filter four standard deviations wide.  Texts without words are all one
-    group.  A null doc_id comes after all others.  Ids need not be unique: a row is
+    A link is a Jaccard similarity of shingle sets of at least `similarity`, found by
+    `similar`.  Texts without words are all one group.  A null doc_id comes after all others.  Ids need not be unique: a row is
     known by its id and its text's hash, so different texts that share an id, or have
     none, stay if their groups differ.
 
@@ -257,11 +316,9 @@ def one_per_group(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, n_
     """
     names = docs.columns
     keyed = docs.withColumn("__id", F.col("doc_id").cast("long")).withColumn("__key", _text_key())
-    marked = cut(fingerprints(keyed.select("doc_id", "text", "__key"), shingle, n_lanes, "__key"), "simhash-docs")
+    marked = cut(fingerprints(keyed.select("doc_id", "text", "__key"), shingle, n_lanes, "__key", repeats=False), "simhash-docs")
     codes = cut(marked.groupBy("code").agg(F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "key")).alias("least"), F.min("fp").alias("fp")).withColumn("cid", F.xxhash64("code")), "simhash-codes")
-    edges = linked(codes.select("cid", "fp", "code"), lanes_limit(similarity, 1, 4.0), lanes_limit(similarity, n_lanes), n_lanes)
-    roots = components(edges)
-    rooted = codes.join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
+    rooted = _rooted(codes, similar(keyed.select("__key", "text"), codes, shingle, similarity, n_lanes))
     stay = cut(rooted.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.doc_id").alias("__id"), F.col("least.key").alias("__key")), "simhash-stay")
     one = keyed.dropDuplicates(["__id", "__key"])
     same = one["__key"].eqNullSafe(stay["__key"]) & one["__id"].eqNullSafe(stay["__id"])

@@ -30,3 +30,21 @@ def test_empty_input(spark, sf):
     for _, stage in corpus_pipeline.STAGES:
         none = cut(stage(spark, none, sf), "test-empty")
         assert none.count() == 0
+
+
+def test_near_dedup_stage_against_exact_jaccard(spark, sf):
+    docs = table(spark, sf, "documents")
+    sets = {r.doc_id: set(simhash.shingle_hashes(r.text, 5).tolist()) for r in docs.collect()}
+    root = {i: i for i in sets}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in sets:
+        for j in sets:
+            if j < i and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, sf).collect()) == sorted({find(i) for i in sets})

@@ -219,6 +219,23 @@ def test_one_per_group_keeps_different_texts_without_or_with_equal_ids(spark):
     assert sorted((str(r.doc_id), r.text) for r in got) == sorted((str(i), t) for i, t in want)
 
 
+def test_one_per_group_against_exact_jaccard(spark):
+    rng = random.Random(11)
+    words = ["".join(rng.choices("abcdefghij", k=6)) for _ in range(5000)]
+    texts = []
+    for k in range(60):
+        base = rng.choices(words, k=64)  # 60 shingles; k % 20 words at the end differ: Jaccard (60 - c) / (60 + c)
+        texts += [" ".join(base), " ".join(base[: 64 - k % 20] + rng.choices(words, k=k % 20))]
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(60)} for t in texts]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                root[i] = min(root[i], root[j])
+    got = simhash.one_per_group(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert sorted(r.doc_id for r in got) == sorted(set(root))
+
+
 def test_components_of_a_long_chain_and_a_star(spark):
     edges = [(i, i + 1) for i in range(1, 60)] + [(1000, 1000 + i) for i in range(1, 80)] + [(5, 5)]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
