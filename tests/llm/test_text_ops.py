@@ -68,6 +68,16 @@ def test_compression_bands_reject_noise_and_repeats_and_keep_prose():
     assert quality.compression(mixed.encode(), compress)[4] != ""
 
 
+@pytest.mark.parametrize("alphabet, least", [("".join(map(chr, range(33, 127))), 256), ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", 256), ("abcdefghijklmnopqrstuvwxyz", 4096), ("0123456789abcdef", 8192)])
+def test_random_words_are_incompressible_in_every_band(alphabet, least):
+    rng = random.Random(5)
+    compress = zstandard.ZstdCompressor(level=3).compress
+    edges = [most for most, _, _ in quality.BANDS[:-1] if most > least] + [60_000]
+    for size in sorted({least} | {e - 1 for e in edges} | {(a + b) // 2 for a, b in zip(edges, edges[1:])}):
+        text = " ".join("".join(rng.choices(alphabet, k=rng.randint(4, 9))) for _ in range(size // 5 + 1))[:size]
+        assert quality.compression(text.encode(), compress)[4] == "incompressible", size
+
+
 def brute_targets(sizes, weights=(5, 2, 1), budget=1.5, most=2.0):
     names = sorted([s for s in sizes if s is not None], key=lambda s: s.encode()) + [s for s in sizes if s is None]
     w = {s: weights[i % len(weights)] for i, s in enumerate(names)}
