@@ -17,7 +17,8 @@ Defined results: words are `[^\x20\x09-\x0D]+` after A-Z are lower-cased; a text
 fewer words than a shingle is one shingle; a text without words (null, empty) has
 fingerprint zero and is linked like any other; repeated rows and ties share a
 component; rows with a null doc_id take part but never name a component unless all of
-its ids are null.
+its ids are null; very long texts are hashed whole; an empty table gives no rows; other
+columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -32,8 +33,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .util import cut, map_rows
+from .util import cut, hot_keys, map_rows, spread_join
 
+DEALS = 64  # left tiles of one population count are dealt over as many keys
 TILE, LEAST_TILE = 16_384, 2_048  # codes in a tile: a twelfth of all, between these
 SEED = 42
 _ODD = np.uint64(0x9E3779B97F4A7C15)  # golden-ratio increment of the public splitmix64 generator
@@ -165,52 +167,52 @@ def tile_forest(a: np.ndarray, b: np.ndarray | None, first: int, total: int, gro
     return np.concatenate(out_a), np.concatenate(out_b)
 
 
-def _tiles(codes: DataFrame, tile: int) -> DataFrame:
-    """tile_id, ids, roots, blob, and least and greatest count of each quarter, per tile of `codes` (cid, root, fp, code, q0..q3).
+def numbered(codes: DataFrame, tile: int | None = None) -> tuple[DataFrame, int]:
+    """`codes` (fp, code, any others), one row per distinct code, with place (0, 1, ...) and q0..q3, and the tile size.
 
-    Codes are sorted by range; a row's place overall is its place in its partition plus the
-    rows of the partitions before, of which only the counts reach the driver.  So tiles are
-    full whatever the number of partitions.
+    Codes are sorted by range of their quarters' population counts; a row's place is its
+    place in its partition plus the rows of the partitions before, of which only the counts
+    reach the driver.  So tiles are full whatever the number of partitions.
     """
+    quarters = [F.bit_count(F.shiftrightunsigned("fp", 48 - 16 * k).bitwiseAND(F.lit(0xFFFF).cast("long"))).cast("int").alias(f"q{k}") for k in range(4)]
     keys = [f"q{k}" for k in range(4)]
-    ordered = cut(codes.repartitionByRange(*keys, "fp").sortWithinPartitions(*keys, "fp").withColumn("m", F.monotonically_increasing_id()), "simhash-order")
+    ordered = cut(codes.select("*", *quarters).repartitionByRange(*keys, "fp").sortWithinPartitions(*keys, "fp").withColumn("m", F.monotonically_increasing_id()), "simhash-order")
     split = ordered.withColumn("part", F.shiftright("m", 33)).withColumn("at", F.col("m").bitwiseAND(F.lit((1 << 33) - 1)))
-    before, rows = 0, []
+    total, rows = 0, []
     for r in sorted(split.groupBy("part").agg(F.count("*").alias("n")).collect()):
-        rows.append((r["part"], before))
-        before += r["n"]
-    offsets = codes.sparkSession.createDataFrame(rows, "part long, before long")  # one row a partition
-    numbered = split.join(F.broadcast(offsets), "part").withColumn("tile_id", F.floor((F.col("before") + F.col("at")) / tile).cast("long"))
+        rows.append((r["part"], total))
+        total += r["n"]
+    before = codes.sparkSession.createDataFrame(rows, "part long, before long")  # one row a partition
+    return split.join(F.broadcast(before), "part").withColumn("place", F.col("before") + F.col("at")).drop("m", "part", "at", "before"), tile or min(TILE, max(LEAST_TILE, total // 12))
+
+
+def place_links(places: DataFrame, tile: int, radius: int, total: int | None, n_lanes: int) -> DataFrame:
+    """Edges (a, b) between places of a spanning forest per tile pair of `places` (place, code, q0..q3).
+
+    If `places` has a column root, all links between different roots instead, each once.
+    """
+    apart = "root" in places.columns
+    spark = places.sparkSession
+    keys = [f"q{k}" for k in range(4)]
 
     def pack(p: pd.DataFrame) -> pd.DataFrame:
-        row = {"tile_id": int(p["tile_id"].iloc[0]), "ids": p["cid"].to_numpy(np.int64).tobytes(), "roots": p["root"].to_numpy(np.int64).tobytes(), "blob": b"".join(p["code"])}
+        p = p.sort_values("place")
+        row = {"tile_id": int(p["tile_id"].iloc[0]), "blob": b"".join(p["code"]), "roots": p["root"].to_numpy(np.int64).tobytes() if apart else b""}
         for k in range(4):
             row |= {f"lo{k}": int(p[f"q{k}"].min()), f"hi{k}": int(p[f"q{k}"].max())}
         return pd.DataFrame([row])
 
-    schema = "tile_id long, ids binary, roots binary, blob binary, " + ", ".join(f"lo{k} int, hi{k} int" for k in range(4))
-    return numbered.select("tile_id", "cid", "root", "code", *keys).groupBy("tile_id").applyInPandas(pack, schema)
-
-
-def linked(codes: DataFrame, radius: int = 3, total: int | None = None, n_lanes: int = 1, tile: int | None = None) -> DataFrame:
-    """Edges (a, b) of a spanning forest per tile pair over `codes` (cid long, fp long, code binary), one row per distinct code.
-
-    If `codes` has a column root, all links between codes of different roots instead, each once.
-    """
-    apart = "root" in codes.columns
-    spark = codes.sparkSession
-    quarters = [F.bit_count(F.shiftrightunsigned("fp", 48 - 16 * k).bitwiseAND(F.lit(0xFFFF).cast("long"))).cast("int").alias(f"q{k}") for k in range(4)]
-    tile = tile or min(TILE, max(LEAST_TILE, codes.count() // 12))
-    tiles = cut(_tiles(codes.select("cid", F.col("root" if apart else "cid").alias("root"), "fp", "code", *quarters), tile), "simhash-tiles")
-    meta = tiles.drop("blob", "ids", "roots").withColumn("lo", F.expr("lo0 + lo1 + lo2 + lo3")).withColumn("hi", F.expr("hi0 + hi1 + hi2 + hi3"))
-    left = meta.select(*[F.col(c).alias(f"l_{c}") for c in meta.columns]).withColumn("p", F.explode(F.expr("sequence(l_lo, l_hi)")))
-    right = meta.select(*[F.col(c).alias(f"r_{c}") for c in meta.columns]).withColumn("p", F.explode(F.expr(f"sequence(r_lo - {radius}, r_hi + {radius})")))
+    schema = "tile_id long, blob binary, roots binary, " + ", ".join(f"lo{k} int, hi{k} int" for k in range(4))
+    dealt = places.withColumn("tile_id", F.floor(F.col("place") / tile).cast("long")).select("tile_id", "place", "code", *(["root"] if apart else []), *keys)
+    tiles = cut(dealt.groupBy("tile_id").applyInPandas(pack, schema), "simhash-tiles")
+    meta = tiles.drop("blob", "roots").withColumn("lo", F.expr("lo0 + lo1 + lo2 + lo3")).withColumn("hi", F.expr("hi0 + hi1 + hi2 + hi3"))
+    left = meta.select(*[F.col(c).alias(f"l_{c}") for c in meta.columns]).withColumn("p", F.explode(F.expr("sequence(l_lo, l_hi)"))).withColumn("deal", F.pmod("l_tile_id", F.lit(DEALS)))
+    right = meta.select(*[F.col(c).alias(f"r_{c}") for c in meta.columns]).withColumn("p", F.explode(F.expr(f"sequence(r_lo - {radius}, r_hi + {radius})"))).withColumn("deal", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(DEALS - 1).cast("long"))))
     gaps = " + ".join(f"greatest(0, l_lo{k} - r_hi{k}, r_lo{k} - l_hi{k})" for k in range(4))
-    # a pair meets at several counts; it is kept at the least of them only
-    pairs = left.join(right, "p").where(f"l_tile_id <= r_tile_id and p = greatest(l_lo, r_lo - {radius}) and {gaps} <= {radius}").select("l_tile_id", "r_tile_id")
-    l_blob = tiles.select(F.col("tile_id").alias("l_tile_id"), F.col("ids").alias("l_ids"), F.col("roots").alias("l_roots"), F.col("blob").alias("l_blob"))
-    r_blob = tiles.select(F.col("tile_id").alias("r_tile_id"), F.col("ids").alias("r_ids"), F.col("roots").alias("r_roots"), F.col("blob").alias("r_blob"))
-    work = pairs.join(l_blob, "l_tile_id").join(r_blob, "r_tile_id")
+    # a pair meets at several counts; it is kept at the least of them only.  Counts are few, so left tiles are dealt
+    pairs = left.join(right, ["p", "deal"]).where(f"l_tile_id <= r_tile_id and p = greatest(l_lo, r_lo - {radius}) and {gaps} <= {radius}").select("l_tile_id", "r_tile_id")
+    work = pairs.join(tiles.select(F.col("tile_id").alias("l_tile_id"), F.col("blob").alias("l_blob"), F.col("roots").alias("l_roots")), "l_tile_id")
+    work = work.join(tiles.select(F.col("tile_id").alias("r_tile_id"), F.col("blob").alias("r_blob"), F.col("roots").alias("r_roots")), "r_tile_id")
     limit = radius if total is None else total
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -219,9 +221,10 @@ def linked(codes: DataFrame, radius: int = 3, total: int | None = None, n_lanes:
             own = r.l_tile_id == r.r_tile_id
             a = np.frombuffer(r.l_blob, "<u8").reshape(-1, n_lanes)
             b = None if own else np.frombuffer(r.r_blob, "<u8").reshape(-1, n_lanes)
-            ids, roots = (np.frombuffer(x if own else x + y, np.int64) for x, y in ((r.l_ids, r.r_ids), (r.l_roots, r.r_roots)))
-            i, j = tile_forest(a, b, radius, limit, roots if apart else None)
-            out.append(pd.DataFrame({"a": ids[i], "b": ids[j]}))
+            roots = np.frombuffer(r.l_roots if own else r.l_roots + r.r_roots, np.int64) if apart else None
+            i, j = tile_forest(a, b, radius, limit, roots)
+            at = [x + np.where(x < len(a), r.l_tile_id * tile, r.r_tile_id * tile - len(a)) for x in (i, j)]
+            out.append(pd.DataFrame({"a": at[0], "b": at[1]}))
         return pd.concat(out)
 
     # one tile pair per group, so a worker holds two tiles at a time; a given number of
@@ -230,6 +233,22 @@ def linked(codes: DataFrame, radius: int = 3, total: int | None = None, n_lanes:
     return work.repartition(slots, "l_tile_id", "r_tile_id").groupBy("l_tile_id", "r_tile_id").applyInPandas(compare, "a long, b long")
 
 
+def linked(codes: DataFrame, radius: int = 3, total: int | None = None, n_lanes: int = 1, tile: int | None = None) -> DataFrame:
+    """Edges (a, b), by cid, of a spanning forest per tile pair over `codes` (cid long, fp long, code binary), one row per distinct code."""
+    places, tile = numbered(codes.select("cid", "fp", "code"), tile)
+    edges = cut(place_links(places, tile, radius, total, n_lanes), "simhash-edges")
+    n = edges.count()
+    for side in ("a", "b"):
+        hot = hot_keys(edges.groupBy(side).agg(F.count("*").alias("n")), side, n)
+        edges = spread_join(edges, places.select(F.col("place").alias(side), F.col("cid").alias("cid_" + side)), side, hot)
+    return edges.select(F.col("cid_a").alias("a"), F.col("cid_b").alias("b"))
+
+
+def _rooted(places: DataFrame, edges: DataFrame) -> DataFrame:
+    """`places` with the root of each over `edges`, its own place where it has none."""
+    return places.join(components(edges).withColumnRenamed("node", "place"), "place", "left").withColumn("root", F.coalesce("root", "place"))
+
+
 def simhash_components(docs: DataFrame, shingle: int = 3, radius: int = 3, n_lanes: int = 1, total: int | None = None, tile: int | None = None) -> DataFrame:
     """doc_id, fp (signed long), fingerprint (16 hex digits), component_id per row of `docs` (doc_id, text).
 
@@ -238,13 +257,12 @@ def simhash_components(docs: DataFrame, shingle: int = 3, radius: int = 3, n_lan
     in all; the further lanes sharpen the estimate of similarity.
     """
     marked = cut(fingerprints(docs, shingle, n_lanes), "simhash-docs")
-    codes = cut(marked.groupBy("code").agg(F.min("doc_id").alias("least"), F.min("fp").alias("fp")).withColumn("cid", F.xxhash64("code") if n_lanes > 1 else F.col("fp")), "simhash-codes")
-    edges = linked(codes.select("cid", "fp", "code"), radius, total, n_lanes, tile)
-    roots = components(edges)
-    rooted = codes.select("cid", "code", "least").join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(least, "root").select("code", "component_id")
-    return marked.join(named, "code").select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    places, tile = numbered(marked.groupBy("code").agg(F.min("doc_id").alias("least"), F.min("fp").alias("fp"), F.count("*").alias("n")), tile)
+    rooted = cut(_rooted(places, place_links(places, tile, radius, total, n_lanes)).select("code", "least", "n", "root"), "simhash-rooted")
+    groups = cut(rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n")), "simhash-groups")
+    named = spread_join(rooted.drop("n"), groups.drop("n"), "root", hot_keys(groups, "root", rooted.count())).select("code", "component_id")
+    found = spread_join(marked, named, "code", hot_keys(rooted, "code", marked.count()))
+    return found.select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def lanes_limit(similarity: float, n_lanes: int, margin: float = 1.0) -> int:
@@ -259,67 +277,67 @@ def lanes_limit(similarity: float, n_lanes: int, margin: float = 1.0) -> int:
     return round(n * p + margin * math.sqrt(n * p * (1 - p)))
 
 
-def _rooted(codes: DataFrame, edges: DataFrame) -> DataFrame:
-    """`codes` with the root of each over `edges`, its own cid where it has none."""
-    roots = components(edges)
-    return codes.join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
-
-
-def _verified(pairs: DataFrame, codes: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+def _verified(pairs: DataFrame, places: DataFrame, texts: DataFrame, hot_rows: list[tuple], shingle: int, similarity: float) -> DataFrame:
     """The `pairs` (a, b) whose shingle sets have a Jaccard similarity of at least `similarity`, counted exactly."""
 
     def start():
         def step(batch: pa.RecordBatch) -> dict:
-            return {"cid": batch.column(0), "shingles": [np.unique(shingle_hashes(t, shingle)).view(np.int64) for t in batch.column(1).to_pylist()]}
+            return {"place": batch.column(0), "shingles": [np.unique(shingle_hashes(t, shingle)).view(np.int64) for t in batch.column(1).to_pylist()]}
 
         return step
 
     pairs = cut(pairs, "simhash-pairs")
-    met = pairs.select(F.col("a").alias("cid")).union(pairs.select(F.col("b").alias("cid"))).distinct()
-    wanted = cut(codes.join(met, "cid", "left_semi").select("cid", F.col("least.key").alias("__key")), "simhash-wanted")
-    sets = cut(map_rows(texts.join(wanted, "__key").select("cid", "text"), "cid long, shingles array<long>", start).dropDuplicates(["cid"]), "simhash-sets")
-    both = pairs.join(sets.select(F.col("cid").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("cid").alias("b"), F.col("shingles").alias("y")), "b")
+    total = pairs.count()
+    met = pairs.select(F.col("a").alias("place")).unionAll(pairs.select(F.col("b").alias("place"))).groupBy("place").agg(F.count("*").alias("n"))
+    wanted = cut(places.join(met, "place").select("place", "n", F.col("least.row").alias("__row")), "simhash-wanted")
+    sets = cut(map_rows(spread_join(texts, wanted, "__row", hot_rows).select("place", "text"), "place long, shingles array<long>", start).dropDuplicates(["place"]), "simhash-sets")
+    hot = hot_keys(wanted, "place", total)
+    both = spread_join(pairs, sets.select(F.col("place").alias("a"), F.col("shingles").alias("x")), "a", hot)
+    both = spread_join(both, sets.select(F.col("place").alias("b"), F.col("shingles").alias("y")), "b", hot)
     counted = both.select("a", "b", F.size(F.array_intersect("x", "y")).alias("n"), (F.size("x") + F.size("y")).alias("m"))
     return cut(counted.where(F.col("n") + 1e-9 >= similarity * (F.col("m") - F.col("n"))).select("a", "b"), "simhash-verified")
 
 
-def similar(texts: DataFrame, codes: DataFrame, shingle: int, similarity: float, n_lanes: int) -> DataFrame:
-    """Edges (a, b) whose components are those of all pairs of `codes` (cid, fp, code, least) at `similarity` or more.
+def similar(texts: DataFrame, hot_rows: list[tuple], places: DataFrame, tile: int, shingle: int, similarity: float, n_lanes: int) -> DataFrame:
+    """Edges (a, b) whose components are those of all pairs of `places` (place, code, least, q0..q3) at `similarity` or more.
 
-    texts: __key, text; a code's shingles are those of its least text.  First, spanning
+    texts: __row, text; a code's shingles are those of its least row; hot_rows: rows that repeat often.  First, spanning
     forests of close codes are verified and joined, so that large groups do not give all
     their pairs.  Then every pair of different groups within four standard deviations of
     the threshold, in the first lane and in all, is verified.
     """
-    first, plain = lanes_limit(similarity, 1, 4.0), codes.select("cid", "fp", "code")
-    close = _verified(linked(plain, first, lanes_limit(similarity, n_lanes, -1.0), n_lanes), codes, texts, shingle, similarity)
-    rooted = cut(_rooted(plain, close), "simhash-rooted")
-    rest = _verified(linked(rooted, first, lanes_limit(similarity, n_lanes, 4.0), n_lanes), codes, texts, shingle, similarity)
+    first = lanes_limit(similarity, 1, 4.0)
+    close = _verified(place_links(places, tile, first, lanes_limit(similarity, n_lanes, -1.0), n_lanes), places, texts, hot_rows, shingle, similarity)
+    rooted = cut(_rooted(places, close), "simhash-rooted")
+    rest = _verified(place_links(rooted, tile, first, lanes_limit(similarity, n_lanes, 4.0), n_lanes), places, texts, hot_rows, shingle, similarity)
     return close.unionAll(rest)
 
 
-def _text_key() -> Column:
-    """Text by content; null and empty texts, which no code tells apart, share one."""
-    return F.md5(F.coalesce("text", F.lit("")))
+def _row_key() -> Column:
+    """Row by content: id and text; null and empty texts, which no code tells apart, are one."""
+    return F.md5(F.concat_ws("\u0000", F.coalesce(F.col("__id").cast("string"), F.lit("null")), F.md5(F.coalesce("text", F.lit("")))))
 
 
 def one_per_group(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, n_lanes: int = 8) -> DataFrame:
-    """Rows of `docs`, one of each near-duplicate group: the one with the smallest doc_id, of equal ids that of the least text hash.
+    """Rows of `docs`, one of each near-duplicate group: the one with the smallest doc_id, of equal ids that of the least hash of id and text.
 
     A link is a Jaccard similarity of shingle sets of at least `similarity`, found by
     `similar`.  Texts without words are all one group.  A null doc_id comes after all others.  Ids need not be unique: a row is
     known by its id and its text's hash, so different texts that share an id, or have
-    none, stay if their groups differ.
+    none, stay if their groups differ.  Rows equal in id and text are one.  Very long texts
+    are hashed whole.  An empty table gives no rows; other columns are kept, whatever
+    their names, but for those that begin with two underscores.
 
     The row that stays is a least value by code, then by group: both combine before the
-    shuffle.  So does the drop of rows equal in id and text, before texts meet by key.
+    shuffle.  Texts meet the ids that stay by the hash of id and text, which copies do not
+    share; the repeats of a row that is hot are dealt over several tasks.
     """
     names = docs.columns
-    keyed = docs.withColumn("__id", F.col("doc_id").cast("long")).withColumn("__key", _text_key())
-    marked = cut(fingerprints(keyed.select("doc_id", "text", "__key"), shingle, n_lanes, "__key", repeats=False), "simhash-docs")
-    codes = cut(marked.groupBy("code").agg(F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "key")).alias("least"), F.min("fp").alias("fp")).withColumn("cid", F.xxhash64("code")), "simhash-codes")
-    rooted = _rooted(codes, similar(keyed.select("__key", "text"), codes, shingle, similarity, n_lanes))
-    stay = cut(rooted.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.doc_id").alias("__id"), F.col("least.key").alias("__key")), "simhash-stay")
-    one = keyed.dropDuplicates(["__id", "__key"])
-    same = one["__key"].eqNullSafe(stay["__key"]) & one["__id"].eqNullSafe(stay["__id"])
-    return one.join(stay, same, "left_semi").select(*[F.col(f"`{c}`") for c in names])
+    keyed = docs.withColumn("__id", F.col("doc_id").cast("long")).withColumn("__row", _row_key())
+    marked = cut(fingerprints(keyed.select("doc_id", "text", "__row"), shingle, n_lanes, "__row", repeats=False), "simhash-docs")
+    found = marked.groupBy("code").agg(F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", F.col("key").alias("row"))).alias("least"), F.min("fp").alias("fp"))
+    places, tile = numbered(found)
+    hot_rows = hot_keys(marked.groupBy(F.col("key").alias("__row")).agg(F.count("*").alias("n")), "__row", marked.count())
+    rooted = _rooted(places, similar(keyed.select("__row", "text"), hot_rows, places, tile, shingle, similarity, n_lanes))
+    stay = cut(rooted.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.row").alias("__row")), "simhash-stay")
+    return spread_join(keyed, stay, "__row", hot_rows, "left_semi").dropDuplicates(["__row"]).select(*[F.col(f"`{c}`") for c in names])

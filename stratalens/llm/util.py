@@ -12,9 +12,11 @@ from pyspark.sql.types import StructType, _parse_datatype_string
 
 from stratalens.storage import cut, shared_dir
 
-__all__ = ["bounded_batches", "cut", "filter_texts", "hash_sample", "map_rows", "shared_dir", "table"]
+__all__ = ["bounded_batches", "cut", "filter_texts", "hash_sample", "hot_keys", "map_rows", "shared_dir", "spread_join", "table"]
 
 BATCH_ROWS = 1000
+HOT = 1000  # a key is hot if it holds more than a HOT-th of all rows, and more than HOT_ROWS
+HOT_ROWS = 64
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +34,31 @@ def hash_sample(df: DataFrame, columns: list[str], n: int) -> DataFrame:
     return marked.join(F.broadcast(least), "__h", "left_semi").dropDuplicates(["__h"]).orderBy("__h").select(*columns)
 
 
+def hot_keys(sizes: DataFrame, key: str, total: int) -> list[tuple]:
+    """(key, pieces) of the keys of `sizes` (key, n) that hold more than a thousandth of `total` rows.
+
+    There are fewer than HOT such keys whatever the table's size, so the list is bounded.
+    """
+    most = max(HOT_ROWS, total // HOT)
+    return [(r[key], -(-r["n"] // most)) for r in sizes.where(F.col("n") > most).select(key, "n").collect()]
+
+
+def spread_join(many: DataFrame, one: DataFrame, key: str, hot: list[tuple], how: str = "inner") -> DataFrame:
+    """`many` joined with `one` (one row a key) on `key`; rows of the `hot` keys are dealt over as many tasks as they have pieces.
+
+    Only rows of `one` with a hot key are repeated, once a piece.  The table of hot keys
+    is broadcast; `hot_keys` bounds it.
+    """
+    if not hot:
+        return many.join(one, key, how)
+    kind = one.schema[key].dataType.simpleString()
+    few = F.broadcast(many.sparkSession.createDataFrame(hot, f"`{key}` {kind}, __pieces int"))
+    pieces = F.coalesce("__pieces", F.lit(1))
+    dealt = many.join(few, key, "left").withColumn("__piece", F.pmod(F.monotonically_increasing_id(), pieces).cast("int")).drop("__pieces")
+    copies = one.join(few, key, "left").withColumn("__piece", F.explode(F.sequence(F.lit(0), pieces - 1))).drop("__pieces")
+    return dealt.join(copies, [key, "__piece"], how).drop("__piece")
+
+
 def bounded_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     """Lower the session's rows per Arrow batch, so that long texts do not pile up in a worker."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
