@@ -96,6 +96,14 @@ def ddl_tables(texts: DataFrame) -> DataFrame:
     return found.select("path", F.regexp_extract("s", r"(?is)create\s+table\s+(?:if\s+not\s+exists\s+)?[\"`\[]?([\w.]+)", 1).alias("name"), columns.alias("columns"), F.array_distinct(F.regexp_extract_all("s", F.lit(r"(?is)references\s+[\"`\[]?([\w.]+)"), 1)).alias("references"))
 
 
+def ddl_views(texts: DataFrame) -> DataFrame:
+    """path, name, references (tables after FROM and JOIN) of CREATE VIEW statements; comments and string literals are blanked first."""
+    bare = F.regexp_replace(F.regexp_replace("text", r"(?s)--[^\n]*|/\*.*?\*/", " "), r"'(?:[^']|'')*'", "''")
+    found = texts.select("path", F.explode(F.regexp_extract_all(bare, F.lit(r"(?is)create\s+(?:or\s+replace\s+)?(?:materialized\s+)?view\s+[^;]*"), 0)).alias("s"))
+    named = F.array_distinct(F.regexp_extract_all("s", F.lit(r"(?is)\b(?:from|join)\s+[\"`\[]?([\w.]+)"), 1))
+    return found.select("path", F.regexp_extract("s", r"(?is)view\s+(?:if\s+not\s+exists\s+)?[\"`\[]?([\w.]+)", 1).alias("name"), named.alias("references"))
+
+
 def hcl_resources(texts: DataFrame) -> DataFrame:
     """path, id, references of Terraform resource blocks; a reference counts if the same file declares it and it is another resource."""
     block = texts.select("path", F.explode(F.split(F.regexp_replace("text", r"(?m)(#|//)[^\n]*$", ""), r"(?m)^(?=resource\s+\"|data\s+\"|variable\s+\"|output\s+\"|module\s+\"|provider\s+\"|locals\s*\{)")).alias("b"))
@@ -110,7 +118,7 @@ def css_rules(texts: DataFrame) -> DataFrame:
     """path, selector, body, important, specificity (a, b, c) of the plain rules of style sheets; at-rule heads are left out."""
     bare = F.regexp_replace("text", r"(?s)/\*.*?\*/", " ")
     found = texts.select("path", F.explode(F.regexp_extract_all(bare, F.lit(r"([^{}@;]+)\{([^{}]*)\}"), 0)).alias("r"))
-    one = found.select("path", F.explode(F.split(F.trim(F.regexp_extract("r", r"^([^{]*)\{", 1)), r"\s*,\s*")).alias("selector"), F.regexp_replace(F.regexp_extract("r", r"\{([^}]*)\}", 1), r"\s+", " ").alias("body"))
+    one = found.select("path", F.explode(F.split(F.regexp_extract("r", r"^\s*([^{]*?)\s*\{", 1), r"\s*,\s*")).alias("selector"), F.regexp_replace(F.regexp_extract("r", r"\{([^}]*)\}", 1), r"\s+", " ").alias("body"))
     count = {n: F.size(F.regexp_extract_all("selector", F.lit(p), 0)) for n, p in (("a", r"#[\w-]+"), ("b", r"\.[\w-]+|\[[^\]]*\]|(?<!:):(?!:)[\w-]+"), ("c", r"(?:^|[\s>+~])[a-zA-Z][\w-]*|::[\w-]+"))}
     return one.select("path", "selector", F.trim("body").alias("body"), F.size(F.regexp_extract_all("body", F.lit("!important"), 0)).alias("important"), F.struct(*[c.alias(n) for n, c in count.items()]).alias("specificity"))
 
@@ -133,3 +141,50 @@ def frameworks(packages: Column) -> Column:
         return out
 
     return F.sort_array(F.array_distinct(F.filter(F.transform(packages, name), lambda x: x.isNotNull())))
+
+
+def component_scripts(texts: DataFrame) -> DataFrame:
+    """path, source, line_offset, ending of the script blocks of single-file components; blocks with a src or of another type are left out."""
+    block = r"(?is)<script\b((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>(.*?)</script\s*>"
+    cut = texts.withColumn("parts", F.split("text", r"(?i)(?=<script\b)"))
+    # text before each block tells its line
+    rows = cut.select("path", F.posexplode("parts").alias("i", "part"), "parts").withColumn("before", F.array_join(F.slice("parts", F.lit(1), F.col("i")), ""))
+    head, body = F.regexp_extract("part", block, 1), F.regexp_extract("part", block, 2)
+    kind = F.trim(F.regexp_extract(head, r"(?i)(?:^|\s)type\s*=\s*[\"']?([^\"'>]*)", 1))
+    lang = F.lower(F.regexp_extract(head, r"(?i)\blang\s*=\s*[\"']?(tsx|ts|typescript|jsx)\b", 1))
+    script = (kind == "") | kind.rlike(r"(?i)^(module|(text|application)/(x-)?(java|ecma|type)script|text/babel)$")
+    offset = F.size(F.split(F.concat("before", F.lit("<script"), head, F.lit(">")), "\n")) - 1
+    ending = F.when(lang == "tsx", ".tsx").when(lang == "jsx", ".jsx").when(lang != "", ".ts").otherwise(".js")
+    return rows.where(F.col("part").rlike(block) & script & ~head.rlike(r"(?i)(^|\s)src\s*=")).select("path", body.alias("source"), offset.alias("line_offset"), ending.alias("ending"))
+
+
+def manifest_license(path: Column, text: Column) -> Column:
+    """Licence that a package.json (text or object form), pyproject.toml or Cargo.toml declares; null if none."""
+    name = F.substring_index(path, "/", -1)
+    plain, whole = F.get_json_object(text, "$.license"), F.get_json_object(text, "$.license.type")
+    npm = F.coalesce(whole, F.when(~F.startswith(plain, F.lit("{")), plain))
+    python = F.nullif(F.regexp_extract(text, r"(?im)^\s*license\s*=\s*(?:\{\s*text\s*=\s*)?['\"]([^'\"]+)['\"]", 1), F.lit(""))
+    cargo = F.nullif(F.regexp_extract(text, r"(?im)^\s*license\s*=\s*['\"]([^'\"]+)['\"]", 1), F.lit(""))
+    return F.when(name == "package.json", npm).when(name == "pyproject.toml", python).when(name == "Cargo.toml", cargo)
+
+
+def markdown_headings(texts: DataFrame) -> DataFrame:
+    """path, line, depth, text of the headings outside fences."""
+    rows = outside_fences(lines_of(texts)).where("not fenced").withColumn("depth", F.length(F.regexp_extract("l", r"^(#{1,6})\s", 1)))
+    return rows.where("depth > 0").select("path", "line", "depth", F.trim(F.regexp_replace("l", r"^#+\s+|\s+#+\s*$", "")).alias("text"))
+
+
+def markdown_links(texts: DataFrame) -> DataFrame:
+    """path, line, href of the links outside fences."""
+    rows = outside_fences(lines_of(texts)).where("not fenced")
+    return rows.select("path", "line", F.explode(F.regexp_extract_all("l", F.lit(r"(?<!!)\[[^\]]*\]\(([^)\s]+)[^)]*\)"), 1)).alias("href"))
+
+
+def markdown_diagrams(texts: DataFrame) -> DataFrame:
+    """path, line, kind of mermaid fences; the kind is a label for the first word inside."""
+    rows = outside_fences(lines_of(texts))
+    # the line after an opening mark
+    after = F.lead("l").over(W.partitionBy("path").orderBy("line"))
+    word = F.lower(F.regexp_extract(after, r"^\s*([A-Za-z-]+)", 1))
+    label = F.when(word.startswith("flowchart") | (word == "graph"), "flowchart").when(word.startswith("sequence"), "sequence").when(word.startswith("er"), "entity-relationship").when(word.startswith("class"), "class").when(word.startswith("state"), "state").otherwise(word)
+    return rows.withColumn("kind", label).where(F.col("l").rlike(r"^\s{0,3}```\s*mermaid")).select("path", "line", "kind")

@@ -5,11 +5,11 @@ from __future__ import annotations
 import re
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: words that a question's tokens leave out; fixed values
-STOP_WORDS = ("the", "and", "for", "with", "that", "this", "from", "into", "are", "was", "not", "but", "have", "has", "had", "can", "will", "should", "would", "could", "how", "what", "when", "where", "why", "who", "which", "does", "add", "fix", "new", "use", "all", "any", "our", "you", "your")
+#: words of a task that name the action, not the code; fixed values
+STOP_WORDS = ("add", "new", "fix", "the", "and", "for", "with", "this", "that", "from", "into", "make", "update", "change", "create", "remove", "delete", "support", "using", "feature", "refactor", "implement", "want", "need", "please", "should", "could", "would", "when", "where", "what", "file", "files", "use")
 #: extension -> language label; fixed values
 LANGUAGES = {"ts": "TypeScript", "tsx": "TypeScript", "js": "JavaScript", "jsx": "JavaScript", "mjs": "JavaScript", "cjs": "JavaScript", "py": "Python", "go": "Go", "rs": "Rust", "java": "Java", "rb": "Ruby", "php": "PHP", "css": "CSS", "scss": "SCSS", "html": "HTML", "md": "Markdown", "json": "JSON", "yaml": "YAML", "yml": "YAML", "toml": "TOML", "sql": "SQL", "tf": "Terraform", "sh": "Shell", "vue": "Vue", "svelte": "Svelte", "astro": "Astro"}
 CONFIDENCE = {"extracted": 0, "inferred": 1, "ambiguous": 2}
@@ -78,9 +78,21 @@ def language_of(path: Column) -> Column:
     return F.coalesce(table[extension(path)], F.lit("Other"))
 
 
-def is_test_path(path: Column) -> Column:
-    """Test, fixture and example paths by folder or by name."""
-    return path.rlike(r"(^|/)(__tests__|__mocks__|tests?|spec|e2e|fixtures?|examples?|mocks?)/") | path.rlike(r"(\.|_|-)(test|spec|stories)\.[a-zA-Z]+$") | path.rlike(r"(^|/)test_[^/]*\.py$")
+#: folders of tests and fixtures; the broad form has more; fixed values
+FIXTURE_DIRS = "test|tests|__tests__|__test__|__mocks__|__fixtures__|fixtures|fixture|testdata|test-data"
+MORE_TEST_DIRS = "testing|cypress|e2e|playwright"
+
+
+def is_test_path(path: Column, strict: bool = False) -> Column:
+    """Test and fixture paths by folder or by name; the strict form leaves tool folders out and takes `.test.` and `.spec.` names of source files only."""
+    u = canonical_path(path)
+    folder = u.rlike(f"(?i)(^|/)({FIXTURE_DIRS}{'' if strict else '|' + MORE_TEST_DIRS})/")
+    name = u.rlike(r"(?i)\.(test|spec)\.([cm]?[jt]sx?|py|go|rb)$" if strict else r"(?i)\.(test|spec)\.[a-z0-9]+$")
+    return folder | name | u.rlike(r"(?i)(^|/)([^/]+_test\.go|test_[^/]+\.py|[^/]+_test\.py|conftest\.py|[^/]+_(spec|test)\.rb|spec_helper\.rb)$")
+
+
+def is_test_or_example_path(path: Column) -> Column:
+    return is_test_path(path) | canonical_path(path).rlike("(?i)(^|/)examples/")
 
 
 def is_source_path(path: Column) -> Column:
@@ -101,9 +113,9 @@ def doc_kind(path: Column) -> Column:
 
 
 def query_tokens(question: Column, stop: tuple[str, ...] = STOP_WORDS) -> Column:
-    """Lower-cased runs of letters and digits of at least three characters, stop words left out, distinct in order."""
+    """Lower-cased runs of letters and digits of at least three characters in order, stop words left out; repeats stay."""
     runs = F.regexp_extract_all(F.lower(question), F.lit("([a-z0-9]+)"), 1)
-    return F.array_distinct(F.filter(runs, lambda w: (F.length(w) >= 3) & ~w.isin(*stop)))
+    return F.filter(runs, lambda w: (F.length(w) >= 3) & ~w.isin(*stop))
 
 
 def identifier_words(name: Column) -> Column:
@@ -136,14 +148,24 @@ LICENSE_PATTERNS = (
 )
 
 
+LICENSE_GATE = "|".join(p for _, p in LICENSE_PATTERNS)
+
+
 def license_of(text: Column) -> Column:
-    """SPDX tag first, else the first of the ordered patterns; null if none."""
+    """SPDX tag first, else the first of the ordered patterns; null if none.
+
+    White space is collapsed once (a lambda binds it), and one alternation turns texts away
+    that no pattern can match.
+    """
+
+    def first(flat: Column) -> Column:
+        out = F.lit(None).cast("string")
+        for name, pattern in reversed(LICENSE_PATTERNS):
+            out = F.when(flat.rlike(pattern), name).otherwise(out)
+        return F.when(flat.rlike(LICENSE_GATE), out)
+
     tag = F.regexp_extract(text, r"SPDX-License-Identifier:\s*([A-Za-z0-9.+-]+)", 1)
-    flat = F.lower(F.regexp_replace(text, r"\s+", " "))
-    out = F.lit(None).cast("string")
-    for name, pattern in reversed(LICENSE_PATTERNS):
-        out = F.when(flat.rlike(pattern), name).otherwise(out)
-    return F.when(tag != "", tag).otherwise(out)
+    return F.when(tag != "", tag).otherwise(F.transform(F.array(F.lower(F.regexp_replace(text, r"\s+", " "))), first)[0])
 
 
 def license_class(spdx: Column) -> Column:
@@ -160,13 +182,16 @@ SECRET_RULES = {
 }
 
 
+SECRET_GATE = "|".join(f"(?:{p})" for p in SECRET_RULES.values())
+
+
 def secret_hits(text: Column) -> Column:
-    """array of (rule, value): every match of every rule, in rule order."""
+    """array of (rule, value): every match of every rule, in rule order; one alternation turns texts without any away."""
 
     def of_rule(rule: str, pattern: str) -> Column:
         return F.transform(F.regexp_extract_all(text, F.lit(pattern), 0), lambda v: F.struct(F.lit(rule).alias("rule"), v.alias("value")))
 
-    return F.flatten(F.array(*[of_rule(r, p) for r, p in SECRET_RULES.items()]))
+    return F.when(text.rlike(SECRET_GATE), F.flatten(F.array(*[of_rule(r, p) for r, p in SECRET_RULES.items()])))
 
 
 def redact_secrets(text: Column) -> Column:
@@ -200,6 +225,17 @@ def strip_tags(html: Column) -> Column:
     return F.trim(F.regexp_replace(gone, r"\s+", " "))
 
 
+def html_links(html: Column) -> Column:
+    """array of the targets of links."""
+    return F.regexp_extract_all(html, F.lit(r'<a\s[^>]*href="([^"]*)"'), 1)
+
+
+def html_structure(pages: DataFrame, key: str, html: str) -> DataFrame:
+    """key, headings, links, paragraphs, title of pages."""
+    n = {k: F.size(F.regexp_extract_all(html, F.lit(p), 0)).cast("long").alias(k) for k, p in (("headings", r"(?i)<h[1-6]\b"), ("links", r"(?i)<a\s[^>]*href="), ("paragraphs", r"(?i)<p\b"))}
+    return pages.select(key, *n.values(), F.regexp_extract(html, "(?i)<title>([^<]*)</title>", 1).alias("title"))
+
+
 def first_sentence(text: Column) -> Column:
     return F.trim(F.regexp_extract(text, r"^[\s\S]*?(?:[.!?](?=\s|$)|$)", 0))
 
@@ -279,15 +315,57 @@ def semver_key(version: Column) -> Column:
     )
 
 
+def is_registry_spec(spec: Column) -> Column:
+    """True if a dependency spec names a registry version or range, not a folder, link, archive or repository."""
+    s = F.trim(spec)
+    return ~(s.rlike(r"(?i)^(workspace|file|link|portal|patch|exec|catalog|git|git\+[a-z]+|github|gitlab|bitbucket|gist|https?):") | s.startswith("git@") | s.contains("/"))
+
+
 def range_floor(spec: Column) -> Column:
-    """Concrete lowest version a range names, missing parts filled with 0; null if it names none."""
-    v = F.regexp_extract(spec, r"(\d+)(?:\.(\d+|[xX*]))?(?:\.(\d+|[xX*]))?", 0)
-    part = [F.regexp_extract(spec, r"(\d+)(?:\.(\d+))?(?:\.(\d+))?", k) for k in (1, 2, 3)]
-    return F.when(v == "", None).otherwise(F.concat_ws(".", *[F.when(p == "", "0").otherwise(p) for p in part]))
+    """Concrete lowest version of an npm range; null if it names none.
+
+    The first comparator of the first `||` set that has a floor counts.  `<X` alone has
+    none, `<=X` gives X, `>X` the next version above X; missing and x parts are 0; a
+    prerelease tag stays with a full version; aliases (npm:) and specs outside the registry
+    give null.
+    """
+    pattern = r"^(\d+)(?:\.(\d+|[xX*]))?(?:\.(\d+|[xX*]))?(-[0-9A-Za-z.-]+)?"
+
+    def floor(part: Column) -> Column:
+        first = F.trim(part)
+        first = F.when(first.startswith("<="), F.substring(first, 3, 1 << 20)).otherwise(first)
+        strict = first.startswith(">") & ~first.startswith(">=")
+        clean = F.regexp_replace(F.regexp_replace(first, r"^[\s^~>=]+", ""), "(?i)^v", "")
+        major, minor, patch, tag = (F.regexp_extract(clean, pattern, k) for k in (1, 2, 3, 4))
+        has_minor = minor.rlike(r"^\d+$")
+        has_patch = has_minor & patch.rlike(r"^\d+$")
+
+        def up(x: Column) -> Column:
+            return (x.cast("long") + 1).cast("string")
+
+        above = F.when(has_patch, F.concat_ws(".", major, minor, F.when(tag != "", patch).otherwise(up(patch)))).when(has_minor, F.concat(major, F.lit("."), up(minor), F.lit(".0"))).otherwise(F.concat(up(major), F.lit(".0.0")))
+        zero = F.lit("0")
+        own = F.concat(F.concat_ws(".", major, F.when(has_minor, minor).otherwise(zero), F.when(has_patch, patch).otherwise(zero)), F.when(has_patch, tag).otherwise(""))
+        return F.when(first.startswith("<") | (major == ""), None).when(strict, above).otherwise(own)
+
+    s = F.trim(spec)
+    floors = F.filter(F.transform(F.split(s, r"\|\|"), floor), lambda v: v.isNotNull())
+    return F.when((s != "") & ~s.startswith("npm:") & is_registry_spec(s), F.try_element_at(floors, F.lit(1)))
+
+
+def npm_alias(spec: Column) -> Column:
+    """(name, range) of `npm:<name>@<range>`; null if the spec is no alias or only qualifies a range."""
+    name, rng = F.regexp_extract(spec, r"^npm:(@?[^@]+)(?:@(.*))?$", 1), F.regexp_extract(spec, r"^npm:(@?[^@]+)(?:@(.*))?$", 2)
+    only = ~F.substring(spec, 6, 1 << 20).contains("@") & name.rlike(r"^(?:v?\d+(?:\.[\dxX*]+){0,2}(?:[-+][0-9A-Za-z.-]*)?|[xX*])$")
+    return F.when(name.rlike(r"(?i)^(?:@[a-z0-9-~][a-z0-9-._~]*/)?[a-z0-9-~][a-z0-9-._~]*$") & ~only, F.struct(name.alias("name"), rng.alias("range")))
+
+
+def canonical_path(path: Column) -> Column:
+    return F.replace(path, F.lit("\\"), F.lit("/"))
 
 
 def route_of_path(path: Column) -> Column:
     """Route of a pages- or app-folder file; null for other files."""
     inner = F.regexp_extract(path, r"(?:^|/)(?:pages|app|routes)/(.*)\.(?:tsx?|jsx?|astro|vue|svelte)$", 1)
-    bare = F.regexp_replace(F.regexp_replace(inner, r"(^|/)(index|page|route)$", ""), r"(^|/)\([^)]*\)", "")
+    bare = F.regexp_replace(F.regexp_replace(F.regexp_replace(inner, r"(^|/)(index|page|route)$", ""), r"(^|/)\([^)]*\)", ""), "^/", "")
     return F.when(inner == "", None).otherwise(F.concat(F.lit("/"), F.regexp_replace(F.regexp_replace(bare, r"\[\.\.\.([^\]]+)\]", "*$1"), r"\[([^\]]+)\]", ":$1")))

@@ -14,8 +14,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from stratalens.functions.scalar import severity_weight
+from stratalens.operators.security import is_exposed_secret, is_graded
 
-SEVERITIES = ("info", "low", "medium", "high", "critical")
+#: levels of a verdict, rising; fixed values
+SEVERITIES = ("none", "low", "medium", "high", "critical")
 
 
 def file_diff(base: DataFrame, head: DataFrame) -> DataFrame:
@@ -51,16 +53,21 @@ def severity_shift(base: DataFrame, head: DataFrame) -> DataFrame:
 
 
 def multiset_diff(base: DataFrame, head: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """Rows of either side left after pairing the k-th of each key: side 'fixed' or 'new', and all columns."""
+    """Rows of either side left after pairing the k-th of each key: side 'fixed' or 'new', and all columns.
 
-    def ranked(df: DataFrame) -> DataFrame:
-        return df.withColumn("__n", F.row_number().over(W.partitionBy(*key).orderBy(*order)))
+    Counts by key and side, which combine before the shuffle, tell which keys differ; only
+    rows of those on the longer side are ranked.
+    """
+    names = base.columns
+    both = base.select(*key).withColumn("__b", F.lit(1)).unionAll(head.select(*key).withColumn("__b", F.lit(0)))
+    counts = both.groupBy(*key).agg(F.sum("__b").alias("__nb"), F.count("*").alias("__n"))
+    longer = counts.select(*key, (F.col("__nb") * 2 - F.col("__n")).alias("__more"), F.least("__nb", F.col("__n") - F.col("__nb")).alias("__paired")).where("__more <> 0")
+    place = F.row_number().over(W.partitionBy(*key).orderBy(*order))
+
+    def left(df: DataFrame, which: str, side: str) -> DataFrame:
+        return df.join(longer.where(which), list(key)).withColumn("__k", place).where("__k > __paired").select(*names, F.lit(side).alias("side"))
 
-    b, h = ranked(base), ranked(head)
-    on = [*key, "__n"]
-    fixed = b.join(h.select(*on), on, "left_anti").withColumn("side", F.lit("fixed"))
-    new = h.join(b.select(*on), on, "left_anti").withColumn("side", F.lit("new"))
-    return fixed.unionByName(new).drop("__n")
+    return left(base, "__more > 0", "fixed").unionByName(left(head, "__more < 0", "new"))
 
 
 def moved_pairs(left: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -84,6 +91,14 @@ def keyed_diff(prev: DataFrame, nxt: DataFrame, key: str) -> tuple[DataFrame, Da
     return both.where("new is not null").select(key, "new.*"), both.where("old is not null").select(key)
 
 
+def graded_sides(base: DataFrame, head: DataFrame, key: Sequence[str], same_rules: bool) -> DataFrame:
+    """Keys and number of findings that a comparison grades: all where both sides ran the same rules, else those of one side only."""
+    both = base.select(*key).unionAll(head.select(*key))
+    if not same_rules:
+        both = both.join(one_sided(base, head, key).select(*key), list(key), "left_semi")
+    return both.groupBy(*key).agg(F.count("*").alias("findings"))
+
+
 def apply_diff(prev: DataFrame, added: DataFrame, deleted: DataFrame, key: str) -> DataFrame:
     """Deletes before adds."""
     return prev.join(deleted.select(key), key, "left_anti").unionByName(added)
@@ -119,22 +134,38 @@ def cycle_delta(base: DataFrame, head: DataFrame) -> DataFrame:
     return size.join(shared, "scc", "left").select("scc", state.alias("state"))
 
 
-def verdict(files: DataFrame, risks: DataFrame, reach: DataFrame, cycles: DataFrame) -> DataFrame:
-    """severity, findings, hotspot of a change.
+def verdict(files: DataFrame, risks: DataFrame, reach: DataFrame, cycles: DataFrame, vulnerabilities: DataFrame | None = None) -> DataFrame:
+    """One row: severity (of the worst finding, 'none' without one), findings, changed_files, loc_delta of a change.
 
     files: file_diff rows; risks: (severity, category, side); reach: (seed, reached);
-    cycles: (state).  Hotspots: 5 reached files are low, 20 medium.  New secrets are
-    high, new cycles medium, other new findings keep their own severity.
+    cycles: (state); vulnerabilities: (id, severity, scope, side).  New exposed secrets are
+    one finding, high; other new risks one, low; fresh and grown cycles one each, medium;
+    the file with most dependents one, low from 5 and medium from 20 on; new vulnerabilities
+    of direct scope one, as severe as the worst of them (an unknown one is medium).  What is
+    not graded (fixtures, possible secrets, dev and transitive scopes) never raises it.
     """
-    rank = F.array_position(F.array(*[F.lit(s) for s in SEVERITIES]), F.col("severity"))
-    hot = reach.where("reached >= 5").select(F.lit("hotspot").alias("finding"), F.when(F.col("reached") >= 20, "medium").otherwise("low").alias("severity"))
-    found = risks.where("side = 'new'").select(F.lit("risk").alias("finding"), F.when(F.col("category") == "secret", "high").when(F.col("severity") == "unknown", "medium").otherwise(F.col("severity")).alias("severity"))
-    loops = cycles.where("state <> 'old'").select(F.lit("cycle").alias("finding"), F.lit("medium").alias("severity"))
-    every = hot.unionAll(found).unionAll(loops)
-    top = every.agg(F.coalesce(F.max(rank), F.lit(1)).alias("r"), F.count("*").alias("findings"))
-    changed = files.agg(F.count("*").alias("changed_files"), F.coalesce(F.sum("loc_delta"), F.lit(0)).alias("loc_delta"))
+
+    def finding(df: DataFrame, severity: Column) -> DataFrame:
+        return df.select(severity.alias("severity")).where("severity is not null")
+
+    new = risks.where("side = 'new'")
+    exposed = is_exposed_secret(F.col("category"), F.col("severity"))
+    tally = new.agg(F.count_if(exposed).alias("secrets"), F.count_if(F.col("category") != "secret").alias("others"))
+    loops = cycles.agg(F.count_if(F.col("state") == "fresh").alias("fresh"), F.count_if(F.col("state") == "grown").alias("grown"))
+    hot = reach.agg(F.max("reached").alias("reached"))
+    every = (
+        finding(tally, F.when(F.col("secrets") > 0, "high")).unionAll(finding(tally, F.when(F.col("others") > 0, "low")))
+        .unionAll(finding(loops, F.when(F.col("fresh") > 0, "medium"))).unionAll(finding(loops, F.when(F.col("grown") > 0, "medium")))
+        .unionAll(finding(hot, F.when(F.col("reached") >= 20, "medium").when(F.col("reached") >= 5, "low")))
+    )
     names = F.array(*[F.lit(s) for s in SEVERITIES])
-    return top.join(F.broadcast(changed)).select(F.element_at(names, F.col("r").cast("int")).alias("severity"), "findings", "changed_files", "loc_delta")
+    if vulnerabilities is not None:
+        level = F.array_position(names, F.when(F.col("severity").isin("critical", "high", "medium", "low"), F.col("severity")).otherwise("medium"))
+        worst = vulnerabilities.where((F.col("side") == "new") & is_graded(F.col("scope"))).agg(F.max(level).cast("int").alias("r"))
+        every = every.unionAll(finding(worst, F.when(F.col("r").isNotNull(), F.element_at(names, F.col("r")))))
+    top = every.agg(F.coalesce(F.max(F.array_position(names, F.col("severity"))), F.lit(1)).cast("int").alias("r"), F.count("*").alias("findings"))
+    changed = files.agg(F.count("*").alias("changed_files"), F.coalesce(F.sum("loc_delta"), F.lit(0)).alias("loc_delta"))
+    return top.join(F.broadcast(changed)).select(F.element_at(names, F.col("r")).alias("severity"), "findings", "changed_files", "loc_delta")  # one row each
 
 
 def sync_mode(requests: DataFrame) -> DataFrame:

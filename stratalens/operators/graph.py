@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from stratalens.functions.scalar import confidence_rank, glob_matches, is_source_path, is_test_path, round4
+from stratalens.functions.scalar import confidence_rank, glob_matches, is_source_path, is_test_or_example_path, round4
 from stratalens.storage import cut
 
 IMPORT_KINDS = ("import", "dynamic-import", "type-import")
@@ -72,8 +72,41 @@ def callers(edges: DataFrame, target: str) -> DataFrame:
 
 
 def caller_index(edges: DataFrame) -> DataFrame:
-    """id, callers (sorted, distinct), n_callers."""
-    return edges.groupBy(F.col("dst").alias("id")).agg(F.sort_array(F.collect_set("src")).alias("callers")).withColumn("n_callers", F.size("callers").cast("long"))
+    """id, caller, n_callers: one row for each distinct caller, so a hub's callers never meet in one row."""
+    pairs = edges.select(F.col("dst").alias("id"), F.col("src").alias("caller")).distinct()
+    return pairs.join(pairs.groupBy("id").agg(F.count("*").alias("n_callers")), "id")
+
+
+def build_graph(imports: DataFrame) -> DataFrame:
+    """src, dst, kind of resolved imports (file, target, kind): without loops, each once; `require` counts as an import."""
+    kind = F.when(F.col("kind") == "require", "import").otherwise(F.col("kind"))
+    return imports.where("target is not null and file <> target").select(F.col("file").alias("src"), F.col("target").alias("dst"), kind.alias("kind")).distinct()
+
+
+def top_nodes(nodes: DataFrame, edges: DataFrame, most: int = 20) -> DataFrame:
+    """The most important nodes (id, importance) with n_in; ties by id."""
+    top = nodes.orderBy(F.desc("importance"), "id").limit(most)
+    degree = edges.join(F.broadcast(top.select(F.col("id").alias("dst"))), "dst", "left_semi").groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("n_in"))  # at most `most` rows
+    return top.join(degree, "id", "left").withColumn("n_in", F.coalesce("n_in", F.lit(0)))
+
+
+def group_keys(nodes: DataFrame) -> DataFrame:
+    """Adds `top` (first folder, '·' for a root file) and `two` (first two folders)."""
+    p = F.split("id", "/")
+    return nodes.withColumn("top", F.when(F.size(p) < 2, "·").otherwise(p[0])).withColumn("two", F.array_join(F.slice(p, 1, 2), "/"))
+
+
+def module_view(nodes: DataFrame, community: str = "community", measure: str = "importance") -> DataFrame:
+    """community, files, tokens, named of communities of two or more nodes; named after the member of largest measure, ties by id."""
+    g = nodes.groupBy(community).agg(F.count("*").alias("files"), F.sum("tokens").alias("tokens"), F.min(F.struct((-F.col(measure)).alias("neg"), "id"))["id"].alias("named"))
+    return g.where("files >= 2")
+
+
+def tier_flow(nodes: DataFrame, edges: DataFrame, tier: str) -> DataFrame:
+    """from_tier, to_tier, links, sources of edges between nodes of different tiers."""
+    a, b = nodes.select(F.col("id").alias("src"), F.col(tier).alias("from_tier")), nodes.select(F.col("id").alias("dst"), F.col(tier).alias("to_tier"))
+    met = edges.join(a, "src").join(b, "dst").where("from_tier <> to_tier")
+    return met.groupBy("from_tier", "to_tier").agg(F.count("*").alias("links"), F.countDistinct("src").alias("sources"))
 
 
 def neighbors(edges: DataFrame, seeds: DataFrame, direction: str = "both", depth: int = 1) -> DataFrame:
@@ -161,7 +194,7 @@ def orphans(nodes: DataFrame, edges: DataFrame, package_dirs: DataFrame | None =
     """Source modules that nothing imports, that import something, and that are neither tests nor entries."""
     path = F.col("path")
     entry = path.rlike(r"(^|/)main\.[^/]+$") | path.rlike(r"(^|/)(scripts|bin)/[^/]+$")
-    left = nodes.where(is_source_path(path) & ~is_test_path(path) & ~entry)
+    left = nodes.where(is_source_path(path) & ~is_test_or_example_path(path) & ~entry)
     if package_dirs is not None:
         root = F.regexp_extract(path, r"^(.*?)/?(?:src/)?(?:index|server|cli)\.[^/]+$", 1)
         conventional = nodes.where(path.rlike(r"(^|/)(index|server|cli)\.[^/]+$")).withColumn("dir", root).join(package_dirs.select("dir"), "dir", "left_semi")
@@ -169,45 +202,45 @@ def orphans(nodes: DataFrame, edges: DataFrame, package_dirs: DataFrame | None =
     return left.join(edges.select(F.col("dst").alias("id")), "id", "left_anti").join(edges.select(F.col("src").alias("id")), "id", "left_semi")
 
 
+def _least_reaching(pairs: DataFrame) -> DataFrame:
+    """id, c: the least id from which a path leads to each node of `pairs` (a, b), itself included.
+
+    What reaches a node's present c reaches the node, so every round also takes c's own c: a
+    chain is done in rounds that grow with the logarithm of its length where ids allow it.
+    """
+    colour = cut(pairs.select(F.col("a").alias("id")).unionAll(pairs.select(F.col("b").alias("id"))).distinct().withColumn("c", F.col("id")), "scc-colour")
+    while True:
+        best = pairs.join(colour.withColumnRenamed("id", "a"), "a").groupBy(F.col("b").alias("id")).agg(F.min("c").alias("m"))
+        step = colour.join(best, "id", "left").select("id", "c", F.least("c", F.coalesce("m", "c")).alias("n"))
+        jump = step.join(colour.select(F.col("id").alias("n"), F.col("c").alias("further")), "n")
+        nxt = cut(jump.select("id", F.least("n", "further").alias("c"), (F.least("n", "further") < F.col("c")).alias("moved")), "scc-colour")
+        colour = nxt.select("id", "c")
+        if nxt.where("moved").isEmpty():
+            return colour
+
+
 def strongly_connected(edges: DataFrame, self_loops: bool = False) -> DataFrame:
     """scc (least id), id for components of more than one node; with `self_loops` also single nodes with an edge to themselves.
 
-    Colouring: nodes without in- or out-edges are trimmed; every node takes the least id
-    that reaches it; what the owner of a colour is reached from inside the colour is its
-    component; the rest goes round again.
+    Every node takes the least id that reaches it and the least it reaches.  Where the two
+    are one, it names the node's component.  Members of a component share both, so edges
+    between nodes that differ in either go, and the rest goes round again.
     """
     all_pairs = edges.select(F.col("src").alias("a"), F.col("dst").alias("b")).distinct()
     pairs = cut(all_pairs.where("a <> b"), "scc-pairs")
     done = None
     while not pairs.isEmpty():
-        while True:  # trim
-            inner = pairs.join(pairs.select(F.col("b").alias("a")).distinct(), "a", "left_semi").join(pairs.select(F.col("a").alias("b")).distinct(), "b", "left_semi")
-            inner = cut(inner, "scc-pairs")
-            shrunk = inner.count() < pairs.count()
-            pairs = inner
-            if not shrunk:
-                break
-        if pairs.isEmpty():
-            break
-        colour = cut(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct().withColumn("c", F.col("id")), "scc-colour")
-        while True:
-            best = pairs.join(colour.withColumnRenamed("id", "a"), "a").groupBy(F.col("b").alias("id")).agg(F.min("c").alias("m"))
-            nxt = cut(colour.join(best, "id", "left").select("id", F.least("c", F.coalesce("m", "c")).alias("c"), (F.col("m") < F.col("c")).alias("moved")), "scc-colour")
-            moved = not nxt.where("moved").isEmpty()
-            colour = nxt.select("id", "c")
-            if not moved:
-                break
-        same = pairs.join(colour.select(F.col("id").alias("a"), F.col("c").alias("ca")), "a").join(colour.select(F.col("id").alias("b"), F.col("c").alias("cb")), "b").where("ca = cb").select(F.col("a").alias("dst"), F.col("b").alias("src"))
-        owners = colour.where("id = c").select("id")
-        members = reach(same, owners, "out").select("id").join(colour, "id").select(F.col("c").alias("scc"), "id")
-        members = cut(members, "scc")
+        back = pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))
+        named = cut(_least_reaching(pairs).join(_least_reaching(back).withColumnRenamed("c", "d"), "id"), "scc-named")
+        members = named.where("c = d").select(F.col("c").alias("scc"), "id")
         done = members if done is None else done.unionAll(members)
-        gone = members.select("id")
-        pairs = cut(pairs.join(gone.withColumnRenamed("id", "a"), "a", "left_anti").join(gone.withColumnRenamed("id", "b"), "b", "left_anti"), "scc-pairs")
+        left = named.where("c <> d")
+        ends = [left.select(*[F.col(x).alias(y) for x, y in (("id", n), ("c", f"c{n}"), ("d", f"d{n}"))]) for n in "ab"]
+        pairs = cut(pairs.join(ends[0], "a").join(ends[1], "b").where("ca = cb and da = db").select("a", "b"), "scc-pairs")
     if done is None:
         done = all_pairs.where(F.lit(False)).select(F.col("a").alias("scc"), F.col("b").alias("id"))
-    size = F.count("*").over(W.partitionBy("scc"))
-    out = done.withColumn("n", size).where("n > 1").drop("n")
+    several = done.groupBy("scc").agg(F.count("*").alias("n")).where("n > 1")
+    out = done.join(several.select("scc"), "scc", "left_semi")
     if self_loops:
         loops = all_pairs.where("a = b").select(F.col("a").alias("scc"), F.col("b").alias("id"))
         out = out.unionAll(loops.join(out.select("id"), "id", "left_anti").select("scc", "id"))
@@ -253,9 +286,20 @@ def label_propagation(nodes: DataFrame, edges: DataFrame, rounds: int = 10) -> D
         label = nxt
         if same:
             break
-    first = label.groupBy("label").agg(F.min("id").alias("first"))
-    number = first.withColumn("community", (F.row_number().over(W.orderBy("first")) - 1).cast("long"))  # one row a community
-    return label.join(number, "label").select("id", "community")
+    first = cut(label.groupBy("label").agg(F.min("id").alias("first")), "labels-first")
+    return label.join(numbered(first, "first", "community"), "label").select("id", "community")
+
+
+def numbered(df: DataFrame, order: str, name: str) -> DataFrame:
+    """Adds `name`: 0, 1, ... in the order of a column without ties; sorted by range, of which only counts reach the driver."""
+    ordered = cut(df.repartitionByRange(order).sortWithinPartitions(order).withColumn("__m", F.monotonically_increasing_id()), "numbered")
+    split = ordered.withColumn("__part", F.shiftright("__m", 33)).withColumn("__at", F.col("__m").bitwiseAND(F.lit((1 << 33) - 1)))
+    total, rows = 0, []
+    for r in sorted(split.groupBy("__part").agg(F.count("*").alias("n")).collect()):
+        rows.append((r["__part"], total))
+        total += r["n"]
+    before = df.sparkSession.createDataFrame(rows, "__part long, __before long")  # one row a partition
+    return split.join(F.broadcast(before), "__part").withColumn(name, F.col("__before") + F.col("__at")).drop("__m", "__part", "__at", "__before")
 
 
 def layers(edges: DataFrame, nodes: DataFrame) -> DataFrame:

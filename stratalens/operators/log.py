@@ -56,7 +56,7 @@ def last_served(log: DataFrame, action: str) -> DataFrame:
 
 
 def close_target(opened: DataFrame, wanted: str) -> DataFrame:
-    """The open item a closing names: by key, else by text."""
+    """The open item a closing names: by key, else by text.  The match comes before any limit, so every item can be named."""
     tier = F.when(F.col("ckey") == wanted, 0).when(F.col("text") == wanted, 1)
     return opened.withColumn("tier", tier).where("tier is not null").orderBy("tier", F.desc("ts"), "ckey").limit(1).drop("tier")
 
@@ -76,6 +76,11 @@ def sessions(log: DataFrame, key: str, gap: str = "30 minutes") -> DataFrame:
     return out.select(key, F.col("w.start").cast("timestamp_ntz").alias("start"), F.col("w.end").cast("timestamp_ntz").alias("end"), "n")
 
 
+def counters(log: DataFrame) -> DataFrame:
+    """action, outcome, n, agents."""
+    return log.groupBy("action", "outcome").agg(F.count("*").alias("n"), F.countDistinct("agent").alias("agents"))
+
+
 def ring(log: DataFrame, key: str, size: int) -> DataFrame:
     """The latest `size` rows of each key."""
     return log.withColumn("__n", F.row_number().over(W.partitionBy(key).orderBy(F.desc("ts"), "line"))).where(F.col("__n") <= size).drop("__n")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from stratalens.functions.scalar import dirname, is_test_path
+from stratalens.functions.scalar import dirname, is_test_or_example_path
 
 #: endings tried in this order, then index files; fixed values
 EXTENSIONS = ("", ".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs", ".py", ".go", ".json", ".vue", ".svelte", ".astro")
@@ -91,13 +91,16 @@ def reference_targets(refs: DataFrame, symbols: DataFrame, imported: DataFrame)
     """src, dst, kind, confidence, score of references (file, src, name, kind).
 
     Tiers: a symbol of the same file (extracted), one of an imported file (inferred, .9),
-    the only one of that name anywhere outside tests (inferred, .7), one of several
+    the only one of that name anywhere outside tests and examples (inferred, .7), one of several
     (ambiguous, .4, the least id).  References to themselves drop out; of equal edges the
     surest stays.  symbols: (id, file, name); imported: (file, target).
     """
-    here = symbols.select("file", "name", F.col("id").alias("d1")).groupBy("file", "name").agg(F.min("d1").alias("d1"))
-    via = imported.join(symbols.select(F.col("file").alias("target"), "name", "id"), "target").groupBy("file", "name").agg(F.min("id").alias("d2"))
-    everywhere = symbols.where(~is_test_path(F.col("file"))).groupBy("name").agg(F.min("id").alias("d3"), F.min(F.struct("id", "file"))["file"].alias("f3"), F.count("*").alias("n"))
+    refs = refs.select("file", "src", "name", "kind").distinct()
+    here = symbols.groupBy("file", "name").agg(F.min("id").alias("d1"))
+    # a reference's name is looked up in the imported files only, never every symbol of every import
+    asked = refs.select("file", "name").distinct().join(imported.distinct(), "file")
+    via = asked.join(here.select(F.col("file").alias("target"), "name", F.col("d1").alias("d2")), ["target", "name"]).groupBy("file", "name").agg(F.min("d2").alias("d2"))
+    everywhere = symbols.where(~is_test_or_example_path(F.col("file"))).groupBy("name").agg(F.min("id").alias("d3"), F.min(F.struct("id", "file"))["file"].alias("f3"), F.count("*").alias("n"))
     j = refs.join(here, ["file", "name"], "left").join(via, ["file", "name"], "left").join(everywhere, "name", "left")
     other = F.when(F.col("f3") != F.col("file"), F.col("d3"))
     tier = F.when(F.col("d1").isNotNull(), 0).when(F.col("d2").isNotNull(), 1).when(other.isNotNull() & (F.col("n") == 1), 2).when(other.isNotNull(), 3)
@@ -108,10 +111,12 @@ def reference_targets(refs: DataFrame, symbols: DataFrame, imported: DataFrame)
 
 
 def named_entity(refs: DataFrame, entities: DataFrame) -> DataFrame:
-    """Adds `target`: exact qualified name, else the bare name in any case (the least id); entities: (id, name)."""
+    """Adds `target` and `confidence`: exact qualified name (extracted), else the bare name in any case (inferred; of several ids the least, ambiguous); entities: (id, name)."""
     exact = entities.groupBy("name").agg(F.min("id").alias("t1"))
-    bare = entities.groupBy(F.lower(F.substring_index("name", ".", -1)).alias("bare")).agg(F.min("id").alias("t2"))
-    return refs.join(exact, "name", "left").withColumn("bare", F.lower(F.substring_index("name", ".", -1))).join(bare, "bare", "left").withColumn("target", F.coalesce("t1", "t2")).drop("bare", "t1", "t2")
+    bare = entities.groupBy(F.lower(F.substring_index("name", ".", -1)).alias("bare")).agg(F.min("id").alias("t2"), F.max("id").alias("t3"))
+    found = refs.join(exact, "name", "left").withColumn("bare", F.lower(F.substring_index("name", ".", -1))).join(bare, "bare", "left").withColumn("target", F.coalesce("t1", "t2"))
+    confidence = F.when(F.col("t1").isNotNull(), "extracted").when(F.col("t2").isNull(), None).when(F.col("t2") == F.col("t3"), "inferred").otherwise("ambiguous")
+    return found.withColumn("confidence", confidence).drop("bare", "t1", "t2", "t3")
 
 
 def locked_versions(deps: DataFrame, locks: DataFrame) -> DataFrame:

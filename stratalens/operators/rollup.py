@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from stratalens.functions.scalar import dirname, round4
+from stratalens.operators.security import is_exposed_secret, is_graded
 
-#: points a finding costs and the most a category may cost; fixed values
-HEALTH_WEIGHTS = {"secret": (10.0, 30), "vulnerability": (5.0, 25), "cycle": (3.0, 15), "license": (2.0, 10), "todo": (0.2, 10), "other": (1.0, 10)}
+#: points a vulnerability costs by severity, others 2; and factor -> (points each, most points); fixed values
+VULNERABILITY_POINTS = {"critical": 20, "high": 12, "medium": 5, "low": 2, "unknown": 2, "info": 0}
+FACTORS = {"secrets exposed": (25, 60), "known vulnerabilities": (1, 50), "broken imports": (8, 32), "import cycles": (3, 18), "oversized files": (2, 10), "stale files": (1, 10), "TODOs": (0.02, 6)}
 GRADES = ((90, "A"), (80, "B"), (70, "C"), (60, "D"))
 
 
@@ -55,20 +57,38 @@ def grade(score: Column) -> Column:
     return out
 
 
-def health(findings: DataFrame, key: str | None = None) -> DataFrame:
-    """score, grade and the three largest factors over findings (category); per `key` if given.
+def health(risks: DataFrame, files: DataFrame, vulnerabilities: DataFrame, cycles: DataFrame, key: str | None = None) -> DataFrame:
+    """score, grade and the three largest factors (most points first, then by name); per `key` if given.
 
-    Each category costs its weight a finding, rounded, at most its cap.
+    risks: (category, rule, severity, file); files: (status, todos); vulnerabilities:
+    (severity, scope); cycles: one row a cycle.  Exposed secrets, vulnerabilities of direct
+    scope, files with broken imports or unreadable text, cycles, large and stale files and
+    every fifty markers cost points up to a cap each; only factors that cost are listed.
+    Everything is counted before the shuffle; one row a factor and key meets.
     """
     keys = [key] if key else []
-    weights = F.create_map(*[F.lit(x) for k, (w, _) in HEALTH_WEIGHTS.items() for x in (k, w)])
-    caps = F.create_map(*[F.lit(x) for k, (_, c) in HEALTH_WEIGHTS.items() for x in (k, c)])
-    known = F.when(F.col("category").isin(*HEALTH_WEIGHTS), F.col("category")).otherwise("other")
-    cost = F.least(F.greatest(F.lit(0), F.floor(F.col("n") * weights[F.col("category")] + 0.5)), caps[F.col("category")]).cast("long")
-    per = findings.select(*keys, known.alias("category")).groupBy(*keys, "category").agg(F.count("*").alias("n")).withColumn("cost", cost)
-    factors = F.transform(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("cost")).alias("neg"), "category"))), 1, 3), lambda x: x["category"])  # at most one entry a category
-    out = per.groupBy(*keys).agg((F.lit(100) - F.sum("cost")).alias("score"), F.array_join(factors, ",").alias("factors"))
-    return out.withColumn("score", F.greatest(F.lit(0), F.col("score"))).withColumn("grade", grade(F.col("score")))
+    broken = F.when(F.col("category").isin("broken-import", "parse-error", "read-error") & (F.col("rule") != "unscanned-import"), F.col("file"))
+    points = F.create_map(*[F.lit(x) for kv in VULNERABILITY_POINTS.items() for x in kv])
+
+    def count(df: DataFrame, **labels: Column) -> DataFrame:
+        one = df.groupBy(*keys).agg(*[c.cast("double").alias(n) for n, c in labels.items()])
+        pairs = ", ".join(f"'{n.replace('_', ' ')}', `{n}`" for n in labels)
+        return one.select(*keys, F.expr(f"stack({len(labels)}, {pairs}) as (factor, n)"))
+
+    every = (
+        count(risks, secrets_exposed=F.count_if(is_exposed_secret(F.col("category"), F.col("severity"))), broken_imports=F.countDistinct(broken), oversized_files=F.count_if(F.col("category") == "large-file"))
+        .unionAll(count(files, stale_files=F.count_if(F.col("status") == "stale"), TODOs=F.coalesce(F.sum("todos"), F.lit(0))))
+        .unionAll(count(vulnerabilities, known_vulnerabilities=F.coalesce(F.sum(F.when(is_graded(F.col("scope")), F.coalesce(points[F.col("severity")], F.lit(2)))), F.lit(0))))
+        .unionAll(count(cycles, import_cycles=F.count("*")))
+    )
+    each, most = (F.create_map(*[F.lit(x) for n, v in FACTORS.items() for x in (n, float(v[k]))]) for k in (0, 1))
+    raw = F.floor(F.round(F.col("n") * each[F.col("factor")], 6))
+    cost = every.select(*keys, "factor", F.least(F.greatest(F.lit(0.0), raw.cast("double")), most[F.col("factor")]).cast("long").alias("cost"))
+    # at most one entry a factor
+    listed = F.array_sort(F.collect_list(F.when(F.col("cost") > 0, F.struct((-F.col("cost")).alias("neg"), "factor"))))
+    factors = F.array_join(F.transform(F.slice(listed, 1, 3), lambda x: x["factor"]), ",")
+    out = cost.groupBy(*keys).agg(F.greatest(F.lit(0), 100 - F.sum("cost")).cast("long").alias("score"), factors.alias("factors"))
+    return out.withColumn("grade", grade(F.col("score")))
 
 
 def git_stats(commits: DataFrame, window_start: str, contributors: int = 3) -> DataFrame:
@@ -100,14 +120,13 @@ def rubric(scores: DataFrame, weights: dict[str, float]) -> DataFrame:
     return rows.groupBy("item").agg(round4(F.sum(v * F.col("w")) / F.sum("w")).alias("score"))
 
 
-def price_ladder(usage: DataFrame, prices: DataFrame) -> DataFrame:
-    """item, model, saved, ratio, cost: every model of a small price table for every usage row (item, tokens, baseline).
+def price_ladder(usage: DataFrame, prices: dict[str, float]) -> DataFrame:
+    """item, model, saved, ratio, cost: every model of a price table (model to rate for a million tokens) for every usage row (item, tokens, baseline).
 
-    The price table is the user's, one row a model; it is joined on a constant key.
+    The price table is the user's; its rows are exploded beside each usage row, so nothing is joined or shuffled.
     """
-    u = usage.withColumn("__one", F.lit(1))
-    p = prices.withColumn("__one", F.lit(1))
-    out = u.join(p, "__one").drop("__one")
+    table = F.array(*[F.struct(F.lit(m).alias("model"), F.lit(float(r)).alias("rate")) for m, r in prices.items()])
+    out = usage.withColumn("__p", F.explode(table)).select("*", "__p.model", "__p.rate")
     return out.select("item", "model", (F.col("baseline") - F.col("tokens")).alias("saved"), round4(F.col("tokens") / F.col("baseline")).alias("ratio"), round4(F.col("tokens") / 1e6 * F.col("rate")).alias("cost"))
 
 

@@ -1,0 +1,403 @@
+"""Source scanners over texts made of the driver tables' keys; the SQL states what must be found without any pattern."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import functions as F
+
+from stratalens.functions import code as C
+from stratalens.functions import scalar as S
+from stratalens.operators import entities as E
+from stratalens.operators import modules as M
+from stratalens.operators import rollup as R
+from stratalens.operators import security as X
+from stratalens.plans.adapters import view
+from stratalens.registry import query
+from stratalens.sources import pack, readers
+from stratalens.storage import shared_dir
+
+K = "CAST(c_custkey AS STRING)"
+
+
+def texts(spark, sf, *lines: str, path: str = f"concat('f', {K})", source: str = "customer"):
+    """(path, text) of a text a row: SQL expressions of the lines."""
+    return view(spark, sf, f"SELECT {path} AS path, concat_ws(chr(10), {', '.join(lines)}) AS text FROM {source}")
+
+
+NAT = "CAST(c_nationkey AS STRING)"
+
+
+@query("f29_python_imports", f"""SELECT concat('f', {K}) AS path, specifier, names FROM customer, LATERAL (VALUES ('os', '*'), (concat('mod', {NAT}), '*'), (concat('..pkg', {NAT}), concat('a', {NAT}, ',b')), ('x.y', 'z')) t(specifier, names)""")
+def python_imports(spark, sf):
+    t = texts(spark, sf, f"concat('import os, mod', {NAT}, ' as m')", "'# import no'", f"concat('from ..pkg', {NAT}, ' import b as q, a', {NAT})", "'    from x.y import z  # w'", "'x = \"import nothing\"'")
+    return C.python_imports(t).withColumn("names", F.array_join("names", ","))
+
+
+@query("f29_go_imports", f"""SELECT concat('f', {K}) AS path, specifier FROM customer, LATERAL (VALUES ('fmt'), (concat('example.com/m', {NAT}, '/a')), ('os')) t(specifier)""")
+def go_imports(spark, sf):
+    return C.go_imports(texts(spark, sf, "'package x'", "'import \"os\"'", "'import ('", "'  \"fmt\"'", f"concat('  z \"example.com/m', {NAT}, '/a\"')", "')'"))
+
+
+@query("f29_script_imports", f"""SELECT concat('f', {K}) AS path, specifier, kind FROM customer, LATERAL (VALUES (concat('./m', {NAT}), 'import'), ('./t', 'type-import'), ('lib', 'import'), ('./lazy', 'dynamic-import'), ('./all', 'import')) t(specifier, kind)""")
+def script_imports(spark, sf):
+    return C.script_imports(texts(spark, sf, f"concat('import m from \"./m', {NAT}, '\";')", "'import type { T } from \"./t\";'", "'const l = require(\"lib\");'", "'const z = await import(\"./lazy\");'", "'export * from \"./all\";'"))
+
+
+@query("f31_env_reads", f"""SELECT concat('f', {K}) AS path, line, name, access, "default" FROM customer, LATERAL (VALUES (1, concat('A', {NAT}), 'required', NULL), (2, 'B', 'optional', concat('d', {NAT})), (3, 'C', 'optional', NULL), (4, 'D', 'optional', NULL)) t(line, name, access, "default")""")
+def env_reads(spark, sf):
+    return C.env_reads(texts(spark, sf, f"concat('a = os.environ[\"A', {NAT}, '\"]')", f"concat('b = os.getenv(\"B\", \"d', {NAT}, '\")')", "'const c = process.env.C'", "'x(import.meta.env.D)'"))
+
+
+@query("f27_routes", f"""SELECT concat('f', {K}, '.py') AS path, framework, method, route, line FROM customer, LATERAL (VALUES ('fastapi', 'POST', concat('/i/', {NAT}), 1), ('flask', 'GET', '/f', 2), ('flask', 'PUT', '/g', 3), ('flask', 'GET', '/g', 3)) t(framework, method, route, line)""")
+def source_routes(spark, sf):
+    return C.routes(texts(spark, sf, f"concat('@app.post(\"/i/', {NAT}, '\")')", "'@bp.route(\"/f\")'", "'@bp.route(\"/g\", methods=[\"PUT\", \"GET\"])'", "'app.get(\"/not\", x)'", path=f"concat('f', {K}, '.py')"))
+
+
+@query("f26_path_routes", f"SELECT concat('src/pages/n', {NAT}, '/[id]/index.tsx') AS path, concat('/n', {NAT}, '/:id') AS route, count(*) AS n FROM customer GROUP BY 1, 2 UNION ALL SELECT 'lib/x.ts', NULL, count(*) FROM customer UNION ALL SELECT 'app/(shop)/a/[...rest]/page.tsx', '/a/*rest', count(*) FROM customer")
+def path_routes(spark, sf):
+    t = view(spark, sf, f"SELECT explode(array(concat('src/pages/n', {NAT}, '/[id]/index.tsx'), 'lib/x.ts', 'app/(shop)/a/[...rest]/page.tsx')) AS path FROM customer")
+    return t.groupBy("path", S.route_of_path(F.col("path")).alias("route")).agg(F.count("*").alias("n"))
+
+
+#: tables with keys to one another, views, comments and literals that look like statements
+DDL = [f"concat('-- create table no', {K}, ' (x int)')", f"concat('CREATE TABLE IF NOT EXISTS app.t', {K}, ' (id int primary key, name varchar(10, 2), n int references t', CAST(c_custkey + 1 AS STRING), '(id), primary key (id));')", f"concat('CREATE VIEW v', {K}, ' AS SELECT ''create table q (x)'' FROM app.t', {K}, ' x JOIN t', CAST(c_custkey + 2 AS STRING), ' y ON true;')"]
+
+
+@query("f33_ddl_tables", f"SELECT concat('f', {K}) AS path, concat('app.t', {K}) AS name, 'id,name,n' AS columns, concat('t', CAST(c_custkey + 1 AS STRING)) AS refs FROM customer UNION ALL SELECT concat('f', {K}), concat('v', {K}), '', concat('app.t', {K}, ',t', CAST(c_custkey + 2 AS STRING)) FROM customer")
+def ddl(spark, sf):
+    t = texts(spark, sf, *DDL)
+    tables = C.ddl_tables(t).select("path", "name", F.array_join("columns", ",").alias("columns"), F.array_join("references", ",").alias("refs"))
+    return tables.unionAll(C.ddl_views(t).select("path", "name", F.lit(""), F.array_join("references", ",")))
+
+
+HCL = [f"concat('resource \"net\" \"a', {K}, '\" {{')", "'  cidr = 1'", "'}'", f"concat('resource \"sub\" \"s\" {{')", f"concat('  net = net.a', {K}, '.id')", "'  other = net.missing.id # net.s'", "'}'"]
+HCL = [x.replace("{{", "{") for x in HCL]
+
+
+@query("f34_hcl_resources", f"SELECT concat('f', {K}) AS path, concat('net.a', {K}) AS id, '' AS refs FROM customer UNION ALL SELECT concat('f', {K}), 'sub.s', concat('net.a', {K}) FROM customer")
+def hcl(spark, sf):
+    return C.hcl_resources(texts(spark, sf, *HCL)).select("path", "id", F.coalesce(F.array_join("references", ","), F.lit("")).alias("refs"))
+
+
+CSS = [f"concat('/* .c {{x}} */ .a{{color:c', {NAT}, '}}')".replace("{{", "{").replace("}}", "}"), "'.a { color: blue !important }'", "'.b{x:y} .b { x:y }'", "'#id .a:hover, p::before { z: 1 }'"]
+
+
+@query("a19_css_rules", f"SELECT concat('f', {K}) AS path, selector, important, a, b, c FROM customer, LATERAL (VALUES ('.a', 0, 0, 1, 0), ('.a', 1, 0, 1, 0), ('.b', 0, 0, 1, 0), ('.b', 0, 0, 1, 0), ('#id .a:hover', 0, 1, 2, 0), ('p::before', 0, 0, 0, 2)) t(selector, important, a, b, c)")
+def css(spark, sf):
+    return C.css_rules(texts(spark, sf, *CSS)).select("path", "selector", "important", "specificity.*")
+
+
+@query("a19_css_conflicts", f"SELECT concat('f', {K}) AS path, selector, state FROM customer, LATERAL (VALUES ('.a', 'conflict'), ('.b', 'duplicate')) t(selector, state)")
+def conflicts(spark, sf):
+    return C.css_conflicts(C.css_rules(texts(spark, sf, *CSS)))
+
+
+MD = [f"concat('# Title ', {K}, ' #')", "'three words here'", "'```mermaid'", "'sequenceDiagram'", "'# no heading'", "'- [ ] no item'", "'```'", "'## Features'", f"concat('### f', {NAT})", "'- [ ] open [l](../x/a.md#top)'", "'- [x] done ![i](y.png)'", "'## Other'", "'### not one'", "'| a | b |'", "'|---|---|'"]
+
+
+@query("f24_markdown", f"SELECT concat('f', {K}) AS path, CAST(5 AS BIGINT) AS headings, CAST(1 AS BIGINT) AS links, CAST(1 AS BIGINT) AS open_items, CAST(1 AS BIGINT) AS done_items, CAST(1 AS BIGINT) AS tables, CAST(18 AS BIGINT) AS words, concat('Title ', {K}) AS title FROM customer")
+def markdown(spark, sf):
+    return C.markdown_structure(texts(spark, sf, *MD))
+
+
+@query("v14_features_and_diagrams", f"SELECT concat('f', {K}) AS path, 'feature' AS what, concat('f', {NAT}) AS name, 9 AS line FROM customer UNION ALL SELECT concat('f', {K}), 'diagram', 'sequence', 3 FROM customer")
+def feature_rows(spark, sf):
+    t = texts(spark, sf, *MD)
+    found = M.features(C.markdown_headings(t)).select("path", F.lit("feature").alias("what"), F.col("text").alias("name"), "line")
+    return found.unionAll(C.markdown_diagrams(t).select("path", F.lit("diagram"), "kind", "line"))
+
+
+@query("f35_frameworks", "SELECT c_custkey, concat_ws(',', CASE WHEN c_nationkey % 3 = 0 THEN 'Flask' END, CASE WHEN c_nationkey % 2 = 0 THEN 'Next.js' END, 'React') AS frameworks FROM customer")
+def frameworks(spark, sf):
+    t = view(spark, sf, "SELECT c_custkey, array('react', CASE WHEN c_nationkey % 2 = 0 THEN 'next' ELSE 'nextx' END, CASE WHEN c_nationkey % 3 = 0 THEN 'FLASK' ELSE 'x' END, 'react') AS p FROM customer")
+    return t.select("c_custkey", F.array_join(C.frameworks(F.col("p")), ",").alias("frameworks"))
+
+
+@query("f32_component_scripts", f"SELECT concat('f', {K}) AS path, concat('{chr(10)}let a', {K}, '{chr(10)}') AS source, 2 AS line_offset, '.ts' AS ending FROM customer UNION ALL SELECT concat('f', {K}), 'b()', 7, '.js' FROM customer")
+def scripts(spark, sf):
+    t = texts(spark, sf, "'<p>x</p>'", "''", "'<script lang=\"ts\" generic=\"A<B>\">'", f"concat('let a', {K})", "'</script>'", "'<script src=\"x.js\"></script>'", "'<script type=\"application/ld+json\">{}</script>'", "'<SCRIPT>b()</script >'")
+    return C.component_scripts(t)
+
+
+@query("f10_manifest_license", """SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN concat('L', CAST(p_size AS STRING)) WHEN 1 THEN 'MIT' WHEN 2 THEN 'BSD' WHEN 3 THEN concat('M', CAST(p_size AS STRING)) END AS licence FROM part""")
+def licences(spark, sf):
+    t = view(spark, sf, """SELECT p_partkey, CASE p_partkey % 5 WHEN 2 THEN 'a/pyproject.toml' WHEN 3 THEN 'Cargo.toml' WHEN 4 THEN 'go.mod' ELSE 'x/package.json' END AS path,
+      CASE p_partkey % 5 WHEN 0 THEN concat('{"license":"L', CAST(p_size AS STRING), '"}') WHEN 1 THEN '{"license":{"type":"MIT","url":"u"}}' WHEN 2 THEN 'license = {text = "BSD"}' ELSE concat('license = "M', CAST(p_size AS STRING), '"') END AS text FROM part""")
+    return t.select("p_partkey", C.manifest_license(F.col("path"), F.col("text")).alias("licence"))
+
+
+@query("f6_spdx_tag", "SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN 'BSD-2-Clause' WHEN p_size % 3 = 0 THEN 'MIT' END AS licence FROM part")
+def spdx(spark, sf):
+    t = view(spark, sf, "SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN concat('# SPDX-License-Identifier:  BSD-2-Clause', chr(10), 'MIT License') WHEN p_size % 3 = 0 THEN concat('the  MIT', chr(10), 'License') ELSE p_name END AS text FROM part")
+    return t.select("p_partkey", S.license_of(F.col("text")).alias("licence"))
+
+
+V3 = "SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN 'N' ELSE 'L' END AS av, CASE WHEN p_partkey % 3 = 0 THEN 'H' ELSE 'L' END AS ac, CASE p_partkey % 5 WHEN 0 THEN 'N' WHEN 1 THEN 'H' ELSE 'L' END AS pr, CASE WHEN p_partkey % 7 = 0 THEN 'R' ELSE 'N' END AS ui, CASE WHEN p_size % 2 = 0 THEN 'C' ELSE 'U' END AS s, CASE p_size % 3 WHEN 0 THEN 'H' WHEN 1 THEN 'L' ELSE 'N' END AS c, CASE p_size % 4 WHEN 0 THEN 'H' ELSE 'N' END AS i, CASE p_size % 5 WHEN 0 THEN 'L' ELSE 'N' END AS a FROM part"
+CIA = "CASE {0} WHEN 'H' THEN 0.56::DOUBLE WHEN 'L' THEN 0.22::DOUBLE ELSE 0::DOUBLE END"
+
+
+@query("f11_cvss3", f"""WITH v AS ({V3}), x AS (SELECT *, 1 - (1 - {CIA.format('c')}) * (1 - {CIA.format('i')}) * (1 - {CIA.format('a')}) AS iss,
+    8.22::DOUBLE * CASE av WHEN 'N' THEN 0.85::DOUBLE ELSE 0.55::DOUBLE END * CASE ac WHEN 'L' THEN 0.77::DOUBLE ELSE 0.44::DOUBLE END * CASE pr WHEN 'N' THEN 0.85::DOUBLE WHEN 'L' THEN CASE s WHEN 'C' THEN 0.68::DOUBLE ELSE 0.62::DOUBLE END ELSE CASE s WHEN 'C' THEN 0.5::DOUBLE ELSE 0.27::DOUBLE END END * CASE ui WHEN 'N' THEN 0.85::DOUBLE ELSE 0.62::DOUBLE END AS e FROM v),
+  y AS (SELECT p_partkey, s, e, CASE s WHEN 'C' THEN 7.52::DOUBLE * (iss - 0.029::DOUBLE) - 3.25::DOUBLE * pow(iss - 0.02::DOUBLE, 15) ELSE 6.42::DOUBLE * iss END AS m FROM x)
+  SELECT p_partkey, CASE WHEN m <= 0 THEN 0::DOUBLE ELSE ceil(floor(least(10::DOUBLE, CASE s WHEN 'C' THEN 1.08::DOUBLE * (m + e) ELSE m + e END) * 100000 + 0.5) / 10000) / 10 END AS score FROM y""")
+def cvss3(spark, sf):
+    v = view(spark, sf, V3)
+    parts = [x for n in ("av", "ac", "pr", "ui", "s", "c", "i", "a") for x in (F.lit(f"/{n.upper()}:"), F.col(n))]
+    return v.select("p_partkey", S.cvss3_score(F.concat(F.lit("CVSS:3.1"), *parts)).alias("score"))
+
+
+V2 = "SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN 'N' ELSE 'L' END AS av, CASE p_partkey % 3 WHEN 0 THEN 'H' WHEN 1 THEN 'M' ELSE 'L' END AS ac, CASE p_partkey % 5 WHEN 0 THEN 'N' ELSE 'S' END AS au, CASE p_size % 3 WHEN 0 THEN 'C' WHEN 1 THEN 'P' ELSE 'N' END AS c, CASE p_size % 4 WHEN 0 THEN 'P' ELSE 'N' END AS i FROM part"
+PART = "CASE {0} WHEN 'C' THEN 0.66::DOUBLE WHEN 'P' THEN 0.275::DOUBLE ELSE 0::DOUBLE END"
+
+
+@query("f12_cvss2", f"""WITH v AS ({V2}), x AS (SELECT p_partkey, 10.41::DOUBLE * (1 - (1 - {PART.format('c')}) * (1 - {PART.format('i')}) * (1 - 0::DOUBLE)) AS m, 20 * CASE av WHEN 'N' THEN 1::DOUBLE ELSE 0.395::DOUBLE END * CASE ac WHEN 'H' THEN 0.35::DOUBLE WHEN 'M' THEN 0.61::DOUBLE ELSE 0.71::DOUBLE END * CASE au WHEN 'N' THEN 0.704::DOUBLE ELSE 0.56::DOUBLE END AS e FROM v)
+  SELECT p_partkey, floor((0.6::DOUBLE * m + 0.4::DOUBLE * e - 1.5::DOUBLE) * CASE WHEN m = 0 THEN 0::DOUBLE ELSE 1.176::DOUBLE END * 10 + 0.5) / 10 AS score FROM x""")
+def cvss2(spark, sf):
+    v = view(spark, sf, V2)
+    return v.select("p_partkey", S.cvss2_score(F.concat(F.lit("AV:"), "av", F.lit("/AC:"), "ac", F.lit("/Au:"), "au", F.lit("/C:"), "c", F.lit("/I:"), "i", F.lit("/A:N"))).alias("score"))
+
+
+@query("f13_severity", "SELECT p_partkey, CASE p_size % 7 WHEN 0 THEN 'medium' WHEN 1 THEN 'critical' WHEN 2 THEN 'high' WHEN 3 THEN 'high' WHEN 4 THEN 'medium' WHEN 5 THEN 'high' ELSE 'unknown' END AS severity FROM part")
+def severities(spark, sf):
+    n = F.col("p_size") % 7
+    label = F.when(n == 0, "Moderate").otherwise("NONE")
+    v3 = F.when(n == 1, "CVSS:3.1/AV:N/AC:L/PR:N/UI:N/S:U/C:H/I:H/A:H").when(n == 2, "CVSS:3.1/AV:N/AC:L/PR:N/UI:N/S:U/C:H/I:N/A:N").otherwise("CVSS:3.1/AV:N")
+    v4 = F.when(n == 3, "CVSS:4.0/AV:N/VC:H/VI:N/VA:H").when(n == 4, "CVSS:4.0/AV:N/VC:N/VI:L/VA:N")
+    v2 = F.when(n == 5, "AV:N/AC:L/Au:N/C:C/I:C/A:C")
+    return view(spark, sf, "SELECT p_partkey, p_size FROM part").select("p_partkey", X.severity(label, v3, v2, v4).alias("severity"))
+
+
+@query("f14_semver_order", "SELECT a, b, a < b AS less FROM (SELECT DISTINCT p_size AS a FROM part) x, (SELECT DISTINCT p_size AS b FROM part WHERE p_size <= 6) y")
+def semver(spark, sf):
+    """Versions built so that their order is that of the numbers: prereleases by number and word, then patch, minor, major."""
+    forms = "CASE WHEN n <= 10 THEN concat('1.0.0-', CAST(n AS STRING)) WHEN n <= 20 THEN concat('1.0.0-rc.', CAST(n AS STRING)) WHEN n = 21 THEN '1.0.0+build' WHEN n <= 30 THEN concat('1.0.', CAST(n AS STRING), '-a.1') WHEN n <= 40 THEN concat('1.', CAST(n AS STRING), '.0') ELSE concat(CAST(n AS STRING), '.0.0') END"
+    t = view(spark, sf, f"SELECT a.n AS a, b.n AS b, {forms.replace('n ', 'a.n ').replace('(n', '(a.n')} AS x, {forms.replace('n ', 'b.n ').replace('(n', '(b.n')} AS y FROM (SELECT DISTINCT p_size AS n FROM part) a JOIN (SELECT DISTINCT p_size AS n FROM part WHERE p_size <= 6) b ON true".replace("THEN", "THEN").replace("WHEa.n", "WHEN"))
+    return t.select("a", "b", (S.semver_key(F.col("x")) < S.semver_key(F.col("y"))).alias("less"))
+
+
+P, Z = "CAST(p_size AS STRING)", "CAST(p_size + 1 AS STRING)"
+SPECS = (
+    (f"concat('^', {P}, '.2.3')", f"concat({P}, '.2.3')"), (f"concat('~', {P}, '.2')", f"concat({P}, '.2.0')"), (f"concat('>=', {P}, '.0.1 <9')", f"concat({P}, '.0.1')"), (f"concat('>1.2.', {P})", f"concat('1.2.', {Z})"), (f"concat('>', {P})", f"concat({Z}, '.0.0')"), (f"concat('>1.', {P}, '.x')", f"concat('1.', {Z}, '.0')"),
+    (f"concat('<', {P}, '.0.0')", "NULL"), (f"concat('<=', {P}, '.4.0')", f"concat({P}, '.4.0')"), (f"concat('^', {P}, '.0.0-rc.1')", f"concat({P}, '.0.0-rc.1')"), (f"concat('>1.0.', {P}, '-rc.1')", f"concat('1.0.', {P})"), (f"concat('<2 || v', {P}, '.x')", f"concat({P}, '.0.0')"), (f"concat('npm:a@^', {P}, '.1')", "NULL"),
+    (f"concat('git+https://h/x#v', {P}, '.0.0')", "NULL"), ("'*'", "NULL"), ("'latest'", "NULL"), (f"concat('workspace:^', {P})", "NULL"), ("''", "NULL"),
+)
+
+
+def _case(k: int) -> str:
+    return f"CASE p_partkey % {len(SPECS)} " + " ".join(f"WHEN {i} THEN {s[k]}" for i, s in enumerate(SPECS)) + " END"
+
+
+@query("f15_range_floor", f"SELECT p_partkey, {_case(1)} AS floor FROM part")
+def floors(spark, sf):
+    return view(spark, sf, f"SELECT p_partkey, {_case(0)} AS spec FROM part").select("p_partkey", S.range_floor(F.col("spec")).alias("floor"))
+
+
+@query("f15_npm_alias", f"SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN '@s/lib' WHEN p_size % 3 = 1 THEN 'vue' END AS name, CASE WHEN p_size % 3 = 0 THEN concat('^', {P}, '.1') WHEN p_size % 3 = 1 THEN '' END AS range FROM part")
+def aliases(spark, sf):
+    t = view(spark, sf, f"SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN concat('npm:@s/lib@^', {P}, '.1') WHEN p_size % 3 = 1 THEN 'npm:vue' ELSE concat('npm:', {P}, '.x') END AS spec FROM part")
+    return t.withColumn("a", S.npm_alias(F.col("spec"))).select("p_partkey", "a.name", "a.range")
+
+
+@query("f18_canonical_path", f"SELECT c_custkey, concat('a/b/', {K}) AS path FROM customer")
+def canonical(spark, sf):
+    return view(spark, sf, f"SELECT c_custkey, concat('a', chr(92), 'b/', {K}) AS path FROM customer").select("c_custkey", S.canonical_path(F.col("path")).alias("path"))
+
+
+@query("f36_entropy", "SELECT c_custkey, CASE WHEN c_nationkey % 3 = 0 THEN 0.0::DOUBLE WHEN c_nationkey % 3 = 1 THEN 1.0::DOUBLE ELSE 2.0::DOUBLE END AS bits FROM customer")
+def entropies(spark, sf):
+    t = view(spark, sf, "SELECT c_custkey, CASE WHEN c_nationkey % 3 = 0 THEN 'aaaa' WHEN c_nationkey % 3 = 1 THEN 'abba' ELSE 'dcba' END AS v FROM customer")
+    return t.select("c_custkey", S.entropy(F.col("v")).alias("bits"))
+
+
+@query("f36_provider_secrets", f"SELECT concat('f', {K}) AS path, rule, value FROM customer, LATERAL (VALUES ('aws-access-key', concat('AKIA', lpad({K}, 16, '0'))), ('github-token', concat('ghp_', lpad({K}, 36, 'a'))), ('private-key-header', '-----BEGIN RSA PRIVATE KEY-----')) t(rule, value) WHERE c_nationkey % 2 = 0")
+def provider_secrets(spark, sf):
+    t = texts(spark, sf, f"CASE WHEN c_nationkey % 2 = 0 THEN concat('k = AKIA', lpad({K}, 16, '0'), ' ghp_', lpad({K}, 36, 'a')) ELSE 'AKIA123 ghp_short' END", "CASE WHEN c_nationkey % 2 = 0 THEN '-----BEGIN RSA PRIVATE KEY-----' ELSE '--' END")
+    return t.select("path", F.explode(S.secret_hits(F.col("text"))).alias("h")).select("path", "h.rule", "h.value")
+
+
+@query("a15_reference_counts", "SELECT concat('f', CAST(l_orderkey AS STRING)) AS file, l_shipdate::DATE::VARCHAR AS name, count(*) AS n FROM lineitem GROUP BY 1, 2")
+def reference_counts(spark, sf):
+    return M.reference_counts(view(spark, sf, "SELECT concat('f', CAST(l_orderkey AS STRING)) AS file, CAST(CAST(l_shipdate AS DATE) AS STRING) AS name FROM lineitem"))
+
+
+@query("a21_recall", "SELECT o_orderkey AS task, CASE o_orderkey % 3 WHEN 0 THEN 1.0::DOUBLE WHEN 1 THEN 0.5::DOUBLE ELSE 0.3333::DOUBLE END AS recall, floor((o_totalprice - 10) / o_totalprice * 10000 + 0.5) / 10000 AS savings FROM orders")
+def recalls(spark, sf):
+    t = view(spark, sf, "SELECT o_orderkey AS task, CASE o_orderkey % 3 WHEN 0 THEN array() WHEN 1 THEN array('a', 'b') ELSE array('a', 'b', 'c') END AS expected, array('a', 'z') AS found, 10D AS tokens, o_totalprice AS baseline FROM orders")
+    return R.recall_report(t.withColumn("expected", F.col("expected").cast("array<string>")))
+
+
+@query("a23_monorepo", "SELECT CAST(c_nationkey AS BIGINT) AS project, count(*) FILTER (c_custkey % 3 = 0) AS packages, CASE WHEN max(CASE WHEN c_custkey % 40 = 1 THEN 1 ELSE 0 END) = 1 THEN 'turbo' WHEN max(CASE WHEN c_custkey % 40 = 2 THEN 1 ELSE 0 END) = 1 THEN 'lerna' END AS manager FROM customer GROUP BY 1")
+def monorepos(spark, sf):
+    t = view(spark, sf, f"SELECT CAST(c_nationkey AS BIGINT) AS project, CASE WHEN c_custkey % 3 = 0 THEN concat('p/', {K}, '/package.json') WHEN c_custkey % 3 = 1 THEN 'package.json' ELSE 'a.ts' END AS path FROM customer UNION ALL SELECT CAST(c_nationkey AS BIGINT), 'turbo.json' FROM customer WHERE c_custkey % 40 = 1 UNION ALL SELECT CAST(c_nationkey AS BIGINT), 'lerna.json' FROM customer WHERE c_custkey % 40 = 2")
+    return M.monorepo(t, "project")
+
+
+ROUTE_ROWS = "SELECT CASE WHEN o_orderkey % 3 = 0 THEN 'nextjs' WHEN o_orderkey % 3 = 1 THEN 'express' ELSE 'astro' END AS framework, CASE WHEN o_custkey % 2 = 0 THEN 'GET' END AS method, concat('/r', CAST(o_custkey AS STRING)) AS path, CASE WHEN o_orderkey % 4 = 0 THEN concat('h', CAST(o_orderkey AS STRING)) END AS handler, o_orderkey AS place FROM orders"
+
+
+@query("f28_routes", f"WITH r AS ({ROUTE_ROWS}), k AS (SELECT *, row_number() OVER (PARTITION BY framework, coalesce(method, 'ANY'), path ORDER BY handler IS NULL, place) AS i FROM r) SELECT CASE framework WHEN 'nextjs' THEN 'react-router' ELSE framework END AS framework, method, path, handler, place FROM k WHERE i = 1")
+def route_rows(spark, sf):
+    return M.reclassified_routes(M.distinct_routes(view(spark, sf, ROUTE_ROWS)), ["React Router", "Astro"])
+
+
+@query("a13_top_routes", f"SELECT DISTINCT 'GET' AS method, path, framework FROM ({ROUTE_ROWS}) WHERE framework = 'express' ORDER BY path LIMIT 20")
+def best_routes(spark, sf):
+    """Routes of a project without a routing framework: conventions drop out."""
+    rows = M.reclassified_routes(view(spark, sf, ROUTE_ROWS), ["Express"]).select("framework", "path").distinct().withColumn("method", F.lit(None).cast("string"))
+    return M.top_routes(rows)
+
+
+@query("a13_open_risks", "SELECT l_orderkey * 10 + l_linenumber AS place, CASE WHEN l_quantity > 45 THEN 'critical' ELSE 'high' END AS severity FROM lineitem WHERE l_quantity > 35 ORDER BY place LIMIT 20")
+def first_risks(spark, sf):
+    return M.open_risks(view(spark, sf, "SELECT l_orderkey * 10 + l_linenumber AS place, CASE WHEN l_quantity > 45 THEN 'critical' WHEN l_quantity > 35 THEN 'high' ELSE 'low' END AS severity FROM lineitem"))
+
+
+@query("v21_why", f"SELECT c_custkey FROM customer WHERE contains(concat('src/f', {K}), 'f12') OR contains(lower(c_mktsegment), 'f12')")
+def reasons(spark, sf):
+    return M.why(view(spark, sf, f"SELECT c_custkey, concat('src/F', {K}) AS file, CASE WHEN c_custkey % 2 = 0 THEN c_mktsegment END AS symbol FROM customer"), "f12").select("c_custkey")
+
+
+@query("p15_exports", f"SELECT concat('f', {NAT}) AS file, concat('s', {K}) AS name, 'function' AS kind, false AS is_default FROM customer WHERE c_custkey % 2 = 0 UNION ALL SELECT DISTINCT concat('f', {NAT}), CASE WHEN c_custkey % 3 = 0 THEN '*' ELSE 'default' END, 'variable', c_custkey % 3 <> 0 FROM customer")
+def exported(spark, sf):
+    symbols = view(spark, sf, f"SELECT concat('f', {NAT}) AS file, concat('s', {K}) AS name, 'function' AS kind, c_custkey % 2 = 0 AS exported FROM customer")
+    return M.exports(symbols, view(spark, sf, f"SELECT concat('f', {NAT}) AS file, CASE WHEN c_custkey % 3 = 0 THEN '*' ELSE 'default' END AS name FROM customer"))
+
+
+@query("p16_plain_messages", f"SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber = 1 AND l_quantity > 10 THEN concat('A value in f', CAST(l_orderkey AS STRING), ' may be a real password. Check it, and move it out if it is.') ELSE 'm' END AS message, CASE WHEN l_linenumber = 1 AND l_quantity > 10 THEN 'm' END AS message_technical FROM lineitem")
+def plain(spark, sf):
+    t = view(spark, sf, "SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber = 1 THEN 'generic-secret' ELSE 'own-rule' END AS rule, 'secret' AS category, CASE WHEN l_quantity > 10 THEN 'info' ELSE 'low' END AS severity, concat('f', CAST(l_orderkey AS STRING)) AS file, 'm' AS message FROM lineitem")
+    return M.plain_messages(t).select("l_orderkey", "l_linenumber", "message", "message_technical")
+
+
+IMPORTS = f"SELECT concat(CASE WHEN c_custkey % 2 = 0 THEN 'app/' ELSE 'lib/' END, {K}) AS file, CASE c_custkey % 7 WHEN 0 THEN './x' WHEN 1 THEN concat('@w/p', {NAT}, '/sub') WHEN 2 THEN '@/y' WHEN 3 THEN 'react' WHEN 4 THEN '@w/p' WHEN 5 THEN '../z' ELSE concat('@w/p', {NAT}, 'x') END AS specifier FROM customer"
+
+
+@query("p17_local_specifiers", f"SELECT file, specifier FROM ({IMPORTS.replace(' FROM customer', ', c_custkey % 7 AS m, c_custkey % 2 AS h, c_nationkey AS n FROM customer')}) WHERE m IN (0, 5) OR (m = 1 AND n < 20) OR (m = 2 AND h = 0)")
+def local(spark, sf):
+    names = view(spark, sf, "SELECT concat('@w/p', CAST(n_nationkey AS STRING)) AS name FROM nation WHERE n_nationkey < 20")
+    return M.local_specifiers(view(spark, sf, IMPORTS), names, [("app", "@/*"), ("", "*")])
+
+
+#: a project for each customer: a package, a service beside it, tests, a folder without __init__
+PYTHON_FILES = "SELECT concat('c', k, f) AS path FROM (SELECT {0} AS k FROM customer), LATERAL (SELECT explode(array('/pkg/__init__.py', '/pkg/mod.py', '/pkg/utils.py', '/utils.py', '/pkg/sub/__init__.py', '/pkg/sub/a.py', '/ns/x.py', '/ns/deep/y.py', '/tools/run.py', '/tools/help.py')) AS f)".format(K)
+PYTHON_IMPORTS = {
+    "/pkg/mod.py": ((".", None), (".utils", "/pkg/utils.py"), ("..utils", "/utils.py"), (".sub.a", "/pkg/sub/a.py"), ("utils", "/utils.py"), ("pkg.sub", "/pkg/sub/__init__.py"), ("os", None), ("ns", "/ns/deep/y.py"), ("sub", "/pkg/sub/__init__.py")),
+    "/tools/run.py": (("help", "/tools/help.py"), ("pkg", "/pkg/__init__.py"), ("ns.deep", "/ns/deep/y.py"), ("tools", None), ("nothing", None)),
+}
+PYTHON_PAIRS = [(f, s, t) for f, pairs in PYTHON_IMPORTS.items() for s, t in pairs]
+
+
+@query("j4_python_modules", " UNION ALL ".join(f"SELECT concat('c', {K}, '{f}') AS file, '{s}' AS specifier, concat('c', {K}, '{t}') AS target FROM customer" for f, s, t in PYTHON_PAIRS if t and s not in (".",)) + f" UNION ALL SELECT concat('c', {K}, '/pkg/mod.py'), '.', concat('c', {K}, '/pkg/__init__.py') FROM customer")
+def python_modules(spark, sf):
+    imports = view(spark, sf, " UNION ALL ".join(f"SELECT concat('c', {K}, '{f}') AS file, '{s}' AS specifier FROM customer" for f, s, _ in PYTHON_PAIRS))
+    return M.python_targets(imports, view(spark, sf, PYTHON_FILES))
+
+
+@query("j4_go_packages", f"SELECT concat('m', {K}, '/main.go') AS file, concat('example.com/m', {K}, '/internal/auth') AS specifier, concat('m', {K}, '/internal/auth/a.go') AS target FROM customer UNION ALL SELECT concat('m', {K}, '/main.go'), concat('example.com/m', {K}), concat('m', {K}, '/main.go') FROM customer")
+def go_packages(spark, sf):
+    files = view(spark, sf, f"SELECT explode(array(concat('m', {K}, '/main.go'), concat('m', {K}, '/internal/auth/b.go'), concat('m', {K}, '/internal/auth/a.go'), concat('m', {K}, '/internal/auth/_a_test.go'), concat('m', {K}, '/docs/x_test.go'))) AS path FROM customer")
+    imports = view(spark, sf, f"SELECT concat('m', {K}, '/main.go') AS file, explode(array('fmt', concat('example.com/m', {K}, '/internal/auth'), concat('example.com/m', {K}, '/docs'), concat('example.com/m', {K}), concat('example.com/mm', {K}))) AS specifier FROM customer")
+    modules = view(spark, sf, f"SELECT concat('example.com/m', {K}) AS module, concat('m', {K}) AS dir, c_custkey AS place FROM customer")
+    return M.go_targets(imports, files, modules)
+
+
+@query("j10_document_links", f"SELECT concat('doc:d/', {K}, '.md') AS src, concat('x/a', {K}, '.md') AS dst, 'documents' AS kind, 'extracted' AS confidence FROM customer WHERE c_custkey % 2 = 0")
+def doc_links(spark, sf):
+    links = view(spark, sf, f"SELECT concat('d/', {K}, '.md') AS path, explode(array(concat('../../x/./a', {K}, '.md#top'), concat('/x/a', {K}, '.md?q'), 'https://a/b', '#here', 'gone.md')) AS href FROM customer")
+    return E.document_links(links, view(spark, sf, f"SELECT concat('x/a', {K}, '.md') AS path FROM customer WHERE c_custkey % 2 = 0"))
+
+
+@query("g18_entity_graph", f"""WITH RECURSIVE m AS (SELECT max(c_custkey) AS m FROM customer)
+  SELECT concat('sql:app.t', {K}) AS src, concat('sql:app.t', CAST(c_custkey + 1 AS STRING)) AS dst, 'fk' AS kind, 'inferred' AS confidence FROM customer, m WHERE c_custkey + 1 <= m
+  UNION ALL SELECT concat('sql:v', {K}), concat('sql:app.t', {K}), 'references', 'inferred' FROM customer UNION ALL SELECT concat('sql:v', {K}), concat('sql:app.t', CAST(c_custkey + 2 AS STRING)), 'references', 'inferred' FROM customer, m WHERE c_custkey + 2 <= m
+  UNION ALL SELECT DISTINCT 'iac:sub.s', concat('iac:net.a', {K}), 'depends-on', 'extracted' FROM customer
+  UNION ALL SELECT concat('doc:d/', {K}, '.md'), concat('f', {K}), 'documents', 'extracted' FROM customer
+  UNION ALL SELECT concat('doc:d/', {K}, '.md'), concat('sql:app.t', {K}), 'documents', 'inferred' FROM customer WHERE length({K}) >= 3""")
+def entities(spark, sf):
+    docs = view(spark, sf, f"SELECT concat('d/', {K}, '.md') AS path, concat('Doc ', {K}) AS title FROM customer")
+    links = docs.select("path", F.concat(F.lit("../f"), F.regexp_extract("path", r"(\d+)", 1)).alias("href"))
+    headings = docs.select("path", F.concat(F.lit("On T"), F.regexp_extract("path", r"(\d+)", 1), F.lit(" and the rest")).alias("text"))
+    files = view(spark, sf, f"SELECT concat('f', {K}) AS path FROM customer")
+    return E.entity_graph(texts(spark, sf, *DDL), texts(spark, sf, *HCL), docs, links, headings, files)[1]
+
+
+@query("g18_entities", f"SELECT kind, count(*) AS n FROM (SELECT explode_kind AS kind FROM customer, LATERAL (VALUES ('table'), ('view'), ('doc'), ('resource')) t(explode_kind) UNION ALL SELECT 'resource') GROUP BY kind")
+def entity_kinds(spark, sf):
+    docs = view(spark, sf, f"SELECT concat('d/', {K}, '.md') AS path, concat('Doc ', {K}) AS title FROM customer")
+    none = docs.select("path", F.lit("#").alias("href")), docs.select("path", F.lit("").alias("text")), docs.select("path")
+    return E.entity_graph(texts(spark, sf, *DDL), texts(spark, sf, *HCL), docs, *none)[0].groupBy("kind").agg(F.count("*").alias("n"))
+
+
+@query("j14_symbol_facts", f"SELECT concat('s', {K}) AS id, CASE WHEN c_custkey % 4 = 0 THEN concat('s', {K}) ELSE concat('f', {NAT}) END AS path, CASE WHEN c_custkey % 4 > 0 AND c_nationkey < 20 THEN c_nationkey / 100.0 ELSE 0.0 END::DOUBLE AS importance, CASE WHEN c_custkey % 4 > 0 AND c_nationkey < 20 THEN CAST(c_nationkey AS BIGINT) END AS loc FROM customer")
+def facts(spark, sf):
+    items = view(spark, sf, f"SELECT concat('s', {K}) AS id FROM customer")
+    symbols = view(spark, sf, f"SELECT concat('s', {K}) AS id, concat('f', {NAT}) AS path FROM customer WHERE c_custkey % 4 > 0")
+    files = view(spark, sf, "SELECT concat('f', CAST(n_nationkey AS STRING)) AS path, CAST(n_nationkey / 100 AS DOUBLE) AS importance, 1D AS churn, CAST(n_nationkey AS BIGINT) AS loc FROM nation WHERE n_nationkey < 20")
+    return M.symbol_facts(items, symbols, files).select("id", "path", "importance", "loc")
+
+
+@query("k1_pack_round_trip", f"SELECT {K} AS c_custkey, c_name, CASE WHEN c_nationkey % 5 = 0 THEN NULL ELSE concat('a', chr(9), 'b', chr(10), chr(92), {NAT}) END AS note FROM customer")
+def pack_rows(spark, sf):
+    """Tables written as a pack and read back strictly; an empty one stays in the file."""
+    t = view(spark, sf, f"SELECT {K} AS c_custkey, c_name, CASE WHEN c_nationkey % 5 = 0 THEN NULL ELSE concat('a', chr(9), 'b', chr(10), chr(92), {NAT}) END AS note FROM customer")
+    path = f"{shared_dir(spark)}/stratalens/pack-{uuid.uuid4().hex}"
+    pack.encode(spark, {"customers": t, "none": t.limit(0)}, path)
+    return pack.decode(spark, path)["customers"]
+
+
+@query("k4_change_lines", f"SELECT place, count(*) AS n, min(value) AS first FROM (SELECT 0 AS place, concat('x files ', {K}) AS value FROM customer WHERE c_custkey % 3 = 0 UNION ALL SELECT 1, concat('+ files ', {K}, chr(9), c_name) FROM customer WHERE c_custkey % 4 = 0) GROUP BY place")
+def change_lines(spark, sf):
+    t = view(spark, sf, f"SELECT {K} AS path, c_name, c_custkey FROM customer")
+    lines = pack.encode_changes(t.where("c_custkey % 4 = 0").select("path", "c_name"), t.where("c_custkey % 3 = 0").select("path"), "files", "path")
+    return lines.groupBy("place").agg(F.count("*").alias("n"), F.min("value").alias("first"))
+
+
+@query("k6_graphml", f"""SELECT place, value FROM (SELECT 0 AS place, concat('<node id="f', {K}, '&lt;"/>') AS value FROM customer UNION ALL SELECT 1, concat('<edge source="f', {K}, '&lt;" target="n', {NAT}, '" label="import"/>') FROM customer)""")
+def graphml(spark, sf):
+    t = view(spark, sf, f"SELECT concat('f', {K}, '<') AS id, concat('n', {NAT}) AS dst FROM customer")
+    return pack.graphml_lines(t.select("id"), t.select(F.col("id").alias("src"), "dst", F.lit("import").alias("kind")))
+
+
+@query("s1_walk", "SELECT concat('r', CAST(n_regionkey AS STRING)) AS dir, n_name AS line, 'ok' AS status FROM nation")
+def walked(spark, sf):
+    """Files of a tree written here, one folder a region; what lies in an excluded folder is not read."""
+    root = f"{shared_dir(spark)}/stratalens/tree-{uuid.uuid4().hex}"
+    t = view(spark, sf, "SELECT concat('r', CAST(n_regionkey AS STRING)) AS dir, n_name FROM nation")
+    for folder in ("src", "node_modules"):
+        t.repartition(1, "dir").write.partitionBy("dir").text(f"{root}/{folder}")
+    found = readers.walk(spark, root)
+    return found.where("path like '%.txt'").select(F.regexp_extract("path", "dir=([^/]+)/", 1).alias("dir"), F.explode(F.split(F.trim(F.col("text"), F.lit("\n")), "\n")).alias("line"), "status")
+
+
+#: a tree for each nation: rules at its root and deeper ones that keep again
+TREE = "SELECT concat('n', CAST(n_nationkey AS STRING), f) AS path FROM nation, LATERAL (SELECT explode(array('/a.log', '/src/a.ts', '/src/b.log', '/src/keep.log', '/out/x.ts', '/out/deep/y.ts', '/src/out', '/doc/a/z.txt', '/doc/z.txt', '/doc/a/b/z.md', '/q1.tmp', '/q12.tmp')) AS f)"
+IGNORES = "SELECT concat('n', CAST(n_nationkey AS STRING), f.p) AS path, f.t AS text FROM nation, LATERAL (SELECT explode(array(named_struct('p', '/.gitignore', 't', concat_ws(chr(10), '# logs', '*.log', 'out/', '/doc/**/*.txt', 'q?.tmp', '!q1.log')), named_struct('p', '/src/.gitignore', 't', '!keep.log'))) AS f)"
+
+
+@query("s2_ignore_levels", "SELECT concat('n', CAST(n_nationkey AS STRING), f) AS path FROM nation, LATERAL (VALUES ('/src/a.ts'), ('/src/keep.log'), ('/src/out'), ('/doc/a/b/z.md'), ('/q12.tmp')) t(f)")
+def ignored(spark, sf):
+    return readers.without_ignored(view(spark, sf, TREE), readers.ignore_rules(view(spark, sf, IGNORES)))
+
+
+@query("s11_npm_dependencies", f"SELECT concat('f', {K}) AS path, package, spec, scope FROM customer, LATERAL (VALUES (concat('a', {NAT}), '^1.0.0', 'direct'), ('b', concat('~', {NAT}), 'dev'), ('c', '*', 'peer')) t(package, spec, scope)")
+def manifests(spark, sf):
+    return readers.npm_dependencies(texts(spark, sf, f"concat('{{\"name\":\"x\",\"dependencies\":{{\"a', {NAT}, '\":\"^1.0.0\"}},\"devDependencies\":{{\"b\":\"~', {NAT}, '\"}},\"peerDependencies\":{{\"c\":\"*\"}}}}')"))
+
+
+@query("s12_yarn_lock", f"SELECT concat('f', {K}) AS path, package, spec, version FROM customer, LATERAL (VALUES ('@x/y', '^1.0.0', concat('1.2.', {NAT})), ('@x/y', '~1.2.0', concat('1.2.', {NAT})), ('left', '1', '1.0.0')) t(package, spec, version)")
+def yarn(spark, sf):
+    return readers.yarn_lock_versions(texts(spark, sf, "'# yarn lockfile v1'", "''", "'\"@x/y@^1.0.0\", \"@x/y@~1.2.0\":'", f"concat('  version \"1.2.', {NAT}, '\"')", "''", "'left@1:'", "'  version \"1.0.0\"'"))
+
+
+@query("p12_doc_kind", "SELECT path, kind FROM (VALUES ('README.md', 'readme'), ('docs/x.md', 'guide'), ('adr/1.md', 'adr'), ('ROADMAP.md', 'roadmap'), ('x/plan.md', 'plan'), ('x/notes.md', 'other'), ('CHANGELOG', 'changelog')) t(path, kind), (SELECT 1 FROM region LIMIT 1)")
+def kinds(spark, sf):
+    t = view(spark, sf, "SELECT explode(array('README.md', 'docs/x.md', 'adr/1.md', 'ROADMAP.md', 'x/plan.md', 'x/notes.md', 'CHANGELOG')) AS path FROM (SELECT 1 FROM region LIMIT 1)")
+    return t.select("path", S.doc_kind(F.col("path")).alias("kind"))
+
+
+@query("p13_p14_path_kinds", f"SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 'TypeScript' WHEN 1 THEN 'YAML' WHEN 2 THEN 'Other' ELSE 'Python' END AS language, c_custkey % 4 IN (1, 2) AS noise, c_custkey % 4 IN (0, 3) AS source FROM customer")
+def path_kinds(spark, sf):
+    t = view(spark, sf, f"SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN concat('a/', {K}, '.TSX') WHEN 1 THEN 'x/pnpm-lock.yaml' WHEN 2 THEN '.gitignore' ELSE concat({K}, '.py') END AS path FROM customer")
+    p = F.col("path")
+    return t.select("c_custkey", S.language_of(p).alias("language"), S.is_lock_or_dotfile(p).alias("noise"), S.is_source_path(p).alias("source"))

@@ -63,8 +63,7 @@ def moved(spark, sf):
 @query("d5_graded_sides", f"WITH {RB}, {RH}, f AS (SELECT rule, file FROM (SELECT DISTINCT rule, file, 1 AS s FROM rb UNION ALL SELECT DISTINCT rule, file, 2 FROM rh) GROUP BY rule, file HAVING count(*) = 1) SELECT rule, file, count(*) AS findings FROM (SELECT rule, file FROM rb UNION ALL SELECT rule, file FROM rh) SEMI JOIN f USING (rule, file) GROUP BY rule, file")
 def graded(spark, sf):
     """With different rule revisions only what stands on one side is graded."""
-    b, h, key = view(spark, sf, RISKS_BASE), view(spark, sf, RISKS_HEAD), ["rule", "file"]
-    return b.select(*key).unionAll(h.select(*key)).join(D.one_sided(b, h, key).select(*key), key, "left_semi").groupBy(*key).agg(F.count("*").alias("findings"))
+    return D.graded_sides(view(spark, sf, RISKS_BASE), view(spark, sf, RISKS_HEAD), ["rule", "file"], same_rules=False)
 
 
 @query("d7_keyed_diff", f"WITH {B}, {H}, x AS (SELECT b.path AS o, h.path AS n FROM b FULL JOIN h ON b.path = h.path WHERE b.path IS NULL OR h.path IS NULL OR (b.loc, b.tokens, b.language, b.mtime) IS DISTINCT FROM (h.loc, h.tokens, h.language, h.mtime)) SELECT n AS path, '+' AS op FROM x WHERE n IS NOT NULL UNION ALL SELECT o, 'x' FROM x WHERE o IS NOT NULL")
@@ -98,14 +97,32 @@ def route_sets(spark, sf):
     return D.one_sided(view(spark, sf, RISKS_BASE), view(spark, sf, RISKS_HEAD), ["rule", "file", "category"])
 
 
+#: findings of the change: categories so that exposed, possible and fixture secrets and others occur
+CHANGE = "SELECT rule, file, CASE WHEN line % 3 = 0 THEN 'secret' ELSE category END AS category, CASE WHEN line % 5 = 0 THEN 'low' WHEN line % 7 = 0 THEN 'info' ELSE severity END AS severity, side FROM m"
+STATES = "SELECT concat('c', CAST(n_nationkey AS STRING)) AS scc, CASE WHEN n_nationkey % 3 = 0 THEN 'fresh' WHEN n_nationkey % 3 = 1 THEN 'grown' ELSE 'old' END AS state FROM nation"
+VULNS = "SELECT concat('V', CAST(p_partkey AS STRING)) AS id, CASE WHEN p_size % 5 = 0 THEN 'critical' WHEN p_size % 5 = 1 THEN 'unknown' ELSE 'low' END AS severity, CASE WHEN p_size % 5 = 0 THEN 'dev' ELSE 'direct' END AS scope, CASE WHEN p_size > 25 THEN 'new' ELSE 'fixed' END AS side FROM part"
+
+
 @query("d12_verdict", f"""
-    WITH {B}, {H}, {FILES}, {MULTI}, e AS ({EDGES}), reach AS (SELECT dst, count(DISTINCT src) AS reached FROM e GROUP BY dst),
-    f AS (SELECT CASE WHEN reached >= 20 THEN 3 ELSE 2 END AS r FROM reach WHERE reached >= 5 UNION ALL SELECT CASE WHEN category = 'secret' THEN 4 WHEN severity = 'unknown' THEN 3 ELSE list_position(['info', 'low', 'medium', 'high', 'critical'], severity) END FROM m WHERE side = 'new')
-    SELECT ['info', 'low', 'medium', 'high', 'critical'][coalesce(max(r), 1)] AS severity, count(*) AS findings, (SELECT count(*) FROM d) AS changed_files, (SELECT CAST(sum(loc_delta) AS BIGINT) FROM d) AS loc_delta FROM f""")
+    WITH {B}, {H}, {FILES}, {MULTI}, e AS ({EDGES}), reach AS (SELECT dst, count(DISTINCT src) AS reached FROM e GROUP BY dst), c AS (SELECT * FROM ({CHANGE}) WHERE side = 'new'), s AS ({STATES}), v AS (SELECT * FROM ({VULNS}) WHERE side = 'new' AND scope = 'direct'),
+    f AS (SELECT 4 AS r FROM c WHERE category = 'secret' AND severity NOT IN ('low', 'info') LIMIT 1), g AS (SELECT 2 AS r FROM c WHERE category <> 'secret' LIMIT 1), l AS (SELECT DISTINCT 3 AS r, state FROM s WHERE state <> 'old'),
+    t AS (SELECT CASE WHEN max(reached) >= 20 THEN 3 ELSE 2 END AS r FROM reach HAVING max(reached) >= 5), w AS (SELECT max(CASE severity WHEN 'low' THEN 2 WHEN 'high' THEN 4 WHEN 'critical' THEN 5 ELSE 3 END) AS r FROM v HAVING count(*) > 0),
+    every AS (SELECT r FROM f UNION ALL SELECT r FROM g UNION ALL SELECT r FROM l UNION ALL SELECT r FROM t UNION ALL SELECT r FROM w)
+    SELECT ['none', 'low', 'medium', 'high', 'critical'][coalesce(max(r), 1)] AS severity, count(*) AS findings, (SELECT count(*) FROM d) AS changed_files, (SELECT CAST(sum(loc_delta) AS BIGINT) FROM d) AS loc_delta FROM every""")
 def verdict(spark, sf):
     reach = view(spark, sf, EDGES).groupBy(F.col("dst").alias("seed")).agg(F.countDistinct("src").alias("reached"))
-    none = spark.createDataFrame([], "scc string, state string")
-    return D.verdict(file_diff(spark, sf), risks(spark, sf), reach, none)
+    change = F.when(F.col("line") % 3 == 0, "secret").otherwise(F.col("category")), F.when(F.col("line") % 5 == 0, "low").when(F.col("line") % 7 == 0, "info").otherwise(F.col("severity"))
+    found = risks(spark, sf).select(change[0].alias("category"), change[1].alias("severity"), "side")
+    return D.verdict(file_diff(spark, sf), found, reach, view(spark, sf, STATES), view(spark, sf, VULNS))
+
+
+@query("d12_quiet_verdict", "SELECT 'none' AS severity, CAST(0 AS BIGINT) AS findings, CAST(0 AS BIGINT) AS changed_files, CAST(0 AS BIGINT) AS loc_delta")
+def quiet(spark, sf):
+    """A snapshot against itself."""
+    base = view(spark, sf, BASE)
+    same = D.multiset_diff(view(spark, sf, RISKS_BASE), view(spark, sf, RISKS_BASE), ["rule", "file"], ["line", "severity", "category"])
+    none = view(spark, sf, EDGES).select(F.col("dst").alias("seed"), F.lit(0).alias("reached")).where(F.lit(False))
+    return D.verdict(D.file_diff(base, base), same, none, view(spark, sf, STATES).where("state = 'old'"), view(spark, sf, VULNS).where("scope = 'dev'"))
 
 
 @query("d13_sync_mode", "SELECT o_orderkey, CASE WHEN o_orderkey % 7 = o_custkey % 7 THEN 'unchanged' WHEN o_orderkey % 7 = o_custkey % 5 THEN 'diff' ELSE 'full' END AS mode FROM orders")
@@ -119,9 +136,15 @@ def latest(spark, sf):
     return view(spark, sf, "SELECT concat('snapshot-', date_format(o_orderdate, 'yyyy-MM-dd')) AS name FROM orders").orderBy(F.desc("name")).limit(1)
 
 
-@query("d6_cycle_delta")
+def scc_sql(name: str, edges: str) -> str:
+    return f"{name}_r AS (SELECT src AS a, dst AS b FROM ({edges}) UNION SELECT r.a, e.dst FROM {name}_r r JOIN ({edges}) e ON e.src = r.b), {name} AS (SELECT x.a AS id, min(least(x.a, x.b)) AS scc FROM {name}_r x JOIN {name}_r y ON x.a = y.b AND x.b = y.a WHERE x.a <> x.b GROUP BY x.a)"
+
+
+@query("d6_cycle_delta", f"""WITH RECURSIVE e AS ({SMALL_EDGES}), {scc_sql('o', "SELECT * FROM e WHERE CAST(substr(src, 2) AS BIGINT) % 5 <> 0")}, {scc_sql('h', 'SELECT * FROM e')},
+  n AS (SELECT scc, count(*) AS n FROM h GROUP BY scc), m AS (SELECT scc, max(k) AS k FROM (SELECT h.scc, o.scc AS was, count(*) AS k FROM h JOIN o USING (id) GROUP BY 1, 2) GROUP BY scc)
+  SELECT scc, CASE WHEN k IS NULL THEN 'fresh' WHEN k >= n THEN 'old' ELSE 'grown' END AS state FROM n LEFT JOIN m USING (scc)""")
 def cycle_delta(spark, sf):
-    """Cycles of the small graph against those with the odd sources' edges left out."""
+    """Cycles of the small graph against those with every fifth source's edges left out."""
     e = view(spark, sf, SMALL_EDGES)
     return D.cycle_delta(G.strongly_connected(e.where("cast(substr(src, 2) as bigint) % 5 <> 0")), G.strongly_connected(e))
 

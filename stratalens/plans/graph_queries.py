@@ -50,20 +50,23 @@ def suggestions(spark, sf):
     return G.did_you_mean(nodes(spark, sf), "F12").select("id")
 
 
-@query("g1_build_graph", f"WITH {E} SELECT DISTINCT src, dst, kind FROM edges WHERE src <> dst")
+#: resolved imports before the graph is built: repeated rows, loops, unresolved ones and `require`
+RAW_IMPORTS = f"SELECT src AS file, dst AS target, CASE WHEN kind = 'dynamic-import' THEN 'require' ELSE kind END AS kind FROM ({EDGES}) UNION ALL SELECT src, src, kind FROM ({EDGES}) UNION ALL SELECT src, CAST(NULL AS STRING), kind FROM ({EDGES}) UNION ALL SELECT src, dst, kind FROM ({EDGES}) WHERE kind = 'import'"
+
+
+@query("g1_build_graph", f"WITH {E} SELECT DISTINCT src, dst, CASE WHEN kind = 'dynamic-import' THEN 'import' ELSE kind END AS kind FROM edges")
 def build_graph(spark, sf):
-    return edges(spark, sf).where("src <> dst").select("src", "dst", "kind").distinct()
+    return G.build_graph(view(spark, sf, RAW_IMPORTS))
 
 
 @query("g2_callers", f"WITH {N}, {E} SELECT DISTINCT src AS id FROM edges WHERE dst IN (SELECT id FROM nodes WHERE k = 5)")
 def who_calls(spark, sf):
-    e, t = edges(spark, sf), seed(spark, sf, 5).withColumnRenamed("id", "dst")
-    return e.join(F.broadcast(t), "dst", "left_semi").select(F.col("src").alias("id")).distinct()
+    return G.callers(edges(spark, sf), seed(spark, sf, 5).first()["id"])
 
 
-@query("a4_caller_index", f"WITH {E} SELECT dst AS id, string_agg(src, ',' ORDER BY src) AS callers, count(*) AS n_callers FROM (SELECT DISTINCT src, dst FROM edges) GROUP BY dst")
+@query("a4_caller_index", f"WITH {E}, p AS (SELECT DISTINCT dst AS id, src AS caller FROM edges) SELECT id, caller, count(*) OVER (PARTITION BY id) AS n_callers FROM p")
 def caller_index(spark, sf):
-    return G.caller_index(edges(spark, sf)).withColumn("callers", F.array_join("callers", ","))
+    return G.caller_index(edges(spark, sf))
 
 
 @query("a5_in_degree_top", f"WITH {E} SELECT dst AS id, count(*) AS n_in FROM edges GROUP BY dst ORDER BY n_in DESC, id LIMIT 20")
@@ -160,13 +163,17 @@ def cycles(spark, sf):
     return G.strongly_connected(view(spark, sf, SMALL_EDGES))
 
 
-@query("v7_layers", f"""
-    WITH RECURSIVE {SN}, {SE}, acyclic AS (SELECT src, dst FROM edges WHERE CAST(substr(src, 2) AS BIGINT) > CAST(substr(dst, 2) AS BIGINT)),
-    walk AS (SELECT id, CAST(0 AS BIGINT) AS layer FROM nodes WHERE id NOT IN (SELECT dst FROM acyclic) UNION SELECT e.dst, w.layer + 1 FROM walk w JOIN acyclic e ON e.src = w.id)
+@query("v7_layers", f"""{CLOSURE}, cyclic AS (SELECT DISTINCT a AS id FROM r WHERE a = b), bad AS (SELECT id FROM cyclic UNION SELECT b FROM r WHERE a IN (FROM cyclic)),
+    walk AS (SELECT id, CAST(0 AS BIGINT) AS layer FROM nodes WHERE id NOT IN (SELECT dst FROM edges) UNION SELECT e.dst, w.layer + 1 FROM walk w JOIN edges e ON e.src = w.id WHERE e.dst NOT IN (FROM bad))
     SELECT id, max(layer) AS layer FROM walk GROUP BY id""")
 def layered(spark, sf):
-    e = view(spark, sf, SMALL_EDGES).where("cast(substr(src, 2) as bigint) > cast(substr(dst, 2) as bigint)")
-    return G.layers(e, view(spark, sf, SMALL_NODES))
+    return G.layers(view(spark, sf, SMALL_EDGES), view(spark, sf, SMALL_NODES))
+
+
+@query("v6_cycles_with_loops", f"""{CLOSURE.replace(SE, f"edges AS ({SMALL_EDGES} UNION ALL SELECT id, id FROM ({SMALL_NODES}) WHERE k % 9 = 0)")}, m AS (SELECT x.a AS id, min(least(x.a, x.b)) AS scc FROM r x JOIN r y ON x.a = y.b AND x.b = y.a GROUP BY x.a) SELECT scc, id FROM m""")
+def cycles_with_loops(spark, sf):
+    loops = view(spark, sf, f"SELECT id AS src, id AS dst FROM ({SMALL_NODES}) WHERE k % 9 = 0")
+    return G.strongly_connected(view(spark, sf, SMALL_EDGES).unionAll(loops), self_loops=True)
 
 
 def pagerank_sql(rounds: int) -> str:
@@ -182,11 +189,25 @@ def importance(spark, sf):
     return G.pagerank(view(spark, sf, SMALL_NODES), view(spark, sf, SMALL_EDGES))
 
 
-@query("g15_label_propagation_synchronous")
+def labels_sql(rounds: int) -> str:
+    parts = [SN, SE, "two AS (SELECT src AS a, dst AS b FROM edges WHERE src <> dst UNION SELECT dst, src FROM edges WHERE src <> dst)", "l0 AS (SELECT id, id AS label FROM nodes)"]
+    for k in range(1, rounds + 1):
+        p = f"l{k - 1}"
+        parts.append(f"l{k} AS MATERIALIZED (SELECT id, arg_min(label, (-n, label)) AS label FROM (SELECT id, label, count(*) AS n FROM (SELECT two.a AS id, p.label FROM two JOIN {p} p ON p.id = two.b UNION ALL SELECT id, label FROM {p}) GROUP BY 1, 2) GROUP BY id)")
+    return f"WITH {', '.join(parts)}, f AS (SELECT label, dense_rank() OVER (ORDER BY first) - 1 AS community FROM (SELECT label, min(id) AS first FROM l{rounds} GROUP BY label)) SELECT id, community FROM l{rounds} JOIN f USING (label)"
+
+
+@query("g15_label_propagation_synchronous", labels_sql(10))
 def communities(spark, sf):
     return G.label_propagation(view(spark, sf, SMALL_NODES), view(spark, sf, SMALL_EDGES))
 
 
+@query("w9_numbered_communities", f"WITH {N}, l AS (SELECT id, concat(grp, CAST(nation AS STRING)) AS label FROM nodes), f AS (SELECT label, min(id) AS first FROM l GROUP BY label) SELECT first, dense_rank() OVER (ORDER BY first) - 1 AS community FROM f")
+def renumbered(spark, sf):
+    first = nodes(spark, sf).groupBy(F.concat("grp", F.col("nation").cast("string")).alias("label")).agg(F.min("id").alias("first"))
+    return G.numbered(first, "first", "community").select("first", "community")
+
+
 @query("v1_heatmap", f"WITH {N}, {E} SELECT a.grp AS from_group, b.grp AS to_group, count(*) AS edges FROM edges e JOIN nodes a ON a.id = e.src JOIN nodes b ON b.id = e.dst GROUP BY 1, 2")
 def heat(spark, sf):
     return G.heatmap(nodes(spark, sf), edges(spark, sf))
@@ -213,8 +234,7 @@ def couplings(spark, sf):
 
 @query("v5_group_keys", f"WITH {N} SELECT split_part(id, '/', 1) AS top, concat(split_part(id, '/', 1), '/', split_part(id, '/', 2)) AS two, count(*) AS files FROM nodes GROUP BY 1, 2")
 def groups(spark, sf):
-    p = F.split("id", "/")
-    return nodes(spark, sf).groupBy(F.when(F.size(p) < 2, "·").otherwise(p[0]).alias("top"), F.array_join(F.slice(p, 1, 2), "/").alias("two")).agg(F.count("*").alias("files"))
+    return G.group_keys(nodes(spark, sf)).groupBy("top", "two").agg(F.count("*").alias("files"))
 
 
 @query("a10_package_edges", f"""
@@ -232,10 +252,9 @@ def importers(spark, sf):
     return G.hub_importers(edges(spark, sf))
 
 
-@query("a12_top_table", f"WITH {N}, {E} SELECT n.id, n.tokens, count(e.src) AS n_in FROM nodes n LEFT JOIN edges e ON e.dst = n.id GROUP BY 1, 2 ORDER BY tokens DESC, id LIMIT 20")
+@query("a12_top_table", f"WITH {N}, {E}, t AS (SELECT id, tokens, loc / 10000 AS importance FROM nodes ORDER BY importance DESC, id LIMIT 20) SELECT t.id, t.tokens, count(e.src) AS n_in FROM t LEFT JOIN edges e ON e.dst = t.id GROUP BY 1, 2")
 def top_table(spark, sf):
-    d = edges(spark, sf).groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("n_in"))
-    return nodes(spark, sf).join(d, "id", "left").select("id", "tokens", F.coalesce("n_in", F.lit(0)).alias("n_in")).orderBy(F.desc("tokens"), "id").limit(20)
+    return G.top_nodes(nodes(spark, sf).withColumn("importance", F.col("loc") / 10000), edges(spark, sf)).select("id", "tokens", "n_in")
 
 
 @query("a14_confidence_tally", f"WITH {E} SELECT confidence, count(*) AS n FROM edges GROUP BY confidence")
@@ -243,14 +262,12 @@ def confidences(spark, sf):
     return edges(spark, sf).groupBy("confidence").agg(F.count("*").alias("n"))
 
 
-@query("v12_module_view", f"WITH {N} SELECT grp, count(*) AS files, CAST(sum(tokens) AS BIGINT) AS tokens, arg_max(id, (loc, id)) AS named FROM nodes GROUP BY grp HAVING count(*) >= 2")
+@query("v12_module_view", f"WITH {N} SELECT grp, count(*) AS files, CAST(sum(tokens) AS BIGINT) AS tokens, arg_min(id, (-loc, id)) AS named FROM nodes GROUP BY grp HAVING count(*) >= 2")
 def modules(spark, sf):
-    return nodes(spark, sf).groupBy("grp").agg(F.count("*").alias("files"), F.sum("tokens").alias("tokens"), F.max(F.struct("loc", "id"))["id"].alias("named")).where("files >= 2")
+    return G.module_view(nodes(spark, sf), "grp", "loc")
 
 
 @query("v10_tier_flow", f"""
     WITH {N}, {E} SELECT a.language AS from_tier, b.language AS to_tier, count(*) AS links, count(DISTINCT e.src) AS sources FROM edges e JOIN nodes a ON a.id = e.src JOIN nodes b ON b.id = e.dst WHERE a.language <> b.language GROUP BY 1, 2""")
 def tier_flow(spark, sf):
-    n = nodes(spark, sf)
-    a, b = n.select(F.col("id").alias("src"), F.col("language").alias("from_tier")), n.select(F.col("id").alias("dst"), F.col("language").alias("to_tier"))
-    return edges(spark, sf).join(a, "src").join(b, "dst").where("from_tier <> to_tier").groupBy("from_tier", "to_tier").agg(F.count("*").alias("links"), F.countDistinct("src").alias("sources"))
+    return G.tier_flow(nodes(spark, sf), edges(spark, sf), "language")

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from stratalens.operators import log as L
 from stratalens.plans.adapters import LOG, view
 from stratalens.registry import query
+from stratalens.sources.readers import read_events
+from stratalens.storage import shared_dir
 
 T = f"log AS ({LOG})"
 
@@ -38,7 +42,7 @@ def served(spark, sf):
 
 @query("r6_close_target", f"WITH {T} SELECT ckey, max(ts) AS ts FROM log WHERE ckey = 'task7' GROUP BY ckey")
 def close(spark, sf):
-    items = L.recent_entities(view(spark, sf, LOG), "ckey", 1000).withColumnRenamed("last", "ts").withColumn("text", F.concat(F.lit("text of "), F.col("ckey")))
+    items = view(spark, sf, LOG).groupBy("ckey").agg(F.max("ts").alias("ts")).withColumn("text", F.concat(F.lit("text of "), F.col("ckey")))
     return L.close_target(items, "task7").select("ckey", "ts")
 
 
@@ -61,9 +65,17 @@ def ring(spark, sf):
 
 @query("a22_counters", f"WITH {T} SELECT action, outcome, count(*) AS n, count(DISTINCT agent) AS agents FROM log GROUP BY action, outcome")
 def counters(spark, sf):
-    return view(spark, sf, LOG).groupBy("action", "outcome").agg(F.count("*").alias("n"), F.countDistinct("agent").alias("agents"))
+    return L.counters(view(spark, sf, LOG))
+
+
+#: the log as JSON lines; some are blank, broken or lack a field
+JSON_LINES = """SELECT CASE WHEN event_id % 10 = 0 THEN '' WHEN event_id % 10 = 1 THEN concat('{broken ', CAST(event_id AS STRING)) WHEN event_id % 10 = 2 THEN '{"agent":"a"}'
+  ELSE concat('{"timestamp":"2024-01-01T00:00:00Z","action":"', event_type, '","agent":"agent', CAST(user_id % 7 AS STRING), '","confidence":0.5}') END AS value FROM events"""
 
 
-@query("s8_props_parse", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
-def props(spark, sf):
-    return view(spark, sf, "SELECT * FROM events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
+@query("s8_read_events", "SELECT event_type AS kind, concat('agent', CAST(user_id % 7 AS STRING)) AS detail, count(*) AS n FROM events WHERE event_id % 10 > 2 GROUP BY 1, 2 UNION ALL SELECT 'error', CASE event_id % 10 WHEN 1 THEN 'not JSON' ELSE 'schema' END, count(*) FROM events WHERE event_id % 10 IN (1, 2) GROUP BY 1, 2")
+def read_log(spark, sf):
+    path = f"{shared_dir(spark)}/stratalens/log-{uuid.uuid4().hex}"
+    view(spark, sf, JSON_LINES).write.text(path)
+    events, errors = read_events(spark, path)
+    return events.groupBy(F.col("action").alias("kind"), F.col("agent").alias("detail")).agg(F.count("*").alias("n")).unionAll(errors.groupBy(F.lit("error"), "reason").agg(F.count("*")))

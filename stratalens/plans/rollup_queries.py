@@ -22,15 +22,28 @@ def env(spark, sf):
     return R.env_rollup(view(spark, sf, READS.replace('"default"', "`default`")))
 
 
-FINDINGS = "SELECT CAST(l_suppkey AS BIGINT) AS team, CASE l_linenumber % 5 WHEN 0 THEN 'secret' WHEN 1 THEN 'vulnerability' WHEN 2 THEN 'cycle' WHEN 3 THEN 'todo' ELSE 'style' END AS category FROM lineitem WHERE l_quantity > 49"
-COST = "CASE c WHEN 'secret' THEN least(30, floor(n * 10 + 0.5)) WHEN 'vulnerability' THEN least(25, floor(n * 5 + 0.5)) WHEN 'cycle' THEN least(15, floor(n * 3 + 0.5)) WHEN 'todo' THEN least(10, floor(n * 0.2::DOUBLE + 0.5)) ELSE least(10, floor(n * 1 + 0.5)) END"
+#: line items as an order's findings, files, vulnerabilities and cycles
+RISKS = """SELECT l_orderkey AS project, CASE WHEN l_quantity > 44 THEN 'secret' WHEN l_quantity > 36 THEN 'broken-import' WHEN l_quantity > 32 THEN 'parse-error' WHEN l_quantity > 24 THEN 'large-file' ELSE 'style' END AS category,
+  CASE WHEN l_linenumber = 2 THEN 'unscanned-import' ELSE 'rule' END AS rule, CASE WHEN l_discount < 0.03 THEN 'low' WHEN l_discount < 0.05 THEN 'info' ELSE 'high' END AS severity, CASE WHEN l_linenumber <> 5 THEN concat('f', CAST(l_partkey % 2 AS STRING)) END AS file FROM lineitem"""
+PROJECT_FILES = "SELECT l_orderkey AS project, CASE WHEN l_returnflag = 'R' THEN 'stale' ELSE 'fresh' END AS status, CAST(l_quantity * 3 AS BIGINT) AS todos FROM lineitem"
+VULNERABLE = "SELECT l_orderkey AS project, CASE CAST(l_quantity AS BIGINT) % 7 WHEN 0 THEN 'critical' WHEN 1 THEN 'high' WHEN 2 THEN 'medium' WHEN 3 THEN 'low' WHEN 4 THEN 'info' ELSE 'unknown' END AS severity, CASE WHEN l_linestatus = 'O' THEN 'direct' WHEN l_linenumber = 1 THEN NULL ELSE 'dev' END AS scope FROM lineitem WHERE l_tax > 0.03"
+CYCLES = "SELECT l_orderkey AS project, l_linenumber AS cycle FROM lineitem WHERE l_tax < 0.02"
 
 
 @query("a8_health", f"""
-  WITH p AS (SELECT team, CASE WHEN category = 'style' THEN 'other' ELSE category END AS c, count(*) AS n FROM ({FINDINGS}) GROUP BY 1, 2), k AS (SELECT team, c, CAST({COST} AS BIGINT) AS cost FROM p), o AS (SELECT *, row_number() OVER (PARTITION BY team ORDER BY cost DESC, c) AS i FROM k)
-  SELECT team, score, factors, CASE WHEN score >= 90 THEN 'A' WHEN score >= 80 THEN 'B' WHEN score >= 70 THEN 'C' WHEN score >= 60 THEN 'D' ELSE 'F' END AS grade FROM (SELECT team, CAST(greatest(0, 100 - sum(cost)) AS BIGINT) AS score, string_agg(c, ',' ORDER BY i) FILTER (WHERE i <= 3) AS factors FROM o GROUP BY team)""")
+  WITH r AS ({RISKS}), f AS ({PROJECT_FILES}), v AS ({VULNERABLE}), c AS ({CYCLES}),
+  p AS (SELECT project, 'secrets exposed' AS factor, least(60, 25 * count(*) FILTER (category = 'secret' AND severity NOT IN ('low', 'info'))) AS cost FROM r GROUP BY project
+    UNION ALL SELECT project, 'broken imports', least(32, 8 * count(DISTINCT file) FILTER (category IN ('broken-import', 'parse-error', 'read-error') AND rule <> 'unscanned-import')) FROM r GROUP BY project
+    UNION ALL SELECT project, 'oversized files', least(10, 2 * count(*) FILTER (category = 'large-file')) FROM r GROUP BY project
+    UNION ALL SELECT project, 'stale files', least(10, count(*) FILTER (status = 'stale')) FROM f GROUP BY project
+    UNION ALL SELECT project, 'TODOs', least(6, sum(todos) // 50) FROM f GROUP BY project
+    UNION ALL SELECT project, 'known vulnerabilities', least(50, coalesce(sum(CASE severity WHEN 'critical' THEN 20 WHEN 'high' THEN 12 WHEN 'medium' THEN 5 WHEN 'info' THEN 0 ELSE 2 END) FILTER (scope IS NULL OR scope = 'direct'), 0)) FROM v GROUP BY project
+    UNION ALL SELECT project, 'import cycles', least(18, 3 * count(*)) FROM c GROUP BY project),
+  o AS (SELECT *, row_number() OVER (PARTITION BY project ORDER BY cost DESC, factor) AS i FROM p)
+  SELECT project, score, factors, CASE WHEN score >= 90 THEN 'A' WHEN score >= 80 THEN 'B' WHEN score >= 70 THEN 'C' WHEN score >= 60 THEN 'D' ELSE 'F' END AS grade
+  FROM (SELECT project, CAST(greatest(0, 100 - sum(cost)) AS BIGINT) AS score, coalesce(string_agg(factor, ',' ORDER BY i) FILTER (WHERE i <= 3 AND cost > 0), '') AS factors FROM o GROUP BY project)""")
 def health(spark, sf):
-    return R.health(view(spark, sf, FINDINGS), "team")
+    return R.health(*[view(spark, sf, t) for t in (RISKS, PROJECT_FILES, VULNERABLE, CYCLES)], "project")
 
 
 COMMITS = "SELECT concat('f', CAST(l_partkey % 300 AS STRING)) AS path, CAST(l_suppkey % 9 AS STRING) AS author, concat('name', CAST(l_suppkey % 9 AS STRING)) AS name, l_shipdate AS ts FROM lineitem"
@@ -52,7 +65,7 @@ def floor(spark, sf):
 @query("v17_price_ladder", "SELECT CAST(o_orderkey AS BIGINT) AS item, model, b - t AS saved, floor(t / b * 10000 + 0.5) / 10000 AS ratio, floor(t / 1e6 * rate * 10000 + 0.5) / 10000 AS cost FROM (SELECT o_orderkey, floor(o_totalprice) AS t, floor(o_totalprice) * 2 + 1 AS b FROM orders) CROSS JOIN (VALUES ('small', 0.5::DOUBLE), ('large', 3.0::DOUBLE)) m(model, rate)")
 def ladder(spark, sf):
     u = view(spark, sf, "SELECT CAST(o_orderkey AS BIGINT) AS item, CAST(floor(o_totalprice) AS DOUBLE) AS tokens, CAST(floor(o_totalprice) * 2 + 1 AS DOUBLE) AS baseline FROM orders")
-    return R.price_ladder(u, spark.createDataFrame([("small", 0.5), ("large", 3.0)], "model string, rate double"))
+    return R.price_ladder(u, {"small": 0.5, "large": 3.0})
 
 
 @query("v20_rubric", "SELECT item, floor(sum(least(1.0, greatest(0.0, v)) * w) / sum(w) * 10000 + 0.5) / 10000 AS score FROM (SELECT user_id AS item, value / 100 AS v, CASE event_type WHEN 'click' THEN 2.0::DOUBLE WHEN 'view' THEN 1.0::DOUBLE WHEN 'purchase' THEN 5.0::DOUBLE END AS w FROM events) WHERE w IS NOT NULL GROUP BY item")
@@ -105,7 +118,7 @@ def enclosing(spark, sf):
 
 
 SYMBOLS = "SELECT concat('y', CAST(o_orderkey AS STRING)) AS id, concat('f', CAST(o_custkey % 90 AS STRING)) AS file, concat('n', CAST(o_orderkey % 400 AS STRING)) AS name FROM orders"
-REFS = "SELECT concat('f', CAST(l_partkey % 90 AS STRING)) AS file, concat('r', CAST(l_suppkey AS STRING)) AS src, concat('n', CAST(l_orderkey % 600 AS STRING)) AS name, 'call' AS kind FROM lineitem WHERE l_linenumber = 1"
+REFS = "SELECT concat('f', CAST(l_partkey % 90 AS STRING)) AS file, concat('r', CAST(l_suppkey AS STRING)) AS src, concat('n', CAST(l_orderkey % 600 AS STRING)) AS name, 'call' AS kind FROM lineitem"
 IMPORTED = "SELECT DISTINCT concat('f', CAST(c_custkey % 90 AS STRING)) AS file, concat('f', CAST(c_nationkey AS STRING)) AS target FROM customer"
 
 
@@ -130,38 +143,70 @@ ENTITIES = "SELECT concat('e', CAST(s_suppkey AS STRING)) AS id, CASE WHEN s_sup
 MENTIONS = "SELECT DISTINCT CASE WHEN o_orderkey % 3 = 0 THEN concat('Db.Table', CAST(o_orderkey % 40 AS STRING)) ELSE concat('TABLE', CAST(o_orderkey % 40 AS STRING)) END AS name FROM orders"
 
 
-@query("j9_named_entity", f"WITH e AS ({ENTITIES}), m AS ({MENTIONS}) SELECT m.name, coalesce((SELECT min(id) FROM e WHERE e.name = m.name), (SELECT min(id) FROM e WHERE lower(regexp_extract(e.name, '[^.]*$')) = lower(regexp_extract(m.name, '[^.]*$')))) AS target FROM m")
+@query("j9_named_entity", f"WITH e AS ({ENTITIES}), m AS ({MENTIONS}) SELECT m.name, coalesce((SELECT min(id) FROM e WHERE e.name = m.name), (SELECT min(id) FROM e WHERE lower(regexp_extract(e.name, '[^.]*$')) = lower(regexp_extract(m.name, '[^.]*$')))) AS target, CASE WHEN EXISTS (SELECT 1 FROM e WHERE e.name = m.name) THEN 'extracted' ELSE (SELECT CASE count(*) WHEN 0 THEN NULL WHEN 1 THEN 'inferred' ELSE 'ambiguous' END FROM e WHERE lower(regexp_extract(e.name, '[^.]*$')) = lower(regexp_extract(m.name, '[^.]*$'))) END AS confidence FROM m")
 def entity(spark, sf):
     return V.named_entity(view(spark, sf, MENTIONS), view(spark, sf, ENTITIES))
 
 
-@query("r1_context", None)
+QUESTION = "guard tests"
+FACTS = f"SELECT id, name, loc / 10000.0 AS importance, tokens, CAST(tokens % 97 AS DOUBLE) AS recency FROM ({NODES})"
+
+
+@query("r1_context", f"""
+  WITH RECURSIVE f AS ({FACTS}), e AS ({EDGES}), m AS (SELECT *, CASE WHEN contains(id, '/tests/') THEN 1 ELSE 0 END AS hits FROM f), s AS (SELECT id FROM m WHERE hits > 0 ORDER BY hits DESC, importance DESC, id LIMIT 6),
+  pairs AS (SELECT src AS a, dst AS b FROM e UNION SELECT dst, src FROM e), walk AS (SELECT id, 0 AS hops FROM s UNION SELECT p.b, w.hops + 1 FROM walk w JOIN pairs p ON p.a = w.id WHERE w.hops < 2), h AS (SELECT id, min(hops) AS hops FROM walk GROUP BY id),
+  c AS (SELECT m.id, tokens, hops, 0.35::DOUBLE * importance::DOUBLE + 0.3::DOUBLE / (1 + hops) + 0.2::DOUBLE * (hits / 2) + 0.15::DOUBLE * (recency / (SELECT max(recency) FROM m JOIN h USING (id))) AS x FROM m JOIN h USING (id)),
+  o AS (SELECT *, row_number() OVER (ORDER BY score DESC, id) AS k FROM (SELECT id, tokens, hops, floor(least(1.0, x) * 10000 + 0.5) / 10000 AS score FROM c)),
+  fold AS (SELECT CAST(0 AS BIGINT) AS k, CAST(0 AS BIGINT) AS used, false AS took UNION ALL SELECT o.k, CASE WHEN used + tokens <= 60000 THEN used + tokens ELSE used END, used + tokens <= 60000 FROM fold JOIN o ON o.k = fold.k + 1)
+  SELECT id, tokens, CAST(hops AS INTEGER) AS hops, false AS direct, score FROM o JOIN fold USING (k) WHERE took""")
 def context(spark, sf):
-    n = view(spark, sf, NODES).withColumn("importance", F.col("loc") / 10000).withColumn("recency", F.lit(0.0))
-    return T.assemble(n, view(spark, sf, EDGES), "where is building f12 used", 60000)
+    return T.assemble(view(spark, sf, FACTS), view(spark, sf, EDGES), QUESTION, 60000)
+
 
+@query("r1_context_edges", f"WITH f AS (SELECT id FROM ({FACTS}) WHERE contains(id, '/tests/') ORDER BY importance DESC, id LIMIT 6), e AS ({EDGES}) SELECT src, dst, kind FROM e WHERE src IN (FROM f) OR dst IN (FROM f)".replace(") OR dst", ") AND dst"))
+def context_edges(spark, sf):
+    return T.connecting_edges(T.seeds(view(spark, sf, FACTS), QUESTION), view(spark, sf, EDGES)).select("src", "dst", "kind")
 
-@query("r1_seeds", f"SELECT id FROM (SELECT id, loc, (CASE WHEN starts_with(id, 'building') THEN 1 ELSE 0 END) AS m FROM ({NODES})) WHERE m > 0 ORDER BY loc DESC, id LIMIT 6")
+
+@query("r1_seeds", f"SELECT id FROM (SELECT id, loc FROM ({NODES})) WHERE contains(id, '/src/') ORDER BY loc DESC, id LIMIT 6")
 def context_seeds(spark, sf):
-    n = view(spark, sf, NODES).withColumn("importance", F.col("loc"))
-    return T.seeds(n, "the building").select("id")
+    return T.seeds(view(spark, sf, NODES).withColumn("importance", F.col("loc")), "the src of files").select("id")
 
 
-@query("r3_cold_start", f"SELECT id, tokens, CAST(0 AS INTEGER) AS hops, floor(loc / 10000 * 10000 + 0.5) / 10000 AS score FROM ({NODES}) ORDER BY loc / 10000 DESC, id LIMIT 10")
+@query("r3_cold_start", f"SELECT id, tokens, CAST(0 AS INTEGER) AS hops, false AS direct, floor(loc / 10000 * 10000 + 0.5) / 10000 AS score FROM ({NODES}) WHERE id NOT LIKE '%.md' ORDER BY loc / 10000 DESC, id LIMIT 10")
 def cold(spark, sf):
     return T.cold_start(view(spark, sf, NODES).withColumn("importance", F.col("loc") / 10000))
 
 
 PACKAGES = "SELECT p_brand AS package, concat(CAST(p_size % 5 AS STRING), '.', CAST(p_size AS STRING), '.', CAST(p_partkey % 10 AS STRING)) AS version, CASE WHEN p_partkey % 3 = 0 THEN 'direct' WHEN p_partkey % 3 = 1 THEN 'dev' ELSE 'transitive' END AS scope, CASE WHEN p_partkey % 4 = 0 THEN 'lockfile' ELSE 'range' END AS source FROM part"
 KEY = "CAST(string_split({0}, '.')[1] AS INTEGER) * 1000000 + CAST(string_split({0}, '.')[2] AS INTEGER) * 1000 + CAST(string_split({0}, '.')[3] AS INTEGER)"
-ADVISORIES = "SELECT DISTINCT concat('ADV-', p_brand) AS id, p_brand AS package, '1.2.0' AS introduced, '3.10.5' AS fixed, 'high' AS severity FROM part"
+#: two ranges of different severity for every advisory; they overlap, and some have no fix
+ADVISORIES = """SELECT DISTINCT concat('ADV-', p_brand) AS id, p_brand AS package, '1.2.0' AS introduced, '3.10.5' AS fixed, 'medium' AS severity FROM part
+  UNION ALL SELECT DISTINCT concat('ADV-', p_brand), p_brand, '2.0.0', '2.30.0', 'low' FROM part UNION ALL SELECT DISTINCT concat('ADV-', p_brand), p_brand, '3.0.0', CAST(NULL AS STRING), 'critical' FROM part"""
 
 
-@query("s13_match_advisories", f"WITH d AS (SELECT DISTINCT package, version FROM ({PACKAGES})), a AS ({ADVISORIES}) SELECT id, package, version, fixed, severity FROM d JOIN a USING (package) WHERE {KEY.format('version')} >= {KEY.format('introduced')} AND {KEY.format('version')} < {KEY.format('fixed')}")
+@query("s13_match_advisories", f"""WITH d AS (SELECT DISTINCT package, version FROM ({PACKAGES})), a AS ({ADVISORIES}),
+  m AS (SELECT id, package, version, fixed, severity, {KEY.format('fixed')} AS k FROM d JOIN a USING (package) WHERE {KEY.format('version')} >= {KEY.format('introduced')} AND (fixed IS NULL OR {KEY.format('version')} < {KEY.format('fixed')}))
+  SELECT id, package, version, arg_min(fixed, k) AS fixed, ['low', 'medium', 'critical'][max(list_position(['low', 'medium', 'critical'], severity))] AS severity FROM m GROUP BY 1, 2, 3""")
 def advisories(spark, sf):
     return X.match_advisories(view(spark, sf, PACKAGES).select("package", "version").distinct(), view(spark, sf, ADVISORIES))
 
 
+#: ranges [0, 1.10.0), [2.0.0, 2.20.0), [3.0.0, 3.5.0) of the package, one of another package and one of commits
+EVENTS = " UNION ALL ".join(
+    f"SELECT DISTINCT concat('ADV-', p_brand) AS id, {package} AS package, {a} AS affected, {r} AS `range`, '{kind}' AS kind, {e} AS event, {lo} AS introduced, {hi} AS fixed FROM part"
+    for package, a, r, kind, e, lo, hi in (("'other'", 0, 0, "SEMVER", 0, "'0'", "NULL"), ("'other'", 0, 0, "SEMVER", 1, "NULL", "'9.9.9'"), ("p_brand", 1, 0, "GIT", 0, "NULL", "'abcdef'"), ("p_brand", 1, 1, "SEMVER", 0, "'0'", "NULL"), ("p_brand", 1, 1, "SEMVER", 1, "NULL", "'1.10.0'"), ("p_brand", 1, 1, "SEMVER", 2, "'2.0.0'", "'2.20.0'"), ("p_brand", 1, 2, "SEMVER", 0, "'3.0.0'", "'3.5.0'"))
+)
+
+
+@query("f16_fixed_versions", f"""WITH d AS (SELECT DISTINCT package, version FROM ({PACKAGES}) UNION ALL SELECT DISTINCT package, 'next' FROM ({PACKAGES})), k AS (SELECT package, version, CASE WHEN version <> 'next' THEN {KEY.format("replace(version, 'next', '0.0.0')")} END AS v FROM d)
+  SELECT concat('ADV-', package) AS id, package, version AS installed, CASE WHEN v IS NULL THEN 'abcdef' WHEN v < 1010000 THEN '1.10.0' WHEN v < 2020000 THEN '2.20.0' WHEN v < 3005000 THEN '3.5.0' END AS fixed FROM k""")
+def fixes(spark, sf):
+    d = view(spark, sf, PACKAGES).select("package", "version").distinct()
+    d = d.unionAll(d.select("package", F.lit("next")).distinct()).select(F.concat(F.lit("ADV-"), "package").alias("id"), "package", F.col("version").alias("installed"))
+    return X.fixed_versions(d, view(spark, sf, EVENTS))
+
+
 @query("a18_plan_labels", f"SELECT package, version, ['direct', 'dev', 'transitive'][min(list_position(['direct', 'dev', 'transitive'], scope))] AS scope, CASE WHEN max(source = 'lockfile') THEN 'lockfile' ELSE 'range' END AS source FROM ({PACKAGES}) GROUP BY 1, 2")
 def labels(spark, sf):
     return X.plan_labels(view(spark, sf, PACKAGES))
@@ -173,6 +218,41 @@ def outdated(spark, sf):
     return X.outdated(d, d.select("package", F.lit("3.20.0").alias("latest")).distinct()).groupBy("state").agg(F.count("*").alias("n"))
 
 
+@query("p10_graded_findings", f"SELECT package, count(*) AS n FROM ({PACKAGES}) WHERE scope = 'direct' GROUP BY package")
+def graded_scopes(spark, sf):
+    return view(spark, sf, PACKAGES).where(X.is_graded(F.col("scope"))).groupBy("package").agg(F.count("*").alias("n"))
+
+
+@query("p9_exposed_secrets", f"WITH r AS ({RISKS}) SELECT project, count(*) AS n FROM r WHERE category = 'secret' AND severity NOT IN ('low', 'info') GROUP BY project")
+def exposed(spark, sf):
+    return view(spark, sf, RISKS).where(X.is_exposed_secret(F.col("category"), F.col("severity"))).groupBy("project").agg(F.count("*").alias("n"))
+
+
+@query("p11_finding_filters", f"WITH r AS (SELECT *, concat('Pkg', CAST(project % 30 AS STRING)) AS package, 'npm' AS ecosystem FROM ({RISKS})) SELECT project, rule, file FROM r WHERE severity = 'high' AND category = 'large-file' AND ecosystem = 'npm' AND contains(lower(package), 'kg2')")
+def filters(spark, sf):
+    r = view(spark, sf, RISKS).withColumn("package", F.concat(F.lit("Pkg"), (F.col("project") % 30).cast("string"))).withColumn("ecosystem", F.lit("npm"))
+    return X.filter_findings(r, "high", "large-file", "npm", "KG2").select("project", "rule", "file")
+
+
+@query("f17_advisory_url", """SELECT p_partkey, CASE WHEN p_size % 5 = 0 THEN concat('https://a.example/', p_brand) WHEN p_size % 5 = 1 THEN concat('https://github.com/advisories/', p_brand) WHEN p_size % 5 = 2 THEN 'HTTP://b.example/x' ELSE concat('https://osv.dev/vulnerability/', p_brand) END AS url FROM part""")
+def urls(spark, sf):
+    def ref(kind, url):
+        return F.struct(F.lit(kind).alias("type"), url.alias("url"))
+
+    n, web = F.col("p_size") % 5, F.lit("HTTP://b.example/x")
+    refs = F.when(n == 0, F.array(ref("WEB", web), ref("ADVISORY", F.lit("javascript:alert(1)")), ref("ADVISORY", F.concat(F.lit("https://a.example/"), "p_brand")))).when(n == 1, F.array(ref("WEB", web), ref("WEB", F.concat(F.lit("https://github.com/advisories/"), "p_brand")))).when(n == 2, F.array(ref("ADVISORY", F.lit("data:x")), ref("WEB", web))).when(n == 3, F.array(ref("WEB", F.lit("ftp://x"))))
+    return view(spark, sf, "SELECT p_partkey, p_size, p_brand FROM part").select("p_partkey", X.advisory_url(refs, F.col("p_brand")).alias("url"))
+
+
+RECENT = "SELECT concat('V', CAST(p_partkey AS STRING)) AS id, p_brand AS package, CASE WHEN p_size % 4 > 0 THEN concat('1.0.', CAST(p_size % 4 AS STRING)) END AS version FROM part"
+QUERIED = "SELECT DISTINCT p_brand AS package, concat('1.0.', CAST(p_size % 7 AS STRING)) AS version FROM part WHERE p_size > 20 AND p_brand < 'Brand#4'"
+
+
+@query("j8_reconcile", f"WITH p AS ({RECENT}), q AS ({QUERIED}) SELECT id, package, version FROM p WHERE CASE WHEN version IS NULL THEN package IN (SELECT package FROM q) ELSE (package, version) IN (SELECT package, version FROM q) END")
+def reconciled(spark, sf):
+    return X.reconcile(view(spark, sf, RECENT), view(spark, sf, QUERIED))
+
+
 @query("v15_vulnerability_flow", f"SELECT CASE WHEN scope = 'direct' THEN 'high' ELSE 'ungraded' END AS severity, concat(package, '@', version) AS target, count(*) AS n FROM ({PACKAGES}) GROUP BY 1, 2")
 def flow(spark, sf):
     return X.vulnerability_flow(view(spark, sf, PACKAGES).withColumn("severity", F.lit("high")))

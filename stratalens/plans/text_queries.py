@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from stratalens.functions import scalar as S
 from stratalens.operators import rollup as R
+from stratalens.plans.adapters import view
 from stratalens.registry import query, table
 
 TOKENS = "CAST(CASE WHEN length(text) = 0 THEN 0 ELSE greatest(1, floor(length(text) / 3.5 + 0.5)) END AS BIGINT)"
@@ -27,22 +28,24 @@ def share(spark, sf):
     return R.share_of(table(spark, sf, "documents").groupBy("lang").agg(F.count("*").alias("n")), "n")
 
 
+#: source texts with a marker on some lines, several on one, and more than fifty in a text
+MARKED = "SELECT c_custkey AS k, concat('line', chr(10), '# TODO: item ', CAST(c_custkey AS STRING), ' FIXME too', chr(10), 'todo no', chr(10), CASE WHEN c_custkey % 3 = 0 THEN 'x // HACK' ELSE 'TODOS' END, chr(10), repeat(concat('NOTE n', chr(10)), CAST(c_custkey % 60 AS INT))) AS text FROM customer"
+
+
 @query("f2_marker_lines", """
-  SELECT doc_id, line, kind, text FROM (SELECT doc_id, line, kind, text, row_number() OVER (PARTITION BY doc_id ORDER BY line) AS n FROM (
-    SELECT doc_id, CAST(i AS INTEGER) AS line, regexp_extract(l[i], '(License|license|token|All rights)', 1) AS kind, substr(trim(l[i]), 1, 200) AS text FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents))) WHERE kind <> '') WHERE n <= 50""")
+  SELECT k, CAST(2 AS INTEGER) AS line, 'TODO' AS kind, concat('item ', CAST(k AS STRING), ' FIXME too') AS text FROM (SELECT c_custkey AS k FROM customer) UNION ALL SELECT c_custkey, 4, 'HACK', '' FROM customer WHERE c_custkey % 3 = 0
+  UNION ALL SELECT k, CAST(4 + i AS INTEGER), 'NOTE', 'n' FROM (SELECT c_custkey AS k, unnest(range(1, CAST(least(c_custkey % 60, CASE WHEN c_custkey % 3 = 0 THEN 48 ELSE 49 END) AS BIGINT) + 1)) AS i FROM customer)""")
 def markers(spark, sf):
-    """First marker of each line, at most 50 lines a document."""
-    lines = table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "l"))
-    kind = F.regexp_extract("l", "(License|license|token|All rights)", 1)
-    hits = lines.select("doc_id", (F.col("i") + 1).alias("line"), kind.alias("kind"), F.substring(F.trim("l"), 1, 200).alias("text")).where("kind <> ''")
-    from stratalens.operators.retrieve import top_per_group
+    """First marker of each line, at most 50 lines a text."""
+    return view(spark, sf, MARKED).select("k", F.explode(S.todo_hits(F.col("text"))).alias("h")).select("k", "h.line", "h.kind", "h.text")
+
 
-    return top_per_group(hits, "doc_id", ["line"], 50)
+STOPS = "'add', 'new', 'fix', 'the', 'and', 'for', 'with', 'this', 'that', 'from', 'into', 'make', 'update', 'change', 'create', 'remove', 'delete', 'support', 'using', 'feature', 'refactor', 'implement', 'want', 'need', 'please', 'should', 'could', 'would', 'when', 'where', 'what', 'file', 'files', 'use'"
 
 
-@query("f3_query_tokens", "SELECT item_id, array_to_string(list_distinct_ordered, ',') AS tokens FROM (SELECT item_id, list_filter(w, lambda x, i: list_position(w, x) = i) AS list_distinct_ordered FROM (SELECT item_id, list_filter(regexp_extract_all(lower(text), '([a-z0-9]+)', 1), lambda x: length(x) >= 3 AND x NOT IN (" + ", ".join(f"'{w}'" for w in S.STOP_WORDS) + ")) AS w FROM benchmark))")
+@query("f3_query_tokens", f"SELECT item_id, array_to_string(list_filter(regexp_extract_all(lower(text), '([a-z0-9]+)', 1), lambda x: length(x) >= 3 AND x NOT IN ({STOPS})), ',') AS tokens FROM (SELECT item_id, concat('How does the user use new files ', text) AS text FROM benchmark)")
 def question(spark, sf):
-    return table(spark, sf, "benchmark").select("item_id", F.array_join(S.query_tokens(F.col("text")), ",").alias("tokens"))
+    return table(spark, sf, "benchmark").select("item_id", F.array_join(S.query_tokens(F.concat(F.lit("How does the user use new files "), "text")), ",").alias("tokens"))
 
 
 @query("f4_identifier_words", "SELECT c_custkey, array_to_string(list_filter(string_split(lower(trim(regexp_replace(regexp_replace(regexp_replace(c_name, '([a-z0-9])([A-Z])', '\\1 \\2', 'g'), '([A-Za-z])([0-9])', '\\1 \\2', 'g'), '[^A-Za-z0-9]+', ' ', 'g'))), ' '), lambda x: length(x) >= 3), ',') AS words FROM customer")
@@ -92,13 +95,12 @@ def scrubbed(spark, sf):
 
 @query("f23_html_structure", """SELECT page_id, len(regexp_extract_all(html, '(?i)<h[1-6]\\b')) AS headings, len(regexp_extract_all(html, '(?i)<a\\s[^>]*href=')) AS links, len(regexp_extract_all(html, '(?i)<p\\b')) AS paragraphs, regexp_extract(html, '(?i)<title>([^<]*)</title>', 1) AS title FROM pages""")
 def html_structure(spark, sf):
-    n = {k: F.size(F.regexp_extract_all("html", F.lit(p), 0)).cast("long").alias(k) for k, p in (("headings", r"(?i)<h[1-6]\b"), ("links", r"(?i)<a\s[^>]*href="), ("paragraphs", r"(?i)<p\b"))}
-    return table(spark, sf, "pages").select("page_id", *n.values(), F.regexp_extract("html", "(?i)<title>([^<]*)</title>", 1).alias("title"))
+    return S.html_structure(table(spark, sf, "pages"), "page_id", "html")
 
 
 @query("f23_html_links", """SELECT page_id, unnest(regexp_extract_all(html, '<a\\s[^>]*href="([^"]*)"', 1)) AS href FROM pages""")
 def html_links(spark, sf):
-    return table(spark, sf, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit(r'<a\s[^>]*href="([^"]*)"'), 1)).alias("href"))
+    return table(spark, sf, "pages").select("page_id", F.explode(S.html_links(F.col("html"))).alias("href"))
 
 
 @query("f22_slug_first_sentence", """SELECT page_id, trim(regexp_replace(lower(t), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM (SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS t FROM pages)""")
@@ -151,9 +153,15 @@ def fingerprint(spark, sf):
     return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", S.risk_fingerprint(F.col("l_partkey").cast("string"), F.col("l_linestatus"), F.col("l_returnflag"), F.col("l_returnflag") == "A").alias("key"))
 
 
-@query("p5_test_paths", "SELECT page_id FROM pages WHERE regexp_matches(url, '(^|/)(__tests__|__mocks__|tests?|spec|e2e|fixtures?|examples?|mocks?)/') OR contains(url, '/en/1')")
+#: paths of all the kinds that the two forms tell apart
+PATHS = """SELECT p_partkey AS k, p_partkey % 12 AS m, concat(CASE p_partkey % 12 WHEN 0 THEN 'src/Tests/' WHEN 1 THEN 'e2e/' WHEN 2 THEN 'pkg/__mocks__/' WHEN 3 THEN 'examples/' ELSE 'src/' END, CASE p_partkey % 12 WHEN 4 THEN 'test_' ELSE '' END, 'n', CAST(p_partkey AS STRING),
+  CASE p_partkey % 12 WHEN 5 THEN '_test.go' WHEN 6 THEN '.test.local' WHEN 7 THEN '.spec.tsx' WHEN 8 THEN '_spec.rb' WHEN 4 THEN '.py' WHEN 9 THEN 'test.ts' ELSE '.ts' END) AS path FROM part"""
+
+
+@query("p5_test_paths", "SELECT p_partkey AS k, p_partkey % 12 IN (0, 1, 2, 4, 5, 6, 7, 8) AS loose, p_partkey % 12 IN (0, 2, 4, 5, 7, 8) AS strict, p_partkey % 12 IN (0, 1, 2, 3, 4, 5, 6, 7, 8) AS examples FROM part")
 def test_paths(spark, sf):
-    return table(spark, sf, "pages").where(S.is_test_path(F.col("url")) | F.col("url").contains("/en/1")).select("page_id")
+    p = F.col("path")
+    return view(spark, sf, PATHS).select("k", S.is_test_path(p).alias("loose"), S.is_test_path(p, strict=True).alias("strict"), S.is_test_or_example_path(p).alias("examples"))
 
 
 @query("r2_grep_baseline", "SELECT doc_id FROM documents WHERE contains(lower(text), 'license') OR contains(lower(text), 'idiot')")

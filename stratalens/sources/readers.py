@@ -19,6 +19,44 @@ def is_excluded(path: Column) -> Column:
     return F.exists(F.split(path, "/"), lambda x: x.isin(*HARD_EXCLUDES)) | F.lower(basename(path)).isin(*PERSONAL_FILES)
 
 
+def ignore_rules(texts: DataFrame) -> DataFrame:
+    """dir, place, keep, only_dirs, pattern (a regular expression on paths below dir) of ignore files (path, text).
+
+    Blank lines and comments drop out; `!` keeps; a slash at the end means folders, one
+    elsewhere ties the rule to the file's own folder; `*` and `?` stop at slashes, `**` does
+    not.
+    """
+    rows = texts.select(F.regexp_extract("path", r"^(?:(.*)/)?[^/]*$", 1).alias("dir"), F.posexplode(F.split("text", r"\r?\n")).alias("place", "l")).withColumn("l", F.rtrim("l")).where("l <> '' and not startswith(l, '#')")
+    rows = rows.withColumn("keep", F.col("l").startswith("!")).withColumn("l", F.regexp_replace("l", r"^!", "")).withColumn("only_dirs", F.col("l").endswith("/")).withColumn("l", F.regexp_replace("l", "/$", ""))
+    tied = F.col("l").contains("/")
+    body = F.regexp_replace(F.regexp_replace("l", "^/", ""), r"([.+^$(){}|\\])", r"\\$1")
+    for mark, out in ((r"\*\*/", "\u0001"), (r"/\*\*$", "\u0002"), (r"\*\*", "\u0003"), (r"\*", "[^/]*"), (r"\?", "[^/]"), ("\u0001", "(?:.*/)?"), ("\u0002", "/.*"), ("\u0003", ".*")):
+        body = F.regexp_replace(body, mark, out)
+    return rows.select("dir", "place", "keep", "only_dirs", F.concat(F.when(tied, "^").otherwise("^(?:.*/)?"), body, F.lit("$")).alias("pattern"))
+
+
+def without_ignored(files: DataFrame, rules: DataFrame) -> DataFrame:
+    """Files (path) that no rule ignores.
+
+    The deepest folder with a matching rule decides, and of its rules the last.  What lies in
+    an ignored folder is ignored.  Distinct folders and files meet rules by the folder of the
+    rules' file.
+    """
+
+    def up(path: str, whole: bool) -> Column:
+        parts = F.split(path, "/")
+        some = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
+        return some if whole else F.concat(F.array(F.lit("")), F.slice(some, F.lit(1), F.size(parts) - 1))
+
+    below = files.select("path", F.explode(up("path", True)).alias("at"))
+    met = below.select("at", (F.col("at") != F.col("path")).alias("is_dir")).distinct().withColumn("dir", F.explode(up("at", False))).join(rules, "dir")
+    inside = F.when(F.col("dir") == "", F.col("at")).otherwise(F.substr(F.col("at"), F.length("dir") + 2))
+    hit = met.where((F.col("is_dir") | ~F.col("only_dirs")) & F.rlike(inside, F.col("pattern")))
+    last = hit.groupBy("at").agg(F.max_by("keep", F.struct(F.length("dir"), "place")).alias("keep")).where("not keep")
+    gone = below.join(last.select("at"), "at", "left_semi").select("path").distinct()
+    return files.join(gone, "path", "left_anti")
+
+
 def decode_text(content: Column) -> Column:
     """UTF-8 or, after its byte order mark, UTF-16; the mark is dropped."""
     head = F.hex(F.substring(content, 1, 2))
