@@ -24,6 +24,7 @@ columns are ignored, whatever their names.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from itertools import accumulate
 
 import numpy as np
@@ -36,6 +37,7 @@ from .components import components
 from .util import cut, hot_keys, map_rows, spread_join
 
 DEALS = 64  # left tiles of one population count are dealt over as many keys
+MARK_BYTES = 4096  # what Spark's bitmap functions take
 TILE, LEAST_TILE = 16_384, 2_048  # codes in a tile: a twelfth of all, between these
 SEED = 42
 _ODD = np.uint64(0x9E3779B97F4A7C15)  # golden-ratio increment of the public splitmix64 generator
@@ -123,18 +125,15 @@ def _merge(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray
             parent[:] = up
 
 
-def tile_forest(a: np.ndarray, b: np.ndarray | None, first: int, total: int, groups: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Spanning forest, made of links, of the links in one tile (b None) or between two.
+def tile_pairs(a: np.ndarray, b: np.ndarray | None, first: int, total: int):
+    """Links in one tile (b None) or between two, a block of rows at a time, as positions in a followed by b.
 
     a, b: (rows, lanes) unsigned.  A link has at most `first` differing bits in lane 0
-    and at most `total` in all lanes.  Gives positions in a followed by b.  With
-    `groups`, one number a position, it gives all links between different groups instead.
+    and at most `total` in all lanes.
     """
     own = b is None
     b = a if own else b
     base = 0 if own else len(a)
-    parent = np.arange(len(a) + (0 if own else len(b)))
-    out_a, out_b = [parent[:0]], [parent[:0]]
     count_b = np.bitwise_count(b[:, 0]).astype(np.int64)
     order = np.argsort(count_b, kind="stable")
     sorted_b, sorted_counts = np.ascontiguousarray(b[order, 0]), count_b[order]
@@ -156,17 +155,49 @@ def tile_forest(a: np.ndarray, b: np.ndarray | None, first: int, total: int, gro
             for lane in range(a.shape[1]):
                 near += np.bitwise_count(a[i, lane] ^ b[j, lane])
             i, j = i[near <= total], j[near <= total]
-        j = j + base
+        yield i, j + base
+
+
+def tile_forest(a: np.ndarray, b: np.ndarray | None, first: int, total: int, groups: np.ndarray | None = None, per_pair: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Spanning forest, made of links, of the links in one tile (b None) or between two.
+
+    Gives positions in a followed by b.  With `groups`, one number a position, it gives
+    links between different groups instead: all, or up to `per_pair` of each pair of groups.
+    """
+    n = len(a) + (0 if b is None else len(b))
+    parent = np.arange(n)
+    out_a, out_b = [parent[:0]], [parent[:0]]
+    if groups is not None and per_pair:
+        groups = np.unique(groups, return_inverse=True)[1]
+        had: dict[int, int] = {}
+    for i, j in tile_pairs(a, b, first, total):
         if groups is None:
             i, j = _merge(parent, i, j)
         else:
             apart = groups[i] != groups[j]
             i, j = i[apart], j[apart]
+            if per_pair and len(i):
+                key = np.minimum(groups[i], groups[j]) * n + np.maximum(groups[i], groups[j])
+                order = np.argsort(key, kind="stable")
+                names, start, count = np.unique(key[order], return_index=True, return_counts=True)
+                keep = [order[s : s + max(0, min(c, per_pair - had.get(k, 0)))] for k, s, c in zip(names.tolist(), start.tolist(), count.tolist(), strict=True)]
+                for k, c in zip(names.tolist(), map(len, keep), strict=True):
+                    had[k] = had.get(k, 0) + c
+                chosen = np.concatenate(keep)
+                i, j = i[chosen], j[chosen]
         out_a.append(i)
         out_b.append(j)
     return np.concatenate(out_a), np.concatenate(out_b)
 
 
+def tile_marks(a: np.ndarray, b: np.ndarray | None, first: int, total: int) -> np.ndarray:
+    """Positions in a followed by b that have a link."""
+    met = np.zeros(len(a) + (0 if b is None else len(b)), dtype=bool)
+    for i, j in tile_pairs(a, b, first, total):
+        met[i] = met[j] = True
+    return np.nonzero(met)[0]
+
+
 def numbered(codes: DataFrame, tile: int | None = None) -> tuple[DataFrame, int]:
     """`codes` (fp, code, any others), one row per distinct code, with place (0, 1, ...) and q0..q3, and the tile size.
 
@@ -186,11 +217,16 @@ def numbered(codes: DataFrame, tile: int | None = None) -> tuple[DataFrame, int]
     return split.join(F.broadcast(before), "part").withColumn("place", F.col("before") + F.col("at")).drop("m", "part", "at", "before"), tile or min(TILE, max(LEAST_TILE, total // 12))
 
 
-def place_links(places: DataFrame, tile: int, radius: int, total: int | None, n_lanes: int) -> DataFrame:
+def place_links(places: DataFrame, tile: int, radius: int, total: int | None, n_lanes: int, per_pair: int = 0, close: int | None = None) -> DataFrame:
     """Edges (a, b) between places of a spanning forest per tile pair of `places` (place, code, q0..q3).
 
-    If `places` has a column root, all links between different roots instead, each once.
+    If `places` has a column root, links between different roots instead, all or up to
+    `per_pair` of each pair of roots and tiles.  With `close`, a forest inside each tile of the
+    links of at most `close` bits, and rows (tile, marks): a bitmap, for each tile pair and
+    side, of the places in the tile that have a link.
     """
+    if tile > 8 * MARK_BYTES:
+        raise ValueError(f"a tile holds at most {8 * MARK_BYTES} codes")
     apart = "root" in places.columns
     spark = places.sparkSession
     keys = [f"q{k}" for k in range(4)]
@@ -214,6 +250,7 @@ def place_links(places: DataFrame, tile: int, radius: int, total: int | None, n_
     work = pairs.join(tiles.select(F.col("tile_id").alias("l_tile_id"), F.col("blob").alias("l_blob"), F.col("roots").alias("l_roots")), "l_tile_id")
     work = work.join(tiles.select(F.col("tile_id").alias("r_tile_id"), F.col("blob").alias("r_blob"), F.col("roots").alias("r_roots")), "r_tile_id")
     limit = radius if total is None else total
+    names = ["a", "b"] if close is None else ["a", "b", "tile", "marks"]
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -222,15 +259,24 @@ def place_links(places: DataFrame, tile: int, radius: int, total: int | None, n_
             a = np.frombuffer(r.l_blob, "<u8").reshape(-1, n_lanes)
             b = None if own else np.frombuffer(r.r_blob, "<u8").reshape(-1, n_lanes)
             roots = np.frombuffer(r.l_roots if own else r.l_roots + r.r_roots, np.int64) if apart else None
-            i, j = tile_forest(a, b, radius, limit, roots)
+            if close is None:
+                i, j = tile_forest(a, b, radius, limit, roots, per_pair)
+            else:
+                i, j = tile_forest(a, b, radius, close) if own else (np.zeros(0, np.int64),) * 2
+                met = tile_marks(a, b, radius, limit)
+                for t, k in ((r.l_tile_id, met[met < len(a)]), (r.r_tile_id, met[met >= len(a)] - len(a))):
+                    if len(k):
+                        bits = np.zeros(8 * MARK_BYTES, dtype=np.uint8)
+                        bits[k] = 1
+                        out.append(pd.DataFrame({"tile": [t], "marks": [np.packbits(bits).tobytes()]}))
             at = [x + np.where(x < len(a), r.l_tile_id * tile, r.r_tile_id * tile - len(a)) for x in (i, j)]
             out.append(pd.DataFrame({"a": at[0], "b": at[1]}))
-        return pd.concat(out)
+        return pd.concat(out).reindex(columns=names)
 
     # one tile pair per group, so a worker holds two tiles at a time; a given number of
     # partitions keeps small runs from being merged into one slow task
     slots = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
-    return work.repartition(slots, "l_tile_id", "r_tile_id").groupBy("l_tile_id", "r_tile_id").applyInPandas(compare, "a long, b long")
+    return work.repartition(slots, "l_tile_id", "r_tile_id").groupBy("l_tile_id", "r_tile_id").applyInPandas(compare, "a long, b long" if close is None else "a long, b long, tile long, marks binary")
 
 
 def linked(codes: DataFrame, radius: int = 3, total: int | None = None, n_lanes: int = 1, tile: int | None = None) -> DataFrame:
@@ -277,8 +323,23 @@ def lanes_limit(similarity: float, n_lanes: int, margin: float = 1.0) -> int:
     return round(n * p + margin * math.sqrt(n * p * (1 - p)))
 
 
-def _verified(pairs: DataFrame, places: DataFrame, texts: DataFrame, hot_rows: list[tuple], shingle: int, similarity: float) -> DataFrame:
-    """The `pairs` (a, b) whose shingle sets have a Jaccard similarity of at least `similarity`, counted exactly."""
+def _marked(links: DataFrame, tile: int) -> DataFrame:
+    """place of every mark of (tile, marks) rows; bitmaps combine before the shuffle, so a place is one row however many links it has."""
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for t, marks in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                k = np.nonzero(np.unpackbits(np.frombuffer(marks, np.uint8)))[0].astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(t * tile + k)], names=["place"])
+
+    return links.where("marks is not null").groupBy("tile").agg(F.bitmap_or_agg("marks").alias("marks")).mapInArrow(unpack, "place long")
+
+
+def shingle_sets(met: DataFrame, places: DataFrame, texts: DataFrame, hot_rows: list[tuple], shingle: int) -> DataFrame:
+    """place, shingles (distinct hashes) of the places of `met` (place); a code's shingles are those of its least row.
+
+    The one time that whole texts are shuffled to be compared.
+    """
 
     def start():
         def step(batch: pa.RecordBatch) -> dict:
@@ -286,31 +347,39 @@ def _verified(pairs: DataFrame, places: DataFrame, texts: DataFrame, hot_rows: l
 
         return step
 
+    wanted = places.join(met, "place", "left_semi").select("place", F.col("least.row").alias("__row"))
+    return cut(map_rows(spread_join(texts, wanted, "__row", hot_rows, hint="merge").select("place", "text"), "place long, shingles array<long>", start).dropDuplicates(["place"]), "simhash-sets")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The `pairs` (a, b) whose shingle sets have a Jaccard similarity of at least `similarity`, counted exactly."""
     pairs = cut(pairs, "simhash-pairs")
     total = pairs.count()
-    met = pairs.select(F.col("a").alias("place")).unionAll(pairs.select(F.col("b").alias("place"))).groupBy("place").agg(F.count("*").alias("n"))
-    wanted = cut(places.join(met, "place").select("place", "n", F.col("least.row").alias("__row")), "simhash-wanted")
-    sets = cut(map_rows(spread_join(texts, wanted, "__row", hot_rows).select("place", "text"), "place long, shingles array<long>", start).dropDuplicates(["place"]), "simhash-sets")
-    hot = hot_keys(wanted, "place", total)
-    both = spread_join(pairs, sets.select(F.col("place").alias("a"), F.col("shingles").alias("x")), "a", hot)
-    both = spread_join(both, sets.select(F.col("place").alias("b"), F.col("shingles").alias("y")), "b", hot)
+    both = pairs
+    for side, name in (("a", "x"), ("b", "y")):
+        hot = hot_keys(pairs.groupBy(side).agg(F.count("*").alias("n")), side, total)
+        both = spread_join(both, sets.select(F.col("place").alias(side), F.col("shingles").alias(name)), side, hot, hint="merge")
     counted = both.select("a", "b", F.size(F.array_intersect("x", "y")).alias("n"), (F.size("x") + F.size("y")).alias("m"))
     return cut(counted.where(F.col("n") + 1e-9 >= similarity * (F.col("m") - F.col("n"))).select("a", "b"), "simhash-verified")
 
 
-def similar(texts: DataFrame, hot_rows: list[tuple], places: DataFrame, tile: int, shingle: int, similarity: float, n_lanes: int) -> DataFrame:
+def similar(texts: DataFrame, hot_rows: list[tuple], places: DataFrame, tile: int, shingle: int, similarity: float, n_lanes: int, per_pair: int = 8) -> DataFrame:
     """Edges (a, b) whose components are those of all pairs of `places` (place, code, least, q0..q3) at `similarity` or more.
 
-    texts: __row, text; a code's shingles are those of its least row; hot_rows: rows that repeat often.  First, spanning
-    forests of close codes are verified and joined, so that large groups do not give all
-    their pairs.  Then every pair of different groups within four standard deviations of
-    the threshold, in the first lane and in all, is verified.
+    texts: __row, text; hot_rows: rows that repeat often.  So that large groups do not give
+    all their pairs, links are verified in three steps: a forest of close codes inside each
+    tile, at most an edge a code; then up to `per_pair` links between each two groups so
+    far and each two tiles; last, every pair of different groups within four
+    standard deviations of the threshold, in the first lane and in all, without a limit.
     """
-    first = lanes_limit(similarity, 1, 4.0)
-    close = _verified(place_links(places, tile, first, lanes_limit(similarity, n_lanes, -1.0), n_lanes), places, texts, hot_rows, shingle, similarity)
-    rooted = cut(_rooted(places, close), "simhash-rooted")
-    rest = _verified(place_links(rooted, tile, first, lanes_limit(similarity, n_lanes, 4.0), n_lanes), places, texts, hot_rows, shingle, similarity)
-    return close.unionAll(rest)
+    first, far, close = lanes_limit(similarity, 1, 4.0), lanes_limit(similarity, n_lanes, 4.0), lanes_limit(similarity, n_lanes, -1.0)
+    links = cut(place_links(places, tile, first, far, n_lanes, close=close), "simhash-links")
+    sets = shingle_sets(_marked(links, tile), places, texts, hot_rows, shingle)
+    edges = _verified(links.where("a is not null").select("a", "b"), sets, similarity)
+    for limit, most in ((close, per_pair), (far, 0)):
+        rooted = cut(_rooted(places, edges), "simhash-rooted")
+        edges = edges.unionAll(_verified(place_links(rooted, tile, first, limit, n_lanes, per_pair=most), sets, similarity))
+    return edges
 
 
 def _row_key() -> Column:
@@ -340,4 +409,4 @@ def one_per_group(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, n_
     hot_rows = hot_keys(marked.groupBy(F.col("key").alias("__row")).agg(F.count("*").alias("n")), "__row", marked.count())
     rooted = _rooted(places, similar(keyed.select("__row", "text"), hot_rows, places, tile, shingle, similarity, n_lanes))
     stay = cut(rooted.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.row").alias("__row")), "simhash-stay")
-    return spread_join(keyed, stay, "__row", hot_rows, "left_semi").dropDuplicates(["__row"]).select(*[F.col(f"`{c}`") for c in names])
+    return spread_join(keyed, stay, "__row", hot_rows, "left_semi", hint="merge").dropDuplicates(["__row"]).select(*[F.col(f"`{c}`") for c in names])

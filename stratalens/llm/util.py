@@ -43,24 +43,28 @@ def hot_keys(sizes: DataFrame, key: str, total: int) -> list[tuple]:
     return [(r[key], -(-r["n"] // most)) for r in sizes.where(F.col("n") > most).select(key, "n").collect()]
 
 
-def spread_join(many: DataFrame, one: DataFrame, key: str, hot: list[tuple], how: str = "inner") -> DataFrame:
+def spread_join(many: DataFrame, one: DataFrame, key: str, hot: list[tuple], how: str = "inner", hint: str | None = None) -> DataFrame:
     """`many` joined with `one` (one row a key) on `key`; rows of the `hot` keys are dealt over as many tasks as they have pieces.
 
     Only rows of `one` with a hot key are repeated, once a piece.  The table of hot keys
-    is broadcast; `hot_keys` bounds it.
+    is broadcast; `hot_keys` bounds it.  `hint` fixes the join's kind, so that plans do not
+    change with size.
     """
     if not hot:
-        return many.join(one, key, how)
+        return many.join(one.hint(hint) if hint else one, key, how)
     kind = one.schema[key].dataType.simpleString()
     few = F.broadcast(many.sparkSession.createDataFrame(hot, f"`{key}` {kind}, __pieces int"))
     pieces = F.coalesce("__pieces", F.lit(1))
     dealt = many.join(few, key, "left").withColumn("__piece", F.pmod(F.monotonically_increasing_id(), pieces).cast("int")).drop("__pieces")
     copies = one.join(few, key, "left").withColumn("__piece", F.explode(F.sequence(F.lit(0), pieces - 1))).drop("__pieces")
-    return dealt.join(copies, [key, "__piece"], how).drop("__piece")
+    return dealt.join(copies.hint(hint) if hint else copies, [key, "__piece"], how).drop("__piece")
 
 
 def bounded_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Lower the session's rows per Arrow batch, so that long texts do not pile up in a worker."""
+    """Lower the session's rows per Arrow batch, so that long texts do not pile up in a worker.
+
+    A plan reads this setting when it runs, so it stays lowered; a user's lower value is kept.
+    """
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     now = int(spark.conf.get(key))
     if now <= 0 or now > rows:
