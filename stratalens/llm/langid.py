@@ -11,13 +11,17 @@ Marginals of whole texts come from forward-backward.  A chain is cut into blocks
 transfer matrices are multiplied first, so a very long text takes no more numpy steps
 than a short one and its marginals are still those of the whole chain.
 
-Bounds, all parameters: `per_lang` documents a language (by hash of doc_id) and
-`train_words` words of a window in each are learned from; `max_langs` languages, the
-most frequent ones.  Prediction reads whole texts of all documents.
-
-Defined results: a text that is null or has no letter is `und` with score 0; without any
-usable training row all texts are `und`; ties go to the first language by name; a null
-doc_id is kept; repeated rows are predicted alike.
+Bounds, all parameters: `per_lang` documents a language (by hash of doc_id) of at most
+`max_chars` characters are learned from, as wholes; every language that has one can be
+predicted.  What reaches the driver grows with the number of languages, not of rows.
+Prediction reads whole texts of all documents.
+
+Defined results: a text that is null or has no letter (str.isalpha; digits, fractions and
+ordinals are none) is `und` with score 0; without any usable training row all texts are
+`und`; ties go to the first language by name; very long texts are labelled whole, in
+blocks; a null doc_id is kept and learned from never; of different texts that share a
+doc_id and language one, by hash, can be learned from; repeated rows are predicted alike; an empty table gives
+no rows; columns other than doc_id, lang and text are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -40,6 +44,15 @@ BLOCK = 256
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double, n_words long, lang_words array<long>"
 
 
+def words_of(text: str) -> list[str]:
+    """Lower-cased runs of letters."""
+    found = LETTERS.findall(text.lower())
+    if all(map(str.isalpha, found)):
+        return found
+    # the pattern also lets numeric signs through
+    return [p for w in found for p in ([w] if w.isalpha() else "".join(c if c.isalpha() else " " for c in w).split())]
+
+
 def feature_groups(words: list[str], lexicon: dict[str, tuple[int, ...]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Hashed features of lower-cased words, a group at a time: (features one word after another, how many each word has).
 
@@ -168,8 +181,8 @@ def forward_backward(em: np.ndarray, lengths: np.ndarray, trans: np.ndarray, sta
     return post, alpha, beta
 
 
-def fit(windows: list[tuple[str, list[str]]], lexicon_size: int = 60, epochs: int = 2, seed: int = 7) -> dict:
-    """Model from (language, words) windows."""
+def fit(windows: list[tuple[str, list[str]]], lexicon_size: int = 60, epochs: int = 2, most_steps: int = 160, seed: int = 7) -> dict:
+    """Model from (language, words) texts, in at most `most_steps` steps of 6,000 words."""
     langs = sorted({lang for lang, words in windows if words})
     if not langs:
         return {"langs": [], "weights": np.zeros((SIZE, 0)), "trans": np.zeros((0, 0)), "start": np.zeros(0), "lexicon": {}}
@@ -190,7 +203,7 @@ def fit(windows: list[tuple[str, list[str]]], lexicon_size: int = 60, epochs: in
     gw, gt, gs = np.full_like(weights, 1e-6), np.full_like(trans, 1e-6), np.full_like(start, 1e-6)
     by_lang = [[np.array([place[w] for w in words]) for lang, words in windows if lang == x and words] for x in langs]
     total = sum(len(w) for ws in by_lang for w in ws)
-    for _ in range(max(8, epochs * total // 6000)):
+    for _ in range(min(most_steps, max(8, epochs * total // 6000))):
         words, labels, lengths = [], [], []
         while sum(lengths) < 6000:
             n = 0
@@ -236,35 +249,23 @@ def fit(windows: list[tuple[str, list[str]]], lexicon_size: int = 60, epochs: in
     return {"langs": langs, "weights": weights[:-1].astype(np.float32), "trans": trans, "start": start, "lexicon": lexicon}
 
 
-def language_model(docs: DataFrame, per_lang: int = 300, train_words: int = 400, max_langs: int = 64) -> dict:
-    """Fit on at most `per_lang` documents of each of the `max_langs` most frequent languages that are not held out."""
-    h = F.xxhash64("doc_id")
-    usable = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text").where("lang is not null and doc_id is not null").where(F.crc32(F.col("doc_id").cast("string")) % 3 != 1)
-    # one document of each language and hash bucket: combines before the shuffle, whatever a language's share
-    picked = usable.groupBy("lang", F.pmod(h, F.lit(per_lang)).alias("bucket")).agg(F.min(F.struct(h.alias("h"), "doc_id")).alias("m"), F.count("*").alias("n")).collect()
-    sizes = Counter()
-    for r in picked:
-        sizes[r["lang"]] += r["n"]
-    langs = {x for x, _ in sorted(sizes.items(), key=lambda c: (-c[1], c[0]))[:max_langs]}
-    ids = sorted(r["m"]["doc_id"] for r in picked if r["lang"] in langs)
-    if not ids:
-        return fit([])
+def training_rows(docs: DataFrame, per_lang: int, max_chars: int) -> DataFrame:
+    """lang, text of at most `per_lang` documents of each language that are not held out.
 
-    def start():
-        def step(batch: pa.RecordBatch) -> dict:
-            out = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                words = LETTERS.findall((text or "").lower())
-                at = doc_id * 2654435761 % max(1, len(words) - train_words)
-                out.append(words[at : at + train_words])
-            return {"doc_id": batch.column(0), "lang": batch.column(1), "words": out}
+    One document of each language and hash bucket, chosen by numbers that combine before
+    the shuffle, whatever a language's share or a doc_id's repeats.
+    """
+    usable = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text").where("lang is not null and doc_id is not null and text is not null")
+    usable = usable.where(F.crc32(F.col("doc_id").cast("string")) % 3 != 1).where(F.length("text") <= max_chars).withColumn("h", F.xxhash64("doc_id")).withColumn("t", F.xxhash64("text"))
+    picked = usable.groupBy("lang", F.pmod("h", F.lit(per_lang)).alias("bucket")).agg(F.min(F.struct("h", "doc_id", "t")).alias("m")).select("lang", "m.doc_id", "m.t")
+    # at most per_lang short rows a language; copies of a row combine before the shuffle
+    return usable.join(F.broadcast(picked), ["lang", "doc_id", "t"], "left_semi").dropDuplicates(["lang", "doc_id", "t"]).select("doc_id", "lang", "text")
 
-        return step
 
-    spark = docs.sparkSession
-    few = spark.createDataFrame([(i,) for i in ids], "id long")  # at most per_lang * max_langs numbers
-    rows = map_rows(usable.join(F.broadcast(few), F.col("doc_id") == F.col("id"), "left_semi").select("doc_id", "lang", "text"), "doc_id long, lang string, words array<string>", start).collect()
-    return fit([(r["lang"], r["words"]) for r in sorted(rows, key=lambda r: (r["doc_id"], r["lang"], r["words"])) if r["lang"] in langs])
+def language_model(docs: DataFrame, per_lang: int = 300, max_chars: int = 100_000) -> dict:
+    """Fit on the `training_rows` of `docs` (doc_id, lang, text)."""
+    rows = training_rows(docs, per_lang, max_chars).collect()
+    return fit([(r["lang"], words_of(r["text"])) for r in sorted(rows, key=lambda r: (r["doc_id"], r["lang"], r["text"]))])
 
 
 class Tagger:
@@ -278,7 +279,7 @@ class Tagger:
     def tag(self, texts: list[str | None]) -> tuple[list[int], np.ndarray]:
         """Words of each text, and the marginals of all words one after another."""
         m = self.model
-        lists = [LETTERS.findall(t.lower()) if t else [] for t in texts]
+        lists = [words_of(t) if t else [] for t in texts]
         if len(self.place) > self.max_words:
             self.place, self.rows = {}, self.rows[:0]
         place = self.place
