@@ -11,13 +11,20 @@ negation near it speak for quotation, words of address for abuse.  Sums over the
 text go into a logistic model fitted on the same sample; its prior already ranks abuse
 above quotation, so that few labels are enough.
 
+Whole terms and stems are both matched with edits: a stem accepts every word of which a
+beginning is close enough to it.
+
 Bounds, all parameters: `max_train` labelled rows (by a hash of doc_id), `max_terms`
-lexicon entries.  Everything else runs over whole texts of all documents.
+lexicon entries; a worker remembers at most `max_words` verdicts and `max_states` states
+and builds further ones anew.  Everything else runs over whole texts of all documents.
 
-Defined results: null and empty texts score as texts without hits; a null doc_id is
+Defined results: null and empty texts score as texts without hits; very long texts are
+read whole, in time proportional to their length; a null doc_id is
 kept and counts as held out by the rule crc32 of a null (not learned from); several
-labels for one id count as toxic if any is; null labels are ignored; repeated rows score
-alike; without usable labels the prior model is used.
+labels for one id count as toxic if any is; of several texts of one id that with the
+least hash is learned from; null labels are ignored; equal term weights go by the term;
+repeated rows score alike; without usable labels the prior model is used; an empty table
+gives no rows; columns other than doc_id and text are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -38,6 +45,7 @@ REPORTING = frozenset("said says say wrote writes called calls quoted quote quot
 NEGATION = frozenset("not no never isn't don't wasn't pas jamais nicht nie kein nunca jamás".split())
 ADDRESS = frozenset("you your you're u ya tu toi vous du dich ihr sie usted vos eres are is".split())
 OPENERS, CLOSERS = "\"“«„", "\"”»“"
+QUOTED = re.compile("[" + OPENERS + "][^" + CLOSERS + "]*+[" + CLOSERS + "]")
 TOKEN = re.compile(r"\w(?:[\w@$*'’-]*\w)?")
 WINDOW = 6
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int, n_exact int, n_fuzzy int, n_quoted int, terms array<string>"
@@ -49,14 +57,15 @@ SEED_WEIGHT = 3.0
 class Automaton:
     """Trie of terms intersected with Levenshtein automata, made deterministic as texts need it.
 
-    terms: (text, is_stem, edits).  A stem accepts every word it begins; a whole term
-    accepts words within `edits` insertions, deletions, substitutions or swaps of
-    neighbours.  `match` gives (term index, edits used) or None; least edits first,
-    then the lower index.
+    terms: (text, is_stem, edits).  A whole term accepts words within `edits` insertions,
+    deletions, substitutions or swaps of neighbours; a stem accepts words with a beginning
+    within `edits` of it.  `match` gives (term index, edits used) or None; least edits
+    first, then the lower index.  Beyond `max_states` states the machine starts anew.
     """
 
-    def __init__(self, terms: list[tuple[str, bool, int]]):
+    def __init__(self, terms: list[tuple[str, bool, int]], max_states: int = 300_000):
         self.terms = terms
+        self.max_states = max_states
         self.children: list[dict[str, int]] = [{}]
         self.whole: list[int] = [-1]
         self.stem: list[int] = [-1]
@@ -76,11 +85,15 @@ class Automaton:
             if target[node] < 0:
                 target[node] = k
             for n in path:
-                self.most[n] = max(self.most[n], 0 if is_stem else edits)
+                self.most[n] = max(self.most[n], edits)
+        self._reset()
+
+    def _reset(self) -> None:
         self.states: list[tuple] = []
         self.steps: list[dict[str, int]] = []
         self.known: dict[tuple, int] = {}
-        self.found: list[tuple[int, int] | None] = []
+        self.found: list[tuple[int, int] | None] = []  # (edits, term) of whole terms that end here
+        self.begun: list[tuple[int, int] | None] = []  # and of stems that are complete here
         self.start = self._state({(0, 0, ""): None})
 
     def _state(self, items) -> int:
@@ -101,8 +114,8 @@ class Automaton:
             self.known[key] = len(self.states)
             self.states.append(key)
             self.steps.append({})
-            ends = [(e, self.whole[n]) for n, e, s in key if not s and self.whole[n] >= 0 and e <= self.terms[self.whole[n]][2]]
-            self.found.append(min(ends)[::-1] if ends else None)
+            for kind, out in ((self.whole, self.found), (self.stem, self.begun)):
+                out.append(min(((e, kind[n]) for n, e, s in key if not s and kind[n] >= 0 and e <= self.terms[kind[n]][2]), default=None))
         return self.known[key]
 
     def _step(self, state: int, c: str) -> int:
@@ -126,21 +139,21 @@ class Automaton:
         return got
 
     def match(self, word: str) -> tuple[int, int] | None:
-        state, node, stem = self.start, 0, -1
+        if len(self.states) > self.max_states:
+            self._reset()
+        state, best = self.start, None
         for c in word:
-            if node >= 0:
-                node = self.children[node].get(c, -1)
-                if node >= 0 and stem < 0:
-                    stem = self.stem[node]
-            if state >= 0:
-                got = self.steps[state].get(c)
-                state = self._step(state, c) if got is None else got
-            if state < 0 and node < 0:
+            got = self.steps[state].get(c)
+            state = self._step(state, c) if got is None else got
+            if state < 0:
                 break
+            begun = self.begun[state]
+            if begun is not None and (best is None or begun < best):
+                best = begun
         whole = self.found[state] if state >= 0 else None
-        if stem >= 0 and (whole is None or whole[1] > 0):
-            return stem, 0
-        return whole
+        if whole is not None and (best is None or whole < best):
+            best = whole
+        return best[::-1] if best else None
 
 
 def allowed_edits(term: str) -> int:
@@ -207,9 +220,12 @@ def quoted_tokens(low: str) -> set[int]:
         return set()
     out, n = set(), 0
     for line in low.split("\n"):
-        spans = [m.span() for m in re.finditer("[" + OPENERS + "][^" + CLOSERS + "]*[" + CLOSERS + "]", line)]
+        spans = iter([m.span() for m in QUOTED.finditer(line)])  # in order, apart from one another
+        a, b = next(spans, (0, 0))
         for m in TOKEN.finditer(line):
-            if any(a < m.start() and m.end() <= b for a, b in spans):
+            while b and b <= m.start():
+                a, b = next(spans, (0, 0))
+            if b and a < m.start() and m.end() <= b:
                 out.add(n)
             n += 1
     return out
@@ -226,7 +242,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, max_train: int) -> DataFra
         .limit(max_train)
     )
     # at most max_train rows of two numbers, so the broadcast is bounded
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id"])
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(ids), "doc_id")
+    return found.groupBy("doc_id", "y").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text")).select("doc_id", "text", "y")
 
 
 def learn_terms(train: DataFrame, max_terms: int) -> list[tuple[str, bool, float]]:
@@ -285,7 +302,7 @@ def toxicity_model(docs: DataFrame, labels: DataFrame, max_train: int = 12_000,
     train = cut(training_rows(docs, labels, max_train), "toxicity-train")
     learned = learn_terms(train, max_terms)
     seen_terms = {t for t, s, _ in learned if not s}
-    terms = [(t, s, 0 if s else allowed_edits(t), w) for t, s, w in learned + [(t, False, SEED_WEIGHT) for t in SEED_TERMS if t not in seen_terms]]
+    terms = [(t, s, allowed_edits(t), w) for t, s, w in learned + [(t, False, SEED_WEIGHT) for t in SEED_TERMS if t not in seen_terms]]
 
     def start():
         scan = Scanner(terms)
