@@ -1,20 +1,29 @@
 """Licence scans: sparse TF-IDF cosine to templates, then inheritance from the nearest directory.
 
-Every line of every text is held against licence templates.  A line's vector has the
-weights (term frequency times inverse document frequency) of its words; document
-frequencies are counted over all documents for the templates' vocabulary, a fixed small
-set.  The best template of the best line is the file's own licence if the cosine reaches
-`threshold`.
-
-A file without one takes the licence of its nearest ancestor directory that has a
+Templates are whole notices, whole short licences and the sentences by which texts name
+a licence.  Where a text holds a telling word of a template, the stretch of as many words
+as the template has, laid so that the two words meet, is compared with it, across line
+ends and inside lines: a header that is wrapped, quoted or followed by other words is
+compared as a unit, and so is a licence file.  A stretch's vector has the weights (term
+frequency times inverse document frequency) of its words; document frequencies are
+counted over all documents for the templates' vocabulary, a fixed small set; words outside
+it have the mean weight of that vocabulary, whatever the number of documents.  An SPDX
+tag is evidence of its own.  Of the cosines of at least `threshold` the one with most
+evidence decides, a template's words times the cosine's 20th power, so that a whole
+licence beats a beginning that it shares with another; then the earlier place.  A mere reservation of all rights
+counts only in texts that hold no licence.
+
+A file without a licence takes that of its nearest ancestor directory that has a
 licence file: a file named LICENSE, LICENCE, COPYING or NOTICE (with any ending), or one
-most of whose words stand in lines that match.  Ancestors are exploded into rows and
-joined by path; sums and choices combine before shuffles.
+most of whose words stand in stretches that match.  Ancestors are exploded into rows and
+joined by path; sums and choices combine before shuffles, and files of a folder that holds
+more than a thousandth of all are dealt over several tasks.
 
-Defined results: null and empty texts have no own licence but can inherit; a null path
+Defined results: null and empty texts have no own licence but can inherit; very long texts
+are read whole, in time proportional to their length and telling words; a null path
 neither gives nor inherits; several licence files in a directory: the best cosine, ties
 by licence name then by path; repeated rows are treated alike; an empty table gives no
-rows.
+rows; columns other than doc_id, path and text are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,26 +35,49 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .util import cut, map_rows
+from .util import cut, hot_keys, map_rows, spread_join
 
 WORD = re.compile(r"[a-z0-9]+(?:[.-][a-z0-9]+)*")
-#: short notices of well-known public licences; fixed values
+GRANT = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions"
+TWO_CLAUSES = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+THIRD_CLAUSE = " 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+
+
+def _gnu(kind: str, what: str, version: str) -> tuple[str, ...]:
+    """The notice of a GNU licence, as its own text recommends it, and shorter forms."""
+    name, it = f"GNU {kind}General Public License", f"This {what} is free software"
+    grant = f"you can redistribute it and/or modify it under the terms of the {name} as published by the Free Software Foundation"
+    return (
+        f"{it}; {grant}; either version {version} of the License, or (at your option) any later version.",
+        f"{it}: {grant}, either version {version} of the License, or (at your option) any later version.",
+        f"{it}; {grant}; version {version} of the License.",
+        f"This work is licensed under the {name}, version {version}.",
+        f"licensed under the {name} version {version}",
+        f"released under the {name} version {version}",
+        f"under the terms of the {name} version {version}",
+    )
+
+
+#: texts of well-known public licences; fixed values
 TEMPLATES = {
-    "Apache-2.0": ("Licensed under the Apache License, Version 2.0.", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.', "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"),
-    "MIT": ("Released under the MIT License.", "This project is licensed under the MIT License.", 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction'),
-    "GPL-3.0": ("This work is licensed under the GNU General Public License, version 3.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
-    "GPL-2.0": ("This work is licensed under the GNU General Public License, version 2.", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
-    "LGPL-3.0": ("This library is licensed under the GNU Lesser General Public License, version 3.",),
-    "AGPL-3.0": ("This work is licensed under the GNU Affero General Public License, version 3.",),
-    "BSD-3-Clause": ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", "Licensed under the BSD 3-Clause License."),
-    "MPL-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",),
-    "ISC": ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted", "Licensed under the ISC License."),
+    "Apache-2.0": ("Licensed under the Apache License, Version 2.0.", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0', "released under the Apache License Version 2.0", "under the terms of the Apache License Version 2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/ TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION"),
+    "MIT": ("Released under the MIT License.", "This project is licensed under the MIT License.", "Licensed under the MIT License.", "distributed under the MIT License", "under the terms of the MIT License", GRANT, GRANT + ": The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT."),
+    "GPL-3.0": (*_gnu("", "program", "3"), "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007 Copyright Free Software Foundation"),
+    "GPL-2.0": (*_gnu("", "program", "2"), "GNU GENERAL PUBLIC LICENSE Version 2, June 1991 Copyright Free Software Foundation"),
+    "LGPL-3.0": (*_gnu("Lesser ", "library", "3"), "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007 Copyright Free Software Foundation"),
+    "LGPL-2.1": (*_gnu("Lesser ", "library", "2.1"), "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999 Copyright Free Software Foundation"),
+    "AGPL-3.0": (*_gnu("Affero ", "program", "3"), "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007 Copyright Free Software Foundation"),
+    "BSD-3-Clause": (TWO_CLAUSES + THIRD_CLAUSE, "Licensed under the BSD 3-Clause License.", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file."),
+    "BSD-2-Clause": (TWO_CLAUSES, "Licensed under the BSD 2-Clause License."),
+    "MPL-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "licensed under the Mozilla Public License Version 2.0", "Mozilla Public License Version 2.0 1. Definitions"),
+    "ISC": ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.", "Licensed under the ISC License."),
     "CC-BY-4.0": ("Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     "CC-BY-SA-4.0": ("Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
     "CC-BY-NC-4.0": ("Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
-    "Proprietary": ("All rights reserved.",),
     "Unlicense": ("This is free and unencumbered software released into the public domain.",),
 }
+RESERVED = re.compile(r"\ball\s+rights\s+reserved\b", re.I)
+SPDX = re.compile(r"SPDX-License-Identifier:[ \t]*\(?([A-Za-z0-9][A-Za-z0-9.+-]*(?:[ \t]+(?:OR|AND|WITH)[ \t]+[A-Za-z0-9][A-Za-z0-9.+-]*)*)")
 LICENCE_FILE = r"(?i)^(licen[sc]e|copying|notice)([.-].*)?$"
 SCHEMA = "doc_id long, path string, own string, score double, line int, licence_words long, n_words long"
 
@@ -79,22 +111,30 @@ def document_frequencies(docs: DataFrame, vocab: list[str]) -> tuple[dict[str, i
 
 
 class Matcher:
-    """Cosine of a line to every template through an inverted index of the templates."""
+    """Cosine of stretches of a text to templates.
 
-    def __init__(self, templates: dict[str, tuple[str, ...]], df: dict[str, int], n_docs: int, threshold: float):
+    A template's telling words are its `n_telling` rarest; where one stands in a text, the
+    stretch that lines up with the template is compared, if it holds most of them.
+    """
+
+    def __init__(self, templates: dict[str, tuple[str, ...]], df: dict[str, int], n_docs: int, threshold: float, n_telling: int = 3):
         self.idf = {w: math.log((1 + n_docs) / (1 + df.get(w, 0))) + 1.0 for w in vocabulary(templates)}
-        self.unknown = math.log(1 + n_docs) + 1.0  # a word outside the vocabulary counts as rare: it speaks against a match
+        self.unknown = sum(self.idf.values()) / max(1, len(self.idf))  # bounded, so that a strange word costs the same in any corpus
         self.threshold = threshold
         self.names: list[str] = []
-        self.index: dict[str, list[tuple[int, float]]] = {}
+        self.vectors: list[tuple[dict[str, float], int, list[str]]] = []  # unit vector, words, telling words
+        self.telling: dict[str, list[tuple[int, int]]] = {}  # word -> (template, place in it)
         for name in sorted(templates):
             for text in templates[name]:
-                v = self._vector(words_of(text))
+                words = words_of(text)
+                v = self._vector(words)
                 norm = math.sqrt(sum(x * x for x in v.values()))
-                for w, x in v.items():
-                    self.index.setdefault(w, []).append((len(self.names), x / norm))
+                t = len(self.names)
+                rare = sorted(v, key=lambda w: (-self.idf[w], w))[:n_telling]
                 self.names.append(name)
-        self.rare = {w for w in self.index if len(w) > 2 and w not in ("the", "this", "and", "any", "for", "with", "you", "may", "not", "use", "from", "that", "are")}
+                self.vectors.append(({w: x / norm for w, x in v.items()}, len(words), rare))
+                for w in rare:
+                    self.telling.setdefault(w, []).append((t, words.index(w)))
 
     def _vector(self, words: list[str]) -> dict[str, float]:
         out: dict[str, float] = {}
@@ -102,33 +142,56 @@ class Matcher:
             out[w] = out.get(w, 0.0) + self.idf.get(w, self.unknown)
         return out
 
+    def _cosine(self, words: list[str], t: int) -> float:
+        v, unit = self._vector(words), self.vectors[t][0]
+        norm = math.sqrt(sum(x * x for x in v.values()))
+        return sum(x * unit[w] for w, x in v.items() if w in unit) / norm if norm else 0.0
+
     def line(self, line: str) -> tuple[float, str, int]:
-        """(cosine, licence, words) of the best template, or (0, '', words)."""
+        """(cosine, licence, words) of a whole stretch against the best template, or (0, '', words)."""
         words = words_of(line)
-        if not self.rare.intersection(words):
-            return 0.0, "", len(words)
-        v = self._vector(words)
-        dots: dict[int, float] = {}
-        for w, x in v.items():
-            for t, y in self.index.get(w, ()):
-                dots[t] = dots.get(t, 0.0) + x * y
-        norm = math.sqrt(sum(x * x for x in v.values()))
-        score, t = max(((d / norm, -t) for t, d in dots.items()), default=(0.0, 0))
-        return (score, self.names[-t], len(words)) if score >= self.threshold else (0.0, "", len(words))
+        score, t = max(((self._cosine(words, t), -t) for t in range(len(self.names))), default=(0.0, 0))
+        return (score, self.names[-t], len(words)) if score >= self.threshold and score > 0 else (0.0, "", len(words))
 
     def text(self, text: str | None) -> tuple[str | None, float, int | None, int, int]:
-        """Own licence, cosine, line number, words in matching lines, words."""
-        best, n, inside = (0.0, "", 0), 0, 0
-        for i, line in enumerate((text or "").split("\n"), 1):
-            score, name, k = self.line(line)
-            n += k
-            inside += k if name else 0
-            if name and score > best[0]:
-                best = (score, name, i)
-        return best[1] or None, round(best[0], 9), best[2] or None, inside, n
-
-
-def own_licences(files: DataFrame, templates: dict[str, tuple[str, ...]] = TEMPLATES, threshold: float = 0.6) -> DataFrame:
+        """Own licence, cosine, line number, words in stretches that match, words."""
+        text = text or ""
+        tag = SPDX.search(text) if "SPDX" in text else None
+        low = text.lower()
+        words = WORD.findall(low)
+        n = len(words)
+        best, marked = (0.0, 0.0, 0, ""), []
+        if tag:
+            spans = [m.start() for m in WORD.finditer(low)]
+            k = next((i for i, at in enumerate(spans) if at >= tag.start()), 0)
+            best, marked = (math.inf, 1.0, -k, " ".join(tag.group(1).split())), [(k, k + len(words_of(tag.group())))]
+        elif not self.telling.keys().isdisjoint(words):
+            spans = [m.start() for m in WORD.finditer(low)]
+            seen = set()
+            for i, w in enumerate(words):
+                for t, place in self.telling.get(w, ()):
+                    _, size, rare = self.vectors[t]
+                    a = max(0, i - place)
+                    if (t, a) in seen:
+                        continue
+                    seen.add((t, a))
+                    stretch = words[a : a + size]
+                    if 2 * len(stretch) < size or 2 * sum(r in stretch for r in rare) <= len(rare):
+                        continue
+                    if (score := self._cosine(stretch, t)) >= self.threshold:
+                        marked.append((a, a + len(stretch)))
+                        best = max(best, (size * round(score, 9) ** 20, round(score, 9), -a, self.names[t]))
+        if not best[3]:
+            held = RESERVED.search(low)
+            return ("Proprietary", self.threshold, low.count("\n", 0, held.start()) + 1, 0, n) if held else (None, 0.0, None, 0, n)
+        inside, end = 0, 0
+        for a, b in sorted(marked):
+            inside += max(0, b - max(a, end))
+            end = max(end, b)
+        return best[3], best[1], low.count("\n", 0, spans[-best[2]]) + 1, inside, n
+
+
+def own_licences(files: DataFrame, templates: dict[str, tuple[str, ...]] = TEMPLATES, threshold: float = 0.8) -> DataFrame:
     """SCHEMA for each row of `files` (doc_id, path, text)."""
     df, n_docs = document_frequencies(files, vocabulary(templates))
 
@@ -144,7 +207,7 @@ def own_licences(files: DataFrame, templates: dict[str, tuple[str, ...]] = TEMPL
     return map_rows(files.select(F.col("doc_id").cast("long").alias("doc_id"), "path", "text"), SCHEMA, start)
 
 
-def licences(files: DataFrame, templates: dict[str, tuple[str, ...]] = TEMPLATES, threshold: float = 0.6, file_share: float = 0.5) -> DataFrame:
+def licences(files: DataFrame, templates: dict[str, tuple[str, ...]] = TEMPLATES, threshold: float = 0.8, file_share: float = 0.5) -> DataFrame:
     """doc_id, path, licence, basis ('own', 'inherited', 'none'), score, line, from_dir per row of `files` (doc_id, path, text)."""
     own = cut(own_licences(files, templates, threshold), "licences-own")
     folder = F.regexp_extract("path", r"^(.*)/[^/]*$", 1)
@@ -161,7 +224,10 @@ def licences(files: DataFrame, templates: dict[str, tuple[str, ...]] = TEMPLATES
         .agg(F.max(F.struct(F.length("dir").alias("n"), "dir", "dir_licence")).alias("m"))
         .select("folder", F.col("m.dir").alias("from_dir"), F.col("m.dir_licence").alias("dir_licence"))
     )
-    out = own.withColumn("folder", F.when(F.col("own").isNull(), folder)).join(near, "folder", "left")
+    placed = own.withColumn("folder", F.when(F.col("own").isNull(), folder))
+    # files without a licence of a folder that holds many are dealt over tasks; a null folder meets nothing
+    hot = hot_keys(placed.where("folder is not null").groupBy("folder").agg(F.count("*").alias("n")), "folder", own.count())
+    out = spread_join(placed.withColumn("folder", F.coalesce("folder", F.concat(F.lit("\u0000"), F.pmod(F.monotonically_increasing_id(), F.lit(1000)).cast("string")))), near, "folder", hot, "left")
     basis = F.when(F.col("own").isNotNull(), "own").when(F.col("dir_licence").isNotNull(), "inherited").otherwise("none")
     return out.select("doc_id", "path", F.coalesce("own", "dir_licence").alias("licence"), basis.alias("basis"), "score", "line", "from_dir")
 
