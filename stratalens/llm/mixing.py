@@ -9,14 +9,17 @@ found by running sums over one small row per source instead of a loop.
 Each source then takes its target as whole repetitions of all its documents plus
 one fractional repetition: documents in a seeded order until the target is met.
 The order is cut into hash buckets whose sums are made before any shuffle of
-single documents, so no source meets in one task, however large it is.  The one
+single documents, so no source meets in one task, however large it is.  The windows
+that fill the targets see one row of five numbers a source in one task, which bounds the
+number of sources to some tens of millions; documents never meet there.  The one
 document on the border is taken in part, so a source takes its target to within a
 word.
 
 Defined results: null text counts 0 words; null source is a source of its own, after
 all others; sources without words and an empty table have target 0; repeated rows
 are separate documents; a null doc_id is kept; equal rows are interchangeable.
-Columns other than those named are ignored, whatever their names.
+Very long texts are counted whole; columns other than those named are ignored, whatever
+their names.
 """
 
 from __future__ import annotations
