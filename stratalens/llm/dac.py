@@ -7,21 +7,36 @@ set bits before every block of 512, so the place of an id's next chunk is one
 directory entry plus the bits of one block.  Any id, or any run of ids, is read
 without decoding what stands before it.
 
-One segment is such a file with the index of its documents; layout, little-endian:
+One segment is such a structure with the index of its documents; layout, little-endian:
 
-    "DAC1"  u32 n_ids  u32 n_docs  u32 n_levels  u32 first_in_shard_low  u32 ..._high
-    n_docs x i64 doc_id (null: the least i64)      (n_docs + 1) x u32 offset of its first id
-    per level: u32 n, n x u8 chunks, ceil(n / 8) bitmap bytes (bit i of byte i // 8),
+    "DAC2"  u32 n_ids  u32 n_docs  u32 n_levels  u64 first_in_shard
+    per level: u32 n, u32 place of the level in the segment
+    n_docs x i64 doc_id      ceil(n_docs / 8) bytes: which doc_ids are not null
+    (n_docs + 1) x u32 offset of its first id
+    per level: n x u8 chunks, ceil(n / 8) bitmap bytes (bit i of byte i // 8),
                ceil(n / 512) + 1 x u32 rank directory
 
-Spark writes the segments, as rows of a Parquet file: the writers' commit protocol
-covers lost executors, and it reaches any store.  Shards are ranges of doc_id, in
-order; segments in a shard are, too.
+A shard's segments follow one another in one plain, uncompressed file, so a reader that
+knows a segment's place seeks to the few bytes of a token: the segment's head, and per
+level one chunk, one bitmap byte, one directory entry and at most one block of bits.
+`token` does that; `Segment` reads a whole segment at once.
+
+Shards are ranges of doc_id, in order.  Tasks write files under names of their own and
+give their segments' places as rows, which Spark writes as the index (Parquet) when all
+tasks have ended: a file of a lost or repeated attempt is in no index.  Files are opened
+through pyarrow's file systems, so any store they reach serves.
+
+Defined results: null and empty texts are their end id alone; a null doc_id stands first
+and stays null; every long value is a usable doc_id; rows with equal ids follow one
+another in the order of their texts' hashes, dealt over tasks by it; very long texts lie
+in one segment, however large; repeated rows are kept; an empty table gives an index
+without rows; columns other than doc_id and text are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import struct
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,55 +49,81 @@ from pyspark.sql.types import _parse_datatype_string
 from .tokens import coder
 from .util import bounded_batches
 
-MAGIC = b"DAC1"
-NULL_ID = -(1 << 63)
+MAGIC = b"DAC2"
+HEAD = struct.Struct("<4sIIIQ")
 BLOCK = 512
 SEGMENT_IDS = 1 << 19
-SEGMENTS = "shard int, segment int, first_in_shard long, n_ids long, payload binary"
+INDEX = "shard int, segment int, first_in_shard long, n_ids long, file string, place long, size long"
 DOCUMENTS = "doc_id long, start long, ids binary"
 
 
-def encode_ids(ids: np.ndarray) -> bytes:
-    """The levels of `ids` (unsigned 32-bit)."""
+def encode_levels(ids: np.ndarray) -> list[tuple[int, bytes]]:
+    """(places, bytes) of each level of `ids` (unsigned 32-bit)."""
     out, v = [], ids.astype(np.uint32)
     while True:
         more = v > 0xFF
         bits = np.packbits(more, bitorder="little")
         ones = np.add.reduceat(np.bitwise_count(bits).astype(np.int64), np.arange(0, len(bits), BLOCK // 8)) if len(bits) else np.zeros(0, np.int64)
         ranks = np.concatenate([[0], np.cumsum(ones)]).astype("<u4")
-        out.append(struct.pack("<I", len(v)) + (v & 0xFF).astype(np.uint8).tobytes() + bits.tobytes() + ranks.tobytes())
+        out.append((len(v), (v & 0xFF).astype(np.uint8).tobytes() + bits.tobytes() + ranks.tobytes()))
         v = v[more] >> 8
         if not len(v):
-            return struct.pack("<I", len(out)) + b"".join(out)
+            return out
 
 
 def encode_segment(doc_ids: list, lengths: list[int], ids: bytes, first_in_shard: int) -> bytes:
     a = np.frombuffer(ids, "<u4")
-    levels = encode_ids(a)
-    head = MAGIC + struct.pack("<II", len(a), len(doc_ids)) + levels[:4] + struct.pack("<Q", first_in_shard)
-    names = np.array([NULL_ID if d is None else d for d in doc_ids], dtype="<i8")
-    offsets = np.concatenate([[0], np.cumsum(np.array(lengths, dtype=np.int64))]).astype("<u4")
-    return head + names.tobytes() + offsets.tobytes() + levels[4:]
+    levels = encode_levels(a)
+    known = np.array([d is not None for d in doc_ids], dtype=bool)
+    names = np.array([d or 0 for d in doc_ids], dtype="<i8").tobytes() + np.packbits(known, bitorder="little").tobytes()
+    offsets = np.concatenate([[0], np.cumsum(np.array(lengths, dtype=np.int64))]).astype("<u4").tobytes()
+    at = HEAD.size + 8 * len(levels) + len(names) + len(offsets)
+    heads = b""
+    for n, body in levels:
+        heads += struct.pack("<II", n, at)
+        at += len(body)
+    return HEAD.pack(MAGIC, len(a), len(doc_ids), len(levels), first_in_shard) + heads + names + offsets + b"".join(body for _, body in levels)
+
+
+def token(read, i: int) -> int:
+    """Id i of a segment of which `read(place, n)` gives n bytes; a few bytes a level are read, whatever the segment's size."""
+    magic, n_ids, _, n_levels, _ = HEAD.unpack(read(0, HEAD.size))
+    if magic != MAGIC:
+        raise ValueError("not a segment of directly addressable codes")
+    if not 0 <= i < n_ids:
+        raise IndexError(i)
+    heads = struct.unpack(f"<{2 * n_levels}I", read(HEAD.size, 8 * n_levels))
+    value = 0
+    for level in range(n_levels):
+        n, at = heads[2 * level : 2 * level + 2]
+        value |= read(at + i, 1)[0] << (8 * level)
+        bits, block = at + n, i // BLOCK
+        own = read(bits + block * (BLOCK // 8), min(BLOCK // 8, -(-n // 8) - block * (BLOCK // 8)))  # the block's bits
+        k = i % BLOCK
+        if not own[k // 8] >> (k % 8) & 1:
+            break
+        (before,) = struct.unpack("<I", read(bits + -(-n // 8) + 4 * block, 4))
+        i = before + (int.from_bytes(own, "little") & ((1 << k) - 1)).bit_count()
+    return value
 
 
 class Segment:
     """Random access to one segment's bytes."""
 
     def __init__(self, payload: bytes):
-        if payload[:4] != MAGIC:
+        magic, self.n_ids, n_docs, n_levels, self.first_in_shard = HEAD.unpack_from(payload)
+        if magic != MAGIC:
             raise ValueError("not a segment of directly addressable codes")
-        self.n_ids, n_docs, n_levels, self.first_in_shard = struct.unpack_from("<IIIQ", payload, 4)
-        at = 24
+        heads = struct.unpack_from(f"<{2 * n_levels}I", payload, HEAD.size)
+        at = HEAD.size + 8 * n_levels
         self.doc_ids = np.frombuffer(payload, "<i8", n_docs, at)
-        self.offsets = np.frombuffer(payload, "<u4", n_docs + 1, at + 8 * n_docs)
-        at += 8 * n_docs + 4 * (n_docs + 1)
+        n_known = -(-n_docs // 8)
+        self.known = np.unpackbits(np.frombuffer(payload, np.uint8, n_known, at + 8 * n_docs), bitorder="little")[:n_docs].astype(bool)
+        self.offsets = np.frombuffer(payload, "<u4", n_docs + 1, at + 8 * n_docs + n_known)
         self.levels = []
-        for _ in range(n_levels):
-            (n,) = struct.unpack_from("<I", payload, at)
-            at += 4
+        for n, at in zip(heads[::2], heads[1::2], strict=True):
             n_bits, n_ranks = -(-n // 8), -(-n // BLOCK) + 1
             self.levels.append((np.frombuffer(payload, np.uint8, n, at), np.frombuffer(payload, np.uint8, n_bits, at + n), np.frombuffer(payload, "<u4", n_ranks, at + n + n_bits)))
-            at += n + n_bits + 4 * n_ranks
 
     def _rank(self, level: int, i: int) -> int:
         """Set bits before place i of a level: one directory entry and at most one block."""
@@ -117,14 +158,21 @@ class Segment:
         return out
 
 
+def _store(uri: str):
+    """(file system, path in it) of a folder's URI."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(uri) if "://" in uri else (fs.LocalFileSystem(), uri.removeprefix("file:"))
+
+
 def write_dac(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 1) -> None:
-    """Encode every whole text of `docs` (doc_id, text) and write segments in ascending doc_id order.
+    """Encode every whole text of `docs` (doc_id, text) into files below `path`, a folder that all executors share, in ascending doc_id order.
 
     Null text is empty; every document ends with `end_id`; a null doc_id stands first;
-    rows with equal ids follow one another, ordered by text.  A document lies in one
-    segment.  The shuffle by ranges of doc_id is the only one.
+    rows with equal ids follow one another, ordered by their texts' hashes.  A document lies in one
+    segment.  The shuffle by ranges of doc_id and hash is the only one.
     """
-    kind = _parse_datatype_string(SEGMENTS)
+    kind = _parse_datatype_string(INDEX)
     arrow = to_arrow_schema(kind)
     end = end_id.to_bytes(4, "little")
     bounded_batches(docs.sparkSession)
@@ -133,11 +181,19 @@ def write_dac(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 1)
         from pyspark import TaskContext
 
         code, shard = coder(tokenizer_path).encode, TaskContext.get().partitionId()
-        names, lengths, held, first, n, segment = [], [], [], 0, 0, 0
-
-        def out() -> pa.RecordBatch:
-            row = (shard, segment, first, n, encode_segment(names, lengths, b"".join(held), first))
-            return pa.RecordBatch.from_arrays([pa.array([x], type=f.type) for x, f in zip(row, arrow, strict=True)], schema=arrow)
+        names, lengths, held, first, n, place, rows = [], [], [], 0, 0, 0, []
+        store, folder = _store(path)
+        file, sink = f"shard-{shard:06d}-{uuid.uuid4().hex}.dac", None
+
+        def out() -> None:
+            nonlocal sink, place
+            if sink is None:
+                store.create_dir(folder + "/data", recursive=True)
+                sink = store.open_output_stream(f"{folder}/data/{file}", compression=None)
+            payload = encode_segment(names, lengths, b"".join(held), first)
+            sink.write(payload)
+            rows.append((shard, len(rows), first, n, file, place, len(payload)))
+            place += len(payload)
 
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -147,14 +203,18 @@ def write_dac(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 1)
                 held.append(ids)
                 n += lengths[-1]
                 if n >= SEGMENT_IDS:
-                    yield out()
-                    first, n, segment = first + n, 0, segment + 1
+                    out()
+                    first, n = first + n, 0
                     names, lengths, held = [], [], []
         if names:
-            yield out()
+            out()
+        if sink is not None:
+            sink.close()
+            yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows, strict=True), arrow, strict=True)], schema=arrow)
 
-    dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    dealt.mapInArrow(run, kind).write.parquet(path)
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("tie"))
+    dealt = keyed.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text").select("doc_id", "text")
+    dealt.mapInArrow(run, kind).write.parquet(path + "/index")
 
 
 def read_dac(spark: SparkSession, path: str) -> DataFrame:
@@ -164,23 +224,40 @@ def read_dac(spark: SparkSession, path: str) -> DataFrame:
     """
     kind = _parse_datatype_string(DOCUMENTS)
     arrow = to_arrow_schema(kind)
-    segments = spark.read.schema(SEGMENTS).parquet(path)
+    index = spark.read.schema(INDEX).parquet(path + "/index")
     starts, total = {}, 0
-    for r in sorted(segments.groupBy("shard").agg(F.sum("n_ids").alias("n")).collect()):
+    for r in sorted(index.groupBy("shard").agg(F.sum("n_ids").alias("n")).collect()):
         starts[r["shard"]] = total
         total += r["n"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, folder = _store(path)
         for batch in batches:
-            for shard, payload in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                s = Segment(payload.as_py())
+            for shard, file, place, size in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                with store.open_input_file(f"{folder}/data/{file}") as source:
+                    s = Segment(source.read_at(size, place))
                 base = starts[shard] + s.first_in_shard
                 at = s.offsets.astype(np.int64)
                 ids = [s.ids(int(a), int(b)).astype("<u4").tobytes() for a, b in zip(at[:-1], at[1:], strict=True)]
-                names = pa.array(s.doc_ids, type=pa.int64(), mask=s.doc_ids == NULL_ID)
-                yield pa.RecordBatch.from_arrays([names, pa.array(base + at[:-1]), pa.array(ids, type=pa.binary())], schema=arrow)
-
-    return segments.select("shard", "payload").mapInArrow(run, kind)
+                yield pa.RecordBatch.from_arrays([pa.array(s.doc_ids, type=pa.int64(), mask=~s.known), pa.array(base + at[:-1]), pa.array(ids, type=pa.binary())], schema=arrow)
+
+    # the index is small; its segments are dealt over the tasks
+    slots = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return index.select("shard", "file", "place", "size").repartition(slots, "shard", "place").mapInArrow(run, kind)
+
+
+def token_at(spark: SparkSession, path: str, position: int) -> int:
+    """The id at a position over all documents, read from the few bytes that hold it; the shards' sizes come from the index."""
+    index = spark.read.schema(INDEX).parquet(path + "/index")
+    left = position
+    for r in sorted(index.groupBy("shard").agg(F.sum("n_ids").alias("n")).collect()):
+        if left < r["n"]:
+            found = index.where((F.col("shard") == r["shard"]) & (F.col("first_in_shard") <= left) & (F.col("first_in_shard") + F.col("n_ids") > left)).first()
+            store, folder = _store(path)
+            with store.open_input_file(f"{folder}/data/{found['file']}") as source:
+                return token(lambda at, n: source.read_at(n, found["place"] + at), left - found["first_in_shard"])
+        left -= r["n"]
+    raise IndexError(position)
 
 
 def dac_digest(documents: DataFrame) -> DataFrame:
