@@ -5,16 +5,23 @@ tokens.  Stretches of `capacity` tokens of long documents are sequences of their
 what is left of each document waits in a buffer of the task.  A sequence is filled by
 taking, again and again, the waiting piece whose demand has the largest dot product
 with what is left of the limits, among those that fit.  When none fits whole, the one
-with the largest product is cut to what is left, so a sequence ends short only where
-the segment or loss limit is reached or the task's input has ended.
+with the largest product of which a part fits is cut to what is left, so a sequence ends
+short only where the segment limit is reached, or nothing that waits bears no loss, or
+the task's input has ended.  A document longer than a sequence is laid out as sequences
+that hold as much of its loss-bearing ids as the limit allows, filled with those of its
+prompt.
+
+Loss-bearing tokens are those behind a document's prompt: a prompt column, or the first
+`prompt_share` of its ids where instruction and answer stand in one text.
 
 Each task packs its own input: nothing is shuffled, the buffer is bounded, and a lost
 task repeats the same sequences.  A task leaves one short sequence at its end; with
 the usual 128 MB of input to a task that is far below 0.1 % of padding.
 
 Defined results: null text is empty; every document ends with `end_id`, so an empty
-one is a single token; a null id is kept; repeated rows are packed apart; an empty
-table gives no rows; other columns are ignored.
+one is a single token; very long texts are cut into many sequences; of equal products the
+piece that has waited longest is taken; a null id is kept; repeated rows are packed apart;
+an empty table gives no rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -32,6 +39,8 @@ from .tokens import coder
 from .util import bounded_batches
 
 SCHEMA = "doc_id long, start long, length long, doc_tokens long, n_loss long, sequence_id long, offset long, ids binary"
+#: limits for text that is its own instruction: the first quarter of a document stands for the prompt
+INSTRUCTION_LIMITS = {"max_segments": 64, "max_loss": 1792, "prompt_share": 0.25}
 BUFFER = 512
 FLUSH = 2000
 
@@ -56,14 +65,29 @@ class Packer:
         return doc_id, start, length, total, max(0, start + length - max(start, prompt)), self.next_id, offset, ids[4 * start : 4 * (start + length)]
 
     def add(self, doc_id, ids: bytes, prompt: int) -> Iterator[tuple]:
-        total, start = len(ids) // 4, 0
-        if self.max_loss >= self.capacity:
-            while total - start >= self.capacity:
-                yield self._place([doc_id, start, 0, prompt, ids, total], self.capacity, 0)
-                self.next_id += 1
-                start += self.capacity
-        if start < total:
-            self.wait.append([doc_id, start, total - start, prompt, ids, total])
+        total = len(ids) // 4
+        most_loss, spare = min(self.max_loss, self.capacity), max(0, self.capacity - self.max_loss)
+        lead, tail = 0, min(prompt, total)  # next ids of the prompt and behind it
+
+        def piece(start: int, length: int) -> list:
+            return [doc_id, start, length, prompt, ids, total]
+
+        if total <= self.capacity:
+            self.wait.append(piece(0, total))
+        else:
+            prompt = tail
+            while total - tail >= most_loss and prompt - lead >= spare and (self.max_segments > 1 or not spare):
+                if spare:
+                    yield self._place(piece(lead, 0), spare, 0)
+                yield self._place(piece(tail, 0), most_loss, spare)
+                self.next_id, lead, tail = self.next_id + 1, lead + spare, tail + most_loss
+            while prompt - lead >= self.capacity:
+                yield self._place(piece(lead, 0), self.capacity, 0)
+                self.next_id, lead = self.next_id + 1, lead + self.capacity
+            if lead < prompt:
+                self.wait.append(piece(lead, prompt - lead))
+            for at in range(tail, total, most_loss):
+                self.wait.append(piece(at, min(most_loss, total - at)))
         if len(self.wait) >= 2 * self.buffer:
             yield from self._fill(self.buffer)
 
@@ -83,15 +107,13 @@ class Packer:
                 score = size * (room / self.capacity**2) + segments / self.max_segments**2 + loss * (loss_room / self.max_loss**2)
                 fits = live & (size <= room) & (loss <= loss_room)
                 whole = fits.any()
-                at = int(np.argmax(np.where(fits if whole else live, score, -1.0)))
+                # size - loss: a piece's ids before the first that bears loss
+                able = fits if whole else live & (size - loss + loss_room > 0)
+                if not able.any():
+                    break
+                at = int(np.argmax(np.where(able, score, -1.0)))
                 piece = wait[at]
-                if whole:
-                    n = piece[2]
-                else:
-                    lead = int(size[at] - loss[at])  # its ids before the first that bears loss
-                    n = min(room, piece[2], lead + loss_room)
-                    if n <= 0:
-                        break
+                n = piece[2] if whole else min(room, piece[2], int(size[at] - loss[at]) + loss_room)
                 yield self._place(piece, n, offset)
                 used = max(0, n - int(size[at] - loss[at]))
                 room, segments, loss_room, offset = room - n, segments - 1, loss_room - used, offset + n
@@ -107,10 +129,11 @@ class Packer:
         self.wait = [p for p, x in zip(wait, live, strict=True) if x]
 
 
-def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, max_segments: int = 128, max_loss: int | None = None, end_id: int = 1, prompt_col: str | None = None) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, max_segments: int = 128, max_loss: int | None = None, end_id: int = 1, prompt_col: str | None = None, prompt_share: float = 0.0) -> DataFrame:
     """Pieces of `docs` (doc_id, text and, for instruction data, a prompt column); see SCHEMA.
 
-    Ids of the prompt stand before those of the text and bear no loss.  `sequence_id`
+    Ids of the prompt stand before those of the text and bear no loss; without a prompt
+    column the first `prompt_share` of a text's ids bear none.  `sequence_id`
     counts within a task above the task's number times 2**32.
     """
     kind = _parse_datatype_string(SCHEMA)
@@ -132,8 +155,8 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, max_segment
         rows: list[tuple] = []
         for batch in batches:
             for doc_id, text, prompt in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                lead = code(prompt) if prompt else b""
-                rows += packer.add(doc_id, lead + code(text) + end, len(lead) // 4)
+                lead, ids = code(prompt) if prompt else b"", code(text) + end
+                rows += packer.add(doc_id, lead + ids, len(lead) // 4 if prompt_col else int(prompt_share * (len(ids) // 4)))
                 if len(rows) >= FLUSH:
                     yield frame(rows)
                     rows = []

@@ -14,7 +14,7 @@ from .html_blocks import block_model, extract
 from .langid import language, language_model
 from .licenses import document_files, licences
 from .mixing import mix
-from .packing import pack_digest
+from .packing import INSTRUCTION_LIMITS, pack_digest
 from .quality import quality
 from .simhash import simhash_components
 from .toxicity import toxicity, toxicity_model
@@ -55,7 +55,7 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack_digest(table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"))
+    return pack_digest(table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"), **INSTRUCTION_LIMITS)
 
 
 def op8_directly_addressable_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
