@@ -3,6 +3,12 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; `run` writes each
 stage's rows in the shared folder and hands what it rereads to the next.  All but the
 last return the columns of documents.
+
+Defined results: null and empty texts fail the quality rules and go there; a null doc_id,
+lang, source or n_chars is kept; very long texts pass through whole; ties between
+near-duplicates go to the smaller doc_id, then to the row hash; rows equal in id and text
+are one after near-dedup, different texts that share an id stay apart; an empty table
+gives no rows; further columns of the input are dropped, whatever their names.
 """
 
 from __future__ import annotations
@@ -11,7 +17,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from stratalens.llm.mixing import repeated
-from stratalens.llm.packing import pack_digest
+from stratalens.llm.packing import INSTRUCTION_LIMITS, pack_digest
 from stratalens.llm.quality import kept
 from stratalens.llm.simhash import one_per_group
 from stratalens.llm.toxicity import clean, toxicity_model
@@ -42,7 +48,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces placed in sequences of at most 2048 tokens."""
-    return pack_digest(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return pack_digest(docs, public_tokenizers.path("byte_bpe_50k.json"), **INSTRUCTION_LIMITS)
 
 
 STAGES = [
