@@ -14,7 +14,7 @@ Recall against brute force is measured by `recall`, the share of rows scored by
 `scored_share`; tests hold recall above 0.9 on whole tables.
 
 Bounds, all parameters: graph and router are fitted on `fit_rows` rows (by hash); there
-are at most as many parts as an eighth of these, else one per 1,500 rows, so a larger table
+are an eighth as many parts, as fine parts prune best, so a larger table
 wants a larger sample.  Every row is indexed.
 
 Defined results: vectors that are null, empty, of another length than most, zero, or
@@ -218,11 +218,16 @@ def shelves(sizes: list[int], most: int) -> list[int]:
     return out
 
 
-def search(vectors: DataFrame, query_every: int = 20, k: int = 20, fit_rows: int = 6000, parts: int | None = None, probes: int | None = None, target: float = 0.95, chunk: int = CHUNK, query_block: int = QUERY_BLOCK) -> DataFrame:
+def _listed(values: list[int], kind: str):
+    """A constant array column, indexed from 0."""
+    return F.from_json(F.lit(str(list(values))), f"array<{kind}>")
+
+
+def search(vectors: DataFrame, query_every: int = 20, k: int = 20, fit_rows: int = 6000, parts: int | None = None, probes: int | None = None, target: float = 0.93, chunk: int = CHUNK, query_block: int = QUERY_BLOCK) -> DataFrame:
     """query_id, rank, vec_id, score of the k nearest found for each row whose vec_id is divisible by `query_every`.
 
-    fit_rows: rows (by hash) that graph and router are fitted on.  parts: one
-    per 1,500 rows by default, at least 8, at most an eighth of fit_rows.  probes: by default the least number
+    fit_rows: rows (by hash) that graph and router are fitted on.  parts: an
+    eighth of the rows fitted on by default, and at most.  probes: by default the least number
     that finds `target` of the neighbours of sample rows kept out of the fit; few where
     vectors form clusters, most parts where they do not.  If the parts probed hold no
     more than k rows, further ones are probed.
@@ -232,11 +237,10 @@ def search(vectors: DataFrame, query_every: int = 20, k: int = 20, fit_rows: int
     widths = base.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
     if not widths:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    dim, n = widths[0]["d"], widths[0]["count"]
+    dim = widths[0]["d"]
     base = base.where(F.size("v") == dim)
-    parts = parts or int(max(8, n // 1500))
     sample = [r["v"] for r in hash_sample(base, ["vec_id", "v"], fit_rows).collect()]
-    parts = max(1, min(parts, len(sample) // 8))
+    parts = max(1, min(parts or len(sample), len(sample) // 8))
     model = None
     if parts > 1:
         rows = np.array(sample)
@@ -248,24 +252,25 @@ def search(vectors: DataFrame, query_every: int = 20, k: int = 20, fit_rows: int
         def step(batch: pa.RecordBatch) -> dict:
             x = np.array(batch.column(1).to_pylist(), dtype=float)
             order = np.argsort(-route(model, x), axis=1, kind="stable") if model else np.zeros((len(x), 1), dtype=int)
-            return {"vec_id": batch.column(0), "v": batch.column(1), "part": order[:, 0], "order": order.astype(np.int32).tolist()}
+            asks = np.array(batch.column(0).to_pylist()) % query_every == 0
+            return {"vec_id": batch.column(0), "v": batch.column(1), "part": order[:, 0], "order": [o.tolist() if a else None for o, a in zip(order, asks, strict=True)]}
 
         return step
 
-    indexed = cut(map_rows(base, "vec_id long, v array<double>, part int, order array<int>", assign).withColumn("is_query", F.col("vec_id") % query_every == 0).withColumn("order", F.when(F.col("is_query"), F.col("order"))), "ann-index")
+    indexed = cut(map_rows(base, "vec_id long, v array<double>, part int, order array<int>", assign), "ann-index")
     sizes = {r["part"]: r["n"] for r in indexed.groupBy("part").agg(F.count("*").alias("n")).collect()}  # one number a part
-    size_of = F.create_map(*[F.lit(v) for p in range(parts) for v in (p, sizes.get(p, 0))])
+    size_of = _listed([sizes.get(p, 0) for p in range(parts)], "long")
     # the least number of leading parts that is `probes` or more and holds more than k rows
     reached = F.expr("aggregate(order, named_struct('n', 0, 'rows', 0L), (a, p) -> if(a.n < %d or a.rows <= %d, named_struct('n', a.n + 1, 'rows', a.rows + size_of[p]), a), a -> a.n)" % (probes, k + 1))
     # small parts share a shelf, so a query gives k rows a shelf, not a part
     shelf_of = shelves([sizes.get(p, 0) for p in range(parts)], chunk)
-    shelf = F.create_map(*[F.lit(v) for p in range(parts) for v in (p, shelf_of[p])])
-    queries = indexed.where("is_query").withColumn("size_of", size_of).select(F.col("vec_id").alias("query_id"), "v", F.slice("order", 1, reached).alias("to"))
+    shelf = _listed(shelf_of, "int")
+    queries = indexed.where("order is not null").withColumn("size_of", size_of).select(F.col("vec_id").alias("query_id"), "v", F.slice("order", 1, reached).alias("to"))
     routed = cut(queries.select("query_id", "v", "to", F.explode(F.array_distinct(F.transform("to", lambda p: shelf[p]))).alias("shelf")), "ann-queries")
     asked = {r["shelf"]: r["n"] for r in routed.groupBy("shelf").agg(F.count("*").alias("n")).collect()}
     held = {s: sum(sizes.get(p, 0) for p in range(parts) if shelf_of[p] == s) for s in set(shelf_of)}
-    n_chunks = F.create_map(*[F.lit(v) for s in held for v in (s, max(1, -(-held[s] // chunk)))])
-    n_blocks = F.create_map(*[F.lit(v) for s in held for v in (s, -(-asked.get(s, 0) // query_block))])
+    n_chunks = _listed([max(1, -(-held[s] // chunk)) for s in sorted(held)], "int")  # shelves are numbered from 0
+    n_blocks = _listed([-(-asked.get(s, 0) // query_block) for s in sorted(held)], "int")
     left = (
         indexed.select("vec_id", "v", "part", shelf[F.col("part")].alias("shelf"))
         .withColumn("chunk", F.pmod(F.xxhash64("vec_id"), n_chunks[F.col("shelf")]).cast("int"))
@@ -288,10 +293,10 @@ def search(vectors: DataFrame, query_every: int = 20, k: int = 20, fit_rows: int
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def scored_share(vectors: DataFrame, query_every: int = 20, k: int = 20, fit_rows: int = 6000, parts: int | None = None, target: float = 0.95) -> float:
+def scored_share(vectors: DataFrame, query_every: int = 20, k: int = 20, fit_rows: int = 6000, parts: int | None = None, target: float = 0.93) -> float:
     """Share of all rows that `search` scores for a query of the sample; for reports on how well parts prune."""
     rows = np.array([r["v"] for r in hash_sample(usable(vectors), ["vec_id", "v"], fit_rows).collect()])
-    parts = max(1, min(parts or max(8, usable(vectors).count() // 1500), len(rows) // 8))
+    parts = max(1, min(parts or len(rows), len(rows) // 8))
     if parts == 1:
         return 1.0
     model = fit(rows[np.arange(len(rows)) % 5 > 0], parts)
