@@ -141,13 +141,25 @@ def todo_hits(text: Column, most: int = 50) -> Column:
     return F.slice(F.filter(found, lambda r: r["kind"] != ""), 1, most)
 
 
-#: ordered, first match wins; patterns on text with white space collapsed and lower-cased
+#: ordered, first match wins; patterns on text with white space collapsed and lower-cased; fixed values
 LICENSE_PATTERNS = (
-    ("Apache-2.0", r"apache license,? (version )?2\.0"), ("MIT", r"mit license|permission is hereby granted, free of charge"), ("AGPL-3.0", r"gnu affero general public license"), ("LGPL-3.0", r"gnu lesser general public license"),
-    ("GPL-3.0", r"gnu general public license,? version 3"), ("GPL-2.0", r"gnu general public license,? version 2"), ("CC-BY-NC-4.0", r"cc by-nc 4\.0"), ("CC-BY-4.0", r"cc by 4\.0"), ("MPL-2.0", r"mozilla public license"), ("BSD-3-Clause", r"redistribution and use in source and binary forms"), ("Proprietary", r"all rights reserved"),
-)
-
-
+    ("AGPL-3.0", r"gnu affero general public license version 3"),
+    ("LGPL-3.0", r"gnu lesser general public license version 3"),
+    ("LGPL-2.1", r"gnu lesser general public license version 2\.1"),
+    ("LGPL-2.0", r"gnu library general public license version 2"),
+    ("GPL-3.0", r"gnu general public license version 3"),
+    ("GPL-2.0", r"gnu general public license version 2"),
+    ("Apache-2.0", r"apache license,? version 2\.0"),
+    ("MPL-2.0", r"mozilla public license,? (?:version|v\.) 2\.0"),
+    ("MIT", r"permission is hereby granted, free of charge, to any person obtaining a copy"),
+    ("ISC", r"with or without fee is hereby granted, provided that"),
+    ("0BSD", r"with or without fee is hereby granted\."),
+    ("BSD-3-Clause", r"redistribution and use in source and binary forms.*(?:neither the name|endorse or promote)"),
+    ("BSD-2-Clause", r"redistribution and use in source and binary forms"),
+    ("Unlicense", r"this is free and unencumbered software released into the public domain"),
+    ("BSL-1.0", r"boost software license - version 1\.0"),
+    ("CC0-1.0", r"cc0 1\.0 universal"),
+)
 LICENSE_GATE = "|".join(p for _, p in LICENSE_PATTERNS)
 
 
@@ -236,6 +248,39 @@ def html_structure(pages: DataFrame, key: str, html: str) -> DataFrame:
     return pages.select(key, *n.values(), F.regexp_extract(html, "(?i)<title>([^<]*)</title>", 1).alias("title"))
 
 
+def strip_inline_marks(text: Column) -> Column:
+    """Markdown text without links, images, tags, emphasis and code marks; white space collapsed."""
+    for pattern, to in ((r"!\[([^\]]*)\]\([^)]*\)", "$1"), (r"\[([^\]]+)\]\([^)]*\)", "$1"), (r"\[([^\]]+)\]\[[^\]]*\]", "$1"), (r"</?[a-zA-Z][^>]*>", ""), (r"\*\*(?=\S)(.+?)\*\*", "$1"), (r"(^|[^\w*])\*(?=\S)([^*\n]+?)\*(?!\w)", "$1$2"), (r"(^|[^\w_])_(?=\S)([^_\n]+?)_(?!\w)", "$1$2"), ("`([^`]+)`", "$1"), (r"\s{2,}", " ")):
+        text = F.regexp_replace(text, pattern, to)
+    return F.trim(text)
+
+
+def join_list(items: Column) -> Column:
+    """'a', 'a and b', 'a, b, and c'; empty for none."""
+    n = F.size(items)
+    head = F.array_join(F.slice(items, F.lit(1), F.greatest(F.lit(0), n - 1)), ", ")
+    return F.when(n <= 2, F.array_join(items, " and ")).otherwise(F.concat(head, F.lit(", and "), F.element_at(items, -1)))
+
+
+#: letters whose names begin with a vowel sound; fixed values
+VOWEL_SOUNDS = "AEFHILMNORSX"
+
+
+def article(phrase: Column) -> Column:
+    """'a' or 'an' by the sound of the first word; acronyms are read letter by letter."""
+    word = F.regexp_extract(phrase, r"^[A-Za-z0-9.]+", 0)
+    acronym = word.rlike("^[A-Z0-9]{2,}$")
+    return (
+        F.when(word == "", "a").when(word.rlike("^(npm|nx|nvm)$"), "an").when(acronym, F.when(word.rlike(f"^[{VOWEL_SOUNDS}]"), "an").otherwise("a"))
+        .when(word.rlike(r"(?i)^(uni|use|usa|euro|one\b|once)"), "a").when(word.rlike("(?i)^(hour|honest|honou?r|heir)"), "an").when(word.rlike("(?i)^[aeiou]"), "an").otherwise("a")
+    )
+
+
+def extraction_key(version: str, ending: Column, refs: Column, text: Column) -> Column:
+    """Key of a cached extraction: its version, the file's ending, whether references were wanted, and the content."""
+    return F.concat_ws(":", F.lit(version), ending, refs.cast("int").cast("string"), F.sha2(text, 256))
+
+
 def first_sentence(text: Column) -> Column:
     return F.trim(F.regexp_extract(text, r"^[\s\S]*?(?:[.!?](?=\s|$)|$)", 0))
 

@@ -40,6 +40,25 @@ def stat_deltas(base: DataFrame, head: DataFrame, stats: dict[str, Column]) -> D
     return side(base, "before").join(side(head, "after"), "stat").withColumn("delta", F.col("after") - F.col("before"))
 
 
+def headline_stats(base: tuple[DataFrame, DataFrame, DataFrame], head: tuple[DataFrame, DataFrame, DataFrame]) -> DataFrame:
+    """stat, before, after, delta of loc, tokens, files, risks, todos, secrets and vulns.
+
+    A side: files (loc, tokens, todos), risks (category, severity), vulnerabilities (id).
+    Secrets are exposed ones, vulnerabilities distinct ids.
+    """
+
+    def side(files: DataFrame, risks: DataFrame, vulnerabilities: DataFrame, name: str) -> DataFrame:
+        zero = F.lit(0)
+        one = files.agg(*[F.coalesce(F.sum(c), zero).alias(c) for c in ("loc", "tokens", "todos")], F.count("*").alias("files"))
+        two = risks.agg(F.count("*").alias("risks"), F.count_if(is_exposed_secret(F.col("category"), F.col("severity"))).alias("secrets"))
+        every = one.join(F.broadcast(two)).join(F.broadcast(vulnerabilities.agg(F.countDistinct("id").alias("vulns"))))  # one row each
+        names = ("loc", "tokens", "files", "risks", "todos", "secrets", "vulns")
+        return every.select(F.expr("stack(7, " + ", ".join(f"'{n}', cast(`{n}` as long)" for n in names) + f") as (stat, {name})"))
+
+    both = side(*base, "before").join(F.broadcast(side(*head, "after")), "stat")  # seven rows
+    return both.select("stat", "before", "after", (F.col("after") - F.col("before")).alias("delta"))
+
+
 def one_sided(base: DataFrame, head: DataFrame, keys: Sequence[str]) -> DataFrame:
     """keys, side: 'fixed' if the key stands on the base side only, 'new' if on the head side only."""
     b, h = base.select(*keys).distinct(), head.select(*keys).distinct()

@@ -324,6 +324,18 @@ def heatmap(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return edges.join(a, "src").join(b, "dst").groupBy("from_group", "to_group").agg(F.count("*").alias("edges"))
 
 
+def heatmap_totals(cells: DataFrame, edges: DataFrame) -> DataFrame:
+    """One row: max_cell, cross_edges (between different groups), total_edges (all, also those of unknown groups)."""
+    sums = cells.agg(F.coalesce(F.max("edges"), F.lit(0)).alias("max_cell"), F.coalesce(F.sum(F.when(F.col("from_group") != F.col("to_group"), F.col("edges"))), F.lit(0)).alias("cross_edges"))
+    return sums.join(F.broadcast(edges.agg(F.count("*").alias("total_edges"))))  # one row each
+
+
+def blast_radius(edges: DataFrame, changed: DataFrame, depth: int = 50) -> DataFrame:
+    """id, reached of the changed node (id) with most transitive dependents; ties to the least id; none without any."""
+    tally = multi_reach(edges, changed, "in", depth).groupBy(F.col("seed").alias("id")).agg(F.count("*").alias("reached"))
+    return tally.orderBy(F.desc("reached"), "id").limit(1)
+
+
 def capped_heatmap(cells: DataFrame, most: int) -> DataFrame:
     """Cells among the `most` groups of highest degree (ties by name); the diagonal counts twice in the degree."""
     degree = cells.select(F.col("from_group").alias("grp"), "edges").unionAll(cells.select(F.col("to_group").alias("grp"), "edges")).groupBy("grp").agg(F.sum("edges").alias("degree"))

@@ -136,6 +136,13 @@ def review_floor(files: DataFrame, tiers: Sequence[tuple[int, int]]) -> DataFram
     return files.select("path", total.cast("long").alias("passes"))
 
 
+def review_tokens(files: DataFrame) -> DataFrame:
+    """One row: tokens and non_test_tokens of files (path, tokens); a path with test, fixture or .spec. in it is a test's."""
+    test = F.col("path").contains("test") | F.col("path").contains("fixture") | F.col("path").contains(".spec.")
+    tokens = F.greatest(F.lit(0), F.col("tokens"))
+    return files.agg(F.coalesce(F.sum(tokens), F.lit(0)).alias("tokens"), F.coalesce(F.sum(F.when(~test, tokens)), F.lit(0)).alias("non_test_tokens"))
+
+
 def classify(items: DataFrame, text: str, rules: Sequence[tuple[str, str, float]]) -> DataFrame:
     """Adds `tier`: the tier with the largest sum of weights over rules (tier, pattern, weight) that match; ties to the earliest rule; null if none does."""
     tiers = list(dict.fromkeys(t for t, _, _ in rules))

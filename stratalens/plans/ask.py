@@ -19,6 +19,34 @@ TEMPLATES = (
 )
 
 
+#: words of a question that never name a node; fixed values
+STOP = frozenset(
+    ("who what whats which where how why when call calls called calling caller callers use uses used using user reference references referenced referencing import imports imported importing importer importers "
+     "depend depends depended depending dependency dependencies the a an of to on in into by for from and or is are be does do did that this these those between path paths connection connected reach reaches reachable "
+     "unused orphan orphans orphaned unreferenced dead code cycle cycles circular cyclic loop loops find show list me get all any some file files symbol symbols function functions class classes module modules thing things it its").split()
+)
+
+
+def words(text: str) -> list[str]:
+    """Runs of identifier and path characters that may name a node."""
+    return [w for w in re.split(r"[^A-Za-z0-9_/.#@-]+", text) if len(w) >= 2 and w.lower() not in STOP]
+
+
+def pick(nodes: DataFrame, text: str, most: int = 10) -> tuple[str | None, list[str]]:
+    """(id, []) of the first word that names exactly one node; (None, candidates) if a word names several, or none does: then suggestions for all words, at most `most`."""
+    tried = words(text)
+    for w in tried:
+        found = [r["id"] for r in nodes.where((F.col("id") == w) | (F.lower("name") == w.lower())).select("id").orderBy("id").limit(most).collect()]
+        if len(found) == 1:
+            return found[0], []
+        if found:
+            return None, found
+    out: list[str] = []
+    for w in tried:
+        out += [r["id"] for r in G.did_you_mean(nodes, w, most).select("id").collect() if r["id"] not in out]
+    return None, out[:most]
+
+
 @dataclass(frozen=True)
 class Plan:
     verb: str

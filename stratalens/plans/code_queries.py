@@ -129,7 +129,7 @@ def licences(spark, sf):
 
 @query("f6_spdx_tag", "SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN 'BSD-2-Clause' WHEN p_size % 3 = 0 THEN 'MIT' END AS licence FROM part")
 def spdx(spark, sf):
-    t = view(spark, sf, "SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN concat('# SPDX-License-Identifier:  BSD-2-Clause', chr(10), 'MIT License') WHEN p_size % 3 = 0 THEN concat('the  MIT', chr(10), 'License') ELSE p_name END AS text FROM part")
+    t = view(spark, sf, "SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN concat('# SPDX-License-Identifier:  BSD-2-Clause', chr(10), 'Apache License, Version 2.0') WHEN p_size % 3 = 0 THEN concat('Permission is hereby  granted,', chr(10), 'free of charge, to any person obtaining a copy') ELSE p_name END AS text FROM part")
     return t.select("p_partkey", S.license_of(F.col("text")).alias("licence"))
 
 

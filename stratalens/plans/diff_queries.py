@@ -157,3 +157,16 @@ def broken(spark, sf):
     missing = t.join(n.select(F.col("id").alias("target")), "target", "left_anti").withColumn("stem", F.regexp_replace("target", r"\.ts$", ""))
     stems = n.select(F.regexp_replace("id", r"\.[a-z]+$", "").alias("stem"), F.lit(True).alias("known")).distinct()
     return missing.join(stems, "stem", "left").select("id", "target", F.when(F.col("known"), "info").otherwise("medium").alias("severity"))
+
+
+@query("d2_headline_stats", f"""WITH {B}, {H}, {RB}, {RH}, v AS ({VULNS}),
+  s AS (SELECT 0 AS i, CAST(sum(loc) AS BIGINT) AS loc, CAST(sum(tokens) AS BIGINT) AS tokens, count(*) AS files, CAST(sum(loc % 5) AS BIGINT) AS todos, (SELECT count(*) FROM rb) AS risks, (SELECT count(*) FROM rb WHERE category = 'R' AND severity <> 'low') AS secrets, (SELECT count(DISTINCT id) FROM v WHERE side = 'fixed') AS vulns FROM b
+    UNION ALL SELECT 1, CAST(sum(loc) AS BIGINT), CAST(sum(tokens) AS BIGINT), count(*), CAST(sum(loc % 5) AS BIGINT), (SELECT count(*) FROM rh), (SELECT count(*) FROM rh WHERE category = 'R' AND severity <> 'low'), (SELECT count(DISTINCT id) FROM v) FROM h),
+  u AS (UNPIVOT s ON loc, tokens, files, todos, risks, secrets, vulns INTO NAME stat VALUE n)
+  SELECT stat, max(n) FILTER (i = 0) AS before, max(n) FILTER (i = 1) AS after, max(n) FILTER (i = 1) - max(n) FILTER (i = 0) AS delta FROM u GROUP BY stat""")
+def headline(spark, sf):
+    def side(files, risks, vulns):
+        r = view(spark, sf, risks).withColumn("category", F.when(F.col("category") == "R", "secret").otherwise(F.col("category")))
+        return view(spark, sf, files).withColumn("todos", F.col("loc") % 5), r, view(spark, sf, vulns)
+
+    return D.headline_stats(side(BASE, RISKS_BASE, f"SELECT * FROM ({VULNS}) WHERE side = 'fixed'"), side(HEAD, RISKS_HEAD, VULNS))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from stratalens.functions.scalar import glob_matches
 from stratalens.operators import graph as G
+from stratalens.plans import ask
 from stratalens.plans.adapters import EDGES, NODES, SMALL_EDGES, SMALL_NODES, view
 from stratalens.registry import query
 
@@ -271,3 +272,29 @@ def modules(spark, sf):
     WITH {N}, {E} SELECT a.language AS from_tier, b.language AS to_tier, count(*) AS links, count(DISTINCT e.src) AS sources FROM edges e JOIN nodes a ON a.id = e.src JOIN nodes b ON b.id = e.dst WHERE a.language <> b.language GROUP BY 1, 2""")
 def tier_flow(spark, sf):
     return G.tier_flow(nodes(spark, sf), edges(spark, sf), "language")
+
+
+@query("v1_heatmap_totals", f"{CELLS} SELECT max(edges) AS max_cell, CAST(sum(edges) FILTER (from_group <> to_group) AS BIGINT) AS cross_edges, (SELECT count(*) FROM edges) AS total_edges FROM cells")
+def heat_totals(spark, sf):
+    return G.heatmap_totals(G.heatmap(nodes(spark, sf), edges(spark, sf)), edges(spark, sf))
+
+
+@query("g17_largest_blast", f"""
+    WITH RECURSIVE {N}, {E}, pairs AS (SELECT DISTINCT dst AS a, src AS b FROM edges),
+    walk AS (SELECT id AS seed, id, 0 AS hops FROM nodes WHERE k % 25 = 1 UNION SELECT w.seed, p.b, w.hops + 1 FROM walk w JOIN pairs p ON p.a = w.id WHERE w.hops < 3)
+    SELECT seed AS id, count(DISTINCT id) AS reached FROM walk WHERE id <> seed GROUP BY seed ORDER BY reached DESC, seed LIMIT 1""")
+def largest_blast(spark, sf):
+    return G.blast_radius(edges(spark, sf), view(spark, sf, f"SELECT id FROM ({NODES}) WHERE k % 25 = 1"), 3)
+
+
+@query("f40_pick_entity", f"WITH {N} SELECT id FROM nodes WHERE lower(name) = 'f33'")
+def picked(spark, sf):
+    """The node that a question's words name: stop words and words without a node are passed over."""
+    n = nodes(spark, sf)
+    return n.where(F.col("id") == ask.pick(n, "Which files depend on the nowhere module F33?")[0]).select("id")
+
+
+@query("f40_did_you_mean", f"WITH {N} SELECT id FROM nodes WHERE contains(lower(id), '/n5/') ORDER BY id LIMIT 10")
+def meant(spark, sf):
+    n = nodes(spark, sf)
+    return n.where(F.col("id").isin(ask.pick(n, "who imports /n5/ ?")[1])).select("id")

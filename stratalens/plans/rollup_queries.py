@@ -264,3 +264,13 @@ TREES = "SELECT c_custkey, c_custkey % 4 AS ahead, c_custkey % 3 AS behind, c_cu
 @query("v22_worktree_state", f"SELECT c_custkey, CASE WHEN merged THEN 'integrated' WHEN ahead = 0 THEN 'empty' WHEN behind > 0 THEN 'diverged' ELSE 'pending' END AS integration, CASE WHEN upstream IS NULL THEN 'local' WHEN ahead > 0 THEN 'unpushed' ELSE 'published' END AS publish, CASE WHEN dirty > 0 THEN 'uncommitted' ELSE 'clean' END AS commit_state FROM ({TREES})")
 def trees(spark, sf):
     return X.worktree_state(view(spark, sf, TREES)).select("c_custkey", "integration", "publish", "commit_state")
+
+
+@query("v18_review_tokens", f"SELECT CAST(sum(tokens) AS BIGINT) AS tokens, CAST(sum(tokens) FILTER (NOT contains(id, 'test')) AS BIGINT) AS non_test_tokens FROM ({NODES})")
+def review_tokens(spark, sf):
+    return R.review_tokens(view(spark, sf, NODES).select(F.col("id").alias("path"), "tokens"))
+
+
+@query("v19_vendor_groups", "SELECT p_brand AS vendor, string_agg(p_name, ',' ORDER BY p_retailprice, p_name) AS models FROM part WHERE contains(lower(concat(p_name, ' ', p_brand)), 'brand') AND contains(lower(concat(p_name, ' ', p_brand)), 'l') AND p_retailprice <= 1500 GROUP BY p_brand")
+def vendors(spark, sf):
+    return T.search_by_vendor(view(spark, sf, "SELECT p_brand AS vendor, p_name AS name, p_retailprice AS price FROM part"), ["BRAND", "l"], 1500)

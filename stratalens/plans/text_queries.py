@@ -66,7 +66,7 @@ def licence(spark, sf):
     return table(spark, sf, "documents").select("doc_id", S.license_of(F.col("text")).alias("licence"))
 
 
-@query("f9_license_risk", f"SELECT risk, count(*) AS n FROM (SELECT CASE WHEN l IN ('AGPL-3.0', 'GPL-3.0', 'GPL-2.0') THEN 'high' WHEN l IN ('LGPL-3.0', 'MPL-2.0', 'CC-BY-NC-4.0') THEN 'medium' WHEN l IS NULL OR l IN ('Proprietary', 'CC-BY-4.0') THEN 'low' ELSE 'none' END AS risk FROM (SELECT CASE {CASES} END AS l FROM (SELECT lower(regexp_replace(text, '\\s+', ' ', 'g')) AS t FROM documents))) GROUP BY risk")
+@query("f9_license_risk", f"SELECT risk, count(*) AS n FROM (SELECT CASE WHEN l IN ('AGPL-3.0', 'GPL-3.0', 'GPL-2.0') THEN 'high' WHEN l IN ('LGPL-3.0', 'LGPL-2.1', 'LGPL-2.0', 'MPL-2.0') THEN 'medium' WHEN l IS NULL OR l IN ('BSL-1.0', 'CC0-1.0') THEN 'low' ELSE 'none' END AS risk FROM (SELECT CASE {CASES} END AS l FROM (SELECT lower(regexp_replace(text, '\\s+', ' ', 'g')) AS t FROM documents))) GROUP BY risk")
 def licence_risk(spark, sf):
     from stratalens.operators.security import license_risk
 
@@ -178,9 +178,21 @@ def terms(spark, sf):
     return search_all(table(spark, sf, "part"), "p_name", ["ID", "l"]).select("p_partkey", "p_name")
 
 
-@query("r9_extraction_cache", "SELECT sha256(text) AS sha, count(*) AS n FROM documents WHERE sha256(text) NOT IN (SELECT sha256(text) FROM documents WHERE doc_id % 3 = 0) GROUP BY 1")
+CACHE_KEY = "concat('v4:', coalesce(lang, ''), ':', CASE WHEN doc_id % 2 = 0 THEN '1' ELSE '0' END, ':', sha256(text))"
+
+
+@query("r9_extraction_cache", f"SELECT {CACHE_KEY} AS key, count(*) AS n FROM documents WHERE {CACHE_KEY} NOT IN (SELECT {CACHE_KEY} FROM documents WHERE doc_id % 3 = 0) GROUP BY 1")
 def cache_misses(spark, sf):
     """Contents that a cache of a third of the documents does not hold yet."""
-    d = table(spark, sf, "documents").select("doc_id", F.sha2("text", 256).alias("sha"))
-    cached = d.where("doc_id % 3 = 0").select("sha").distinct()
-    return d.select("sha").join(cached, "sha", "left_anti").groupBy("sha").agg(F.count("*").alias("n"))
+    key = S.extraction_key("v4", F.coalesce("lang", F.lit("")), F.col("doc_id") % 2 == 0, F.col("text"))
+    d = table(spark, sf, "documents").select("doc_id", key.alias("key"))
+    cached = d.where("doc_id % 3 = 0").select("key").distinct()
+    return d.select("key").join(cached, "key", "left_anti").groupBy("key").agg(F.count("*").alias("n"))
+
+
+@query("f22_plain_words", """SELECT c_custkey, concat('See docs', CAST(c_nationkey AS STRING), ' for bold, it and code of x.') AS plain, concat('See docs', CAST(c_nationkey AS STRING), ' for bold, it and code of x.') AS first, CASE c_custkey % 3 WHEN 0 THEN 'a' WHEN 1 THEN 'a and b' ELSE 'a, b, and c' END AS listed,
+  CASE c_custkey % 6 WHEN 0 THEN 'an' WHEN 1 THEN 'a' WHEN 2 THEN 'an' WHEN 3 THEN 'a' WHEN 4 THEN 'an' ELSE 'a' END AS article FROM customer""")
+def plain_words(spark, sf):
+    t = view(spark, sf, "SELECT c_custkey, concat('See [docs', CAST(c_nationkey AS STRING), '](a.md) for  **bold**, *it* and `code` of <b>x</b>.') AS text, slice(array('a', 'b', 'c'), 1, CAST(c_custkey % 3 AS INT) + 1) AS items, CASE c_custkey % 6 WHEN 0 THEN 'MCP server' WHEN 1 THEN 'UI' WHEN 2 THEN 'Express app' WHEN 3 THEN 'user' WHEN 4 THEN 'hour' ELSE 'pnpm repo' END AS phrase FROM customer")
+    plain = S.strip_inline_marks(F.col("text"))
+    return t.select("c_custkey", plain.alias("plain"), S.first_sentence(F.concat(plain, F.lit(" And more."))).alias("first"), S.join_list(F.col("items")).alias("listed"), S.article(F.col("phrase")).alias("article"))
