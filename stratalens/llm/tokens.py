@@ -5,7 +5,7 @@ the ids of a text are the concatenated ids of stretches that begin and end at
 certain pre-token borders.  `WordCoder` cuts at such borders only, keeps the ids
 of up to `max_words` stretches per worker, and asks the library for the others.
 Texts whose white space makes a border uncertain are handed to the library whole.
-`tests/llm/test_tokens.py` holds the ids against plain `Tokenizer.encode`.
+`tests/llm/test_token_ops.py` holds the ids against plain `Tokenizer.encode`.
 
 Special-token strings inside a text are ordinary text (the note beside the
 vocabulary files says how).
