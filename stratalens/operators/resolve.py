@@ -110,6 +110,15 @@ def reference_targets(refs: DataFrame, symbols: DataFrame, imported: DataFrame)
     return best.select("src", "dst", "kind", names[F.col("tier")].alias("confidence"), scores[F.col("tier")].alias("score"))
 
 
+def symbol_graph(refs: DataFrame, symbols: DataFrame, imported: DataFrame) -> DataFrame:
+    """src, dst, kind, confidence, score of the references (file, line, name, kind) that stand inside a symbol (file, start, end, id, name).
+
+    A reference belongs to the innermost symbol around it and goes to the symbol its name finds.
+    """
+    placed = innermost(refs, symbols, "line").select("file", F.col("owner").alias("src"), "name", "kind")
+    return reference_targets(placed, symbols.select("id", "file", "name"), imported)
+
+
 def named_entity(refs: DataFrame, entities: DataFrame) -> DataFrame:
     """Adds `target` and `confidence`: exact qualified name (extracted), else the bare name in any case (inferred; of several ids the least, ambiguous); entities: (id, name)."""
     exact = entities.groupBy("name").agg(F.min("id").alias("t1"))

@@ -130,6 +130,22 @@ def cascade(spark, sf):
     return V.reference_targets(view(spark, sf, REFS), view(spark, sf, SYMBOLS), view(spark, sf, IMPORTED))
 
 
+DECLARED = "SELECT concat('u', CAST(user_id % 40 AS STRING)) AS file, event_id % 1000 AS start, event_id % 1000 + CAST(floor(value) AS BIGINT) AS \"end\", concat('y', CAST(event_id AS STRING)) AS id, concat('n', CAST(event_id % 50 AS STRING)) AS name FROM events WHERE event_type = 'signup'"
+NAMED = "SELECT concat('u', CAST(user_id % 40 AS STRING)) AS file, event_id % 1000 AS line, concat('n', CAST(event_id % 70 AS STRING)) AS name, 'call' AS kind FROM events WHERE event_type <> 'signup'"
+USES = "SELECT DISTINCT concat('u', CAST(c_nationkey AS STRING)) AS file, concat('u', CAST(c_nationkey + 3 AS STRING)) AS target FROM customer"
+
+
+@query("g16_symbol_graph", f"""
+  WITH s AS ({DECLARED}), p AS ({NAMED}), i AS ({USES}), o AS (SELECT p.file, p.line, p.name, p.kind, s.id AS src, row_number() OVER (PARTITION BY p.file, p.line ORDER BY s."end" - s.start, s.start DESC, s.id) AS k FROM (SELECT DISTINCT * FROM p) p JOIN s ON s.file = p.file AND p.line BETWEEN s.start AND s."end"),
+  w AS (SELECT file, line, arg_min(src, k) AS src FROM o GROUP BY 1, 2), r AS (SELECT DISTINCT p.file, w.src, p.name, p.kind FROM p JOIN w USING (file, line)),
+  h AS (SELECT file, name, min(id) AS d1 FROM s GROUP BY 1, 2), v AS (SELECT i.file, s.name, min(s.id) AS d2 FROM i JOIN s ON s.file = i.target GROUP BY 1, 2), g AS (SELECT name, min(id) AS d3, arg_min(file, id) AS f3, count(*) AS n FROM s GROUP BY name),
+  c AS (SELECT r.src, r.kind, CASE WHEN d1 IS NOT NULL THEN 0 WHEN d2 IS NOT NULL THEN 1 WHEN f3 <> r.file AND n = 1 THEN 2 WHEN f3 <> r.file THEN 3 END AS tier, coalesce(d1, d2, CASE WHEN f3 <> r.file THEN d3 END) AS dst FROM r LEFT JOIN h USING (file, name) LEFT JOIN v USING (file, name) LEFT JOIN g USING (name))
+  SELECT src, dst, kind, ['extracted', 'inferred', 'inferred', 'ambiguous'][min(tier) + 1] AS confidence, [1.0, 0.9, 0.7, 0.4][min(tier) + 1]::DOUBLE AS score FROM c WHERE tier IS NOT NULL AND src <> dst GROUP BY src, dst, kind""")
+def symbol_graph(spark, sf):
+    """References placed in the innermost symbol around them, then resolved by tiers."""
+    return V.symbol_graph(view(spark, sf, NAMED), view(spark, sf, DECLARED.replace('"end"', "`end`")), view(spark, sf, USES))
+
+
 LOCKS = "SELECT DISTINCT concat('a/p', CAST(p_partkey % 20 AS STRING)) AS dir, concat('a/p', CAST(p_partkey % 20 AS STRING), '/q', CAST(p_size AS STRING)) AS importer, p_brand AS name, max(concat('1.', CAST(p_size AS STRING), '.0')) OVER (PARTITION BY p_partkey % 20, p_size, p_brand) AS version FROM part"
 DEPS = "SELECT DISTINCT concat('a/p', CAST(p_partkey % 25 AS STRING), '/q', CAST(p_size AS STRING)) AS dir, p_brand AS name FROM part"
 
