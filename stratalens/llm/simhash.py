@@ -24,7 +24,6 @@ columns are ignored, whatever their names.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 from itertools import accumulate
 
 import numpy as np
@@ -37,7 +36,7 @@ from .components import components
 from .util import cut, hot_keys, map_rows, spread_join
 
 DEALS = 64  # left tiles of one population count are dealt over as many keys
-MARK_BYTES = 4096  # what Spark's bitmap functions take
+BLOCK = 2_048  # codes of a group that are held against as many in one task
 TILE, LEAST_TILE = 16_384, 2_048  # codes in a tile: a twelfth of all, between these
 SEED = 42
 _ODD = np.uint64(0x9E3779B97F4A7C15)  # golden-ratio increment of the public splitmix64 generator
@@ -158,44 +157,53 @@ def tile_pairs(a: np.ndarray, b: np.ndarray | None, first: int, total: int):
         yield i, j + base
 
 
-def tile_forest(a: np.ndarray, b: np.ndarray | None, first: int, total: int, groups: np.ndarray | None = None, per_pair: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """Spanning forest, made of links, of the links in one tile (b None) or between two.
-
-    Gives positions in a followed by b.  With `groups`, one number a position, it gives
-    links between different groups instead: all, or up to `per_pair` of each pair of groups.
-    """
-    n = len(a) + (0 if b is None else len(b))
-    parent = np.arange(n)
+def tile_forest(a: np.ndarray, b: np.ndarray | None, first: int, total: int) -> tuple[np.ndarray, np.ndarray]:
+    """Spanning forest, made of links, of the links in one tile (b None) or between two; positions in a followed by b."""
+    parent = np.arange(len(a) + (0 if b is None else len(b)))
     out_a, out_b = [parent[:0]], [parent[:0]]
-    if groups is not None and per_pair:
-        groups = np.unique(groups, return_inverse=True)[1]
-        had: dict[int, int] = {}
     for i, j in tile_pairs(a, b, first, total):
-        if groups is None:
-            i, j = _merge(parent, i, j)
-        else:
-            apart = groups[i] != groups[j]
-            i, j = i[apart], j[apart]
-            if per_pair and len(i):
-                key = np.minimum(groups[i], groups[j]) * n + np.maximum(groups[i], groups[j])
-                order = np.argsort(key, kind="stable")
-                names, start, count = np.unique(key[order], return_index=True, return_counts=True)
-                keep = [order[s : s + max(0, min(c, per_pair - had.get(k, 0)))] for k, s, c in zip(names.tolist(), start.tolist(), count.tolist(), strict=True)]
-                for k, c in zip(names.tolist(), map(len, keep), strict=True):
-                    had[k] = had.get(k, 0) + c
-                chosen = np.concatenate(keep)
-                i, j = i[chosen], j[chosen]
+        i, j = _merge(parent, i, j)
         out_a.append(i)
         out_b.append(j)
     return np.concatenate(out_a), np.concatenate(out_b)
 
 
-def tile_marks(a: np.ndarray, b: np.ndarray | None, first: int, total: int) -> np.ndarray:
-    """Positions in a followed by b that have a link."""
-    met = np.zeros(len(a) + (0 if b is None else len(b)), dtype=bool)
-    for i, j in tile_pairs(a, b, first, total):
-        met[i] = met[j] = True
-    return np.nonzero(met)[0]
+def exact_forest(codes: np.ndarray, sets: list[np.ndarray], split: int, first: int, total: int, similarity: float) -> list[tuple[int, int]]:
+    """Spanning forest, made of links, of the pairs whose sets have a Jaccard similarity of at least `similarity`.
+
+    Pairs are those of the first `split` rows with the others, or all if split is 0; only
+    pairs close enough by `codes` are counted, and of these no pair that is connected already.
+    """
+    n = len(sets)
+    size = np.fromiter(map(len, sets), dtype=np.int64, count=n)
+    start = np.concatenate([[0], np.cumsum(size)])
+    ids = np.unique(np.concatenate(sets), return_inverse=True)[1] if start[-1] else np.zeros(0, np.int64)
+    held = np.zeros(int(ids.max()) + 1 if len(ids) else 1, dtype=bool)
+    parent = np.arange(n)
+    out: list[tuple[int, int]] = []
+    for i_all, j_all in tile_pairs(codes[:split] if split else codes, codes[split:] if split else None, first, total):
+        order = np.argsort(i_all, kind="stable")
+        i_all, j_all = i_all[order], j_all[order]
+        names, at = np.unique(i_all, return_index=True)
+        for i, js in zip(names.tolist(), np.split(j_all, at[1:]), strict=True):
+            js = js[(parent[js] != parent[i]) & (size[js] > 0)]  # only the code without words has an empty set
+            if not len(js):
+                continue
+            own = ids[start[i] : start[i + 1]]
+            held[own] = True
+            for k in range(0, len(js), 512):
+                part = js[k : k + 512]
+                flat = np.concatenate([ids[start[j] : start[j + 1]] for j in part])
+                ends = np.concatenate([[0], np.cumsum(size[part])[:-1]])
+                shared = np.add.reduceat(held[flat].astype(np.int64), ends) if len(flat) else np.zeros(len(part), np.int64)
+                shared[size[part] == 0] = 0
+                for j in part[shared + 1e-9 >= similarity * (size[i] + size[part] - shared)].tolist():
+                    if parent[i] != parent[j]:
+                        out.append((i, j))
+                        low, high = sorted((parent[i], parent[j]))
+                        parent[parent == high] = low
+            held[own] = False
+    return out
 
 
 def numbered(codes: DataFrame, tile: int | None = None) -> tuple[DataFrame, int]:
@@ -217,66 +225,44 @@ def numbered(codes: DataFrame, tile: int | None = None) -> tuple[DataFrame, int]
     return split.join(F.broadcast(before), "part").withColumn("place", F.col("before") + F.col("at")).drop("m", "part", "at", "before"), tile or min(TILE, max(LEAST_TILE, total // 12))
 
 
-def place_links(places: DataFrame, tile: int, radius: int, total: int | None, n_lanes: int, per_pair: int = 0, close: int | None = None) -> DataFrame:
-    """Edges (a, b) between places of a spanning forest per tile pair of `places` (place, code, q0..q3).
-
-    If `places` has a column root, links between different roots instead, all or up to
-    `per_pair` of each pair of roots and tiles.  With `close`, a forest inside each tile of the
-    links of at most `close` bits, and rows (tile, marks): a bitmap, for each tile pair and
-    side, of the places in the tile that have a link.
-    """
-    if tile > 8 * MARK_BYTES:
-        raise ValueError(f"a tile holds at most {8 * MARK_BYTES} codes")
-    apart = "root" in places.columns
+def place_links(places: DataFrame, tile: int, radius: int, total: int | None, n_lanes: int) -> DataFrame:
+    """Edges (a, b) between places of a spanning forest per tile pair of `places` (place, code, q0..q3)."""
     spark = places.sparkSession
     keys = [f"q{k}" for k in range(4)]
 
     def pack(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values("place")
-        row = {"tile_id": int(p["tile_id"].iloc[0]), "blob": b"".join(p["code"]), "roots": p["root"].to_numpy(np.int64).tobytes() if apart else b""}
+        row = {"tile_id": int(p["tile_id"].iloc[0]), "blob": b"".join(p.sort_values("place")["code"])}
         for k in range(4):
             row |= {f"lo{k}": int(p[f"q{k}"].min()), f"hi{k}": int(p[f"q{k}"].max())}
         return pd.DataFrame([row])
 
-    schema = "tile_id long, blob binary, roots binary, " + ", ".join(f"lo{k} int, hi{k} int" for k in range(4))
-    dealt = places.withColumn("tile_id", F.floor(F.col("place") / tile).cast("long")).select("tile_id", "place", "code", *(["root"] if apart else []), *keys)
+    schema = "tile_id long, blob binary, " + ", ".join(f"lo{k} int, hi{k} int" for k in range(4))
+    dealt = places.withColumn("tile_id", F.floor(F.col("place") / tile).cast("long")).select("tile_id", "place", "code", *keys)
     tiles = cut(dealt.groupBy("tile_id").applyInPandas(pack, schema), "simhash-tiles")
-    meta = tiles.drop("blob", "roots").withColumn("lo", F.expr("lo0 + lo1 + lo2 + lo3")).withColumn("hi", F.expr("hi0 + hi1 + hi2 + hi3"))
+    meta = tiles.drop("blob").withColumn("lo", F.expr("lo0 + lo1 + lo2 + lo3")).withColumn("hi", F.expr("hi0 + hi1 + hi2 + hi3"))
     left = meta.select(*[F.col(c).alias(f"l_{c}") for c in meta.columns]).withColumn("p", F.explode(F.expr("sequence(l_lo, l_hi)"))).withColumn("deal", F.pmod("l_tile_id", F.lit(DEALS)))
     right = meta.select(*[F.col(c).alias(f"r_{c}") for c in meta.columns]).withColumn("p", F.explode(F.expr(f"sequence(r_lo - {radius}, r_hi + {radius})"))).withColumn("deal", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(DEALS - 1).cast("long"))))
     gaps = " + ".join(f"greatest(0, l_lo{k} - r_hi{k}, r_lo{k} - l_hi{k})" for k in range(4))
     # a pair meets at several counts; it is kept at the least of them only.  Counts are few, so left tiles are dealt
     pairs = left.join(right, ["p", "deal"]).where(f"l_tile_id <= r_tile_id and p = greatest(l_lo, r_lo - {radius}) and {gaps} <= {radius}").select("l_tile_id", "r_tile_id")
-    work = pairs.join(tiles.select(F.col("tile_id").alias("l_tile_id"), F.col("blob").alias("l_blob"), F.col("roots").alias("l_roots")), "l_tile_id")
-    work = work.join(tiles.select(F.col("tile_id").alias("r_tile_id"), F.col("blob").alias("r_blob"), F.col("roots").alias("r_roots")), "r_tile_id")
+    work = pairs.join(tiles.select(F.col("tile_id").alias("l_tile_id"), F.col("blob").alias("l_blob")), "l_tile_id")
+    work = work.join(tiles.select(F.col("tile_id").alias("r_tile_id"), F.col("blob").alias("r_blob")), "r_tile_id")
     limit = radius if total is None else total
-    names = ["a", "b"] if close is None else ["a", "b", "tile", "marks"]
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
         for r in pdf.itertuples(index=False):
             own = r.l_tile_id == r.r_tile_id
             a = np.frombuffer(r.l_blob, "<u8").reshape(-1, n_lanes)
-            b = None if own else np.frombuffer(r.r_blob, "<u8").reshape(-1, n_lanes)
-            roots = np.frombuffer(r.l_roots if own else r.l_roots + r.r_roots, np.int64) if apart else None
-            if close is None:
-                i, j = tile_forest(a, b, radius, limit, roots, per_pair)
-            else:
-                i, j = tile_forest(a, b, radius, close) if own else (np.zeros(0, np.int64),) * 2
-                met = tile_marks(a, b, radius, limit)
-                for t, k in ((r.l_tile_id, met[met < len(a)]), (r.r_tile_id, met[met >= len(a)] - len(a))):
-                    if len(k):
-                        bits = np.zeros(8 * MARK_BYTES, dtype=np.uint8)
-                        bits[k] = 1
-                        out.append(pd.DataFrame({"tile": [t], "marks": [np.packbits(bits).tobytes()]}))
+            i, j = tile_forest(a, None if own else np.frombuffer(r.r_blob, "<u8").reshape(-1, n_lanes), radius, limit)
             at = [x + np.where(x < len(a), r.l_tile_id * tile, r.r_tile_id * tile - len(a)) for x in (i, j)]
             out.append(pd.DataFrame({"a": at[0], "b": at[1]}))
-        return pd.concat(out).reindex(columns=names)
+        return pd.concat(out)
 
     # one tile pair per group, so a worker holds two tiles at a time; a given number of
     # partitions keeps small runs from being merged into one slow task
     slots = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
-    return work.repartition(slots, "l_tile_id", "r_tile_id").groupBy("l_tile_id", "r_tile_id").applyInPandas(compare, "a long, b long" if close is None else "a long, b long, tile long, marks binary")
+    return work.repartition(slots, "l_tile_id", "r_tile_id").groupBy("l_tile_id", "r_tile_id").applyInPandas(compare, "a long, b long")
 
 
 def linked(codes: DataFrame, radius: int = 3, total: int | None = None, n_lanes: int = 1, tile: int | None = None) -> DataFrame:
@@ -323,20 +309,8 @@ def lanes_limit(similarity: float, n_lanes: int, margin: float = 1.0) -> int:
     return round(n * p + margin * math.sqrt(n * p * (1 - p)))
 
 
-def _marked(links: DataFrame, tile: int) -> DataFrame:
-    """place of every mark of (tile, marks) rows; bitmaps combine before the shuffle, so a place is one row however many links it has."""
-
-    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for t, marks in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                k = np.nonzero(np.unpackbits(np.frombuffer(marks, np.uint8)))[0].astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(t * tile + k)], names=["place"])
-
-    return links.where("marks is not null").groupBy("tile").agg(F.bitmap_or_agg("marks").alias("marks")).mapInArrow(unpack, "place long")
-
-
-def shingle_sets(met: DataFrame, places: DataFrame, texts: DataFrame, hot_rows: list[tuple], shingle: int) -> DataFrame:
-    """place, shingles (distinct hashes) of the places of `met` (place); a code's shingles are those of its least row.
+def shingle_sets(wanted: DataFrame, texts: DataFrame, hot_rows: list[tuple], shingle: int) -> DataFrame:
+    """place, shingles (distinct hashes) of the places of `wanted` (place, __row), from the texts of their rows.
 
     The one time that whole texts are shuffled to be compared.
     """
@@ -347,39 +321,44 @@ def shingle_sets(met: DataFrame, places: DataFrame, texts: DataFrame, hot_rows:
 
         return step
 
-    wanted = places.join(met, "place", "left_semi").select("place", F.col("least.row").alias("__row"))
-    return cut(map_rows(spread_join(texts, wanted, "__row", hot_rows, hint="merge").select("place", "text"), "place long, shingles array<long>", start).dropDuplicates(["place"]), "simhash-sets")
-
-
-def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The `pairs` (a, b) whose shingle sets have a Jaccard similarity of at least `similarity`, counted exactly."""
-    pairs = cut(pairs, "simhash-pairs")
-    total = pairs.count()
-    both = pairs
-    for side, name in (("a", "x"), ("b", "y")):
-        hot = hot_keys(pairs.groupBy(side).agg(F.count("*").alias("n")), side, total)
-        both = spread_join(both, sets.select(F.col("place").alias(side), F.col("shingles").alias(name)), side, hot, hint="merge")
-    counted = both.select("a", "b", F.size(F.array_intersect("x", "y")).alias("n"), (F.size("x") + F.size("y")).alias("m"))
-    return cut(counted.where(F.col("n") + 1e-9 >= similarity * (F.col("m") - F.col("n"))).select("a", "b"), "simhash-verified")
+    return map_rows(spread_join(texts, wanted, "__row", hot_rows, hint="merge").select("place", "text"), "place long, shingles array<long>", start).dropDuplicates(["place"])
 
 
-def similar(texts: DataFrame, hot_rows: list[tuple], places: DataFrame, tile: int, shingle: int, similarity: float, n_lanes: int, per_pair: int = 8) -> DataFrame:
-    """Edges (a, b) whose components are those of all pairs of `places` (place, code, least, q0..q3) at `similarity` or more.
+def similar(texts: DataFrame, hot_rows: list[tuple], places: DataFrame, tile: int, shingle: int, similarity: float, n_lanes: int, block: int = BLOCK) -> DataFrame:
+    """Edges (a, b) of spanning forests of the pairs of `places` (place, code, least, q0..q3) whose shingle sets are at least `similarity` alike.
 
-    texts: __row, text; hot_rows: rows that repeat often.  So that large groups do not give
-    all their pairs, links are verified in three steps: a forest of close codes inside each
-    tile, at most an edge a code; then up to `per_pair` links between each two groups so
-    far and each two tiles; last, every pair of different groups within four
-    standard deviations of the threshold, in the first lane and in all, without a limit.
+    texts: __row, text; hot_rows: rows that repeat often.  Pairs within four standard
+    deviations of the threshold, in the first lane and in all, are candidates.  Forests of
+    candidates give groups that hold every candidate pair.  A group's codes are dealt over
+    blocks of about `block`; each two blocks meet in one task, which counts the Jaccard similarity
+    of every candidate pair that is not connected there yet and gives a forest of those
+    alike.  So no step gives more than an edge a code and block, however many pairs a
+    group has, and none is left out.
     """
-    first, far, close = lanes_limit(similarity, 1, 4.0), lanes_limit(similarity, n_lanes, 4.0), lanes_limit(similarity, n_lanes, -1.0)
-    links = cut(place_links(places, tile, first, far, n_lanes, close=close), "simhash-links")
-    sets = shingle_sets(_marked(links, tile), places, texts, hot_rows, shingle)
-    edges = _verified(links.where("a is not null").select("a", "b"), sets, similarity)
-    for limit, most in ((close, per_pair), (far, 0)):
-        rooted = cut(_rooted(places, edges), "simhash-rooted")
-        edges = edges.unionAll(_verified(place_links(rooted, tile, first, limit, n_lanes, per_pair=most), sets, similarity))
-    return edges
+    first, far = lanes_limit(similarity, 1, 4.0), lanes_limit(similarity, n_lanes, 4.0)
+    groups = cut(components(place_links(places, tile, first, far, n_lanes)), "simhash-groups")
+    sizes = cut(groups.groupBy("root").agg(F.count("*").alias("n")), "simhash-sizes")
+    blocks = F.ceil(F.col("n") / block).cast("int")
+    hot = hot_keys(sizes, "root", groups.count())
+    dealt = spread_join(groups, sizes.select("root", blocks.alias("blocks")), "root", hot)
+    members = cut(places.join(dealt.withColumnRenamed("node", "place"), "place").select("place", "code", "root", "blocks", F.col("least.row").alias("__row")), "simhash-members")
+    sets = members.drop("__row").join(shingle_sets(members.select("place", "__row"), texts, hot_rows, shingle), "place")
+    mine = F.pmod(F.xxhash64("place"), F.col("blocks")).cast("int")
+    met = sets.withColumn("own", mine).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    met = met.select("root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "place", "code", "shingles")
+
+    def count(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["own", "place"])
+        split = 0 if pdf["i"].iloc[0] == pdf["j"].iloc[0] else int((pdf["own"] == pdf["i"]).sum())
+        place = pdf["place"].to_numpy(np.int64)
+        if len(place) < 2 or split == len(place):
+            return pd.DataFrame({"a": place[:0], "b": place[:0]})
+        codes = np.frombuffer(b"".join(pdf["code"]), "<u8").reshape(-1, n_lanes)
+        found = exact_forest(codes, [np.asarray(x, dtype=np.int64) for x in pdf["shingles"]], split, first, far, similarity)
+        at = np.array(found, dtype=np.int64).reshape(-1, 2)
+        return pd.DataFrame({"a": place[at[:, 0]], "b": place[at[:, 1]]})
+
+    return cut(met.groupBy("root", "i", "j").applyInPandas(count, "a long, b long"), "simhash-verified")
 
 
 def _row_key() -> Column:
