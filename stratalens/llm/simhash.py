@@ -36,7 +36,7 @@ from .components import components
 from .util import cut, hot_keys, map_rows, spread_join
 
 DEALS = 64  # left tiles of one population count are dealt over as many keys
-BLOCK = 2_048  # codes of a group that are held against as many in one task
+BLOCK = 512  # codes of a group that are held against as many in one task
 TILE, LEAST_TILE = 16_384, 2_048  # codes in a tile: a twelfth of all, between these
 SEED = 42
 _ODD = np.uint64(0x9E3779B97F4A7C15)  # golden-ratio increment of the public splitmix64 generator
@@ -182,6 +182,8 @@ def exact_forest(codes: np.ndarray, sets: list[np.ndarray], split: int, first: i
     parent = np.arange(n)
     out: list[tuple[int, int]] = []
     for i_all, j_all in tile_pairs(codes[:split] if split else codes, codes[split:] if split else None, first, total):
+        if not len(i_all):
+            continue
         order = np.argsort(i_all, kind="stable")
         i_all, j_all = i_all[order], j_all[order]
         names, at = np.unique(i_all, return_index=True)
