@@ -4,13 +4,16 @@ Base counts use words `[^\x20\x09-\x0D]+` of the whole text.  The verdict looks
 the ratio of compressed to raw bytes, of the whole text and of each chunk of
 `CHUNK` bytes: text that repeats compresses too well, noise (random characters,
 encoded data) hardly at all.  Short texts compress less well than long ones, so the
-limits depend on the length.  A text is rejected if its whole ratio is outside the
-band of its length, or if more than `bad_share` of its chunks are outside the band
-of theirs.
+limits depend on the length.  A last chunk shorter than half a chunk is joined to the
+one before, since a few bytes never compress: chunks have 2,048 to 6,143 bytes.  A text is
+rejected if its whole ratio is outside the band of its length, or if chunks outside the
+band of theirs hold more than `bad_share` of its bytes.
 
 Defined results: null and empty texts have no words and fail the base rules; lines
-end at \n only; repeated rows are judged alike; a null doc_id is kept; other columns
-are ignored.
+end at \n only; repeated rows are judged alike; a null doc_id is kept; a very long text is
+judged whole and chunk by chunk, whatever its length; a ratio equal to a limit, or a share
+equal to `bad_share`, is inside; an empty table gives no rows; other columns are ignored,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -70,6 +73,13 @@ def band(n_bytes: int) -> tuple[float, float]:
     return next((lo, hi) for most, lo, hi in BANDS if n_bytes < most)
 
 
+def chunks(raw: bytes):
+    """Stretches of CHUNK bytes, none if all is one; a tail below half of it belongs to the stretch before."""
+    n = (len(raw) + CHUNK // 2) // CHUNK
+    for k in range(n if n > 1 else 0):
+        yield raw[k * CHUNK : (k + 1) * CHUNK if k < n - 1 else len(raw)]
+
+
 def compression(raw: bytes, compress, bad_share: float = BAD_SHARE) -> tuple[float, int, int, int, str]:
     """Whole ratio, chunks, chunks that repeat, chunks that are noise, reason or ''."""
     if not raw:
@@ -77,15 +87,14 @@ def compression(raw: bytes, compress, bad_share: float = BAD_SHARE) -> tuple[flo
     ratio = len(compress(raw)) / len(raw)
     lo, hi = band(len(raw))
     reason = "repetitive" if ratio < lo else "incompressible" if ratio > hi else ""
-    n = low = high = 0
-    if len(raw) > CHUNK:
-        for at in range(0, len(raw), CHUNK):
-            part = raw[at : at + CHUNK]
-            a, b = band(len(part))
-            r = len(compress(part)) / len(part)
-            n, low, high = n + 1, low + (r < a), high + (r > b)
-        if not reason and low + high > bad_share * n:
-            reason = "repetitive chunks" if low >= high else "incompressible chunks"
+    n = low = high = low_bytes = high_bytes = 0
+    for part in chunks(raw):
+        a, b = band(len(part))
+        r = len(compress(part)) / len(part)
+        n, low, high = n + 1, low + (r < a), high + (r > b)
+        low_bytes, high_bytes = low_bytes + (r < a) * len(part), high_bytes + (r > b) * len(part)
+    if not reason and low_bytes + high_bytes > bad_share * len(raw):
+        reason = "repetitive chunks" if low_bytes >= high_bytes else "incompressible chunks"
     return ratio, n, low, high, reason
 
 

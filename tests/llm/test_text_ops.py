@@ -251,3 +251,43 @@ def test_components_of_a_long_chain_and_a_star(spark):
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert {got[i] for i in range(1, 61)} == {1} and {got[1000 + i] for i in range(80)} == {1000}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_tail_chunks_never_reject_clean_prose(sf):
+    import duckdb
+    import zstandard
+
+    compress = zstandard.ZstdCompressor(level=3).compress
+    raw = next(t for (t,) in duckdb.sql(f"select text from '{sf}/documents.parquet' order by length(text) desc").fetchall()).encode()
+    assert len(raw) > 8500 and not quality.compression(raw, compress)[4]
+    for size in (*range(4096, 4401), *range(8190, 8451)):
+        assert quality.compression(raw[:size], compress)[4] == "", size
+
+
+@pytest.mark.parametrize("size", [1, 4096, 4097, 6143, 6144, 8192, 8193, 10_239, 10_240, 50_001])
+def test_chunks_cover_the_text_and_none_is_short(size):
+    raw = bytes(i % 251 for i in range(size))
+    parts = list(quality.chunks(raw))
+    assert b"".join(parts) == (raw if size >= 6144 else b"")
+    assert all(2048 <= len(p) < 6144 for p in parts)
+
+
+def test_whole_verdict_of_the_quality_query(spark, sf):
+    """kept, row by row, against the rule spelled out: base counts, the whole ratio, bytes in bad chunks."""
+    import duckdb
+    import zstandard
+
+    from stratalens.llm import queries
+
+    def fits(raw):
+        lo, hi = quality.band(len(raw))
+        return lo <= len(zstandard.ZstdCompressor(level=3).compress(raw)) / len(raw) <= hi
+
+    want = {}
+    for doc_id, text in duckdb.sql(f"select doc_id, text from '{sf}/documents.parquet'").fetchall():
+        n, *_, repeated = brute_quality(text)
+        raw = (text or "").encode()
+        cuts = list(range(0, len(raw) - 2047, 4096))[: max(1, (len(raw) + 2048) // 4096)] if len(raw) >= 6144 else []
+        parts = [raw[a:b] for a, b in zip(cuts, [*cuts[1:], len(raw)], strict=True)] if cuts else []
+        want[doc_id] = not (n < 50 or 100 * repeated > 50 * n) and fits(raw) and sum(len(p) for p in parts if not fits(p)) <= 0.3 * len(raw)
+    assert {r.doc_id: r.kept for r in queries.op6_quality_rules(spark, sf).collect()} == want
