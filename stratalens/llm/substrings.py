@@ -5,10 +5,9 @@ windows of its blocks in sketches of `ROWS` rows of cells, sends them as sorted
 range of cells, and each range is merged in one task into a bit a cell: counted twice or
 more.  Merged counts are never too low, so a window that occurs twice has its bit in every row.
 Second pass: windows with all bits go on, others are dropped for good.  Inside a block the
-smallest doc_id of each window decides at once; only one row a window and block is
-shuffled, to meet the other blocks' rows of that window.  So a window that a third of all documents
-hold gives as many rows as there are blocks, not documents.  What is to be removed
-returns to its document as positions.
+smallest doc_id of each window decides at once; only its windows are shuffled, in compressed columns by parts of the
+keys, to meet the other blocks' ones.  So a window that a third of all documents hold is sent once
+a block, not once a document.  What is to be removed returns to its document as positions.
 
 Windows are known by 96 bits: sums of 13 word hashes times odd powers, in two
 independent 64-bit arithmetics, of which 64 and 32 bits are kept; words of more than 32 bytes enter by
@@ -30,15 +29,14 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from itertools import compress
 from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from .util import bounded_batches, hot_keys, map_rows, spread_join
 
@@ -49,7 +47,8 @@ RANGE = 1 << 22  # cells of a row that one task merges
 BLOCK = 1 << 22  # windows whose cells are held at a time
 LONG_WORD = 32  # bytes; longer words are hashed one by one
 STRETCH = 1 << 20  # bytes hashed at a time
-OUT = 1 << 16  # rows of a batch that a task sends on
+OUT = 64  # blobs of a batch that a task sends on
+LEAST_PARTS, PART_WORDS = 64, 1 << 21  # parts of the keys: one a so many words
 BYTES_A_WORD = 6
 SPACES = np.isin(np.arange(256), list(b" \t\n\x0b\x0c\r"))
 
@@ -147,8 +146,6 @@ def cell(keys: list[np.ndarray], row: int, cells: int) -> np.ndarray:
 
 def coded(cells: np.ndarray) -> bytes:
     """Sorted cells as compressed differences of 16 bits; 65535 stands for a step without a cell."""
-    import zstandard
-
     gaps = np.diff(cells, prepend=0)
     steps = gaps // 65535
     out = np.full(len(cells) + int(steps.sum()), 65535, dtype="<u2")
@@ -157,16 +154,18 @@ def coded(cells: np.ndarray) -> bytes:
 
 
 def decoded(blob: bytes) -> np.ndarray:
-    import zstandard
-
     steps = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), dtype=np.uint8).reshape(2, -1).T.copy().view("<u2").ravel()
     return np.cumsum(steps, dtype=np.int64)[steps != 65535]
 
 
-def sketch_cells(docs: DataFrame) -> int:
-    """Cells of a sketch row: four a window, a power of two, by the bytes of all texts."""
-    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    return min(MOST_CELLS, max(LEAST_CELLS, 1 << (4 * total // BYTES_A_WORD).bit_length()))
+def count_words(docs: DataFrame) -> int:
+    """About as many words as all texts have, by their bytes."""
+    return (docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BYTES_A_WORD
+
+
+def sketch_cells(words: int) -> int:
+    """Cells of a sketch row: four a window, a power of two."""
+    return min(MOST_CELLS, max(LEAST_CELLS, 1 << (4 * words).bit_length()))
 
 
 def repeated_cells(docs: DataFrame, window: int, cells: int) -> list[np.ndarray]:
@@ -222,100 +221,161 @@ def repeated_cells(docs: DataFrame, window: int, cells: int) -> list[np.ndarray]
     return bits
 
 
-OPEN = "known boolean, key long, tag long, doc_id long, t long, p long, more binary"
-
-
-def _block_rows(keys: list[np.ndarray], doc: np.ndarray, none: np.ndarray, t: np.ndarray, place: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Rows of OPEN of a block's candidate windows: those to be removed already (known), and of each window what its smallest id holds."""
-    tag = keys[1] >> np.uint64(32)
-    order = np.lexsort((doc, none, tag, keys[0]))
-    key, tag, doc, none, t, place = keys[0][order], tag[order], doc[order], none[order], t[order], place[order]
-    new = np.ones(len(key), dtype=bool)
-    new[1:] = (key[1:] != key[:-1]) | (tag[1:] != tag[:-1])
-    head = np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))
-    # of each window, rows of the smallest id come first
-    holds = (doc == doc[head]) & (none == none[head])
-    schema = pa.schema([("known", pa.bool_()), ("key", pa.int64()), ("tag", pa.int64()), ("doc_id", pa.int64()), ("t", pa.int64()), ("p", pa.int64()), ("more", pa.binary())])
-
-    def frame(known, key, tag, doc, none, t, p, more) -> Iterator[pa.RecordBatch]:
-        for at in range(0, len(key), OUT):
-            cut_ = slice(at, at + OUT)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(key[cut_]), known)), pa.array(key[cut_].view(np.int64)), pa.array(tag[cut_].view(np.int64)), pa.array(doc[cut_], mask=none[cut_]), pa.array(t[cut_]), pa.array(p[cut_]), pa.array(more[cut_], type=pa.binary())],
-                schema=schema,
-            )
-
-    gone = np.nonzero(~holds)[0]
-    if len(gone):
-        gone = gone[np.lexsort((place[gone], doc[gone], none[gone], t[gone]))]
-        fresh = np.ones(len(gone), dtype=bool)
-        fresh[1:] = (t[gone[1:]] != t[gone[:-1]]) | (doc[gone[1:]] != doc[gone[:-1]]) | (none[gone[1:]] != none[gone[:-1]])
-        firsts = np.nonzero(fresh)[0]
-        spans = [place[g].astype("<i8").tobytes() for g in np.split(gone, firsts[1:])]
-        at = gone[firsts]
-        yield from frame(True, t[at].view(np.uint64), place[at].view(np.uint64), doc[at], none[at], t[at], place[at], [_pairs(t[a], s) for a, s in zip(at, spans, strict=True)])
-    # one row a window; where the smallest id holds it in several places, the others are carried along
-    rank = np.arange(len(key)) - head
-    lead = np.nonzero(holds & (rank == 0))[0]
-    more: list = [None] * len(lead)
-    extra = np.nonzero(holds & (rank > 0))[0]
-    if len(extra):
-        groups, first = np.unique(head[extra], return_index=True)
-        slots = np.searchsorted(lead, groups)
-        for slot, rows in zip(slots.tolist(), np.split(extra, first[1:]), strict=True):
-            more[slot] = np.stack([t[rows], place[rows]], axis=1).astype("<i8").tobytes()
-    yield from frame(False, key[lead], tag[lead], doc[lead], none[lead], t[lead], place[lead], more)
-
-
-def _pairs(t: int, places: bytes) -> bytes:
-    p = np.frombuffer(places, dtype="<i8")
-    return np.stack([np.full(len(p), t, dtype=np.int64), p], axis=1).astype("<i8").tobytes()
+def written(**columns) -> bytes:
+    """Equally long columns as compressed bytes."""
+    batch = pa.RecordBatch.from_pydict(columns)
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def read_back(blob: bytes) -> dict[str, np.ndarray]:
+    table = pa.ipc.open_stream(blob).read_all()
+    return {c: table.column(c).to_numpy() for c in table.column_names}
+
+
+def _named(names: np.ndarray, at: np.ndarray, **columns) -> tuple[bytes, bytes]:
+    """Columns of rows that belong to texts, and those texts once each; ids and keys as differences, which are small."""
+    used, spot = np.unique(at, return_inverse=True)
+    docs = written(none=names[used, 0].astype(np.int8), step=np.diff(names[used, 1], prepend=0), t=names[used, 2])
+    return written(spot=spot.astype(np.uint32), **columns), docs
+
+
+def _unnamed(body: bytes, docs: bytes) -> dict[str, np.ndarray]:
+    """The columns of `_named` with none, doc and t of each row."""
+    found, texts = read_back(body), read_back(docs)
+    spot = found.pop("spot")
+    return found | {"none": texts["none"][spot], "doc": np.cumsum(texts["step"])[spot], "t": texts["t"][spot]}
+
+
+def _joined(frames: list[dict[str, np.ndarray]], *columns: str) -> list[np.ndarray]:
+    return [np.concatenate([f[c] for f in frames]) for c in columns]
+
+
+def _heads(*sorted_columns: np.ndarray) -> np.ndarray:
+    """Whether a row differs from the one before."""
+    new = np.ones(len(sorted_columns[0]), dtype=bool)
+    new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in sorted_columns])
+    return new
+
+
+def _holders(key: np.ndarray, tag: np.ndarray, none: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Whether a row has the smallest id of its window; rows are sorted by all four."""
+    head = np.maximum.accumulate(np.where(_heads(key, tag), np.arange(len(key)), 0))
+    return (doc == doc[head]) & (none == none[head])
+
+
+def _block(keys: list[np.ndarray], rows: np.ndarray, at: np.ndarray, place: np.ndarray, parts: int) -> Iterator[tuple]:
+    """(part, known, body, docs) of a block's candidate windows.
+
+    rows: none, doc_id, t of the block's texts; at: the text of each window.  Known windows go already, as a smaller id of the
+    block has them; of the others the smallest id's are sent, in the part of their key.
+    """
+    names, same = np.unique(rows, axis=0, return_inverse=True)  # equal rows are one
+    at = same.ravel()[at]
+    _, once = np.unique(at << 32 | place, return_index=True)
+    key, tag, at, place = keys[0][once], (keys[1][once] >> np.uint64(32)).astype(np.uint32), at[once], place[once]
+    order = np.lexsort((at, tag, key))  # names are sorted by id
+    key, tag, at, place = key[order], tag[order], at[order], place[order]
+    holds = _holders(key, tag, names[at, 0], names[at, 1])
+    if not holds.all():
+        gone = np.nonzero(~holds)[0]
+        gone = gone[np.lexsort((place[gone], at[gone]))]
+        yield int(names[at[gone[0]], 2]) % parts, True, *_named(names, at[gone], p=place[gone].astype(np.uint32))
+    key, tag, at, place = (c[holds] for c in (key, tag, at, place))
+    part = (key >> np.uint64(32)).astype(np.int64) * parts >> 32
+    edges = np.searchsorted(part, np.arange(parts + 1))
+    for k in np.nonzero(np.diff(edges))[0].tolist():
+        s = slice(edges[k], edges[k + 1])
+        yield k, False, *_named(names, at[s], key=np.diff(key[s], prepend=np.uint64(0)), tag=tag[s], p=place[s].astype(np.uint32))
 
 
 def removable(rows: DataFrame, window: int) -> DataFrame:
-    """doc_id, t, p, more: first words of windows to be removed, from `rows` (doc_id, t, text).
+    """doc_id, t, spans: the words to be removed from `rows` (doc_id, t, text), as first places and ones past the last.
 
-    `more` holds further (t, p) pairs of the same doc_id as 64-bit integers.
+    Candidate windows travel as compressed columns, one blob a block and part of the keys; a part
+    is decided in one task, and what goes returns by parts of the documents.  Both numbers of parts
+    follow the table's size.
     """
     bounded_batches(rows.sparkSession)
-    cells = sketch_cells(rows)
-    bits = rows.sparkSession.sparkContext.broadcast(repeated_cells(rows, window, cells))  # ROWS * MOST_CELLS / 8 bytes at most
+    words = count_words(rows)
+    cells, parts = sketch_cells(words), max(LEAST_PARTS, words // PART_WORDS)
+    # ROWS * MOST_CELLS / 8 bytes at most; few bits are set, so what is sent and kept on disk is less
+    sent_bits = rows.sparkSession.sparkContext.broadcast([zstandard.ZstdCompressor(level=1).compress(b.tobytes()) for b in repeated_cells(rows, window, cells)])
+    sent = pa.schema([("part", pa.int32()), ("known", pa.bool_()), ("body", pa.binary()), ("docs", pa.binary())])
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
 
         def block() -> Iterator[pa.RecordBatch]:
             keys = [np.concatenate([h[0][k] for h in held]) for k in range(len(HASHES))]
-            parts = [np.concatenate([h[k] for h in held]) for k in range(1, 5)]
+            first = np.cumsum([0, *[len(h[1]) for h in held[:-1]]])
+            at = np.concatenate([h[2] + f for h, f in zip(held, first, strict=True)])
+            found = list(_block(keys, np.concatenate([h[1] for h in held]), at, np.concatenate([h[3] for h in held]), parts))
             held.clear()
-            return _block_rows(keys, *parts)
+            for k in range(0, len(found), OUT):
+                yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*found[k : k + OUT], strict=True), sent, strict=True)], schema=sent)
 
+        bits = [np.frombuffer(zstandard.ZstdDecompressor().decompress(b), dtype=np.uint8) for b in sent_bits.value]
         n = 0
         for batch in batches:
             keys, text, place = window_keys(batch_words(batch.column(2)), window)
             near = np.ones(len(text), dtype=bool)
-            for row, found in enumerate(bits.value):
-                at = cell(keys, row, cells)
-                near &= (found[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
+            for row, found in enumerate(bits):
+                spot = cell(keys, row, cells)
+                near &= (found[spot >> 3] >> (spot & 7).astype(np.uint8)) & 1 > 0
             if near.any():
                 ids = batch.column(0)
-                none = ids.is_null().to_numpy(zero_copy_only=False)
-                doc, t = ids.fill_null(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
-                text = text[near]
-                held.append(([k[near] for k in keys], doc[text], none[text], t[text], place[near]))
-                n += len(text)
-            if n >= BLOCK:
+                named = np.stack([ids.is_null().to_numpy(zero_copy_only=False).astype(np.int64), ids.fill_null(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)], axis=1)
+                used, at = np.unique(text[near], return_inverse=True)
+                held.append(([k[near] for k in keys], named[used], at, place[near]))
+                n += len(at)
+            if n >= BLOCK // 2:
                 yield from block()
                 n = 0
         if held:
             yield from block()
 
-    found = rows.select("doc_id", "t", "text").mapInArrow(candidates, OPEN)
-    # a window has at most one row a block here
-    least = F.min("doc_id").over(W.partitionBy("known", "key", "tag"))
-    open_ = found.withColumn("least", least)
-    gone = F.col("known") | (F.col("doc_id") > F.col("least")) | (F.col("doc_id").isNull() & F.col("least").isNotNull())
-    return open_.where(gone).select("known", "doc_id", "t", "p", "more")
+    def decide(pdf: pd.DataFrame) -> pd.DataFrame:
+        frames = [(known, _unnamed(body, docs)) for known, body, docs in zip(pdf["known"], pdf["body"], pdf["docs"], strict=True)]
+        gone, open_ = [f for known, f in frames if known], [f for known, f in frames if not known]
+        if open_:
+            key = np.concatenate([np.cumsum(f["key"], dtype=np.uint64) for f in open_])
+            tag, none, doc, t, p = _joined(open_, "tag", "none", "doc", "t", "p")
+            order = np.lexsort((doc, none, tag, key))
+            lost = order[~_holders(key[order], tag[order], none[order], doc[order])]
+            gone.append({"none": none[lost], "doc": doc[lost], "t": t[lost], "p": p[lost]})
+        none, doc, t, p = _joined(gone, "none", "doc", "t", "p")
+        names, at = np.unique(np.stack([none.astype(np.int64), doc, t], axis=1), axis=0, return_inverse=True)
+        at = at.ravel()
+        home = (names[:, 2].astype(np.uint64) % np.uint64(parts)).astype(np.int64)[at]
+        order = np.lexsort((p, at, home))
+        edges = np.searchsorted(home[order], np.arange(parts + 1))
+        out = [(k, *_named(names, at[order[edges[k] : edges[k + 1]]], p=p[order[edges[k] : edges[k + 1]]])) for k in np.nonzero(np.diff(edges))[0].tolist()]
+        return pd.DataFrame(out, columns=["home", "body", "docs"])
+
+    def gather(pdf: pd.DataFrame) -> pd.DataFrame:
+        none, doc, t, p = _joined([_unnamed(body, docs) for body, docs in zip(pdf["body"], pdf["docs"], strict=True)], "none", "doc", "t", "p")
+        order = np.lexsort((p, doc, none, t))
+        none, doc, t, p = none[order], doc[order], t[order], p[order]
+        new = np.nonzero(_heads(none, doc, t))[0]
+        spans = [covered(x.astype(np.int64), window).astype("<i8").tobytes() for x in np.split(p, new[1:])]
+        ids = pd.array(doc[new], dtype="Int64")
+        ids[none[new] > 0] = pd.NA
+        return pd.DataFrame({"doc_id": ids, "t": t[new], "spans": spans})
+
+    found = rows.select("doc_id", "t", "text").mapInArrow(candidates, "part int, known boolean, body binary, docs binary")
+    decided = found.groupBy("part").applyInPandas(decide, "home int, body binary, docs binary")
+    return decided.groupBy("home").applyInPandas(gather, "doc_id long, t long, spans binary")
+
+
+def covered(places: np.ndarray, window: int) -> np.ndarray:
+    """Rows (first, one past the last) of the stretches that windows at sorted places cover."""
+    new = np.ones(len(places), dtype=bool)
+    new[1:] = places[1:] > places[:-1] + window
+    first = np.nonzero(new)[0]
+    return np.stack([places[first], places[np.append(first[1:] - 1, len(places) - 1)] + window], axis=1)
 
 
 def dedup_substrings(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -326,29 +386,21 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("t", F.xxhash64("doc_id", "text"))
     name = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col("t").cast("string")).alias("row")
-    gone = removable(rows, window)
-    spans = gone.select("doc_id", "t", F.when(F.col("known"), None).otherwise(F.col("p")).alias("p"), F.col("more"))
-    own = spans.groupBy("doc_id", "t").agg(F.collect_set("p").alias("places"), F.collect_set("more").alias("more"))
-    marked = own.select(name, "places", "more")
+    marked = removable(rows, window).select(name, "spans")
     sizes = rows.groupBy(name).agg(F.count("*").alias("n"))
-    joined = spread_join(rows.select("doc_id", "text", "t", name), marked, "row", hot_keys(sizes, "row", rows.count()), "left", "merge")
-    return _cut_out(joined, window)
+    joined = spread_join(rows.select("doc_id", "text", name), marked, "row", hot_keys(sizes, "row", rows.count()), "left", "merge")
+    return _cut_out(joined)
 
 
-def _cut_out(joined: DataFrame, window: int) -> DataFrame:
+def _cut_out(joined: DataFrame) -> DataFrame:
     def start():
         def step(batch: pa.RecordBatch) -> dict:
             out: dict = {"doc_id": batch.column(0), "n_words": [], "n_removed": [], "kept_sha256": [], "kept": []}
-            for text, t, places, more in zip(*(batch.column(k).to_pylist() for k in range(1, 5)), strict=True):
+            for text, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 words = (text or "").encode().split()
                 n = len(words)
-                if places or more:
-                    pairs = np.frombuffer(b"".join(more), dtype="<i8").reshape(-1, 2)
-                    at = np.concatenate([np.array(places, dtype=np.int64), pairs[pairs[:, 0] == t, 1]])
-                    edge = np.zeros(n + 1, dtype=np.int64)
-                    np.add.at(edge, at, 1)
-                    np.add.at(edge, at + window, -1)
-                    words = list(compress(words, (np.cumsum(edge[:-1]) == 0).tolist()))
+                for first, last in np.frombuffer(spans or b"", dtype="<i8").reshape(-1, 2)[::-1].tolist():
+                    del words[first:last]
                 kept = b" ".join(words)
                 out["n_words"].append(n)
                 out["n_removed"].append(n - len(words))
@@ -358,4 +410,4 @@ def _cut_out(joined: DataFrame, window: int) -> DataFrame:
 
         return step
 
-    return map_rows(joined.select("doc_id", "text", "t", "places", "more"), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string", start)
+    return map_rows(joined.select("doc_id", "text", "spans"), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string", start)

@@ -11,6 +11,8 @@ import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
+from hypothesis import given
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from stratalens.llm import queries, spelling, substrings, whitening
@@ -281,7 +283,14 @@ def test_cell_lists_round_trip(cells):
     assert substrings.decoded(substrings.coded(np.array(cells, dtype=np.int64))).tolist() == cells
 
 
+@given(st.lists(st.integers(0, 60), min_size=1, max_size=20), st.integers(1, 8))
+def test_covered_stretches(places, window):
+    spans = substrings.covered(np.array(sorted(places)), window).tolist()
+    assert {w for p in places for w in range(p, p + window)} == {w for a, b in spans for w in range(a, b)}
+    assert all(b <= c for (_, b), (c, _) in zip(spans, spans[1:], strict=False))
+
+
 def test_extra_columns_are_ignored(spark, docs):
-    wide = docs.withColumns({c: F.lit(1) for c in ("t", "row", "key", "p", "more", "places", "word", "n", "root", "at", "g", "short")})
+    wide = docs.withColumns({c: F.lit(1) for c in ("t", "row", "key", "p", "spans", "part", "known", "body", "word", "n", "root", "at", "g", "short")})
     assert as_counter(substrings.dedup_substrings(wide)) == as_counter(substrings.dedup_substrings(docs))
     assert as_variants(spelling.variants(wide).collect()) == as_variants(spelling.variants(docs).collect())
