@@ -8,18 +8,19 @@ found by running sums over one small row per source instead of a loop.
 
 Each source then takes its target as whole repetitions of all its documents plus
 one fractional repetition: documents in a seeded order until the target is met.
-The order is cut into hash buckets whose sums are made before any shuffle of
-single documents, so no source meets in one task, however large it is.  The windows
-that fill the targets see one row of five numbers a source in one task, which bounds the
-number of sources to some tens of millions; documents never meet there.  The one
+Equal rows are one group with a count, made by a combining aggregate, so neither null ids nor
+repeated rows meet in one task.  The order of the groups is cut into hash buckets whose sums are
+made before any shuffle of single groups, so no source meets in one task, however large it
+is.  The windows that fill the targets see one row of five numbers a source in one task, which
+bounds the number of sources to some tens of millions; documents never meet there.  The one
 document on the border is taken in part, so a source takes its target to within a
 word.
 
 Defined results: null text counts 0 words; null source is a source of its own, after
 all others; sources without words and an empty table have target 0; repeated rows
-are separate documents; a null doc_id is kept; equal rows are interchangeable.
-Very long texts are counted whole; columns other than those named are ignored, whatever
-their names.
+are separate documents, interchangeable, of which those counted first are taken first; a null doc_id is
+kept; very long texts are counted whole; columns other than those named are ignored, whatever
+their names, but for those that begin with two underscores.
 """
 
 from __future__ import annotations
@@ -32,6 +33,7 @@ from .util import cut
 
 WORD = r"[^\x20\x09-\x0D]+"
 BUCKETS = 4096
+PIECE = 1000  # equal rows that one task gives out at a time
 
 
 def word_count(text: Column) -> Column:
@@ -60,19 +62,14 @@ def water_fill(sources: DataFrame, weights: tuple[float, ...], budget: float, ma
     )
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), budget: float = 1.5, max_epochs: float = 2, seed: int = 42) -> DataFrame:
-    """doc_id, size, source_size, target, taken per row of `docs` (doc_id, source, text).
+def _taken(groups: DataFrame, order: list[str], weights: tuple[float, ...], budget: float, max_epochs: float) -> DataFrame:
+    """`groups` (sk, sn, size, copies, h, others) with source_size, target, epochs (whole repetitions of all rows) and part.
 
-    weights: by sources in code point order, repeating.  budget: total of the targets
-    as a multiple of all sizes; at most max_epochs, else every source is clamped.
+    part: words that the group takes of the fractional repetition, between 0 and size * copies.  Groups of a
+    source stand in the order of h, then of the columns `order`.
     """
-    sized = cut(
-        docs.select("doc_id", F.coalesce("source", F.lit("")).alias("sk"), F.col("source").isNull().alias("sn"), word_count(F.col("text")).alias("size"))
-        .withColumn("h", F.xxhash64("doc_id", "size", F.lit(seed)))
-        .withColumn("b", F.pmod(F.xxhash64("h", F.lit(seed)), F.lit(BUCKETS)).cast("int")),
-        "mix-sizes",
-    )
-    buckets = sized.groupBy("sk", "sn", "b").agg(F.sum("size").alias("bucket_size"))
+    sized = groups.withColumn("b", F.pmod(F.xxhash64("h"), F.lit(BUCKETS)).cast("int")).withColumn("words", F.col("size") * F.col("copies"))
+    buckets = sized.groupBy("sk", "sn", "b").agg(F.sum("words").alias("bucket_size"))
     targets = water_fill(buckets.groupBy("sk", "sn").agg(F.sum("bucket_size").alias("source_size")), weights, budget, max_epochs)
     # at most BUCKETS rows of a source stand in one task here
     prefix = F.coalesce(F.sum("bucket_size").over(W.partitionBy("sk", "sn").orderBy("b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
@@ -84,30 +81,60 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), budget: float =
         .withColumn("left", F.col("target") - F.col("epochs") * F.col("source_size") - F.col("prefix"))
         .select("sk", "sn", "b", "source_size", "target", "epochs", "left")
     )
-    run = W.partitionBy("sk", "sn", "b").orderBy("h", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
+    run = F.sum("words").over(W.partitionBy("sk", "sn", "b").orderBy("h", *order).rowsBetween(W.unboundedPreceding, -1))
     room = F.col("left") - F.coalesce(F.col("run"), F.lit(0))
-    part = F.greatest(F.lit(0.0), F.least(F.col("size").cast("double"), room))
-    return (
-        sized.withColumn("run", F.sum("size").over(run))
-        .join(plan, ["sk", "sn", "b"])
-        .select("doc_id", "size", "source_size", "target", (F.col("epochs") * F.col("size") + F.floor(part + 0.5)).cast("long").alias("taken"))
-    )
+    part = F.greatest(F.lit(0.0), F.least(F.col("words").cast("double"), room))
+    return sized.withColumn("run", run).join(plan, ["sk", "sn", "b"]).withColumn("part", part)
+
+
+def _source(docs: DataFrame) -> list[Column]:
+    return [F.coalesce("source", F.lit("")).alias("sk"), F.col("source").isNull().alias("sn"), word_count(F.col("text")).alias("size")]
+
+
+def _dealt(rows: DataFrame, most: int | None, key: list[str]) -> DataFrame:
+    """`rows` as often as their column __n says, numbered from 0 in __at; `most` is the largest __n.
+
+    Rows of many repeats are dealt over tasks in pieces first, so that none gives out all of them.
+    """
+
+    def counted(df: DataFrame, first: Column, last: Column) -> DataFrame:
+        return df.withColumn("__at", F.explode(F.sequence(first, last - 1))).drop("__n", "__piece")
+
+    small = counted(rows.where(F.col("__n") <= PIECE), F.lit(0).cast("long"), F.col("__n"))
+    if not most or most <= PIECE:
+        return small
+    pieces = rows.where(F.col("__n") > PIECE).withColumn("__piece", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("__n") - 1) / PIECE)))).repartition(*key, "__piece")
+    return small.unionAll(counted(pieces, F.col("__piece") * PIECE, F.least(F.col("__n"), (F.col("__piece") + 1) * PIECE)))
+
+
+def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), budget: float = 1.5, max_epochs: float = 2, seed: int = 42) -> DataFrame:
+    """doc_id, size, source_size, target, taken per row of `docs` (doc_id, source, text).
+
+    weights: by sources in code point order, repeating.  budget: total of the targets
+    as a multiple of all sizes; at most max_epochs, else every source is clamped.
+    """
+    found = docs.select("doc_id", *_source(docs)).groupBy("doc_id", "sk", "sn", "size").agg(F.count("*").alias("copies"))
+    groups = cut(found.withColumn("h", F.xxhash64("doc_id", F.isnull("doc_id"), "size", F.lit(seed))), "mix-sizes")
+    taken = _taken(groups, ["doc_id", "size"], weights, budget, max_epochs).select("doc_id", "size", "source_size", "target", "epochs", "part", "copies")
+    rows = _dealt(taken.withColumnRenamed("copies", "__n"), groups.agg(F.max("copies")).first()[0], ["doc_id", "size"]).withColumnRenamed("__at", "j")
+    own = F.greatest(F.lit(0.0), F.least(F.col("size").cast("double"), F.col("part") - F.col("j") * F.col("size")))
+    return rows.select("doc_id", "size", "source_size", "target", (F.col("epochs") * F.col("size") + F.floor(own + 0.5)).cast("long").alias("taken"))
 
 
 def repeated(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), budget: float = 1.5, max_epochs: float = 2, seed: int = 42) -> DataFrame:
     """The mix itself: rows of `docs`, each as often as it is taken.
 
     Texts are never cut here: the border document of a source counts as one more
-    repetition if at least half of it is taken.  Rows of one doc_id share the
-    decision of that id (the largest), so ids should be unique; rows whose id is null
-    or whose text has no words are kept once.
+    repetition if at least half of it is taken, so a source misses its target by half a document at most.  Rows are known by
+    the hash (128 bits) of all their columns, not by ids, which may be null or repeated; equal rows are
+    drawn together.  Rows whose text has no words are kept once.  Texts are shuffled once.
     """
     names = docs.columns
-    took = (
-        mix(docs, weights, budget, max_epochs, seed)
-        .where(F.col("doc_id").isNotNull())
-        .groupBy(F.col("doc_id").alias("__id"))
-        .agg(F.max(F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5)).otherwise(F.lit(1))).cast("int").alias("__n"))
-    )
-    joined = docs.join(took, F.col("doc_id") == F.col("__id"), "left").withColumn("__n", F.coalesce("__n", F.lit(1)))
-    return joined.where(F.col("__n") > 0).withColumn("__r", F.explode(F.sequence(F.lit(1), F.col("__n")))).select(*[F.col(f"`{c}`") for c in names])
+    parts = [x for c in names for x in (F.col(f"`{c}`"), F.isnull(F.col(f"`{c}`")))]
+    keyed = docs.withColumn("__k1", F.xxhash64(*parts)).withColumn("__k2", F.xxhash64(F.lit(seed), *parts))
+    found = keyed.select("__k1", "__k2", *_source(docs)).groupBy("__k1", "__k2", "sk", "sn", "size").agg(F.count("*").alias("copies"))
+    groups = cut(found.withColumn("h", F.xxhash64("__k1", F.lit(seed))), "mix-rows")
+    times = F.when(F.col("size") > 0, F.col("epochs") * F.col("copies") + F.floor(F.col("part") / F.col("size") + 0.5)).otherwise(F.col("copies"))
+    taken = cut(_taken(groups, ["__k1", "__k2"], weights, budget, max_epochs).select("__k1", "__k2", times.cast("long").alias("__n")).where("__n > 0"), "mix-times")
+    rows = keyed.dropDuplicates(["__k1", "__k2"]).join(taken, ["__k1", "__k2"])
+    return _dealt(rows, taken.agg(F.max("__n")).first()[0], ["__k1", "__k2"]).select(*[F.col(f"`{c}`") for c in names])
