@@ -346,6 +346,24 @@ def pack_rows(spark, sf):
     return pack.decode(spark, path)["customers"]
 
 
+WIDE = f"SELECT {K} AS c_custkey, c_name, c_mktsegment, CASE WHEN c_nationkey % 5 = 0 THEN NULL ELSE concat('n', {NAT}) END AS nation, {NAT} AS a, 'const' AS b, CASE WHEN c_custkey % 3 = 0 THEN '' ELSE concat('x', chr(9), {NAT}) END AS c, CAST(c_custkey % 10 AS STRING) AS d, c_name AS e, CASE WHEN c_custkey % 4 = 0 THEN c_mktsegment END AS f FROM customer"
+
+
+@query("s10_interned_round_trip", WIDE.replace("AS STRING", "AS VARCHAR"))
+def pack_interned(spark, sf):
+    """Ten columns, four of them through dictionaries in three groups, one of which two columns share."""
+    path = f"{shared_dir(spark)}/stratalens/pack-{uuid.uuid4().hex}"
+    pack.encode(spark, {"wide": view(spark, sf, WIDE)}, path, interned={"wide": {"c_mktsegment": "S", "f": "S", "nation": "N", "c": "X"}})
+    return pack.decode(spark, path, limits={"columns": 10, "tables": 1})["wide"]
+
+
+@query("k3_dictionary", "SELECT cell, n FROM (SELECT cell, count(*) AS n FROM (SELECT c_mktsegment AS cell FROM customer UNION ALL SELECT c_mktsegment FROM customer WHERE c_custkey % 4 = 0) GROUP BY cell)")
+def pack_dictionary(spark, sf):
+    """The dictionary of a shared group; keys are distinct and a frequent value has the lesser number."""
+    got = pack.dictionary({"wide": view(spark, sf, WIDE)}, {"wide": {"c_mktsegment": "S", "f": "S"}})
+    return got.groupBy("cell").agg(F.max("n").alias("n"))
+
+
 @query("k4_change_lines", f"SELECT place, count(*) AS n, min(value) AS first FROM (SELECT 0 AS place, concat('x files ', {K}) AS value FROM customer WHERE c_custkey % 3 = 0 UNION ALL SELECT 1, concat('+ files ', {K}, chr(9), c_name) FROM customer WHERE c_custkey % 4 = 0) GROUP BY place")
 def change_lines(spark, sf):
     t = view(spark, sf, f"SELECT {K} AS path, c_name, c_custkey FROM customer")
