@@ -42,7 +42,7 @@ def go_symbols(texts: DataFrame) -> DataFrame:
     upto = file.rowsBetween(W.unboundedPreceding, 0)
     rows = code.withColumn("b1", F.sum(_count(F.col("l"), "{") - _count(F.col("l"), "}")).over(upto)).withColumn("p1", F.sum(_count(F.col("l"), "([") - _count(F.col("l"), ")]")).over(upto))
     first = lambda c: F.coalesce(F.lag(c).over(file), F.lit(0))
-    rows = rows.withColumn("b0", first("b1")).withColumn("p0", first("p1")).withColumn("t", F.trim("l"))
+    rows = rows.withColumn("b0", first("b1")).withColumn("p0", first("p1")).withColumn("t", F.regexp_replace("l", r"^\s+|\s+$", ""))
     opener = F.regexp_extract("l", r"^(var|const|type)\s+\(", 1)
     # of the last line that began outside everything: what group it opens
     rows = rows.withColumn("group", F.last(F.when((F.col("b0") == 0) & (F.col("p0") == 0), opener), ignorenulls=True).over(file.rowsBetween(W.unboundedPreceding, -1)))

@@ -287,6 +287,15 @@ def largest_blast(spark, sf):
     return G.blast_radius(edges(spark, sf), view(spark, sf, f"SELECT id FROM ({NODES}) WHERE k % 25 = 1"), 3)
 
 
+@query("g17_reach_counts", f"""
+    WITH RECURSIVE {N}, {E}, pairs AS (SELECT DISTINCT dst AS a, src AS b FROM edges),
+    walk AS (SELECT id AS seed, id FROM nodes UNION SELECT w.seed, p.b FROM walk w JOIN pairs p ON p.a = w.id)
+    SELECT seed AS id, count(*) AS reached FROM walk WHERE id <> seed GROUP BY seed""")
+def reach_counts(spark, sf):
+    """Every node is a changed file here."""
+    return G.reach_counts(edges(spark, sf), nodes(spark, sf))
+
+
 @query("f40_pick_entity", f"WITH {N} SELECT id FROM nodes WHERE lower(name) = 'f33'")
 def picked(spark, sf):
     """The node that a question's words name: stop words and words without a node are passed over."""
