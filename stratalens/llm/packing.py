@@ -14,7 +14,7 @@ prompt.
 Loss-bearing tokens are those behind a document's prompt: a prompt column, or the first
 `prompt_share` of its ids where instruction and answer stand in one text.
 
-Each task packs its own input: nothing is shuffled, the buffer is bounded, and a lost
+Each task packs its own input: nothing is shuffled, the buffer holds a bounded number of pieces with their own ids, and a lost
 task repeats the same sequences.  A task leaves one short sequence at its end; with
 the usual 128 MB of input to a task that is far below 0.1 % of padding.
 
@@ -48,8 +48,8 @@ FLUSH = 2000
 class Packer:
     """Fills sequences from pieces; `add` and `finish` give placed pieces.
 
-    A piece is [doc_id, start, length, prompt, ids, total]: ids of the whole document,
-    of which the first `prompt` bear no loss.
+    A piece is [doc_id, start, length, prompt, ids, total]: its own ids only, so that what waits does
+    not keep whole documents; the document's first `prompt` ids bear no loss.
     """
 
     def __init__(self, capacity: int, max_segments: int, max_loss: int, first_id: int, buffer: int = BUFFER):
@@ -62,7 +62,7 @@ class Packer:
 
     def _place(self, piece: list, length: int, offset: int) -> tuple:
         doc_id, start, _, prompt, ids, total = piece
-        return doc_id, start, length, total, max(0, start + length - max(start, prompt)), self.next_id, offset, ids[4 * start : 4 * (start + length)]
+        return doc_id, start, length, total, max(0, start + length - max(start, prompt)), self.next_id, offset, ids[: 4 * length]
 
     def add(self, doc_id, ids: bytes, prompt: int) -> Iterator[tuple]:
         total = len(ids) // 4
@@ -70,7 +70,7 @@ class Packer:
         lead, tail = 0, min(prompt, total)  # next ids of the prompt and behind it
 
         def piece(start: int, length: int) -> list:
-            return [doc_id, start, length, prompt, ids, total]
+            return [doc_id, start, length, prompt, ids[4 * start : 4 * (start + length)], total]
 
         if total <= self.capacity:
             self.wait.append(piece(0, total))
@@ -78,11 +78,11 @@ class Packer:
             prompt = tail
             while total - tail >= most_loss and prompt - lead >= spare and (self.max_segments > 1 or not spare):
                 if spare:
-                    yield self._place(piece(lead, 0), spare, 0)
-                yield self._place(piece(tail, 0), most_loss, spare)
+                    yield self._place(piece(lead, spare), spare, 0)
+                yield self._place(piece(tail, most_loss), most_loss, spare)
                 self.next_id, lead, tail = self.next_id + 1, lead + spare, tail + most_loss
             while prompt - lead >= self.capacity:
-                yield self._place(piece(lead, 0), self.capacity, 0)
+                yield self._place(piece(lead, self.capacity), self.capacity, 0)
                 self.next_id, lead = self.next_id + 1, lead + self.capacity
             if lead < prompt:
                 self.wait.append(piece(lead, prompt - lead))
@@ -123,6 +123,7 @@ class Packer:
                 else:
                     piece[1] += n
                     piece[2] -= n
+                    piece[4] = piece[4][4 * n :]
                     size[at] -= n
                     loss[at] -= used
             self.next_id += 1

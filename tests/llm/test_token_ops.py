@@ -122,3 +122,18 @@ def test_pack_pads_little(spark, sf, no_docs):
     sizes = [r.n for r in got.groupBy("sequence_id").sum("length").withColumnRenamed("sum(length)", "n").collect()]
     assert sum(2048 - n for n in sizes) <= 2048 * df.rdd.getNumPartitions()
     assert packing.pack(no_docs, public_tokenizers.path("byte_bpe_50k.json")).count() == 0
+
+
+def test_what_waits_does_not_keep_whole_documents():
+    import tracemalloc
+
+    packer = packing.Packer(2048, 64, 1792, 0)
+    tracemalloc.start()
+    try:
+        for i in range(300):
+            for _ in packer.add(i, bytes(4 * 200_001), 50_000):
+                pass
+        kept = tracemalloc.get_traced_memory()[0]
+    finally:
+        tracemalloc.stop()
+    assert len(packer.wait) >= 300 and kept < 3 * sum(4 * p[2] for p in packer.wait) + 1_000_000
