@@ -335,23 +335,21 @@ def reach_counts(edges: DataFrame, seeds: DataFrame, direction: str = "in", dept
     """id, reached: how many nodes each seed (id) reaches within `depth` steps, itself left out; seeds that reach none have no row.
 
     A breadth-first search of 64 seeds at a time: seeds are numbered, and a node carries a bit a
-    seed, in words of 64.  A level joins the bits that are new with the edges and combines them by
-    `bit_or` before the shuffle, so it moves at most nodes * seeds / 64 rows.  The result is exact.
+    seed, in words of 64.  A level joins the bits that are new with the edges and combines them with those seen by
+    `bit_or` before the shuffle, so it moves at most nodes * seeds / 64 rows a side.  The result is exact.
     """
     pairs = cut(steps(edges, direction), "bits-pairs")
     marks = in_order(seeds.select("id").distinct(), ["id"]).select("id", F.expr("number div 64").alias("word"), F.expr("cast(number % 64 as int)").alias("bit"))
     marks = cut(marks, "bits-seeds")
-    seen = fresh = marks.select("word", "id", F.expr("shiftleft(1L, bit)").alias("bits"))
+    seen = marks.select("word", "id", F.expr("shiftleft(1L, bit)").alias("bits")).withColumn("fresh", F.col("bits"))
     level = 0
     while depth is None or level < depth:
         level += 1
-        found = fresh.withColumnRenamed("id", "a").join(pairs, "a").groupBy("word", F.col("b").alias("id")).agg(F.bit_or("bits").alias("bits"))
-        known = seen.withColumnRenamed("bits", "known")
-        fresh = found.join(known, ["word", "id"], "left").withColumn("bits", F.col("bits").bitwiseAND(F.bitwise_not(F.coalesce("known", F.lit(0).cast("long"))))).where("bits <> 0").select("word", "id", "bits")
-        fresh = cut(fresh, "bits-fresh")
-        if fresh.isEmpty():
+        found = seen.where("fresh <> 0").select("word", F.col("id").alias("a"), "fresh").join(pairs, "a").select("word", F.col("b").alias("id"), F.lit(0).cast("long").alias("bits"), F.col("fresh").alias("found"))
+        every = seen.select("word", "id", "bits", F.lit(0).cast("long").alias("found")).unionAll(found).groupBy("word", "id").agg(F.bit_or("bits").alias("old"), F.bit_or("found").alias("found"))
+        seen = cut(every.select("word", "id", F.col("old").bitwiseOR(F.col("found")).alias("bits"), F.col("found").bitwiseAND(F.bitwise_not("old")).alias("fresh")), "bits-seen")
+        if seen.where("fresh <> 0").isEmpty():
             break
-        seen = cut(seen.unionAll(fresh).groupBy("word", "id").agg(F.bit_or("bits").alias("bits")), "bits-seen")
     sums = seen.groupBy("word").agg(*[F.sum(F.expr(f"shiftrightunsigned(bits, {k}) & 1")).alias(f"n{k}") for k in range(64)])
     counts = sums.select("word", F.posexplode(F.array(*[f"n{k}" for k in range(64)])).alias("bit", "n"))
     # a seed's own bit stands at itself
