@@ -13,7 +13,8 @@ than a short one and its marginals are still those of the whole chain.
 
 Bounds, all parameters: `per_lang` documents a language (by hash of doc_id) of at most
 `max_chars` characters are learned from, as wholes; every language that has one can be
-predicted.  What reaches the driver grows with the number of languages, not of rows.
+predicted.  What reaches the driver is bounded in rows and characters: beyond some 100 languages each gets an
+equal share, and with very many only shorter documents are learned from.
 Prediction reads whole texts of all documents.
 
 Defined results: a text that is null or has no letter (str.isalpha; digits, fractions and
@@ -35,8 +36,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
-from .util import map_rows
+from .util import cut, map_rows
 
 LETTERS = re.compile(r"[^\W\d_]+")
 SIZE = 1 << 15
@@ -249,22 +251,29 @@ def fit(windows: list[tuple[str, list[str]]], lexicon_size: int = 60, epochs: in
     return {"langs": langs, "weights": weights[:-1].astype(np.float32), "trans": trans, "start": start, "lexicon": lexicon}
 
 
-def training_rows(docs: DataFrame, per_lang: int, max_chars: int) -> DataFrame:
+def training_rows(docs: DataFrame, per_lang: int, max_chars: int, max_total: int = 40_000_000, max_rows: int = 60_000) -> DataFrame:
     """lang, text of at most `per_lang` documents of each language that are not held out.
 
     One document of each language and hash bucket, chosen by numbers that combine before
-    the shuffle, whatever a language's share or a doc_id's repeats.
+    the shuffle, whatever a language's share or a doc_id's repeats.  All of them have at most `max_total`
+    characters and are at most `max_rows`: with many languages each gets its equal share of both, in the order of
+    hashes, so what reaches the driver and the tasks is bounded.
     """
     usable = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text").where("lang is not null and doc_id is not null and text is not null")
-    usable = usable.where(F.crc32(F.col("doc_id").cast("string")) % 3 != 1).where(F.length("text") <= max_chars).withColumn("h", F.xxhash64("doc_id")).withColumn("t", F.xxhash64("text"))
-    picked = usable.groupBy("lang", F.pmod("h", F.lit(per_lang)).alias("bucket")).agg(F.min(F.struct("h", "doc_id", "t")).alias("m")).select("lang", "m.doc_id", "m.t")
-    # at most per_lang short rows a language; copies of a row combine before the shuffle
+    usable = usable.where(F.crc32(F.col("doc_id").cast("string")) % 3 != 1).withColumn("chars", F.length("text")).where(F.col("chars") <= max_chars).withColumn("h", F.xxhash64("doc_id")).withColumn("t", F.xxhash64("text"))
+    least = cut(usable.groupBy("lang", F.pmod("h", F.lit(per_lang)).alias("bucket")).agg(F.min(F.struct("h", "doc_id", "t", "chars")).alias("m")).select("lang", "m.*"), "langid-picked")
+    n_langs = max(1, least.select("lang").distinct().count())
+    order = W.partitionBy("lang").orderBy("h", "doc_id", "t")  # per_lang rows at most
+    budget = max_total // n_langs
+    share = least.where(F.col("chars") <= budget).withColumn("place", F.row_number().over(order)).withColumn("upto", F.sum("chars").over(order.rowsBetween(W.unboundedPreceding, 0)))
+    picked = share.where((F.col("place") <= max(1, max_rows // n_langs)) & (F.col("upto") <= budget)).orderBy("place", "lang").limit(max_rows).select("lang", "doc_id", "t")
+    # at most max_rows short rows; copies of a row combine before the shuffle
     return usable.join(F.broadcast(picked), ["lang", "doc_id", "t"], "left_semi").dropDuplicates(["lang", "doc_id", "t"]).select("doc_id", "lang", "text")
 
 
-def language_model(docs: DataFrame, per_lang: int = 300, max_chars: int = 100_000) -> dict:
+def language_model(docs: DataFrame, per_lang: int = 300, max_chars: int = 100_000, max_total: int = 40_000_000) -> dict:
     """Fit on the `training_rows` of `docs` (doc_id, lang, text)."""
-    rows = training_rows(docs, per_lang, max_chars).collect()
+    rows = training_rows(docs, per_lang, max_chars, max_total).collect()
     return fit([(r["lang"], words_of(r["text"])) for r in sorted(rows, key=lambda r: (r["doc_id"], r["lang"], r["text"]))])
 
 

@@ -208,3 +208,12 @@ def test_every_registered_query_runs_whole(spark, sf, name):
     else:
         assert n == docs
     assert shared_dir(spark)
+
+
+def test_language_training_is_bounded_in_total(spark):
+    rows = [(i, f"l{i % 40}", "word " * (20 + i % 7), "s", 1) for i in range(800)]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string, source string, n_chars long")
+    some = langid.training_rows(docs, 30, 1000, max_total=16_000).collect()
+    assert sum(len(r.text) for r in some) <= 16_000 and {r.lang for r in some} == {f"l{i}" for i in range(40)}
+    assert langid.training_rows(docs, 30, 1000, max_rows=40).count() == 40
+    assert langid.training_rows(docs, 30, 1000, max_rows=7).count() == 7
