@@ -19,6 +19,12 @@ most of whose words stand in stretches that match.  Ancestors are exploded into
 joined by path; sums and choices combine before shuffles, and files of a folder that holds
 more than a thousandth of all are dealt over several tasks.
 
+A name alone ("MIT", "GPLv3") is compared like a template, but counts only behind a head word (licensed under, released under,
+license: and the like), with nothing but joining words and other names between; so dual
+licences and short forms are found, and mentions are not.  A sentence or name that a word before it denies ("is
+not licensed under") is none.  `all` lists every licence of a text once, in the order of their places: those of all SPDX
+tags, and of the stretches left when each covers its words before weaker ones do.
+
 Defined results: null and empty texts have no own licence but can inherit; very long texts
 are read whole, in time proportional to their length and telling words; a null path
 neither gives nor inherits; several licence files in a directory: the best cosine, ties
@@ -75,11 +81,39 @@ TEMPLATES = {
     "CC-BY-SA-4.0": ("Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
     "CC-BY-NC-4.0": ("Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
     "Unlicense": ("This is free and unencumbered software released into the public domain.",),
+    "EPL-2.0": ("This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0", "Eclipse Public License - v 2.0 THE ACCOMPANYING PROGRAM IS PROVIDED UNDER THE TERMS OF THIS ECLIPSE PUBLIC LICENSE"),
+    "BSL-1.0": ("Distributed under the Boost Software License, Version 1.0.", "Boost Software License - Version 1.0 - August 17th, 2003"),
+    "CC0-1.0": ("To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.", "Creative Commons Legal Code CC0 1.0 Universal"),
+    "Zlib": ("This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely",),
+}
+#: names by which a text puts itself under a licence; they count behind a head word only
+NAMES = {
+    "Apache-2.0": ("Apache License, Version 2.0", "Apache License 2.0", "Apache 2.0", "Apache-2.0", "Apache License v2"),
+    "MIT": ("MIT License", "MIT"),
+    "GPL-3.0": ("GPLv3", "GPL v3", "GPL-3.0", "GPL 3.0", "GPL version 3", "GNU General Public License version 3"),
+    "GPL-2.0": ("GPLv2", "GPL v2", "GPL-2.0", "GPL 2.0", "GPL version 2", "GNU General Public License version 2"),
+    "GPL": ("GPL", "GNU General Public License"),
+    "LGPL-3.0": ("LGPLv3", "LGPL v3", "LGPL-3.0"),
+    "LGPL-2.1": ("LGPLv2.1", "LGPL v2.1", "LGPL-2.1"),
+    "AGPL-3.0": ("AGPLv3", "AGPL v3", "AGPL-3.0"),
+    "BSD-3-Clause": ("BSD License", "BSD", "BSD 3-Clause", "BSD-3-Clause", "new BSD License"),
+    "BSD-2-Clause": ("BSD 2-Clause", "BSD-2-Clause", "simplified BSD License"),
+    "MPL-2.0": ("MPL 2.0", "MPL-2.0", "Mozilla Public License 2.0"),
+    "EPL-2.0": ("EPL 2.0", "EPL-2.0", "Eclipse Public License 2.0"),
+    "BSL-1.0": ("Boost Software License", "BSL-1.0"),
+    "CC0-1.0": ("CC0", "CC0-1.0", "CC0 1.0 Universal"),
+    "ISC": ("ISC License", "ISC"),
+    "Zlib": ("zlib License", "zlib"),
 }
+HEADS = frozenset("license licence licensed licenced released distributed dual-licensed relicensed".split())
+LINKS = frozenset("under the a an of either both or and terms to you may choose at your option licenses dual as is this".split())
+NOT = frozenset("not no never neither without longer isn't".split())
+REACH = 12  # words between a head word and a name
+SHORT = 14  # a template of fewer words is a sentence, which a word before it can deny
 RESERVED = re.compile(r"\ball\s+rights\s+reserved\b", re.I)
 SPDX = re.compile(r"SPDX-License-Identifier:[ \t]*\(?([A-Za-z0-9][A-Za-z0-9.+-]*(?:[ \t]+(?:OR|AND|WITH)[ \t]+[A-Za-z0-9][A-Za-z0-9.+-]*)*)")
 LICENCE_FILE = r"(?i)^(licen[sc]e|copying|notice)([.-].*)?$"
-SCHEMA = "doc_id long, path string, own string, score double, line int, licence_words long, n_words long"
+SCHEMA = "doc_id long, path string, own string, score double, line int, licence_words long, n_words long, all array<string>"
 
 
 def words_of(line: str) -> list[str]:
@@ -117,20 +151,26 @@ class Matcher:
     stretch that lines up with the template is compared, if it holds most of them.
     """
 
-    def __init__(self, templates: dict[str, tuple[str, ...]], df: dict[str, int], n_docs: int, threshold: float, n_telling: int = 3):
+    def __init__(self, templates: dict[str, tuple[str, ...]], df: dict[str, int], n_docs: int, threshold: float, n_telling: int = 3, names: dict[str, tuple[str, ...]] = NAMES):
         self.idf = {w: math.log((1 + n_docs) / (1 + df.get(w, 0))) + 1.0 for w in vocabulary(templates)}
+        seldom = {w: -df.get(w, 0) for w in vocabulary(names)}
         self.unknown = sum(self.idf.values()) / max(1, len(self.idf))  # bounded, so that a strange word costs the same in any corpus
         self.threshold = threshold
         self.names: list[str] = []
         self.vectors: list[tuple[dict[str, float], int, list[str]]] = []  # unit vector, words, telling words
         self.telling: dict[str, list[tuple[int, int]]] = {}  # word -> (template, place in it)
-        for name in sorted(templates):
-            for text in templates[name]:
-                words = words_of(text)
+        self.short: set[int] = set()  # templates that are names
+        texts = [(n, x, False) for n in sorted(templates) for x in templates[n]] + [(n, x, True) for n in sorted(names) for x in names[n]]
+        self.named = {w for _, x, short in texts if short for w in words_of(x)}
+        for name, text, short in texts:
+            words = words_of(text)
+            if short:
+                self.short.add(len(self.names))
+            if words:
                 v = self._vector(words)
                 norm = math.sqrt(sum(x * x for x in v.values()))
                 t = len(self.names)
-                rare = sorted(v, key=lambda w: (-self.idf[w], w))[:n_telling]
+                rare = [max(v, key=lambda w: (seldom[w], len(w), w))] if short else sorted(v, key=lambda w: (-self.idf[w], w))[:n_telling]
                 self.names.append(name)
                 self.vectors.append(({w: x / norm for w, x in v.items()}, len(words), rare))
                 for w in rare:
@@ -150,23 +190,39 @@ class Matcher:
     def line(self, line: str) -> tuple[float, str, int]:
         """(cosine, licence, words) of a whole stretch against the best template, or (0, '', words)."""
         words = words_of(line)
-        score, t = max(((self._cosine(words, t), -t) for t in range(len(self.names))), default=(0.0, 0))
+        score, t = max(((self._cosine(words, t), -t) for t in range(len(self.names)) if t not in self.short), default=(0.0, 0))
         return (score, self.names[-t], len(words)) if score >= self.threshold and score > 0 else (0.0, "", len(words))
 
-    def text(self, text: str | None) -> tuple[str | None, float, int | None, int, int]:
-        """Own licence, cosine, line number, words in stretches that match, words."""
+    def _denied(self, words: list[str], a: int, own: dict[str, float] | None = None, size: int = 0) -> bool:
+        """Whether a word just before a place, or in the stretch of `size` words there and not in its template `own`, denies it."""
+        near = [w for w in words[max(0, a - 3) : a + size] if w not in (own or ())]
+        return not NOT.isdisjoint(near) or any(x == "isn" and y == "t" for x, y in zip(near, near[1:], strict=False))
+
+    def _headed(self, words: list[str], a: int) -> bool:
+        """Whether a head word stands before a place, with joining words and names only between, that nothing denies."""
+        for k in range(a - 1, max(-1, a - 1 - REACH), -1):
+            noun = words[k] in ("license", "licence")
+            if words[k] in HEADS and (k == a - 1 or not noun):
+                return (k == a - 1 or "under" in words[k:a]) and not self._denied(words, k)
+            if words[k] not in LINKS and words[k] not in self.named:
+                return False
+        return False
+
+    def text(self, text: str | None) -> tuple[str | None, float, int | None, int, int, list[str]]:
+        """Own licence, cosine, line number, words in stretches that match, words, all licences."""
         text = text or ""
-        tag = SPDX.search(text) if "SPDX" in text else None
         low = text.lower()
         words = WORD.findall(low)
         n = len(words)
-        best, marked = (0.0, 0.0, 0, ""), []
-        if tag:
+        tags = list(SPDX.finditer(text)) if "SPDX" in text else []
+        found: list[tuple] = []  # (evidence, cosine, minus place, licence, end)
+        spans: list[int] = []
+        if tags or not self.telling.keys().isdisjoint(words):
             spans = [m.start() for m in WORD.finditer(low)]
+        for tag in tags:
             k = next((i for i, at in enumerate(spans) if at >= tag.start()), 0)
-            best, marked = (math.inf, 1.0, -k, " ".join(tag.group(1).split())), [(k, k + len(words_of(tag.group())))]
-        elif not self.telling.keys().isdisjoint(words):
-            spans = [m.start() for m in WORD.finditer(low)]
+            found.append((math.inf, 1.0, -k, " ".join(tag.group(1).split()), k + len(words_of(tag.group()))))
+        if spans:
             seen = set()
             for i, w in enumerate(words):
                 for t, place in self.telling.get(w, ()):
@@ -178,29 +234,43 @@ class Matcher:
                     stretch = words[a : a + size]
                     if 2 * len(stretch) < size or 2 * sum(r in stretch for r in rare) <= len(rare):
                         continue
-                    if (score := self._cosine(stretch, t)) >= self.threshold:
-                        marked.append((a, a + len(stretch)))
-                        best = max(best, (size * round(score, 9) ** 20, round(score, 9), -a, self.names[t]))
-        if not best[3]:
+                    if (score := self._cosine(stretch, t)) < (0.999 if t in self.short else self.threshold):
+                        continue
+                    if not self._headed(words, a) if t in self.short else size < SHORT and self._denied(words, a, self.vectors[t][0], len(stretch)):
+                        continue
+                    found.append((size * round(score, 9) ** 20, round(score, 9), -a, self.names[t], a + len(stretch)))
+        if not found:
             held = RESERVED.search(low)
-            return ("Proprietary", self.threshold, low.count("\n", 0, held.start()) + 1, 0, n) if held else (None, 0.0, None, 0, n)
+            return ("Proprietary", self.threshold, low.count("\n", 0, held.start()) + 1, 0, n, ["Proprietary"]) if held else (None, 0.0, None, 0, n, [])
+        best = max(found)
         inside, end = 0, 0
-        for a, b in sorted(marked):
+        for a, b in sorted((-f[2], f[4]) for f in found):
             inside += max(0, b - max(a, end))
             end = max(end, b)
-        return best[3], best[1], low.count("\n", 0, spans[-best[2]]) + 1, inside, n
+        return best[3], best[1], low.count("\n", 0, spans[-best[2]]) + 1, inside, n, self._all(found)
+
+    def _all(self, found: list[tuple]) -> list[str]:
+        """Licences of the stretches that no stronger one overlaps, each once, by place."""
+        taken: list[tuple[int, int, str]] = []
+        covered: set[int] = set()
+        for _, _, minus, name, end in sorted(found, reverse=True):
+            place = range(-minus, end)
+            if covered.isdisjoint(place):
+                covered.update(place)
+                taken.append((-minus, end, name))
+        return list(dict.fromkeys(name for _, _, name in sorted(taken)))
 
 
 def own_licences(files: DataFrame, templates: dict[str, tuple[str, ...]] = TEMPLATES, threshold: float = 0.8) -> DataFrame:
     """SCHEMA for each row of `files` (doc_id, path, text)."""
-    df, n_docs = document_frequencies(files, vocabulary(templates))
+    df, n_docs = document_frequencies(files, vocabulary(templates) + vocabulary(NAMES))
 
     def start():
         m = Matcher(templates, df, n_docs, threshold)
 
         def step(batch: pa.RecordBatch) -> dict:
             got = [m.text(t) for t in batch.column(2).to_pylist()]
-            return {"doc_id": batch.column(0), "path": batch.column(1), "own": [g[0] for g in got], "score": [g[1] for g in got], "line": [g[2] for g in got], "licence_words": [g[3] for g in got], "n_words": [g[4] for g in got]}
+            return {"doc_id": batch.column(0), "path": batch.column(1), "own": [g[0] for g in got], "score": [g[1] for g in got], "line": [g[2] for g in got], "licence_words": [g[3] for g in got], "n_words": [g[4] for g in got], "all": [g[5] for g in got]}
 
         return step
 
@@ -208,7 +278,7 @@ def own_licences(files: DataFrame, templates: dict[str, tuple[str, ...]] = TEMPL
 
 
 def licences(files: DataFrame, templates: dict[str, tuple[str, ...]] = TEMPLATES, threshold: float = 0.8, file_share: float = 0.5) -> DataFrame:
-    """doc_id, path, licence, basis ('own', 'inherited', 'none'), score, line, from_dir per row of `files` (doc_id, path, text)."""
+    """doc_id, path, licence, basis ('own', 'inherited', 'none'), score, line, from_dir, all (licences of the text itself) per row of `files` (doc_id, path, text)."""
     own = cut(own_licences(files, templates, threshold), "licences-own")
     folder = F.regexp_extract("path", r"^(.*)/[^/]*$", 1)
     base = F.regexp_extract("path", r"([^/]*)$", 1)
@@ -229,7 +299,7 @@ def licences(files: DataFrame, templates: dict[str, tuple[str, ...]] = TEMPLATES
     hot = hot_keys(placed.where("folder is not null").groupBy("folder").agg(F.count("*").alias("n")), "folder", own.count())
     out = spread_join(placed.withColumn("folder", F.coalesce("folder", F.concat(F.lit("\u0000"), F.pmod(F.monotonically_increasing_id(), F.lit(1000)).cast("string")))), near, "folder", hot, "left")
     basis = F.when(F.col("own").isNotNull(), "own").when(F.col("dir_licence").isNotNull(), "inherited").otherwise("none")
-    return out.select("doc_id", "path", F.coalesce("own", "dir_licence").alias("licence"), basis.alias("basis"), "score", "line", "from_dir")
+    return out.select("doc_id", "path", F.coalesce("own", "dir_licence").alias("licence"), basis.alias("basis"), "score", "line", "from_dir", "all")
 
 
 def document_files(docs: DataFrame) -> DataFrame:

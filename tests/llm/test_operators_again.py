@@ -217,3 +217,51 @@ def test_language_training_is_bounded_in_total(spark):
     assert sum(len(r.text) for r in some) <= 16_000 and {r.lang for r in some} == {f"l{i}" for i in range(40)}
     assert langid.training_rows(docs, 30, 1000, max_rows=40).count() == 40
     assert langid.training_rows(docs, 30, 1000, max_rows=7).count() == 7
+
+
+@pytest.mark.parametrize(
+    "text,want",
+    [
+        ("Licensed under either of Apache License, Version 2.0 or MIT license at your option", ["Apache-2.0", "MIT"]), ("Dual licensed under the MIT and GPL licenses", ["MIT", "GPL"]), ("Released under the GPLv3", ["GPL-3.0"]), ("Distributed under the BSD license", ["BSD-3-Clause"]),
+        ("license: MIT", ["MIT"]), ('license = "Apache-2.0"', ["Apache-2.0"]), ("License: EPL-2.0", ["EPL-2.0"]), ("Distributed under the Boost Software License, Version 1.0.", ["BSL-1.0"]), ("x\nSPDX-License-Identifier: MIT\n// SPDX-License-Identifier: GPL-2.0-only OR ISC", ["MIT", "GPL-2.0-only OR ISC"]),
+        ("This is not licensed under the MIT License.", []), ("It isn't licensed under the GPL.", []), ("no longer released under the MIT License", []), ("The driving license and MIT were far.", []), ("He studied at MIT; a license of the ISC.", []), ("", []), (None, []),
+        (textwrap.fill(licenses.TWO_CLAUSES + licenses.THIRD_CLAUSE, 72), ["BSD-3-Clause"]), ("prose " * 300_000 + "licensed under the MIT License " + "and on " * 300_000, ["MIT"]),
+    ],
+)
+def test_all_licences_of_a_text(text, want):
+    assert matcher().text(text)[5] == want
+
+
+def test_licence_query_against_brute_force_on_a_tree(spark):
+    """Own licences by plain comparison of every stretch with every notice, inherited ones by walking up."""
+    files = {"LICENSE": "Released under the MIT License.", "a/x.py": "code", "a/b/COPYING": textwrap.fill(licenses.TWO_CLAUSES, 60), "a/b/y.py": "more code", "a/b/c/z.py": None, "a/b/c/own.py": "SPDX-License-Identifier: ISC\n" + "x = call(y)\n" * 20, "d/e.py": "not licensed under the GPL", "d/NOTICE.txt": "Licensed under the Apache License, Version 2.0.", "d/f/g.py": "prose"}
+    rows = [(i, p, t) for i, (p, t) in enumerate(files.items())]
+    m = matcher()
+
+    def own(text):
+        words = licenses.words_of(text or "")
+        tag = licenses.SPDX.search(text or "")
+        if tag:
+            return tag.group(1)
+        best = (0.0, None)
+        for t, name in enumerate(m.names):
+            size = m.vectors[t][1]
+            for a in range(max(1, len(words) - size + 1)):
+                if t not in m.short and words and not (size < licenses.SHORT and "not" in words[max(0, a - 3) : a]) and (c := m._cosine(words[a : a + size], t)) >= 0.8:
+                    best = max(best, (size * round(c, 9) ** 20, name), key=lambda x: x[0])
+        return best[1]
+
+    def inherited(path):
+        folder = path.rpartition("/")[0]
+        while True:
+            for name in ("LICENSE", "COPYING", "NOTICE.txt"):
+                found = files.get(f"{folder}/{name}".lstrip("/"))
+                if found:
+                    return own(found)
+            if not folder:
+                return None
+            folder = folder.rpartition("/")[0]
+
+    want = {p: (own(t), "own") if own(t) else (inherited(p), "inherited") for p, t in files.items()}
+    got = {r.path: (r.licence, r.basis) for r in licenses.licences(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect()}
+    assert got == want
