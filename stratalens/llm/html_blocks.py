@@ -74,9 +74,9 @@ ROLES = {
     "header": "header masthead topbar branding logo site-title page-head",
     "notice": "notice cookie consent gdpr banner alert popup modal overlay message disclaimer toast privacy",
     "ad": "ad ads advert advertisement sponsored sponsor promo promotion commercial partner adslot",
-    "comments": "comments comment discussion responses replies disqus feedback talkback commentlist respond",
+    "comments": "comments comment discussion responses replies disqus feedback talkback commentlist respond thread conversation reactions",
     "sidebar": "sidebar aside widget widgets rail secondary",
-    "form": "form newsletter subscribe signup search login contact register",
+    "form": "form newsletter subscribe signup search login contact register subscription optin mailing",
     "related": "related recommended trending popular teaser teasers recirc most-read",
     "share": "share social sharing follow",
     "footer": "footer colophon copyright legal site-info credits",
@@ -493,7 +493,7 @@ class Composer:
         elif role == "comments":
             line = pick("div p", "li", "p", "div", "li p", "blockquote p", "div div p")
             got = [item(pick("h2", "h3", "h4", "p"), words(1, 4))] if self.rng.random() < 0.6 else []
-            for _ in some(1, 6):
+            for _ in some(1, pick(3, 6, 12)):
                 if self.rng.random() < 0.4:
                     got.append(item(pick("div span", "p b", "div a", "cite"), words(1, 3)))
                 got.append(item(line, pick(words(3, 50), pick(*self.paragraphs))))
@@ -501,6 +501,8 @@ class Composer:
             got = [item(pick("ul li a", "p", "h3", "div", "h4"), words(2, 25), float(self.rng.random() < 0.6)) for _ in some(1, 6)]
         elif role == "form":
             got = [item(pick("label", "button", "p", "fieldset legend", "select option", "div label"), words(1, 10)) for _ in some(1, 5)]
+            if self.rng.random() < 0.6:  # an invitation before the fields
+                got = [item(pick("p", "p", "p", "h3", "div p"), pick(words(3, 35), pick(*self.paragraphs))) for _ in some(1, 3)] + ([item("button", words(1, 4))] if self.rng.random() < 0.5 else got[:2])
         elif role == "related":
             got = [item(pick("ul li a", "h4 a", "p a", "h3 a"), words(3, 12), 1.0) for _ in some(1, 6)]
         elif role == "share":
@@ -541,7 +543,7 @@ class Composer:
 
     def page(self, real: list[tuple[str, list]] | None) -> tuple[Page, np.ndarray]:
         """A page with the `real` parts, or composed ones, and its labels."""
-        pick, rng = self.pick, self.rng
+        pick, rng, some = self.pick, self.rng, self.some
         style = pick(*STYLES)
         named = style not in ("cells", "boxes")
         if real is None:
@@ -571,12 +573,12 @@ class Composer:
 
         def put(parent: int, role: str, items: list, nested: bool) -> None:
             box = parent
-            use = style if named or not nested else "classes"
+            use = "classes" if nested and (not named or style == "semantic" and role in ("comments", "form", "notice", "share") and rng.random() < 0.7) else style
             for words in self.container(role, use) if role else []:
                 box = node(box, words)
             shared: dict[tuple, int] = {}
             inside = [k for k in range(1, len(items)) if rng.random() < 0.03] if role == "main" else []
-            end = role == "main" and named and rng.random() < 0.45
+            ends = [pick("comments", "comments", "comments", "form", "form", "form", "share", "related", "ad", "notice") for _ in some(1, 3)] if role == "main" and rng.random() < 0.6 else []
             for k, (inner, text, link_chars) in enumerate(items):
                 if k in inside:
                     put(box, *self.part(pick("ad", "related", "share", "notice", "form")), True)
@@ -591,15 +593,15 @@ class Composer:
                     out.link_chars.append(link_chars)
                     out.at.append(at)
                     labels.append(float(role == "main"))
-            if end:
-                put(box, *self.part(pick("comments", "comments", "share", "related", "form", "ad", "notice")), True)
+            for other in ends:
+                put(box, *self.part(other), True)
 
         for role, items in parts:
             put(base, role, items, False)
         return out, np.array(labels)
 
 
-def train(pages: list[str], rounds: int = 420, pool: int = 720, batch: int = 24, train_blocks: int = 120, seed: int = 5) -> dict:
+def train(pages: list[str], rounds: int = 800, pool: int = 1300, batch: int = 24, train_blocks: int = 120, seed: int = 5) -> dict:
     """Weights of a network fitted on `pool` pages: those given, as they are and under other containers, and composed ones."""
     rng = np.random.default_rng(seed)
     scanned = [p for p in map(scan, pages) if p.texts]

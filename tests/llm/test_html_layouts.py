@@ -84,6 +84,24 @@ def test_unseen_pages_in_unseen_layouts(graded, name):
     assert graded(lambda p: LAYOUTS[name](p, graded.words)) >= 0.97
 
 
+def paragraphs(w, n):
+    return "".join(f"<p>{w[k * 90 : k * 90 + 80 + 20 * k]}</p>" for k in range(n))
+
+
+NESTED = {
+    "comments in a post": lambda p, w: p.replace("<article>", '<div class="post">').replace("</article>", f'<div class="comments">{paragraphs(w, 4)}</div></div>'),
+    "a thread in main": lambda p, w: p.replace("<article>", "<main>").replace("</article>", f'<section id="disqus_thread">{paragraphs(w, 4)}</section></main>'),
+    "sign-up at the end": lambda p, w: p.replace("</article>", f'<div class="newsletter-signup"><p>{w[:120]}</p><button>{w[120:130]}</button></div></article>'),
+    "sign-up in a post": lambda p, w: p.replace("<article>", '<div class="post">').replace("</article>", f'<div class="newsletter-signup"><h3>{w[40:60]}</h3><p>{w[:120]}</p></div></div>'),
+    "comments without a name": lambda p, w: p.replace("</article>", f"<div>{paragraphs(w, 4)}</div></article>"),
+}
+
+
+@pytest.mark.parametrize("name", sorted(NESTED))
+def test_comments_and_sign_ups_inside_the_article_go(graded, name):
+    assert graded(lambda p: NESTED[name](p, graded.words)) >= 0.95
+
+
 def test_forward_pass_against_plain_loops():
     rng = np.random.default_rng(3)
     net = hb.Network()
