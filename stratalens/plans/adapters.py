@@ -20,13 +20,8 @@ EDGES = f"""
         UNION ALL SELECT k, (k + nation * 5 + 7) % (SELECT max(c_custkey) FROM customer) + 1, 'type-import' FROM ({NODES}) WHERE k % 3 = 0
         UNION ALL SELECT k, CAST(floor(k / 2.0) AS BIGINT), 'dynamic-import' FROM ({NODES}) WHERE k % 5 = 0) e
   JOIN ({NODES}) a ON a.k = e.k JOIN ({NODES}) b ON b.k = e.t WHERE a.k <> b.k"""
-#: a smaller graph with cycles, for the operators that go to a fixed point
-SMALL_NODES = "SELECT concat('s', CAST(s_suppkey AS STRING)) AS id, s_suppkey AS k, s_nationkey AS nation FROM supplier"
-SMALL_EDGES = f"""
-  SELECT a.id AS src, b.id AS dst FROM (
-    SELECT k, (k * 3 + nation) % (SELECT max(s_suppkey) FROM supplier) + 1 AS t FROM ({SMALL_NODES}) WHERE k % 3 <> 0
-    UNION SELECT k, CAST(floor(k / 2.0) AS BIGINT) FROM ({SMALL_NODES}) WHERE k % 2 = 0) e
-  JOIN ({SMALL_NODES}) a ON a.k = e.k JOIN ({SMALL_NODES}) b ON b.k = e.t WHERE a.k <> b.k"""
+#: the same links, once a pair
+PAIRS = f"SELECT DISTINCT src, dst FROM ({EDGES})"
 #: events as an append-only log of agents' actions; line is the place in the log
 LOG = """
   SELECT event_id AS line, ts, concat('agent', CAST(user_id % 7 AS STRING)) AS agent, event_type AS action,

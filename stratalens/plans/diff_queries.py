@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from stratalens.operators import diff as D
 from stratalens.operators import graph as G
-from stratalens.plans.adapters import BASE, EDGES, HEAD, NODES, RISKS_BASE, RISKS_HEAD, SMALL_EDGES, view
+from stratalens.plans.adapters import BASE, EDGES, HEAD, NODES, PAIRS, RISKS_BASE, RISKS_HEAD, view
 from stratalens.registry import query
 
 B, H, RB, RH = f"b AS ({BASE})", f"h AS ({HEAD})", f"rb AS ({RISKS_BASE})", f"rh AS ({RISKS_HEAD})"
@@ -140,13 +140,13 @@ def scc_sql(name: str, edges: str) -> str:
     return f"{name}_r AS (SELECT src AS a, dst AS b FROM ({edges}) UNION SELECT r.a, e.dst FROM {name}_r r JOIN ({edges}) e ON e.src = r.b), {name} AS (SELECT x.a AS id, min(least(x.a, x.b)) AS scc FROM {name}_r x JOIN {name}_r y ON x.a = y.b AND x.b = y.a WHERE x.a <> x.b GROUP BY x.a)"
 
 
-@query("d6_cycle_delta", f"""WITH RECURSIVE e AS ({SMALL_EDGES}), {scc_sql('o', "SELECT * FROM e WHERE CAST(substr(src, 2) AS BIGINT) % 5 <> 0")}, {scc_sql('h', 'SELECT * FROM e')},
+@query("d6_cycle_delta", f"""WITH RECURSIVE e AS ({PAIRS}), {scc_sql('o', "SELECT * FROM e WHERE src NOT LIKE '%7.ts'")}, {scc_sql('h', 'SELECT * FROM e')},
   n AS (SELECT scc, count(*) AS n FROM h GROUP BY scc), m AS (SELECT scc, max(k) AS k FROM (SELECT h.scc, o.scc AS was, count(*) AS k FROM h JOIN o USING (id) GROUP BY 1, 2) GROUP BY scc)
   SELECT scc, CASE WHEN k IS NULL THEN 'fresh' WHEN k >= n THEN 'old' ELSE 'grown' END AS state FROM n LEFT JOIN m USING (scc)""")
 def cycle_delta(spark, sf):
-    """Cycles of the small graph against those with every fifth source's edges left out."""
-    e = view(spark, sf, SMALL_EDGES)
-    return D.cycle_delta(G.strongly_connected(e.where("cast(substr(src, 2) as bigint) % 5 <> 0")), G.strongly_connected(e))
+    """Cycles of the graph against those with the edges of some sources left out."""
+    e = view(spark, sf, PAIRS)
+    return D.cycle_delta(G.strongly_connected(e.where("src not like '%7.ts'")), G.strongly_connected(e))
 
 
 @query("j12_broken_links", f"WITH n AS ({NODES}), t AS (SELECT id, concat(grp, '/n', CAST(nation AS STRING), '/src/f', CAST(k + 1 AS STRING), '.ts') AS target FROM n) SELECT t.id, target, CASE WHEN regexp_replace(target, '\\.ts$', '') IN (SELECT regexp_replace(id, '\\.[a-z]+$', '') FROM n) THEN 'info' ELSE 'medium' END AS severity FROM t WHERE target NOT IN (SELECT id FROM n)")

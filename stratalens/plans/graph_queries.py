@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 from stratalens.functions.scalar import glob_matches
 from stratalens.operators import graph as G
 from stratalens.plans import ask
-from stratalens.plans.adapters import EDGES, NODES, SMALL_EDGES, SMALL_NODES, view
+from stratalens.plans.adapters import EDGES, NODES, PAIRS, view
 from stratalens.registry import query
 
-N, E, SN, SE = f"nodes AS ({NODES})", f"edges AS ({EDGES})", f"nodes AS ({SMALL_NODES})", f"edges AS ({SMALL_EDGES})"
+N, E, P = f"nodes AS ({NODES})", f"edges AS ({EDGES})", f"edges AS ({PAIRS})"
 TS = "kind IN ('import', 'dynamic-import', 'type-import')"
 
 
@@ -156,29 +156,29 @@ def orphans(spark, sf):
     return G.orphans(nodes(spark, sf), edges(spark, sf)).select("id")
 
 
-CLOSURE = f"WITH RECURSIVE {SN}, {SE}, r AS (SELECT src AS a, dst AS b FROM edges UNION SELECT r.a, e.dst FROM r JOIN edges e ON e.src = r.b)"
+CLOSURE = f"WITH RECURSIVE {N}, {P}, r AS (SELECT src AS a, dst AS b FROM edges UNION SELECT r.a, e.dst FROM r JOIN edges e ON e.src = r.b)"
 
 
 @query("g4_cycles", f"{CLOSURE}, m AS (SELECT x.a AS id, min(least(x.a, x.b)) AS scc FROM r x JOIN r y ON x.a = y.b AND x.b = y.a WHERE x.a <> x.b GROUP BY x.a) SELECT scc, id FROM m")
 def cycles(spark, sf):
-    return G.strongly_connected(view(spark, sf, SMALL_EDGES))
+    return G.strongly_connected(view(spark, sf, PAIRS))
 
 
 @query("v7_layers", f"""{CLOSURE}, cyclic AS (SELECT DISTINCT a AS id FROM r WHERE a = b), bad AS (SELECT id FROM cyclic UNION SELECT b FROM r WHERE a IN (FROM cyclic)),
     walk AS (SELECT id, CAST(0 AS BIGINT) AS layer FROM nodes WHERE id NOT IN (SELECT dst FROM edges) UNION SELECT e.dst, w.layer + 1 FROM walk w JOIN edges e ON e.src = w.id WHERE e.dst NOT IN (FROM bad))
     SELECT id, max(layer) AS layer FROM walk GROUP BY id""")
 def layered(spark, sf):
-    return G.layers(view(spark, sf, SMALL_EDGES), view(spark, sf, SMALL_NODES))
+    return G.layers(view(spark, sf, PAIRS), view(spark, sf, NODES))
 
 
-@query("v6_cycles_with_loops", f"""{CLOSURE.replace(SE, f"edges AS ({SMALL_EDGES} UNION ALL SELECT id, id FROM ({SMALL_NODES}) WHERE k % 9 = 0)")}, m AS (SELECT x.a AS id, min(least(x.a, x.b)) AS scc FROM r x JOIN r y ON x.a = y.b AND x.b = y.a GROUP BY x.a) SELECT scc, id FROM m""")
+@query("v6_cycles_with_loops", f"""{CLOSURE.replace(P, f"edges AS ({PAIRS} UNION ALL SELECT id, id FROM ({NODES}) WHERE k % 9 = 0)")}, m AS (SELECT x.a AS id, min(least(x.a, x.b)) AS scc FROM r x JOIN r y ON x.a = y.b AND x.b = y.a GROUP BY x.a) SELECT scc, id FROM m""")
 def cycles_with_loops(spark, sf):
-    loops = view(spark, sf, f"SELECT id AS src, id AS dst FROM ({SMALL_NODES}) WHERE k % 9 = 0")
-    return G.strongly_connected(view(spark, sf, SMALL_EDGES).unionAll(loops), self_loops=True)
+    loops = view(spark, sf, f"SELECT id AS src, id AS dst FROM ({NODES}) WHERE k % 9 = 0")
+    return G.strongly_connected(view(spark, sf, PAIRS).unionAll(loops), self_loops=True)
 
 
 def pagerank_sql(rounds: int) -> str:
-    parts = [SN, SE, "deg AS (SELECT src, count(*) AS d FROM edges GROUP BY src)", "size AS (SELECT count(*) AS n FROM nodes)", "r0 AS (SELECT id, 1.0::DOUBLE / n AS r FROM nodes, size)"]
+    parts = [N, P, "deg AS (SELECT src, count(*) AS d FROM edges GROUP BY src)", "size AS (SELECT count(*) AS n FROM nodes)", "r0 AS (SELECT id, 1.0::DOUBLE / n AS r FROM nodes, size)"]
     for k in range(1, rounds + 1):
         p = f"r{k - 1}"
         parts.append(f"r{k} AS MATERIALIZED (SELECT v.id, 0.15 / n + 0.85 * (coalesce(g.x, 0) + l.loose / n) AS r FROM nodes v CROSS JOIN size CROSS JOIN (SELECT coalesce(sum(r), 0) AS loose FROM {p} WHERE id NOT IN (SELECT src FROM deg)) l LEFT JOIN (SELECT e.dst, sum(p.r / d.d) AS x FROM {p} p JOIN edges e ON e.src = p.id JOIN deg d ON d.src = p.id GROUP BY e.dst) g ON g.dst = v.id)")
@@ -187,11 +187,11 @@ def pagerank_sql(rounds: int) -> str:
 
 @query("g14_pagerank", pagerank_sql(30))
 def importance(spark, sf):
-    return G.pagerank(view(spark, sf, SMALL_NODES), view(spark, sf, SMALL_EDGES))
+    return G.pagerank(view(spark, sf, NODES), view(spark, sf, PAIRS))
 
 
 def labels_sql(rounds: int) -> str:
-    parts = [SN, SE, "two AS (SELECT src AS a, dst AS b FROM edges WHERE src <> dst UNION SELECT dst, src FROM edges WHERE src <> dst)", "l0 AS (SELECT id, id AS label FROM nodes)"]
+    parts = [N, P, "two AS (SELECT src AS a, dst AS b FROM edges WHERE src <> dst UNION SELECT dst, src FROM edges WHERE src <> dst)", "l0 AS (SELECT id, id AS label FROM nodes)"]
     for k in range(1, rounds + 1):
         p = f"l{k - 1}"
         parts.append(f"l{k} AS MATERIALIZED (SELECT id, arg_min(label, (-n, label)) AS label FROM (SELECT id, label, count(*) AS n FROM (SELECT two.a AS id, p.label FROM two JOIN {p} p ON p.id = two.b UNION ALL SELECT id, label FROM {p}) GROUP BY 1, 2) GROUP BY id)")
@@ -200,7 +200,7 @@ def labels_sql(rounds: int) -> str:
 
 @query("g15_label_propagation_synchronous", labels_sql(10))
 def communities(spark, sf):
-    return G.label_propagation(view(spark, sf, SMALL_NODES), view(spark, sf, SMALL_EDGES))
+    return G.label_propagation(view(spark, sf, NODES), view(spark, sf, PAIRS))
 
 
 @query("w9_numbered_communities", f"WITH {N}, l AS (SELECT id, concat(grp, CAST(nation AS STRING)) AS label FROM nodes), f AS (SELECT label, min(id) AS first FROM l GROUP BY label) SELECT first, dense_rank() OVER (ORDER BY first) - 1 AS community FROM f")
