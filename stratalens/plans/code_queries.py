@@ -398,6 +398,18 @@ def ignored(spark, sf):
     return readers.without_ignored(view(spark, sf, TREE), readers.ignore_rules(view(spark, sf, IGNORES)))
 
 
+#: file names by whether the walk leaves them out; each stands below folders made of the key
+WALKED = (("src/a.ts", False), ("node_modules/a.js", True), ("x/dist/a.js", True), ("out/a.js", False), (".env", False), ("venv/a.py", False), (".venv/a.py", True), (".npmrc", False), ("a.TSBUILDINFO", True), ("a.tsbuildinfo.json", True), ("a.tsbuildinfo.ts", False), (".claude/settings.local.json", True), (".claude/settings.json", False), ("CLAUDE.local.md", True), (".cursor/rules/x.local.mdc", True), (".cursor/rules/x.mdc", False), (".idea/w.xml", True), ("test-results/r.txt", True), ("my-dist/a.js", False), (".vscode", True))
+NAMED = ", ".join(f"(CAST({k} AS BIGINT), '{n}', {str(x).lower()})" for k, (n, x) in enumerate(WALKED))
+
+
+@query("s3_walk_exclusions", f"SELECT concat('p', c_nationkey, '/k', c_custkey, '/', name) AS path, excluded FROM customer JOIN (VALUES {NAMED}) t(i, name, excluded) ON i = c_custkey % {len(WALKED)}")
+def walk_exclusions(spark, sf):
+    names = "element_at(array(" + ", ".join(f"'{n}'" for n, _ in WALKED) + f"), CAST(c_custkey % {len(WALKED)} AS INT) + 1)"
+    t = view(spark, sf, f"SELECT concat('p', {NAT}, '/k', {K}, '/', {names}) AS path FROM customer")
+    return t.select("path", readers.is_excluded(F.col("path")).alias("excluded"))
+
+
 @query("s11_npm_dependencies", f"SELECT concat('f', {K}) AS path, package, spec, scope FROM customer, LATERAL (VALUES (concat('a', {NAT}), '^1.0.0', 'direct'), ('b', concat('~', {NAT}), 'dev'), ('c', '*', 'peer')) t(package, spec, scope)")
 def manifests(spark, sf):
     return readers.npm_dependencies(texts(spark, sf, f"concat('{{\"name\":\"x\",\"dependencies\":{{\"a', {NAT}, '\":\"^1.0.0\"}},\"devDependencies\":{{\"b\":\"~', {NAT}, '\"}},\"peerDependencies\":{{\"c\":\"*\"}}}}')"))
@@ -408,9 +420,13 @@ def yarn(spark, sf):
     return readers.yarn_lock_versions(texts(spark, sf, "'# yarn lockfile v1'", "''", "'\"@x/y@^1.0.0\", \"@x/y@~1.2.0\":'", f"concat('  version \"1.2.', {NAT}, '\"')", "''", "'left@1:'", "'  version \"1.0.0\"'"))
 
 
-@query("p12_doc_kind", "SELECT path, kind FROM (VALUES ('README.md', 'readme'), ('docs/x.md', 'guide'), ('adr/1.md', 'adr'), ('ROADMAP.md', 'roadmap'), ('x/plan.md', 'plan'), ('x/notes.md', 'other'), ('CHANGELOG', 'changelog')) t(path, kind), (SELECT 1 FROM region LIMIT 1)")
+KINDS = (("README.md", "readme"), ("docs/x.md", "guide"), ("adr/1.md", "adr"), ("ROADMAP.md", "roadmap"), ("x/plan.md", "plan"), ("x/notes.md", "other"), ("CHANGELOG", "changelog"))
+
+
+@query("p12_doc_kind", f"SELECT concat('k', c_custkey, '/', name) AS path, kind FROM customer JOIN (VALUES {', '.join(f"({k}, '{n}', '{v}')" for k, (n, v) in enumerate(KINDS))}) t(i, name, kind) ON i = c_custkey % {len(KINDS)}")
 def kinds(spark, sf):
-    t = view(spark, sf, "SELECT explode(array('README.md', 'docs/x.md', 'adr/1.md', 'ROADMAP.md', 'x/plan.md', 'x/notes.md', 'CHANGELOG')) AS path FROM (SELECT 1 FROM region LIMIT 1)")
+    names = "element_at(array(" + ", ".join(f"'{n}'" for n, _ in KINDS) + f"), CAST(c_custkey % {len(KINDS)} AS INT) + 1)"
+    t = view(spark, sf, f"SELECT concat('k', {K}, '/', {names}) AS path FROM customer")
     return t.select("path", S.doc_kind(F.col("path")).alias("kind"))
 
 

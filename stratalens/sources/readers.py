@@ -2,21 +2,38 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratalens.functions.scalar import basename, extension
 
-#: folders that are never read, and files that hold personal data; fixed values
-HARD_EXCLUDES = ("node_modules", ".git", "dist", "build", "out", "coverage", ".next", ".turbo", ".cache", "vendor", "target", "__pycache__", ".venv", "venv")
-PERSONAL_FILES = (".env", ".env.local", "id_rsa", "id_ed25519", ".npmrc", ".netrc")
+# fixed values: folders that are never read, the last being this library's own output
+HARD_EXCLUDES = (
+    "node_modules", "dist", "build", ".next", ".turbo", ".cache", "__pycache__", ".venv", ".git", "vendor", "target", "coverage", ".pnpm-store", ".vscode", ".idea", ".playwright-mcp", "playwright-report", "test-results", ".stratalens",
+)
+# fixed values: endings of build records, in any case
+NOISE_ENDINGS = (".tsbuildinfo", ".tsbuildinfo.json")
+# fixed values: files that tools write for one developer, as patterns of whole paths
+PERSONAL_FILES = (r"(^|/)\.claude/settings\.local\.json$", r"(^|/)CLAUDE\.local\.md$", r"(^|/)\.cursor/rules/[^/]*\.local\.mdc$")
+#: files whose rules decide what is read; the last is this library's own
+IGNORE_FILES = (".gitignore", ".cursorignore", ".aiignore", ".stratalensignore")
 BINARY_ENDINGS = ("png", "jpg", "jpeg", "gif", "webp", "ico", "pdf", "zip", "gz", "woff", "woff2", "ttf", "mp4", "mp3", "wasm", "so", "dll", "exe", "class", "jar")
 MAX_BYTES = 1 << 20
 EVENTS = "schemaVersion string, timestamp string, agent string, model string, ticketId string, action string, outcome string, reasoning string, filesAffected array<string>, confidence double, tags array<string>, meta string"
 
 
 def is_excluded(path: Column) -> Column:
-    return F.exists(F.split(path, "/"), lambda x: x.isin(*HARD_EXCLUDES)) | F.lower(basename(path)).isin(*PERSONAL_FILES)
+    """Whether a folder of the path is never read, or the file is a build record or personal; secrets' usual homes are not left out."""
+    low = F.lower(basename(path))
+    noise = reduce(lambda a, b: a | b, [low.endswith(x) for x in NOISE_ENDINGS])
+    return F.exists(F.split(path, "/"), lambda x: x.isin(*HARD_EXCLUDES)) | noise | path.rlike("|".join(PERSONAL_FILES))
+
+
+def ignore_files(texts: DataFrame) -> DataFrame:
+    """Those of `texts` (path, text) that hold ignore rules."""
+    return texts.where(basename(F.col("path")).isin(*IGNORE_FILES))
 
 
 def ignore_rules(texts: DataFrame) -> DataFrame:
