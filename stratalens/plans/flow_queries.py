@@ -7,8 +7,9 @@ import uuid
 from pyspark.sql import functions as F
 
 from stratalens.operators import flow
-from stratalens.plans.adapters import EDGES, NODES, view
+from stratalens.plans.adapters import BASE, EDGES, HEAD, NODES, view
 from stratalens.registry import query
+from stratalens.sources import snapshots
 from stratalens.sources.commit_log import read_commit_log
 from stratalens.storage import shared_dir
 
@@ -64,3 +65,15 @@ def commit_log(spark, sf):
     path = f"{shared_dir(spark)}/stratalens/log-{uuid.uuid4().hex}"
     view(spark, sf, f"SELECT {LOG_TEXT} AS value FROM orders").write.text(path)
     return read_commit_log(spark, path).drop("log", "at")
+
+
+@query("k1_snapshot_store", f"SELECT path, loc, false AS stale FROM ({HEAD}) UNION ALL SELECT path, loc, true FROM ({BASE}) WHERE path NOT IN (SELECT path FROM ({HEAD}))")
+def snapshot_store(spark, sf):
+    """Two snapshots written, the older one pruned after its stale rows are marked."""
+    root = f"{shared_dir(spark)}/stratalens/store-{uuid.uuid4().hex}"
+    snapshots.write_snapshot(spark, root, "first", {"files": view(spark, sf, BASE).select("path", "loc")})
+    kind = "path string, loc long"
+    now = snapshots.with_stale(view(spark, sf, HEAD).select("path", "loc"), snapshots.read_snapshot(spark, root, "files", kind), "path")
+    snapshots.write_snapshot(spark, root, "second", {"files": now})
+    snapshots.prune(spark, root, 1)
+    return snapshots.read_snapshot(spark, root, "files", kind + ", stale boolean")

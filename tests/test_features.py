@@ -10,7 +10,7 @@ from stratalens.functions import css, licences, outline
 from stratalens.operators import flow
 from stratalens.operators import graph as G
 from stratalens.operators.log import open_items
-from stratalens.sources import locks, pack
+from stratalens.sources import locks, pack, snapshots
 from stratalens.sources.commit_log import read_commit_log
 from stratalens.streaming import log_stream as LS
 
@@ -263,3 +263,24 @@ def test_open_items_on_a_stream(spark, tmp_path):
     assert {(k, ts) for k, (open_, ts) in seen.items() if open_} == {(r.ckey, r.ts) for r in batch if r.ckey is not None} | {(k, ts) for k, (open_, ts) in seen.items() if open_ and k is None}
     closed = sum(not open_ for open_, _ in seen.values())
     assert closed and q.lastProgress["stateOperators"][0]["numRowsTotal"] < len(seen)
+
+
+def test_failed_write_leaves_the_old_snapshot(spark, tmp_path):
+    root, kind = str(tmp_path), "k string, n long"
+    with pytest.raises(LookupError):
+        snapshots.read_snapshot(spark, root, "t", kind)
+    good = spark.createDataFrame([("a", 1), ("b", 2)], kind)
+    first = snapshots.write_snapshot(spark, root, "s1", {"t": good, "none": good.limit(0)})
+    bad = good.select("k", F.raise_error(F.lit("no")).cast("long").alias("n"))
+    with pytest.raises(Exception, match="no"):
+        snapshots.write_snapshot(spark, root, "s2", {"t": good.limit(1), "u": bad})
+    assert snapshots.read_snapshot(spark, root, "t", kind).count() == 2 and snapshots.read_snapshot(spark, root, "none", kind).count() == 0
+    with pytest.raises(LookupError):
+        snapshots.read_snapshot(spark, root, "t", kind, "s2")
+    third = snapshots.write_snapshot(spark, root, "s3", {"t": good.limit(1)})
+    assert snapshots.read_snapshot(spark, root, "t", kind).count() == 1 and snapshots.read_snapshot(spark, root, "t", kind, "s1").count() == 2
+    gone = snapshots.prune(spark, root, 1)
+    assert first in gone and third not in gone and len(gone) == 2  # the old one and the failed one
+    assert [r.name for r in snapshots.snapshots(spark, root).collect()] == ["s3"] and snapshots.read_snapshot(spark, root, "t", kind).count() == 1
+    marked = snapshots.with_stale(good, spark.createDataFrame([("b", 9), ("c", 3)], kind), "k").collect()
+    assert sorted(map(tuple, marked)) == [("a", 1, False), ("b", 2, False), ("c", 3, True)]
