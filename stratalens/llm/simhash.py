@@ -168,18 +168,19 @@ def tile_forest(a: np.ndarray, b: np.ndarray | None, first: int, total: int) ->
     return np.concatenate(out_a), np.concatenate(out_b)
 
 
-def exact_forest(codes: np.ndarray, sets: list[np.ndarray], split: int, first: int, total: int, similarity: float) -> list[tuple[int, int]]:
+def exact_forest(codes: np.ndarray, sets: list[np.ndarray], split: int, first: int, total: int, similarity: float, labels: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Spanning forest, made of links, of the pairs whose sets have a Jaccard similarity of at least `similarity`.
 
     Pairs are those of the first `split` rows with the others, or all if split is 0; only
-    pairs close enough by `codes` are counted, and of these no pair that is connected already.
+    pairs close enough by `codes` are counted, and of these no pair that is connected already: by
+    equal `labels` or by the links found.
     """
     n = len(sets)
     size = np.fromiter(map(len, sets), dtype=np.int64, count=n)
     start = np.concatenate([[0], np.cumsum(size)])
     ids = np.unique(np.concatenate(sets), return_inverse=True)[1] if start[-1] else np.zeros(0, np.int64)
     held = np.zeros(int(ids.max()) + 1 if len(ids) else 1, dtype=bool)
-    parent = np.arange(n)
+    parent = np.arange(n) if labels is None else np.unique(labels, return_inverse=True)[1].ravel()
     out: list[tuple[int, int]] = []
     for i_all, j_all in tile_pairs(codes[:split] if split else codes, codes[split:] if split else None, first, total):
         if not len(i_all):
@@ -267,17 +268,6 @@ def place_links(places: DataFrame, tile: int, radius: int, total: int | None, n_
     return work.repartition(slots, "l_tile_id", "r_tile_id").groupBy("l_tile_id", "r_tile_id").applyInPandas(compare, "a long, b long")
 
 
-def linked(codes: DataFrame, radius: int = 3, total: int | None = None, n_lanes: int = 1, tile: int | None = None) -> DataFrame:
-    """Edges (a, b), by cid, of a spanning forest per tile pair over `codes` (cid long, fp long, code binary), one row per distinct code."""
-    places, tile = numbered(codes.select("cid", "fp", "code"), tile)
-    edges = cut(place_links(places, tile, radius, total, n_lanes), "simhash-edges")
-    n = edges.count()
-    for side in ("a", "b"):
-        hot = hot_keys(edges.groupBy(side).agg(F.count("*").alias("n")), side, n)
-        edges = spread_join(edges, places.select(F.col("place").alias(side), F.col("cid").alias("cid_" + side)), side, hot)
-    return edges.select(F.col("cid_a").alias("a"), F.col("cid_b").alias("b"))
-
-
 def _rooted(places: DataFrame, edges: DataFrame) -> DataFrame:
     """`places` with the root of each over `edges`, its own place where it has none."""
     return places.join(components(edges).withColumnRenamed("node", "place"), "place", "left").withColumn("root", F.coalesce("root", "place"))
@@ -326,49 +316,104 @@ def shingle_sets(wanted: DataFrame, texts: DataFrame, hot_rows: list[tuple], shi
     return map_rows(spread_join(texts, wanted, "__row", hot_rows, hint="merge").select("place", "text"), "place long, shingles array<long>", start).dropDuplicates(["place"])
 
 
-def similar(texts: DataFrame, hot_rows: list[tuple], places: DataFrame, tile: int, shingle: int, similarity: float, n_lanes: int, block: int = BLOCK) -> DataFrame:
-    """Edges (a, b) of spanning forests of the pairs of `places` (place, code, least, q0..q3) whose shingle sets are at least `similarity` alike.
+def _own_block(blocks: Column, seed: int = 0) -> Column:
+    return F.pmod(F.xxhash64("place", F.lit(seed)), blocks).cast("int")
 
-    texts: __row, text; hot_rows: rows that repeat often.  Pairs within four standard
-    deviations of the threshold, in the first lane and in all, are candidates.  Forests of
-    candidates give groups that hold every candidate pair.  A group's codes are dealt over
-    blocks of about `block`; each two blocks meet in one task, which counts the Jaccard similarity
-    of every candidate pair that is not connected there yet and gives a forest of those
-    alike.  So no step gives more than an edge a code and block, however many pairs a
-    group has, and none is left out.
-    """
-    first, far = lanes_limit(similarity, 1, 4.0), lanes_limit(similarity, n_lanes, 4.0)
-    groups = cut(components(place_links(places, tile, first, far, n_lanes)), "simhash-groups")
-    sizes = cut(groups.groupBy("root").agg(F.count("*").alias("n")), "simhash-sizes")
-    blocks = F.ceil(F.col("n") / block).cast("int")
-    hot = hot_keys(sizes, "root", groups.count())
-    dealt = spread_join(groups, sizes.select("root", blocks.alias("blocks")), "root", hot)
-    members = cut(places.join(dealt.withColumnRenamed("node", "place"), "place").select("place", "code", "root", "blocks", F.col("least.row").alias("__row")), "simhash-members")
-    sets = members.drop("__row").join(shingle_sets(members.select("place", "__row"), texts, hot_rows, shingle), "place")
-    mine = F.pmod(F.xxhash64("place"), F.col("blocks")).cast("int")
-    met = sets.withColumn("own", mine).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-    met = met.select("root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "place", "code", "shingles")
+
+def _verified(met: DataFrame, n_lanes: int, first: int, far: int, similarity: float) -> DataFrame:
+    """Edges (a, b) found in the blocks of `met` (root, i, j, own, place, label, code, shingles): within one (i = j) or between two."""
 
     def count(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["own", "place"])
         split = 0 if pdf["i"].iloc[0] == pdf["j"].iloc[0] else int((pdf["own"] == pdf["i"]).sum())
         place = pdf["place"].to_numpy(np.int64)
-        if len(place) < 2 or split == len(place):
+        if len(place) < 2 or split == len(place) or (pdf["i"].iloc[0] != pdf["j"].iloc[0] and not split):
             return pd.DataFrame({"a": place[:0], "b": place[:0]})
         codes = np.frombuffer(b"".join(pdf["code"]), "<u8").reshape(-1, n_lanes)
-        found = exact_forest(codes, [np.asarray(x, dtype=np.int64) for x in pdf["shingles"]], split, first, far, similarity)
+        found = exact_forest(codes, [np.asarray(x, dtype=np.int64) for x in pdf["shingles"]], split, first, far, similarity, pdf["label"].to_numpy(np.int64))
         at = np.array(found, dtype=np.int64).reshape(-1, 2)
         return pd.DataFrame({"a": place[at[:, 0]], "b": place[at[:, 1]]})
 
     return cut(met.groupBy("root", "i", "j").applyInPandas(count, "a long, b long"), "simhash-verified")
 
 
+def _open_places(met: DataFrame, n_lanes: int, first: int, far: int) -> DataFrame:
+    """root, i, j, own, place of the members of two blocks of `met` (root, i, j, own, place, label, code) that have a candidate with another label in the other."""
+    kind = "root long, i int, j int, own int, place long"
+
+    def near(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["own", "place"]).reset_index(drop=True)
+        split = int((pdf["own"] == pdf["i"]).sum())
+        wanted = np.zeros(len(pdf), dtype=bool)
+        if 0 < split < len(pdf):
+            codes, label = np.frombuffer(b"".join(pdf["code"]), "<u8").reshape(-1, n_lanes), pdf["label"].to_numpy(np.int64)
+            for i, j in tile_pairs(codes[:split], codes[split:], first, far):
+                apart = label[i] != label[j]
+                wanted[i[apart]] = True
+                wanted[j[apart]] = True
+        return pdf.loc[wanted, ["root", "i", "j", "own", "place"]]
+
+    return cut(met.groupBy("root", "i", "j").applyInPandas(near, kind), "simhash-open")
+
+
+def similar(texts: DataFrame, hot_rows: list[tuple], places: DataFrame, tile: int, shingle: int, similarity: float, n_lanes: int, block: int = BLOCK) -> DataFrame:
+    """Edges (a, b) of spanning forests of the pairs of `places` (place, code, least, q0..q3) whose shingle sets are at least `similarity` alike.
+
+    texts: __row, text; hot_rows: rows that repeat often.  Pairs within four standard
+    deviations of the threshold, in the first lane and in all, are candidates.  Forests of
+    candidates give groups that hold every candidate pair.  A group's members are dealt over
+    blocks of about `block`.  First every block is counted in itself.  Then one member of each component found
+    so far is dealt over blocks again, as long as that joins many: a group of near copies becomes one
+    component while each shingle set is sent a few times.  At last each two blocks of a group that still
+    has several components meet, codes only; sets are sent for the members that have a candidate of another
+    component there.  So every candidate pair is connected or counted, whatever a group's size, and no step
+    gives more than an edge a member and block.
+    """
+    first, far = lanes_limit(similarity, 1, 4.0), lanes_limit(similarity, n_lanes, 4.0)
+    groups = cut(components(place_links(places, tile, first, far, n_lanes)), "simhash-groups")
+    sizes = cut(groups.groupBy("root").agg(F.count("*").alias("n")), "simhash-sizes")
+    many = F.ceil(F.col("n") / block).cast("int").alias("blocks")
+    dealt = spread_join(groups, sizes.select("root", many), "root", hot_keys(sizes, "root", groups.count()))
+    members = cut(places.join(dealt.withColumnRenamed("node", "place"), "place").select("place", "code", "root", "blocks", F.col("least.row").alias("__row")), "simhash-members")
+    sets = cut(shingle_sets(members.select("place", "__row"), texts, hot_rows, shingle), "simhash-sets")
+    members = members.drop("__row")
+
+    def inside(rows: DataFrame, seed: int) -> DataFrame:
+        own = rows.withColumn("own", _own_block(F.col("blocks"), seed))
+        return _verified(own.select("root", F.col("own").alias("i"), F.col("own").alias("j"), "own", "place", F.col("place").alias("label"), "code").join(sets, "place"), n_lanes, first, far, similarity)
+
+    edges = inside(members, 0)
+    large = members.where("blocks > 1")
+    before, seed = large.count(), 0
+    while before:
+        found = components(edges)
+        labelled = cut(large.join(found.select(F.col("node").alias("place"), F.col("root").alias("label")), "place", "left").withColumn("label", F.coalesce("label", "place")), "simhash-labels")
+        heads = labelled.where("place = label")
+        left = cut(heads.groupBy("root").agg(F.count("*").alias("n")).where("n > 1"), "simhash-left")
+        total = left.agg(F.sum("n")).first()[0] or 0
+        if not total:
+            return edges
+        hot = hot_keys(left, "root", total)
+        if 2 * total > before:
+            break
+        before, seed = total, seed + 1
+        again = spread_join(heads.select("place", "code", "root"), left.select("root", many), "root", hot)
+        edges = cut(edges.unionAll(inside(again, seed)), "simhash-edges")
+    else:
+        return edges
+    open_ = spread_join(labelled, left.select("root"), "root", hot, "left_semi").withColumn("own", _own_block(F.col("blocks")))
+    met = open_.withColumn("other", F.explode(F.expr("filter(sequence(0, blocks - 1), k -> k <> own)"))).withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
+    wanted = _open_places(met.select("root", "i", "j", "own", "place", "label", "code"), n_lanes, first, far)
+    rows = wanted.join(open_.select("place", "label", "code"), "place").join(sets, "place")
+    return edges.unionAll(_verified(rows, n_lanes, first, far, similarity))
+
+
 def _row_key() -> Column:
     """Row by content: id and text; null and empty texts, which no code tells apart, are one."""
     return F.md5(F.concat_ws("\u0000", F.coalesce(F.col("__id").cast("string"), F.lit("null")), F.md5(F.coalesce("text", F.lit("")))))
 
 
-def one_per_group(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, n_lanes: int = 8) -> DataFrame:
+def one_per_group(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, n_lanes: int = 8, block: int = BLOCK) -> DataFrame:
     """Rows of `docs`, one of each near-duplicate group: the one with the smallest doc_id, of equal ids that of the least hash of id and text.
 
     A link is a Jaccard similarity of shingle sets of at least `similarity`, found by
@@ -388,6 +433,6 @@ def one_per_group(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, n_
     found = marked.groupBy("code").agg(F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", F.col("key").alias("row"))).alias("least"), F.min("fp").alias("fp"))
     places, tile = numbered(found)
     hot_rows = hot_keys(marked.groupBy(F.col("key").alias("__row")).agg(F.count("*").alias("n")), "__row", marked.count())
-    rooted = _rooted(places, similar(keyed.select("__row", "text"), hot_rows, places, tile, shingle, similarity, n_lanes))
+    rooted = _rooted(places, similar(keyed.select("__row", "text"), hot_rows, places, tile, shingle, similarity, n_lanes, block))
     stay = cut(rooted.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.row").alias("__row")), "simhash-stay")
     return spread_join(keyed, stay, "__row", hot_rows, "left_semi", hint="merge").dropDuplicates(["__row"]).select(*[F.col(f"`{c}`") for c in names])

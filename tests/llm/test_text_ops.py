@@ -169,26 +169,63 @@ def brute_components(fps, radius):
 
 
 @pytest.mark.parametrize("tile", [4, 16, 64])
-def test_linked_components_against_all_pairs(spark, tile):
+def test_components_against_all_pairs(spark, tile):
     rng = random.Random(tile)
-    fps = [0, (1 << 64) - 1, 7]
-    for _ in range(20):
-        x = rng.getrandbits(64)
-        fps.append(x)
+    words = ["".join(rng.choices("abcdefghij", k=6)) for _ in range(2000)]
+    texts = ["", None, "one", "one two"]
+    for _ in range(15):
+        own = rng.choices(words, k=150)
+        texts.append(" ".join(own))
         for _ in range(rng.randint(0, 4)):
-            for b in rng.sample(range(64), rng.randint(0, 3)):
-                x ^= 1 << b
-            fps.append(x)
-    fps = list(dict.fromkeys(fps))
-    signed = [int(np.uint64(f).view(np.int64)) for f in fps]
-    df = spark.createDataFrame([(s, s, int(f).to_bytes(8, "little")) for s, f in zip(signed, fps)], "cid long, fp long, code binary")
-    roots = {r.node: r.root for r in components(simhash.linked(df, 3, tile=tile)).collect()}
-    want = brute_components(fps, 3)
-    groups, brute = collections.defaultdict(set), collections.defaultdict(set)
-    for i, s in enumerate(signed):
-        groups[roots.get(s, s)].add(s)
-        brute[want[i]].add(s)
-    assert sorted(map(sorted, groups.values())) == sorted(map(sorted, brute.values()))
+            own = own[:]
+            own[rng.randrange(150)] = rng.choice(words)
+            texts.append(" ".join(own))
+    rows = [(i, t) for i, t in enumerate(texts)] + [(500 + i, rng.choice(texts)) for i in range(10)]
+    rng.shuffle(rows)
+    fps = [brute_fingerprint(t) for _, t in rows]
+    least: dict = {}
+    roots = brute_components(fps, 3)
+    for (i, _), r in zip(rows, roots, strict=True):
+        least[r] = min(i, least.get(r, i))
+    assert any(0 < (a ^ b).bit_count() <= 3 for a in fps for b in fps)
+    got = simhash.simhash_components(spark.createDataFrame(rows, "doc_id long, text string"), tile=tile).collect()
+    assert {r.doc_id: (r.fingerprint, r.component_id) for r in got} == {i: (f"{f:016x}", least[r]) for (i, _), f, r in zip(rows, fps, roots, strict=True)}
+
+
+def jaccard_roots(texts):
+    """The first text of the group of each, by all pairs of five-word shingle sets at 0.8."""
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in texts]
+    root = list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    return [find(i) for i in range(len(texts))]
+
+
+@pytest.mark.parametrize("block", [3, 8, 512])
+def test_near_dedup_in_blocks_of_any_size_against_all_pairs(spark, block):
+    """One large group of near copies, a chain whose ends are far apart, and texts just below the threshold."""
+    rng = random.Random(5)
+    words = ["".join(rng.choices("abcdefghij", k=6)) for _ in range(5000)]
+    base = rng.choices(words, k=90)
+    texts = [" ".join(base[:k] + [w] + base[k + 1 :]) for k, w in zip(range(2, 88, 2), words, strict=False)]
+    chain = rng.choices(words, k=70)
+    for _ in range(25):
+        chain = chain[3:] + rng.choices(words, k=3)
+        texts.append(" ".join(chain))
+    for c in range(4, 16):
+        own = rng.choices(words, k=64)
+        texts += [" ".join(own), " ".join(own[: 64 - c] + rng.choices(words, k=c))]
+    got = simhash.one_per_group(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), block=block).collect()
+    assert sorted(r.doc_id for r in got) == sorted(set(jaccard_roots(texts)))
 
 
 def test_simhash_table(docs, no_docs):
@@ -291,3 +328,53 @@ def test_whole_verdict_of_the_quality_query(spark, sf):
         parts = [raw[a:b] for a, b in zip(cuts, [*cuts[1:], len(raw)], strict=True)] if cuts else []
         want[doc_id] = not (n < 50 or 100 * repeated > 50 * n) and fits(raw) and sum(len(p) for p in parts if not fits(p)) <= 0.3 * len(raw)
     assert {r.doc_id: r.kept for r in queries.op6_quality_rules(spark, sf).collect()} == want
+
+
+def sourced_targets(rows):
+    """Targets by source of (source, size) rows, filled round by round."""
+    sizes = collections.Counter()
+    for source, size in rows:
+        sizes[source] += size
+    names = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(names)}
+    left, target, free = 1.5 * sum(sizes.values()), {}, set(names)
+    while free:
+        level = left / sum(weight[s] for s in free)
+        over = {s for s in free if level * weight[s] > 2 * sizes[s]}
+        if not over:
+            target |= {s: level * weight[s] for s in free}
+            break
+        for s in over:
+            target[s] = 2 * sizes[s]
+            left -= target[s]
+        free -= over
+    return target
+
+
+def test_repeats_meet_targets_with_null_and_equal_ids(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "PIECE", 50)
+    rng = random.Random(2)
+    rows = [(None, " ".join(["w"] * rng.randrange(1, 40)), "en", "nulls", 1) for _ in range(3000)] + [(7, " ".join(["x"] * rng.randrange(1, 60)) + f" {i}", "en", "equal", 2) for i in range(1000)]
+    rows += [(i, " ".join(["y"] * rng.randrange(1, 30)), None, None, 3) for i in range(500)] + [(None, "the same row again", "en", "same", 4)] * 700 + [(None, None, None, "nulls", None)] * 20 + [(9, "", "en", "equal", 0)] * 3
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, b long")
+    want = sourced_targets([(r[3], len((r[1] or "").split())) for r in rows])
+    got = mixing.repeated(df).collect()
+    words, most = collections.Counter(), collections.Counter()
+    for r in got:
+        words[r.source] += len((r.text or "").split())
+    for r in rows:
+        most[r[3]] = max(most[r[3]], len((r[1] or "").split()))
+    assert all(abs(words[s] - want[s]) <= most[s] for s in want), (words, want)
+    before, after = collections.Counter(rows), collections.Counter(tuple(r) for r in got)
+    assert set(after) <= set(before) and all(after[r] == n for r, n in before.items() if not (r[1] or "").split())
+    assert all(after[r] <= 2 * n for r, n in before.items())
+    assert collections.Counter(tuple(r) for r in mixing.repeated(df.repartition(7)).collect()) == after
+    # the same rows through the query's operator
+    taken = collections.Counter()
+    mixed = mixing.mix(df).collect()
+    assert len(mixed) == len(rows) and all(0 <= r.taken <= 2 * r.size for r in mixed)
+    for r in mixed:
+        taken[r.source_size] += r.taken
+    assert all(abs(taken[r.source_size] - r.target) <= 1 for r in mixed)
+    assert sorted(map(str, mixed)) == sorted(map(str, mixing.mix(df.repartition(3)).collect()))
+    assert mixing.repeated(df.limit(0)).count() == 0
