@@ -143,12 +143,12 @@ def search_all(items: DataFrame, column: str, terms: list[str]) -> DataFrame:
 
 
 def search_by_vendor(models: DataFrame, terms: list[str], most_price: float | None = None) -> DataFrame:
-    """vendor, models (names, cheapest first) of models (vendor, name, price) whose vendor and name hold every term and that cost no more than given."""
+    """vendor, place, model (cheapest first, then by name) of models (vendor, name, price) whose vendor and name hold every term and that cost no more than given."""
     found = search_all(models.withColumn("__text", F.concat_ws(" ", "name", "vendor")), "__text", terms)
     if most_price is not None:
         found = found.where(F.col("price") <= most_price)
-    rows = F.array_sort(F.collect_list(F.struct("price", "name")))  # a catalogue's models of one vendor
-    return found.groupBy("vendor").agg(F.array_join(F.transform(rows, lambda r: r["name"]), ",").alias("models"))
+    place = F.row_number().over(W.partitionBy("vendor").orderBy("price", "name"))
+    return found.select("vendor", place.alias("place"), F.col("name").alias("model"))
 
 
 def top_per_group(df: DataFrame, group: str, order: list, most: int) -> DataFrame:

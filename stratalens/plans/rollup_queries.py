@@ -16,18 +16,23 @@ READS = "SELECT concat('VAR', CAST(l_partkey % 60 AS STRING)) AS name, concat('f
 
 @query("a6_env_rollup", f"""
   WITH r AS ({READS}), a AS (SELECT name, access, count(*) AS n, min((file, line)) AS first FROM r GROUP BY name, access), t AS (SELECT name, sum(n) AS total FROM a GROUP BY name),
-  b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY n DESC, first) AS k FROM a) WHERE k = 1), d AS (SELECT name, string_agg(DISTINCT "default", ',' ORDER BY "default") AS defaults FROM r WHERE "default" IS NOT NULL GROUP BY name)
-  SELECT name, CAST(total AS BIGINT) AS n, coalesce(defaults, '') AS defaults, CASE WHEN b.n >= 0.75 * total THEN access END AS primary_access FROM b JOIN t USING (name) LEFT JOIN d USING (name)""")
+  b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY n DESC, first) AS k FROM a) WHERE k = 1), d AS (SELECT name, count(DISTINCT "default") AS n_defaults FROM r GROUP BY name)
+  SELECT name, CAST(total AS BIGINT) AS n, coalesce(n_defaults, 0) AS n_defaults, CASE WHEN b.n >= 0.75 * total THEN access END AS primary_access FROM b JOIN t USING (name) LEFT JOIN d USING (name)""")
 def env(spark, sf):
     return R.env_rollup(view(spark, sf, READS.replace('"default"', "`default`")))
 
 
+@query("a6_env_defaults", f'SELECT name, "default", count(*) AS n FROM ({READS}) WHERE "default" IS NOT NULL GROUP BY name, "default"')
+def env_default_rows(spark, sf):
+    return R.env_defaults(view(spark, sf, READS.replace('"default"', "`default`")))
+
+
 #: line items as an order's findings, files, vulnerabilities and cycles
 RISKS = """SELECT l_orderkey AS project, CASE WHEN l_quantity > 44 THEN 'secret' WHEN l_quantity > 36 THEN 'broken-import' WHEN l_quantity > 32 THEN 'parse-error' WHEN l_quantity > 24 THEN 'large-file' ELSE 'style' END AS category,
   CASE WHEN l_linenumber = 2 THEN 'unscanned-import' ELSE 'rule' END AS rule, CASE WHEN l_discount < 0.03 THEN 'low' WHEN l_discount < 0.05 THEN 'info' ELSE 'high' END AS severity, CASE WHEN l_linenumber <> 5 THEN concat('f', CAST(l_partkey % 2 AS STRING)) END AS file FROM lineitem"""
 PROJECT_FILES = "SELECT l_orderkey AS project, CASE WHEN l_returnflag = 'R' THEN 'stale' ELSE 'fresh' END AS status, CAST(l_quantity * 3 AS BIGINT) AS todos FROM lineitem"
-VULNERABLE = "SELECT l_orderkey AS project, CASE CAST(l_quantity AS BIGINT) % 7 WHEN 0 THEN 'critical' WHEN 1 THEN 'high' WHEN 2 THEN 'medium' WHEN 3 THEN 'low' WHEN 4 THEN 'info' ELSE 'unknown' END AS severity, CASE WHEN l_linestatus = 'O' THEN 'direct' WHEN l_linenumber = 1 THEN NULL ELSE 'dev' END AS scope FROM lineitem WHERE l_tax > 0.03"
-CYCLES = "SELECT l_orderkey AS project, l_linenumber AS cycle FROM lineitem WHERE l_tax < 0.02"
+VULNERABLE = "SELECT l_orderkey AS project, CASE CAST(l_quantity AS BIGINT) % 7 WHEN 0 THEN 'critical' WHEN 1 THEN 'high' WHEN 2 THEN 'medium' WHEN 3 THEN 'low' WHEN 4 THEN 'info' ELSE 'unknown' END AS severity, CASE WHEN l_linestatus = 'O' THEN 'direct' WHEN l_linenumber = 1 THEN NULL ELSE 'dev' END AS scope FROM lineitem"
+CYCLES = "SELECT DISTINCT l_orderkey AS project, l_suppkey AS cycle FROM lineitem"
 
 
 @query("a8_health", f"""
@@ -287,6 +292,6 @@ def review_tokens(spark, sf):
     return R.review_tokens(view(spark, sf, NODES).select(F.col("id").alias("path"), "tokens"))
 
 
-@query("v19_vendor_groups", "SELECT p_brand AS vendor, string_agg(p_name, ',' ORDER BY p_retailprice, p_name) AS models FROM part WHERE contains(lower(concat(p_name, ' ', p_brand)), 'brand') AND contains(lower(concat(p_name, ' ', p_brand)), 'l') AND p_retailprice <= 1500 GROUP BY p_brand")
+@query("v19_vendor_groups", "SELECT p_brand AS vendor, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice, p_name) AS place, p_name AS model FROM part WHERE contains(lower(concat(p_name, ' ', p_brand)), 'brand') AND contains(lower(concat(p_name, ' ', p_brand)), 'l') AND p_retailprice <= 1500")
 def vendors(spark, sf):
     return T.search_by_vendor(view(spark, sf, "SELECT p_brand AS vendor, p_name AS name, p_retailprice AS price FROM part"), ["BRAND", "l"], 1500)
