@@ -3,7 +3,8 @@
 Traversals go level by level: one join of the frontier with the edges, an anti join with
 what was visited, and a written cut, so the work of a level follows its frontier and the
 lineage stays short.  Everything that is filtered is filtered on the edges before the
-loop.  Hubs are left to adaptive skew handling; nothing is gathered.
+loop.  Edges of hubs are dealt over several tasks in traversals and ranks, else left to adaptive skew
+handling; nothing is gathered.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from stratalens.functions.scalar import confidence_rank, glob_matches, is_source_path, is_test_or_example_path, round4
+from stratalens.joins import hot_keys, spread_join
 from stratalens.joins import numbered as in_order
 from stratalens.storage import cut
 
@@ -39,14 +41,21 @@ def steps(edges: DataFrame, direction: str) -> DataFrame:
     return {"out": out, "in": back, "both": out.unionAll(back)}[direction].distinct()
 
 
+def _hubs(pairs: DataFrame, key: str) -> list[tuple]:
+    """The nodes with more than a thousandth of all pairs, whose joins are dealt over several tasks."""
+    sizes = pairs.groupBy(key).agg(F.count("*").alias("n"))
+    return hot_keys(sizes, key, pairs.count())
+
+
 def reach(edges: DataFrame, seeds: DataFrame, direction: str = "out", depth: int | None = None) -> DataFrame:
     """id, hops of all nodes within `depth` steps of the seeds (id), seeds at 0."""
     pairs = cut(steps(edges, direction), "reach-pairs")
+    hot = _hubs(pairs, "a")
     seen = frontier = cut(seeds.select("id").distinct().withColumn("hops", F.lit(0)), "reach")
     level = 0
     while depth is None or level < depth:
         level += 1
-        found = frontier.select(F.col("id").alias("a")).join(pairs, "a").select(F.col("b").alias("id")).distinct()
+        found = spread_join(pairs, frontier.select(F.col("id").alias("a")), "a", hot).select(F.col("b").alias("id")).distinct()
         frontier = cut(found.join(seen, "id", "left_anti").withColumn("hops", F.lit(level)), "reach")
         if frontier.isEmpty():
             break
@@ -257,9 +266,11 @@ def pagerank(nodes: DataFrame, edges: DataFrame, iterations: int = 30, damping:
     n = base.count()
     if not n:
         return base.select("id", F.lit(0.0).alias("importance"))
+    hot = _hubs(out, "src")
     rank = base.withColumn("r", F.lit(1.0 / n))
     for k in range(iterations):
-        sent = rank.where("deg is not null").select(F.col("id").alias("src"), (F.col("r") / F.col("deg")).alias("x")).join(out, "src").groupBy(F.col("dst").alias("id")).agg(F.sum("x").alias("got"))
+        share = rank.where("deg is not null").select(F.col("id").alias("src"), (F.col("r") / F.col("deg")).alias("x"))
+        sent = spread_join(out, share, "src", hot).groupBy(F.col("dst").alias("id")).agg(F.sum("x").alias("got"))
         dangling = rank.agg(F.coalesce(F.sum(F.when(F.col("deg").isNull(), F.col("r"))), F.lit(0.0)).alias("loose"))
         rank = base.join(sent, "id", "left").join(F.broadcast(dangling)).select("id", "deg", (F.lit((1 - damping) / n) + damping * (F.coalesce("got", F.lit(0.0)) + F.col("loose") / n)).alias("r"))
         if k % 3 == 2 or k == iterations - 1:

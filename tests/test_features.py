@@ -284,3 +284,16 @@ def test_failed_write_leaves_the_old_snapshot(spark, tmp_path):
     assert [r.name for r in snapshots.snapshots(spark, root).collect()] == ["s3"] and snapshots.read_snapshot(spark, root, "t", kind).count() == 1
     marked = snapshots.with_stale(good, spark.createDataFrame([("b", 9), ("c", 3)], kind), "k").collect()
     assert sorted(map(tuple, marked)) == [("a", 1, False), ("b", 2, False), ("c", 3, True)]
+
+
+def test_a_hub_is_dealt_over_tasks(spark):
+    """A star of half of all edges: what it reaches is whole, and its edges are spread before the join."""
+    rng = random.Random(3)
+    edges = [("hub", f"n{i}") for i in range(3000)] + [(f"n{rng.randrange(3000)}", f"n{rng.randrange(3000)}") for _ in range(3000)]
+    e = spark.createDataFrame(edges, "src string, dst string")
+    hot = G._hubs(G.steps(e, "out"), "a")
+    assert [k for k, _ in hot] == ["hub"] and hot[0][1] >= 40
+    seeds = spark.createDataFrame([("hub",)], "id string")
+    assert G.reach(e, seeds, "out", 1).where("hops = 1").count() == 3000
+    ranks = {r.id: r.importance for r in G.pagerank(e.selectExpr("explode(array(src, dst)) as id").distinct(), e).collect()}
+    assert len(ranks) == 3001 and max(ranks.values()) == 1.0
