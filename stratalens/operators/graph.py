@@ -213,18 +213,19 @@ def orphans(nodes: DataFrame, edges: DataFrame, package_dirs: DataFrame | None =
 
 
 def _least_reaching(pairs: DataFrame) -> DataFrame:
-    """id, c: the least id from which a path leads to each node of `pairs` (a, b), itself included.
+    """id, way, c: the least id from which a path of that way leads to each node of `pairs` (a, b, way), itself included.
 
     What reaches a node's present c reaches the node, so every round also takes c's own c: a
-    chain is done in rounds that grow with the logarithm of its length where ids allow it.
+    chain is done in rounds that grow with the logarithm of its length where ids allow it.  All ways go
+    in the same rounds.
     """
-    colour = cut(pairs.select(F.col("a").alias("id")).unionAll(pairs.select(F.col("b").alias("id"))).distinct().withColumn("c", F.col("id")), "scc-colour")
+    colour = cut(pairs.select(F.col("a").alias("id"), "way").unionAll(pairs.select(F.col("b").alias("id"), "way")).distinct().withColumn("c", F.col("id")), "scc-colour")
     while True:
-        best = pairs.join(colour.withColumnRenamed("id", "a"), "a").groupBy(F.col("b").alias("id")).agg(F.min("c").alias("m"))
-        step = colour.join(best, "id", "left").select("id", "c", F.least("c", F.coalesce("m", "c")).alias("n"))
-        jump = step.join(colour.select(F.col("id").alias("n"), F.col("c").alias("further")), "n")
-        nxt = cut(jump.select("id", F.least("n", "further").alias("c"), (F.least("n", "further") < F.col("c")).alias("moved")), "scc-colour")
-        colour = nxt.select("id", "c")
+        best = pairs.join(colour.withColumnRenamed("id", "a"), ["a", "way"]).groupBy(F.col("b").alias("id"), "way").agg(F.min("c").alias("m"))
+        step = colour.join(best, ["id", "way"], "left").select("id", "way", "c", F.least("c", F.coalesce("m", "c")).alias("n"))
+        jump = step.join(colour.select(F.col("id").alias("n"), "way", F.col("c").alias("further")), ["n", "way"])
+        nxt = cut(jump.select("id", "way", F.least("n", "further").alias("c"), (F.least("n", "further") < F.col("c")).alias("moved")), "scc-colour")
+        colour = nxt.select("id", "way", "c")
         if nxt.where("moved").isEmpty():
             return colour
 
@@ -240,8 +241,9 @@ def strongly_connected(edges: DataFrame, self_loops: bool = False) -> DataFrame:
     pairs = cut(all_pairs.where("a <> b"), "scc-pairs")
     done = None
     while not pairs.isEmpty():
-        back = pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))
-        named = cut(_least_reaching(pairs).join(_least_reaching(back).withColumnRenamed("c", "d"), "id"), "scc-named")
+        both = pairs.select("a", "b", F.lit(0).alias("way")).unionAll(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), F.lit(1).alias("way")))
+        colour = _least_reaching(both)
+        named = cut(colour.where("way = 0").select("id", "c").join(colour.where("way = 1").select("id", F.col("c").alias("d")), "id"), "scc-named")
         members = named.where("c = d").select(F.col("c").alias("scc"), "id")
         done = members if done is None else done.unionAll(members)
         left = named.where("c <> d")
