@@ -1,6 +1,7 @@
 """Token ids, packing and directly addressable files: exact round trips."""
 
 import collections
+import uuid
 import zlib
 
 import numpy as np
@@ -59,7 +60,7 @@ def test_dac_random_access(ids, data):
 def test_dac_files_round_trip(spark, docs, no_docs):
     want = plain("word_bpe_49k.json")
     rows = sorted(docs.collect(), key=lambda r: (r.doc_id is not None, r.doc_id or 0, r.text or ""))
-    path = f"{shared_dir(spark)}/dac-test"
+    path = f"{shared_dir(spark)}/dac-test-{uuid.uuid4().hex}"
     dac.write_dac(docs, path, public_tokenizers.path("word_bpe_49k.json"))
     got = sorted(dac.dac_digest(dac.read_dac(spark, path)).collect(), key=lambda r: r.start)
     at = 0
