@@ -38,16 +38,16 @@ def tree_rollup(files: DataFrame, measures: Sequence[str]) -> DataFrame:
 
 
 def env_rollup(reads: DataFrame, least_share: float = 0.75) -> DataFrame:
-    """name, n, n_defaults, primary_access of environment reads (name, file, line, access, default).
+    """name, n, defaults (distinct ones, sorted, joined by commas), n_defaults, primary_access of environment reads (name, file, line, access, default).
 
     The primary access is the most frequent one if it has at least `least_share` of the
     reads, else null; of equally frequent ones the one read first by (file, line).
     """
     by_access = reads.groupBy("name", "access").agg(F.count("*").alias("n"), F.min(F.struct("file", "line")).alias("first"))
     best = by_access.groupBy("name").agg(F.sum("n").alias("total"), F.min(F.struct((-F.col("n")).alias("neg"), "first", "access")).alias("b"))
-    defaults = env_defaults(reads).groupBy("name").agg(F.count("*").alias("n_defaults"))
+    defaults = env_defaults(reads).groupBy("name").agg(F.count("*").alias("n_defaults"), F.array_join(F.sort_array(F.collect_list("default")), ",").alias("defaults"))
     primary = F.when(-F.col("b.neg") >= least_share * F.col("total"), F.col("b.access"))
-    return best.join(defaults, "name", "left").select("name", F.col("total").alias("n"), F.coalesce("n_defaults", F.lit(0)).alias("n_defaults"), primary.alias("primary_access"))
+    return best.join(defaults, "name", "left").select("name", F.col("total").alias("n"), F.coalesce("defaults", F.lit("")).alias("defaults"), F.coalesce("n_defaults", F.lit(0)).alias("n_defaults"), primary.alias("primary_access"))
 
 
 def env_defaults(reads: DataFrame) -> DataFrame:

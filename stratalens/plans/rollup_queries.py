@@ -16,8 +16,8 @@ READS = "SELECT concat('VAR', CAST(l_partkey % 60 AS STRING)) AS name, concat('f
 
 @query("a6_env_rollup", f"""
   WITH r AS ({READS}), a AS (SELECT name, access, count(*) AS n, min((file, line)) AS first FROM r GROUP BY name, access), t AS (SELECT name, sum(n) AS total FROM a GROUP BY name),
-  b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY n DESC, first) AS k FROM a) WHERE k = 1), d AS (SELECT name, count(DISTINCT "default") AS n_defaults FROM r GROUP BY name)
-  SELECT name, CAST(total AS BIGINT) AS n, coalesce(n_defaults, 0) AS n_defaults, CASE WHEN b.n >= 0.75 * total THEN access END AS primary_access FROM b JOIN t USING (name) LEFT JOIN d USING (name)""")
+  b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY n DESC, first) AS k FROM a) WHERE k = 1), d AS (SELECT name, string_agg(DISTINCT "default", ',' ORDER BY "default") AS defaults, count(DISTINCT "default") AS n_defaults FROM r WHERE "default" IS NOT NULL GROUP BY name)
+  SELECT name, CAST(total AS BIGINT) AS n, coalesce(defaults, '') AS defaults, coalesce(n_defaults, 0) AS n_defaults, CASE WHEN b.n >= 0.75 * total THEN access END AS primary_access FROM b JOIN t USING (name) LEFT JOIN d USING (name)""")
 def env(spark, sf):
     return R.env_rollup(view(spark, sf, READS.replace('"default"', "`default`")))
 
