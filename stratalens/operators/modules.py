@@ -76,13 +76,13 @@ def go_targets(imports: DataFrame, files: DataFrame, modules: DataFrame) -> Data
     """file, specifier, target of Go imports under a module of the project.
 
     modules: (module, dir, place).  The first module that is a prefix and whose folder has a
-    file that is no test gives the folder's first file.
+    file that is no test gives the folder's first file.  Joins sort, as in `python_targets`.
     """
     parts = F.split("specifier", "/")
     tried = imports.select("file", "specifier").distinct().select("file", "specifier", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.struct(F.array_join(F.slice(parts, F.lit(1), n), "/").alias("module"), F.array_join(F.slice(parts, n + 1, F.size(parts)), "/").alias("rest")))).alias("t")).select("file", "specifier", "t.*")
     first = files.where(F.col("path").endswith(".go") & ~F.col("path").endswith("_test.go")).groupBy(dirname(F.col("path")).alias("folder")).agg(F.min("path").alias("target"))
     folder = F.concat_ws("/", F.filter(F.array("dir", "rest"), lambda x: x != ""))
-    return tried.join(modules, "module").withColumn("folder", folder).join(first, "folder").groupBy("file", "specifier").agg(F.min_by("target", "place").alias("target"))
+    return tried.join(modules.hint("merge"), "module").withColumn("folder", folder).join(first.hint("merge"), "folder").groupBy("file", "specifier").agg(F.min_by("target", "place").alias("target"))
 
 
 def exports(symbols: DataFrame, reexports: DataFrame) -> DataFrame:

@@ -1,5 +1,6 @@
 """Shapes that keep work, memory and the driver's share in proportion as tables grow."""
 
+from stratalens.operators import modules as M
 from stratalens.operators import rollup as R
 
 
@@ -7,6 +8,14 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def test_go_targets_broadcast_nothing(spark):
+    i = spark.createDataFrame([("m/main.go", "x.com/m/a")], "file string, specifier string")
+    f = spark.createDataFrame([("m/a/b.go",)], "path string")
+    m = spark.createDataFrame([("x.com/m", "m", 0)], "module string, dir string, place int")
+    got = M.go_targets(i, f, m)
+    assert "Broadcast" not in plan(got) and [r.target for r in got.collect()] == ["m/a/b.go"]
+
+
 def test_env_rollup_lists_its_defaults(spark):
     rows = [("A", "f", 1, "required", "2"), ("A", "f", 2, "required", "10"), ("A", "g", 1, "required", "2"), ("B", "f", 3, "optional", None)]
     got = R.env_rollup(spark.createDataFrame(rows, "name string, file string, line int, access string, default string")).collect()
