@@ -26,7 +26,7 @@ def _search_dirs(dirs: DataFrame, files: DataFrame) -> DataFrame:
     package's own folders; a folder without __init__.py inside a package keeps itself first.
     """
     packages = files.where(F.col("path").endswith("/__init__.py")).select(dirname(F.col("path")).alias("up"), F.lit(True).alias("is_package")).distinct()
-    rows = dirs.select("dir", F.posexplode(_upward(F.col("dir"))).alias("pos", "up")).join(packages, "up", "left")
+    rows = dirs.select("dir", F.posexplode(_upward(F.col("dir"))).alias("pos", "up")).join(packages.hint("merge"), "up", "left")
     # one entry a level of the path
     chain = F.array_sort(F.collect_list(F.struct("pos", "up", F.coalesce("is_package", F.lit(False)).alias("is_package"))))
     found = rows.groupBy("dir").agg(chain.alias("chain")).withColumn("ups", F.transform("chain", lambda c: c["up"])).withColumn("flags", F.transform("chain", lambda c: c["is_package"]))
@@ -45,7 +45,8 @@ def python_targets(imports: DataFrame, files: DataFrame, standard: Sequence[str]
     the first that gives a file wins: a module, a package, else the first file below a folder
     of that name, unless the importer lies in it.  A name that only a folder around the
     importer has stays without a target; any other goes to the shortest path that ends in it.
-    Names of the standard library have none.  Candidates meet files by equality joins.
+    Names of the standard library have none.  Candidates meet files by equality joins, by sorting:
+    built and exploded paths are far larger than the size that a plan expects, so none may be broadcast.
     """
     known = sorted(sys.stdlib_module_names if standard is None else standard)
     wanted = imports.select("file", "specifier").distinct().withColumn("dir", dirname(F.col("file"))).where(~F.split("specifier", r"\.")[0].isin(*known))
@@ -55,12 +56,12 @@ def python_targets(imports: DataFrame, files: DataFrame, standard: Sequence[str]
     parts = F.when(F.col("dir") == "", F.expr("cast(array() as array<string>)")).otherwise(F.split("dir", "/"))
     base = F.concat_ws("/", F.filter(F.array(F.array_join(F.slice(parts, F.lit(1), F.greatest(F.lit(0), F.size(parts) - dots + 1)), "/"), inside), lambda x: x != ""))
     relative = wanted.where(dots > 0).select("file", "specifier", "dir", F.lit(0).alias("pos"), base.alias("base"))
-    absolute = wanted.where((dots == 0) & (inside != "")).join(_search_dirs(wanted.select("dir").distinct(), files), "dir").select("file", "specifier", "dir", F.posexplode("search").alias("pos", "at"), inside.alias("name"))
+    absolute = wanted.where((dots == 0) & (inside != "")).join(_search_dirs(wanted.select("dir").distinct(), files).hint("merge"), "dir").select("file", "specifier", "dir", F.posexplode("search").alias("pos", "at"), inside.alias("name"))
     tried = relative.unionByName(absolute.select("file", "specifier", "dir", "pos", F.when(F.col("at") == "", F.col("name")).otherwise(F.concat_ws("/", "at", "name")).alias("base")))
     module = python.select(F.regexp_replace("path", r"\.py$", "").alias("base"), F.col("path").alias("m"))
     package = python.where(F.col("path").endswith("/__init__.py")).select(dirname(F.col("path")).alias("base"), F.col("path").alias("p"))
     below = python.select(F.explode(_upward(dirname(F.col("path")))).alias("base"), "path").where("base <> ''").groupBy("base").agg(F.min("path").alias("u"))
-    met = tried.join(module, "base", "left").join(package, "base", "left").join(below, "base", "left")
+    met = tried.join(module.hint("merge"), "base", "left").join(package.hint("merge"), "base", "left").join(below.hint("merge"), "base", "left")
     around = (F.col("base") == "") | (F.col("base") == F.col("dir")) | F.startswith(F.col("dir"), F.concat("base", F.lit("/")))
     target = F.coalesce("m", "p", F.when(~around, F.col("u")))
     best = met.withColumn("target", target).groupBy("file", "specifier").agg(F.min_by("target", F.when(F.col("target").isNotNull(), F.col("pos"))).alias("target"), F.max(around & F.col("target").isNull()).alias("near"))
@@ -68,7 +69,7 @@ def python_targets(imports: DataFrame, files: DataFrame, standard: Sequence[str]
     words = F.split(stem, "/")
     ends = python.select("path", F.explode(F.transform(F.sequence(F.lit(1), F.size(words)), lambda n: F.array_join(F.slice(words, n, F.size(words)), "/"))).alias("name"))
     far = ends.groupBy("name").agg(F.min(F.struct(F.length("path").alias("n"), "path"))["path"].alias("far"))
-    out = best.withColumn("name", F.when(~F.col("specifier").startswith("."), inside)).join(far, "name", "left")
+    out = best.withColumn("name", F.when(~F.col("specifier").startswith("."), inside)).join(far.hint("merge"), "name", "left")
     return out.select("file", "specifier", F.coalesce("target", F.when(~F.col("near"), F.col("far"))).alias("target")).where("target is not null")
 
 

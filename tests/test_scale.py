@@ -16,6 +16,13 @@ def test_go_targets_broadcast_nothing(spark):
     assert "Broadcast" not in plan(got) and [r.target for r in got.collect()] == ["m/a/b.go"]
 
 
+def test_python_targets_broadcast_nothing(spark):
+    i = spark.createDataFrame([("p/a.py", ".b"), ("p/a.py", "p.b")], "file string, specifier string")
+    f = spark.createDataFrame([("p/a.py",), ("p/b.py",), ("p/__init__.py",)], "path string")
+    got = M.python_targets(i, f)
+    assert "Broadcast" not in plan(got) and {r.target for r in got.collect()} == {"p/b.py"}
+
+
 def test_env_rollup_lists_its_defaults(spark):
     rows = [("A", "f", 1, "required", "2"), ("A", "f", 2, "required", "10"), ("A", "g", 1, "required", "2"), ("B", "f", 3, "optional", None)]
     got = R.env_rollup(spark.createDataFrame(rows, "name string, file string, line int, access string, default string")).collect()
