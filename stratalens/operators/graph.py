@@ -212,6 +212,26 @@ def orphans(nodes: DataFrame, edges: DataFrame, package_dirs: DataFrame | None =
     return left.join(edges.select(F.col("dst").alias("id")), "id", "left_anti").join(edges.select(F.col("src").alias("id")), "id", "left_semi")
 
 
+def _numbered_ends(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """`pairs` (a, b) with both ends as numbers in the order of their ids, and (id, n) of the ends: loops then move numbers, not ids."""
+    ends = pairs.select(F.col("a").alias("id")).unionAll(pairs.select(F.col("b").alias("id"))).distinct()
+    ids = cut(in_order(ends, ["id"], "n").select("id", "n"), "graph-ids")
+    a, b = (ids.select(F.col("id").alias(x), F.col("n").alias(f"n{x}")).hint("merge") for x in "ab")
+    return cut(pairs.join(a, "a").join(b, "b").select(F.col("na").alias("a"), F.col("nb").alias("b")), "graph-pairs"), ids
+
+
+def _trimmed(pairs: DataFrame) -> DataFrame:
+    """`pairs` without nodes that lack a way in or a way out, round by round while a fiftieth goes; what is left of these does no harm."""
+    n = pairs.count()
+    while n:
+        into, out = pairs.select(F.col("b").alias("a")).distinct().hint("merge"), pairs.select(F.col("a").alias("b")).distinct().hint("merge")
+        pairs = cut(pairs.join(into, "a", "left_semi").join(out, "b", "left_semi"), "scc-pairs")
+        was, n = n, pairs.count()
+        if (was - n) * 50 < was:
+            break
+    return pairs
+
+
 def _least_reaching(pairs: DataFrame) -> DataFrame:
     """id, way, c: the least id from which a path of that way leads to each node of `pairs` (a, b, way), itself included.
 
@@ -219,40 +239,44 @@ def _least_reaching(pairs: DataFrame) -> DataFrame:
     chain is done in rounds that grow with the logarithm of its length where ids allow it.  All ways go
     in the same rounds.
     """
+    pairs = cut(pairs, "scc-ways")
     colour = cut(pairs.select(F.col("a").alias("id"), "way").unionAll(pairs.select(F.col("b").alias("id"), "way")).distinct().withColumn("c", F.col("id")), "scc-colour")
     while True:
-        best = pairs.join(colour.withColumnRenamed("id", "a"), ["a", "way"]).groupBy(F.col("b").alias("id"), "way").agg(F.min("c").alias("m"))
-        step = colour.join(best, ["id", "way"], "left").select("id", "way", "c", F.least("c", F.coalesce("m", "c")).alias("n"))
-        jump = step.join(colour.select(F.col("id").alias("n"), "way", F.col("c").alias("further")), ["n", "way"])
+        sent = pairs.join(colour.withColumnRenamed("id", "a").hint("merge"), ["a", "way"]).select(F.col("b").alias("id"), "way", "c", F.lit(None).cast(colour.schema["c"].dataType).alias("was"))
+        step = colour.select("id", "way", "c", F.col("c").alias("was")).unionAll(sent).groupBy("id", "way").agg(F.min("c").alias("n"), F.max("was").alias("c"))
+        jump = step.join(colour.select(F.col("id").alias("n"), "way", F.col("c").alias("further")).hint("merge"), ["n", "way"])
         nxt = cut(jump.select("id", "way", F.least("n", "further").alias("c"), (F.least("n", "further") < F.col("c")).alias("moved")), "scc-colour")
         colour = nxt.select("id", "way", "c")
         if nxt.where("moved").isEmpty():
             return colour
 
 
+def _components(pairs: DataFrame) -> DataFrame:
+    """scc, id of the strong components of more than one node over numbered `pairs`; see `strongly_connected`."""
+    pairs = _trimmed(pairs.where("a <> b"))
+    done = pairs.where(F.lit(False)).select(F.col("a").alias("scc"), F.col("b").alias("id"))
+    while not pairs.isEmpty():
+        both = pairs.select("a", "b", F.lit(0).alias("way")).unionAll(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), F.lit(1).alias("way")))
+        named = cut(_least_reaching(both).groupBy("id").agg(F.min(F.expr("if(way = 0, c, null)")).alias("c"), F.min(F.expr("if(way = 1, c, null)")).alias("d")), "scc-named")
+        done = done.unionAll(named.where("c = d").select(F.col("c").alias("scc"), "id"))
+        left = named.where("c <> d")
+        ends = [left.select(*[F.col(x).alias(y) for x, y in (("id", n), ("c", f"c{n}"), ("d", f"d{n}"))]).hint("merge") for n in "ab"]
+        pairs = _trimmed(cut(pairs.join(ends[0], "a").join(ends[1], "b").where("ca = cb and da = db").select("a", "b"), "scc-pairs"))
+    several = done.groupBy("scc").agg(F.count("*").alias("n")).where("n > 1")
+    return cut(done.join(several.select("scc").hint("merge"), "scc", "left_semi"), "scc")
+
+
 def strongly_connected(edges: DataFrame, self_loops: bool = False) -> DataFrame:
     """scc (least id), id for components of more than one node; with `self_loops` also single nodes with an edge to themselves.
 
-    Every node takes the least id that reaches it and the least it reaches.  Where the two
+    Nodes without a way in or out are in no cycle and go first.  Every node left takes the least id that reaches it and the least it reaches.  Where the two
     are one, it names the node's component.  Members of a component share both, so edges
     between nodes that differ in either go, and the rest goes round again.
     """
-    all_pairs = edges.select(F.col("src").alias("a"), F.col("dst").alias("b")).distinct()
-    pairs = cut(all_pairs.where("a <> b"), "scc-pairs")
-    done = None
-    while not pairs.isEmpty():
-        both = pairs.select("a", "b", F.lit(0).alias("way")).unionAll(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), F.lit(1).alias("way")))
-        colour = _least_reaching(both)
-        named = cut(colour.where("way = 0").select("id", "c").join(colour.where("way = 1").select("id", F.col("c").alias("d")), "id"), "scc-named")
-        members = named.where("c = d").select(F.col("c").alias("scc"), "id")
-        done = members if done is None else done.unionAll(members)
-        left = named.where("c <> d")
-        ends = [left.select(*[F.col(x).alias(y) for x, y in (("id", n), ("c", f"c{n}"), ("d", f"d{n}"))]) for n in "ab"]
-        pairs = cut(pairs.join(ends[0], "a").join(ends[1], "b").where("ca = cb and da = db").select("a", "b"), "scc-pairs")
-    if done is None:
-        done = all_pairs.where(F.lit(False)).select(F.col("a").alias("scc"), F.col("b").alias("id"))
-    several = done.groupBy("scc").agg(F.count("*").alias("n")).where("n > 1")
-    out = done.join(several.select("scc"), "scc", "left_semi")
+    all_pairs = cut(edges.select(F.col("src").alias("a"), F.col("dst").alias("b")).distinct(), "scc-all")
+    pairs, ids = _numbered_ends(all_pairs)
+    first = ids.select(F.col("id").alias("scc"), F.col("n").alias("least")).hint("merge")
+    out = _components(pairs).select(F.col("scc").alias("least"), F.col("id").alias("n")).join(ids.hint("merge"), "n").join(first, "least").select("scc", "id")
     if self_loops:
         loops = all_pairs.where("a = b").select(F.col("a").alias("scc"), F.col("b").alias("id"))
         out = out.unionAll(loops.join(out.select("id"), "id", "left_anti").select("scc", "id"))

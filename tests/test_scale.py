@@ -1,5 +1,6 @@
 """Shapes that keep work, memory and the driver's share in proportion as tables grow."""
 
+from stratalens.operators import graph as G
 from stratalens.operators import modules as M
 from stratalens.operators import rollup as R
 
@@ -8,6 +9,13 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def written(monkeypatch, module):
+    """Names and frames of the module's cuts, in order."""
+    seen, cut = [], module.cut
+    monkeypatch.setattr(module, "cut", lambda df, name: seen.append((name, df)) or cut(df, name))
+    return seen
+
+
 def test_go_targets_broadcast_nothing(spark):
     i = spark.createDataFrame([("m/main.go", "x.com/m/a")], "file string, specifier string")
     f = spark.createDataFrame([("m/a/b.go",)], "path string")
@@ -27,3 +35,17 @@ def test_env_rollup_lists_its_defaults(spark):
     rows = [("A", "f", 1, "required", "2"), ("A", "f", 2, "required", "10"), ("A", "g", 1, "required", "2"), ("B", "f", 3, "optional", None)]
     got = R.env_rollup(spark.createDataFrame(rows, "name string, file string, line int, access string, default string")).collect()
     assert {(r.name, r.n, r.defaults, r.n_defaults) for r in got} == {("A", 3, "10,2", 2), ("B", 1, "", 0)}
+
+
+def edges(spark, rows):
+    return spark.createDataFrame(rows, "src string, dst string")
+
+
+def test_components_move_numbers_and_drop_what_is_in_no_cycle(spark, monkeypatch):
+    rows = [(f"c{i}", f"c{(i + 1) % 5}") for i in range(5)] + [("a", "c0"), ("c2", "z"), ("z", "zz"), ("zz", "zz"), ("p", "q"), ("q", "p")]
+    seen = written(monkeypatch, G)
+    got = {(r.scc, r.id) for r in G.strongly_connected(edges(spark, rows)).collect()}
+    assert got == {("c0", f"c{i}") for i in range(5)} | {("p", "p"), ("p", "q")}
+    colours = [df for name, df in seen if name == "scc-colour"]
+    assert all(df.schema["c"].dataType.simpleString() == "bigint" for df in colours)
+    assert colours[0].select("id").distinct().count() == 7
