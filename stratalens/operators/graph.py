@@ -368,29 +368,69 @@ def heatmap_totals(cells: DataFrame, edges: DataFrame) -> DataFrame:
     return sums.join(F.broadcast(edges.agg(F.count("*").alias("total_edges"))))  # one row each
 
 
+def _closure(pairs: DataFrame, start: DataFrame) -> DataFrame:
+    """id, way of the nodes that paths over `pairs` (a, b, way) lead to from `start` (id), both ways in the same rounds, itself included.
+
+    A round drops the pairs into what it found, so its work shrinks.
+    """
+    ways = F.explode(F.array(F.lit(0), F.lit(1)))
+    frontier = found = cut(start.select("id", ways.alias("way")), "closure")
+    while not frontier.isEmpty():
+        pairs = cut(pairs.join(frontier.withColumnRenamed("id", "b").hint("merge"), ["b", "way"], "left_anti"), "closure-pairs")
+        frontier = cut(pairs.join(frontier.withColumnRenamed("id", "a").hint("merge"), ["a", "way"], "left_semi").select(F.col("b").alias("id"), "way").distinct(), "closure")
+        found = found.unionAll(frontier)
+    return cut(found, "closure-found")
+
+
 def reach_counts(edges: DataFrame, seeds: DataFrame, direction: str = "in", depth: int | None = None) -> DataFrame:
     """id, reached: how many nodes each seed (id) reaches within `depth` steps, itself left out; seeds that reach none have no row.
 
     A breadth-first search of 64 seeds at a time: seeds are numbered, and a node carries a bit a
     seed, in words of 64.  A level joins the bits that are new with the edges and combines them with those seen by
-    `bit_or` before the shuffle, so it moves at most nodes * seeds / 64 rows a side.  The result is exact.
+    `bit_or` before the shuffle.
+
+    Without a depth the largest strong component C goes first, as what one of its nodes reaches (D) all nodes that reach it (B) reach.  So a seed in
+    B reaches D and what it reaches outside D, and D is left by no edge; any other seed reaches nothing of B.  The search then runs
+    on the graph without D for the former and without B for the latter.  The result is exact; rows are at most nodes *
+    seeds / 64, which a deep graph without large components still comes near.
     """
-    pairs = cut(steps(edges, direction), "bits-pairs")
-    marks = in_order(seeds.select("id").distinct(), ["id"]).select("id", F.expr("number div 64").alias("word"), F.expr("cast(number % 64 as int)").alias("bit"))
-    marks = cut(marks, "bits-seeds")
-    seen = marks.select("word", "id", F.expr("shiftleft(1L, bit)").alias("bits")).withColumn("fresh", F.col("bits"))
+    pairs, ids = _numbered_ends(cut(steps(edges, direction), "bits-pairs"))
+    wanted = cut(seeds.select("id").distinct().join(ids.hint("merge"), "id").select("id", "n"), "bits-wanted")
+    if depth is None:
+        members = _components(pairs)
+        largest = members.groupBy("scc").agg(F.count("*").alias("size")).orderBy(F.desc("size"), "scc").limit(1)  # one row
+        core = members.join(F.broadcast(largest), "scc").select("id")
+        both = pairs.select("a", "b", F.lit(0).alias("way")).unionAll(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), F.lit(1).alias("way")))
+        near = _closure(both, core).groupBy("id").agg(F.count_if(F.col("way") == 0).alias("d"), F.count_if(F.col("way") == 1).alias("b"))
+        near = cut(near, "bits-near")
+        below = near.where("d > 0").count()
+        ends = [near.select(F.col("id").alias(x), F.col("d").alias(f"d{x}"), F.col("b").alias(f"b{x}")).hint("merge") for x in "ab"]
+        placed = pairs.join(ends[0], "a", "left").join(ends[1], "b", "left").na.fill(0, ["da", "db", "ba", "bb"])
+        # the two graphs are kept apart by the last bit of a node's number
+        parts = F.array_compact(F.array(F.when((F.col("da") == 0) & (F.col("db") == 0), 0), F.when((F.col("ba") == 0) & (F.col("bb") == 0), 1)))
+        pairs = cut(placed.select("a", "b", F.explode(parts).alias("part")).select((F.col("a") * 2 + F.col("part")).alias("a"), (F.col("b") * 2 + F.col("part")).alias("b")), "bits-pairs")
+        marked = wanted.join(near.withColumnRenamed("id", "n").hint("merge"), "n", "left").na.fill(0, ["d", "b"])
+        marked = marked.select("id", (F.col("n") * 2 + F.when(F.col("b") > 0, 0).otherwise(1)).alias("n"), F.when(F.col("b") > 0, F.lit(below)).otherwise(0).alias("base"), (F.expr("b > 0 and d > 0")).alias("core"))
+    else:
+        marked = wanted.select("id", "n", F.lit(0).alias("base"), F.lit(False).alias("core"))
+    marked = cut(marked, "bits-marked")
+    # the seeds of a graph stand next to each other; bits of the two never meet at one node
+    order = [F.col("n") % 2, F.col("n")] if depth is None else ["n"]
+    marks = cut(in_order(marked.where("not core").select("id", "n", "base"), order).select("id", "n", "base", F.expr("number div 64").alias("word"), F.expr("cast(number % 64 as int)").alias("bit")), "bits-seeds")
+    seen = marks.select("word", F.col("n").alias("id"), F.expr("shiftleft(1L, bit)").alias("bits")).withColumn("fresh", F.col("bits"))
     level = 0
     while depth is None or level < depth:
         level += 1
-        found = seen.where("fresh <> 0").select("word", F.col("id").alias("a"), "fresh").join(pairs, "a").select("word", F.col("b").alias("id"), F.lit(0).cast("long").alias("bits"), F.col("fresh").alias("found"))
+        found = seen.where("fresh <> 0").select("word", F.col("id").alias("a"), "fresh").join(pairs.hint("merge"), "a").select("word", F.col("b").alias("id"), F.lit(0).cast("long").alias("bits"), F.col("fresh").alias("found"))
         every = seen.select("word", "id", "bits", F.lit(0).cast("long").alias("found")).unionAll(found).groupBy("word", "id").agg(F.bit_or("bits").alias("old"), F.bit_or("found").alias("found"))
         seen = cut(every.select("word", "id", F.col("old").bitwiseOR(F.col("found")).alias("bits"), F.col("found").bitwiseAND(F.bitwise_not("old")).alias("fresh")), "bits-seen")
         if seen.where("fresh <> 0").isEmpty():
             break
     sums = seen.groupBy("word").agg(*[F.sum(F.expr(f"shiftrightunsigned(bits, {k}) & 1")).alias(f"n{k}") for k in range(64)])
-    counts = sums.select("word", F.posexplode(F.array(*[f"n{k}" for k in range(64)])).alias("bit", "n"))
+    counts = sums.select("word", F.posexplode(F.array(*[f"n{k}" for k in range(64)])).alias("bit", "count"))
     # a seed's own bit stands at itself
-    return marks.join(counts, ["word", "bit"]).where("n > 1").select("id", (F.col("n") - 1).alias("reached"))
+    searched = marks.join(counts.hint("merge"), ["word", "bit"]).select("id", (F.col("count") - 1 + F.col("base")).alias("reached"))
+    return searched.unionAll(marked.where("core").select("id", (F.col("base") - 1).alias("reached"))).where("reached > 0")
 
 
 def blast_radius(edges: DataFrame, changed: DataFrame, depth: int | None = None) -> DataFrame:

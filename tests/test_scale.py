@@ -1,5 +1,7 @@
 """Shapes that keep work, memory and the driver's share in proportion as tables grow."""
 
+from pyspark.sql import functions as F
+
 from stratalens.operators import graph as G
 from stratalens.operators import modules as M
 from stratalens.operators import rollup as R
@@ -49,3 +51,14 @@ def test_components_move_numbers_and_drop_what_is_in_no_cycle(spark, monkeypatch
     colours = [df for name, df in seen if name == "scc-colour"]
     assert all(df.schema["c"].dataType.simpleString() == "bigint" for df in colours)
     assert colours[0].select("id").distinct().count() == 7
+
+
+def test_reach_counts_search_around_the_largest_component(spark, monkeypatch):
+    n = 150
+    rows = [(f"c{i}", f"c{(i + 1) % n}") for i in range(n)] + [("a", "b"), ("b", "c0"), ("b", "x"), ("c3", "d"), ("d", "e"), ("x", "d"), ("x", "y")]
+    seen = written(monkeypatch, G)
+    e = edges(spark, rows)
+    nodes = e.select(F.col("src").alias("id")).union(e.select("dst")).distinct()
+    got = {r.id: r.reached for r in G.reach_counts(e, nodes, "out").collect()}
+    assert got == {f"c{i}": n + 1 for i in range(n)} | {"a": n + 5, "b": n + 4, "d": 1, "x": 3}
+    assert max(df.count() for name, df in seen if name == "bits-seen") < 20  # not nodes times words
