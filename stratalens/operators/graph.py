@@ -344,14 +344,16 @@ def layers(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """id, layer: longest path from a node without in-edges; nodes on or behind a cycle get none."""
     pairs = cut(steps(edges, "out"), "layer-pairs")
     left = cut(nodes.select("id").distinct(), "layer")
+    pairs = cut(pairs.join(left.withColumnRenamed("id", "a").hint("merge"), "a", "left_semi"), "layer-pairs")
     done, level = None, 0
     while True:
-        blocked = pairs.join(left.withColumnRenamed("id", "a"), "a", "left_semi").select(F.col("b").alias("id"))
-        free = cut(left.join(blocked, "id", "left_anti").withColumn("layer", F.lit(level).cast("long")), "layer")
+        # joins by sorting: the loop must not send a table to the driver each round
+        free = cut(left.join(pairs.select(F.col("b").alias("id")).distinct().hint("merge"), "id", "left_anti").withColumn("layer", F.lit(level).cast("long")), "layer")
         if free.isEmpty():
             break
         done = free if done is None else done.unionAll(free)
-        left = cut(left.join(free, "id", "left_anti"), "layer")
+        left = cut(left.join(free.hint("merge"), "id", "left_anti"), "layer")
+        pairs = cut(pairs.join(free.select(F.col("id").alias("a")).hint("merge"), "a", "left_anti"), "layer-pairs")
         level += 1
     return done if done is not None else left.withColumn("layer", F.lit(0).cast("long"))
 

@@ -62,3 +62,11 @@ def test_reach_counts_search_around_the_largest_component(spark, monkeypatch):
     got = {r.id: r.reached for r in G.reach_counts(e, nodes, "out").collect()}
     assert got == {f"c{i}": n + 1 for i in range(n)} | {"a": n + 5, "b": n + 4, "d": 1, "x": 3}
     assert max(df.count() for name, df in seen if name == "bits-seen") < 20  # not nodes times words
+
+
+def test_layers_broadcast_nothing(spark, monkeypatch):
+    seen = written(monkeypatch, G)
+    e = edges(spark, [("a", "b"), ("b", "c"), ("a", "c"), ("c", "k"), ("k", "l"), ("l", "k")])
+    got = {(r.id, r.layer) for r in G.layers(e, spark.createDataFrame([(x,) for x in "abckl"], "id string")).collect()}
+    assert got == {("a", 0), ("b", 1), ("c", 2)}
+    assert not any("Broadcast" in plan(df) for _, df in seen)
