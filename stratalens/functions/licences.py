@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stratalens.joins import dealt
+
 # fixed values: identifiers in their usual spelling
 SPDX_IDS = (
     "MIT", "MIT-0", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "ISC", "MPL-2.0", "CC0-1.0", "Unlicense", "0BSD", "BlueOak-1.0.0", "BSL-1.0", "Zlib", "Python-2.0",
@@ -51,7 +53,7 @@ def canonical_id(name: Column) -> Column:
     """Known identifiers in their usual spelling, `GPL-2.0+` as `GPL-2.0-or-later`; others unchanged."""
     usual = F.create_map(*[F.lit(x) for s in SPDX_IDS for x in (s.lower(), s)])
     plus = F.regexp_replace(name, r"(?i)^((?:A|L)?GPL-\d\.\d)\+$", "$1-or-later")
-    return F.coalesce(usual[F.lower(plus)], plus)
+    return F.transform(F.array(plus), lambda p: F.coalesce(usual[F.lower(p)], p))[0]
 
 
 def licence_name(name: Column) -> Column:
@@ -68,8 +70,13 @@ def licence_name(name: Column) -> Column:
 
 def licence_class_bit(name: Column) -> Column:
     """1, 2, 4 or 8: the class of one licence, see CLASSES."""
-    spdx, t = licence_name(name), _trimmed(name)
-    return F.when(spdx.rlike(COPYLEFT_ID) | t.rlike(BARE_GPL), 8).when(spdx.isin(*PERMISSIVE), 1).when(t.rlike(CLOSED), 4).otherwise(2)
+    t = _trimmed(name)
+
+    def bit(spdx: Column) -> Column:
+        return F.when(spdx.rlike(COPYLEFT_ID) | t.rlike(BARE_GPL), 8).when(spdx.isin(*PERMISSIVE), 1).when(t.rlike(CLOSED), 4).otherwise(2)
+
+    # the name is worked out once, for all that look at it
+    return F.transform(F.array(licence_name(name)), bit)[0]
 
 
 def expression_tokens(text: Column) -> Column:
@@ -157,7 +164,7 @@ def licence_risks(files: DataFrame, projects: DataFrame) -> DataFrame:
     Files of a project that is not listed have no row.  The join may split hot projects, as its other
     side has one row a project.
     """
-    bound = files.where(F.col("licence").isNotNull() & (offer_bits(F.col("licence")) == 8))
+    bound = dealt(files).where(F.col("licence").isNotNull() & (offer_bits(F.col("licence")) == 8))
     own = projects.select("project", F.col("licence").alias("whole"), "has_file", F.when(F.col("licence").isNotNull(), offer_bits(F.col("licence"))).alias("offers"))
     has = lambda bit: F.col("offers").bitwiseAND(bit) > 0
     reason = F.when(F.col("offers").isNull(), F.when(F.col("has_file"), "unrecognised-file").otherwise("undeclared")).when(has(1), "permissive-project").when(has(4), "closed-project").when(F.col("offers") != 8, "unknown-project")

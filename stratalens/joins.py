@@ -37,6 +37,14 @@ def spread_join(many: DataFrame, one: DataFrame, key: str, hot: list[tuple], how
     return dealt.join(copies.hint(hint) if hint else copies, [key, "__piece"], how).drop("__piece")
 
 
+def dealt(rows: DataFrame, *keys: str) -> DataFrame:
+    """`rows` over as many tasks as a shuffle has, by the keys if any: one task reads a small file, however much work its rows are.
+
+    The number is given, so that tasks are not merged again by their bytes before rows grow.
+    """
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def numbered(rows: DataFrame, order: list, column: str = "number") -> DataFrame:
     """`rows`, written, with their place (0, 1, ...) in the order; one number a partition reaches the driver."""
     written = cut(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__m", F.monotonically_increasing_id()), "numbered")

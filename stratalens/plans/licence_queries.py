@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from stratalens.functions import licences as L
+from stratalens.joins import dealt
 from stratalens.plans.adapters import view
 from stratalens.registry import query
 
@@ -15,10 +16,11 @@ NAMES = (("MIT", "MIT", 0), ("gpl-3.0-only", "GPL-3.0-only", 3), ("Foo-1", "Foo-
 def texts(spark, sf):
     """path, project, text: nine forms of expression by the key."""
     one = lambda k, div: f"element_at(array({', '.join(repr(n[0]) for n in NAMES)}), CAST(floor({k} / {div}) % 7 AS INT) + 1)"
-    return view(spark, sf, f"""
+    keys = dealt(view(spark, sf, "SELECT c_custkey, c_nationkey FROM customer"))
+    return spark.sql(f"""
       SELECT path, c_nationkey AS project, CASE form WHEN 0 THEN a WHEN 1 THEN concat(a, ' AND ', b) WHEN 2 THEN concat(a, ' or ', b) WHEN 3 THEN concat('(', a, ' OR ', b, ') AND ', c) WHEN 4 THEN concat(a, ' OR ', b, ' AND ', c)
         WHEN 5 THEN concat('((', a, ' and ', b, ') OR ', c, ') AND (', b, ')') WHEN 6 THEN concat(a, ' WITH e-1.0 AND (', b, ' OR ', c, ')') WHEN 7 THEN concat('(', a, ' OR ', b) ELSE concat(a, ' ', b, ' OR') END AS text
-      FROM (SELECT concat('f', CAST(c_custkey AS STRING)) AS path, c_nationkey, c_custkey % 9 AS form, {one('c_custkey', 1)} AS a, {one('c_custkey', 7)} AS b, {one('c_custkey', 49)} AS c FROM customer)""")
+      FROM (SELECT concat('f', CAST(c_custkey AS STRING)) AS path, c_nationkey, c_custkey % 9 AS form, {one('c_custkey', 1)} AS a, {one('c_custkey', 7)} AS b, {one('c_custkey', 49)} AS c FROM {{keys}})""", keys=keys)
 
 
 BASE = f"""names(i, name, head, rank) AS (VALUES {', '.join(f"({i}, '{n}', '{h}', {r})" for i, (n, h, r) in enumerate(NAMES))}),

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from stratalens import registry
 from stratalens.operators import graph as G
 from stratalens.operators import modules as M
 from stratalens.operators import rollup as R
@@ -70,3 +71,8 @@ def test_layers_broadcast_nothing(spark, monkeypatch):
     got = {(r.id, r.layer) for r in G.layers(e, spark.createDataFrame([(x,) for x in "abckl"], "id string")).collect()}
     assert got == {("a", 0), ("b", 1), ("c", 2)}
     assert not any("Broadcast" in plan(df) for _, df in seen)
+
+
+def test_licence_texts_are_dealt_over_tasks(spark, sf):
+    for name in ("f7_licence_offers", "f7_licence_risks"):
+        assert "RoundRobinPartitioning" in plan(registry.queries()[name](spark, sf))
