@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from stratalens.functions import outline as O
+from stratalens.joins import dealt
 from stratalens.plans.adapters import view
 from stratalens.registry import query
 
@@ -25,7 +26,8 @@ PYTHON_LINES = (
 def source_texts(spark, sf, lines):
     """path, text: the lines whose condition holds, ^ standing for a quote."""
     parts = ", ".join(f"CASE WHEN {when} THEN replace(replace('{line}', '^', chr(39)), 'N', CAST(c_nationkey AS STRING)) END" for when, line in lines)
-    return view(spark, sf, f"SELECT concat('f', CAST(c_custkey AS STRING)) AS path, concat_ws(chr(10), {parts}) AS text FROM customer")
+    keys = dealt(view(spark, sf, "SELECT c_custkey, c_nationkey FROM customer"))
+    return keys.selectExpr("concat('f', CAST(c_custkey AS STRING)) AS path", f"concat_ws(chr(10), {parts}) AS text")
 
 
 def placed(lines) -> str:

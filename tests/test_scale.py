@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from stratalens import registry
+from stratalens.functions import outline
 from stratalens.operators import graph as G
 from stratalens.operators import modules as M
 from stratalens.operators import rollup as R
@@ -76,3 +77,10 @@ def test_layers_broadcast_nothing(spark, monkeypatch):
 def test_licence_texts_are_dealt_over_tasks(spark, sf):
     for name in ("f7_licence_offers", "f7_licence_risks"):
         assert "RoundRobinPartitioning" in plan(registry.queries()[name](spark, sf))
+
+
+def test_python_outline_shuffles_texts_once(spark):
+    df = spark.createDataFrame([("a.py", "class A:\n    def f(self, x=(1, (2))): pass\ndef g(")], "path string, text string")
+    got = outline.python_outline(df)
+    assert plan(got).count("Exchange hashpartitioning") == 1
+    assert {(r.line, r.name, r.signature, r.parent) for r in got.collect()} == {(1, "A", "class A", None), (2, "f", "def f(self, x=(1, (2)))", 1)}
