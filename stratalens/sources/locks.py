@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from stratalens.joins import dealt
 from stratalens.storage import cut
 
 CONCRETE = r"^\d+\.\d+\.\d+(?:-[0-9A-Za-z.-]+)?(?:\+[0-9A-Za-z.-]+)?$"
@@ -25,7 +26,7 @@ def keyed_lines(texts: DataFrame) -> DataFrame:
     Block maps of plain and quoted keys and scalars; comments, blank lines, marks of documents and items
     of lists drop out, flow values stay text.  A line that is no `key: value` drops out.
     """
-    lines = texts.select("path", F.posexplode(F.split(F.translate("text", "\r", ""), "\n")).alias("line", "l")).withColumn("body", F.ltrim("l"))
+    lines = dealt(texts, "path").select("path", F.posexplode(F.split(F.translate("text", "\r", ""), "\n")).alias("line", "l")).withColumn("body", F.ltrim("l"))
     lines = lines.where("body <> '' and not startswith(body, '#') and body not in ('---', '...', '-') and not startswith(body, '- ')").withColumn("indent", F.length("l") - F.length("body"))
     part = lambda k: F.regexp_extract("body", _KEY, k)
     key = F.coalesce(F.nullif(F.replace(part(1), F.lit("''"), F.lit("'")), F.lit("")), F.nullif(part(2), F.lit("")), F.nullif(F.trim(part(3)), F.lit("")))
@@ -33,8 +34,8 @@ def keyed_lines(texts: DataFrame) -> DataFrame:
     plain = F.trim(F.regexp_replace(raw, r" #.*$", ""))
     value = F.when(raw.rlike("^'"), F.regexp_extract(raw, "^'((?:[^']|'')*)'", 1)).when(raw.rlike('^"'), F.regexp_extract(raw, r'^"((?:[^"\\]|\\.)*)"', 1)).otherwise(plain)
     rows = lines.select("path", "line", "indent", key.alias("key"), F.nullif(value, F.lit("")).alias("value")).where("key is not null")
-    levels = rows.groupBy("path").agg(F.collect_set("indent").alias("levels"))  # a handful of indentations a file
-    spread = rows.join(levels, "path").withColumn("level", F.explode("levels"))
+    levels = F.collect_set("indent").over(W.partitionBy("path"))  # a handful of indentations a file
+    spread = rows.withColumn("levels", levels).withColumn("level", F.explode("levels"))
     above = W.partitionBy("path", "level").orderBy("line").rowsBetween(W.unboundedPreceding, -1)
     holder = F.when(F.col("indent") == F.col("level"), F.col("key"))
     seen = spread.withColumn("over", F.last(F.when(F.col("indent") <= F.col("level"), F.struct(holder.alias("key"))), ignorenulls=True).over(above))
@@ -93,7 +94,11 @@ def pnpm_packages(texts: DataFrame) -> DataFrame:
 
 def berry_descriptors(texts: DataFrame) -> DataFrame:
     """path, descriptor, name, version of registry packages in yarn berry locks: every descriptor of a head has the version it resolves to."""
-    rows = keyed_lines(texts).where("size(keys) = 2 and keys[0] <> '__metadata' and keys[1] = 'resolution'")
+    return _berry_descriptors(keyed_lines(texts))
+
+
+def _berry_descriptors(lines: DataFrame) -> DataFrame:
+    rows = lines.where("size(keys) = 2 and keys[0] <> '__metadata' and keys[1] = 'resolution'")
     part = lambda k: F.regexp_extract("value", r"^(@?[^@]+)@npm:(.*)$", k)
     heads = rows.withColumn("p", _package(part(1), part(2))).where("p is not null").select("path", F.explode(F.split(F.col("keys")[0], r",\s*")).alias("descriptor"), "p")
     return heads.select("path", F.trim(F.translate("descriptor", "\"'", "")).alias("descriptor"), "p.name", "p.version").where("descriptor <> ''")
@@ -104,7 +109,7 @@ def berry_importers(texts: DataFrame) -> DataFrame:
     rows = cut(keyed_lines(texts), "lock-lines")
     spaces = rows.where("size(keys) = 2 and keys[1] = 'resolution' and value rlike '^@?[^@]+@workspace:'").select("path", F.col("keys")[0].alias("head"), F.regexp_replace("value", "^@?[^@]+@workspace:", "").alias("dir"))
     asked = rows.where("size(keys) = 3 and keys[1] = 'dependencies'").select("path", F.col("keys")[0].alias("head"), F.col("keys")[2].alias("package"), F.concat(F.col("keys")[2], F.lit("@"), F.coalesce("value", F.lit(""))).alias("descriptor"))
-    found = asked.join(spaces, ["path", "head"]).join(berry_descriptors(texts), ["path", "descriptor"])
+    found = asked.join(spaces, ["path", "head"]).join(_berry_descriptors(rows), ["path", "descriptor"])
     return found.select("path", F.when(F.col("dir") == ".", "").otherwise(F.col("dir")).alias("importer"), "package", "name", "version")
 
 

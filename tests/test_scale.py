@@ -7,6 +7,7 @@ from stratalens.functions import outline
 from stratalens.operators import graph as G
 from stratalens.operators import modules as M
 from stratalens.operators import rollup as R
+from stratalens.sources import locks
 
 
 def plan(df):
@@ -84,3 +85,9 @@ def test_python_outline_shuffles_texts_once(spark):
     got = outline.python_outline(df)
     assert plan(got).count("Exchange hashpartitioning") == 1
     assert {(r.line, r.name, r.signature, r.parent) for r in got.collect()} == {(1, "A", "class A", None), (2, "f", "def f(self, x=(1, (2)))", 1)}
+
+
+def test_lock_lines_shuffle_texts_once(spark):
+    got = locks.keyed_lines(spark.createDataFrame([("a", "a:\n  b: 1\n  c:\n    d: 2")], "path string, text string"))
+    assert plan(got).count("Exchange hashpartitioning") == 1
+    assert {tuple(r["keys"]) for r in got.collect()} == {("a",), ("a", "b"), ("a", "c"), ("a", "c", "d")}
