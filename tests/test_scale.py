@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from stratalens import registry
-from stratalens.functions import outline
+from stratalens.functions import css, outline
 from stratalens.operators import graph as G
 from stratalens.operators import modules as M
 from stratalens.operators import rollup as R
@@ -91,3 +91,8 @@ def test_lock_lines_shuffle_texts_once(spark):
     got = locks.keyed_lines(spark.createDataFrame([("a", "a:\n  b: 1\n  c:\n    d: 2")], "path string, text string"))
     assert plan(got).count("Exchange hashpartitioning") == 1
     assert {tuple(r["keys"]) for r in got.collect()} == {("a",), ("a", "b"), ("a", "c"), ("a", "c", "d")}
+
+
+def test_sheets_are_dealt_over_tasks_before_they_are_cut_up(spark):
+    got = css.css_blocks(spark.createDataFrame([("a.css", ".a { b: c }")], "path string, text string"))
+    assert "REPARTITION_BY_NUM" in plan(got) and got.count() == 1
