@@ -9,6 +9,7 @@ from stratalens.storage import cut
 
 HOT = 1000  # a key is hot if it holds more than a HOT-th of all rows, and more than HOT_ROWS
 HOT_ROWS = 64
+TASK_ROWS = 1 << 20  # rows that one task sorts, where their number is known
 
 
 def hot_keys(sizes: DataFrame, key: str, total: int) -> list[tuple]:
@@ -37,12 +38,13 @@ def spread_join(many: DataFrame, one: DataFrame, key: str, hot: list[tuple], how
     return dealt.join(copies.hint(hint) if hint else copies, [key, "__piece"], how).drop("__piece")
 
 
-def dealt(rows: DataFrame, *keys: str) -> DataFrame:
+def dealt(rows: DataFrame, *keys: str, total: int = 0) -> DataFrame:
     """`rows` over as many tasks as a shuffle has, by the keys if any: one task reads a small file, however much work its rows are.
 
     The number is given, so that tasks are not merged again by their bytes before rows grow.
+    With `total`, the number of rows, it grows with them beyond TASK_ROWS a task.
     """
-    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+    return rows.repartition(max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // TASK_ROWS)), *keys)
 
 
 def numbered(rows: DataFrame, order: list, column: str = "number") -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from stratalens.functions.scalar import severity_weight
+from stratalens.joins import dealt
 from stratalens.operators.security import is_exposed_secret, is_graded
 
 #: levels of a verdict, rising; fixed values
@@ -74,19 +75,22 @@ def severity_shift(base: DataFrame, head: DataFrame) -> DataFrame:
 def multiset_diff(base: DataFrame, head: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFrame:
     """Rows of either side left after pairing the k-th of each key: side 'fixed' or 'new', and all columns.
 
-    Counts by key and side, which combine before the shuffle, tell which keys differ; only
-    rows of those on the longer side are ranked.
+    Counts by key and side, which combine before the shuffle, tell which keys differ and
+    how many rows pair.  Rows are dealt by key over tasks in step with their number, and
+    sorted once: ranks come before the join with the counts, which keeps their order.
     """
     names = base.columns
     both = base.select(*key).withColumn("__b", F.lit(1)).unionAll(head.select(*key).withColumn("__b", F.lit(0)))
     counts = both.groupBy(*key).agg(F.sum("__b").alias("__nb"), F.count("*").alias("__n"))
     longer = counts.select(*key, (F.col("__nb") * 2 - F.col("__n")).alias("__more"), F.least("__nb", F.col("__n") - F.col("__nb")).alias("__paired")).where("__more <> 0")
     place = F.row_number().over(W.partitionBy(*key).orderBy(*order))
+    n = both.agg(F.count_if(F.col("__b") == 1).alias("base"), F.count_if(F.col("__b") == 0).alias("head")).first()
 
-    def left(df: DataFrame, which: str, side: str) -> DataFrame:
-        return df.join(longer.where(which), list(key)).withColumn("__k", place).where("__k > __paired").select(*names, F.lit(side).alias("side"))
+    def left(df: DataFrame, total: int, which: str, side: str) -> DataFrame:
+        ranked = dealt(df, *key, total=total).withColumn("__k", place)
+        return ranked.join(longer.where(which), list(key)).where("__k > __paired").select(*names, F.lit(side).alias("side"))
 
-    return left(base, "__more > 0", "fixed").unionByName(left(head, "__more < 0", "new"))
+    return left(base, n["base"], "__more > 0", "fixed").unionByName(left(head, n["head"], "__more < 0", "new"))
 
 
 def moved_pairs(left: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFrame:

@@ -1,9 +1,12 @@
 """Shapes that keep work, memory and the driver's share in proportion as tables grow."""
 
+import re
+
 from pyspark.sql import functions as F
 
-from stratalens import registry
+from stratalens import joins, registry
 from stratalens.functions import css, outline
+from stratalens.operators import diff as D
 from stratalens.operators import graph as G
 from stratalens.operators import modules as M
 from stratalens.operators import rollup as R
@@ -96,3 +99,31 @@ def test_lock_lines_shuffle_texts_once(spark):
 def test_sheets_are_dealt_over_tasks_before_they_are_cut_up(spark):
     got = css.css_blocks(spark.createDataFrame([("a.css", ".a { b: c }")], "path string, text string"))
     assert "REPARTITION_BY_NUM" in plan(got) and got.count() == 1
+
+
+def test_multisets_are_ranked_in_tasks_of_bounded_size(spark, monkeypatch):
+    monkeypatch.setattr(joins, "TASK_ROWS", 10)
+    base = [(f"r{i % 7}", f"f{i % 11}", i) for i in range(150)]
+    head = [(f"r{i % 7}", f"f{i % 11}", i * 3 % 100) for i in range(215)] + [("r0", "g", 1), ("r0", "g", 1)]
+    got = D.multiset_diff(*(spark.createDataFrame(x, "rule string, file string, line int") for x in (base, head)), ["rule", "file"], ["line"])
+    exchanges = re.findall(r"hashpartitioning\(rule#\d+, file#\d+, (\d+)\), REPARTITION_BY_NUM", plan(got))
+    assert exchanges == ["15", "22"]  # 150 and 217 rows, not one number for any size
+    want = []
+    for k in {x[:2] for x in base + head}:
+        b, h = (sorted(x[2] for x in side if x[:2] == k) for side in (base, head))
+        want += [(*k, n, "fixed") for n in b[len(h) :]] + [(*k, n, "new") for n in h[len(b) :]]
+    assert sorted((r.rule, r.file, r.line, r.side) for r in got.collect()) == sorted(want)
+
+
+def test_multisets_sort_their_rows_once(spark):
+    rows = spark.createDataFrame([("r", "f", 1), ("r", "g", 2)], "rule string, file string, line int")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = plan(D.multiset_diff(rows, rows.where("line > 1"), ["rule", "file"], ["line"]))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert got.count("Sort [") == 4  # on either side one of rows and one of counts
+
+
+def test_dependents_are_dealt_before_they_are_told_apart(spark, sf):
+    assert re.search(r"hashpartitioning\(dst#\d+, src#\d+, 4\), REPARTITION_BY_NUM", plan(registry.queries()["d12_verdict"](spark, sf)))
